@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.columns import f1_from_counts, safe_div
 from vigil.operators.positions import row_index, running_sum
-from vigil.session import attach_scalars, join_measured
+from vigil.session import attach_scalars
 
 
 def _g(df, keys):
@@ -95,82 +95,67 @@ def auc_trapezoid(curve: DataFrame, keys: list[str]) -> DataFrame:
     return _g(j, keys).agg(F.sum(area).alias("auc"))
 
 
-def _grid_index(s, start, step, count, inclusive):
-    """Last grid index j (t_j = start + j*step) passed by score s; -1 if none."""
+def _grid_t(j, start, step, count, last):
+    t = start + j.cast("double") * step
+    return t if last is None else F.when(j == count - 1, F.lit(float(last))).otherwise(t)
+
+
+def _grid_index(s, start, step, count, inclusive, last=None):
+    """Last grid index j passed by score s (-1 if none); t_j = start + j*step.
+
+    A floor estimate is corrected one step either way by comparing against
+    the exact grid value, so floating rounding never misplaces a score.
+    """
     j0 = F.floor((s - start) / step).cast("bigint")
     j0 = F.least(F.greatest(j0, F.lit(0)), count - 1)
-    t = lambda j: start + j.cast("double") * step
+    t = lambda j: _grid_t(j, start, step, count, last)
     passes = (lambda j: s >= t(j)) if inclusive else (lambda j: s > t(j))
     up = F.when((j0 + 1 <= count - 1) & passes(j0 + 1), j0 + 1).otherwise(j0)
     return F.when(passes(up), up).otherwise(up - 1)
 
 
 def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is_anomaly",
-                    step: float = 0.01, inclusive: bool = True, start=None, count=None) -> DataFrame:
-    """F1 at every grid level t_j = start + j*step, j < count.
-
-    Defaults give numpy ``arange(min, max, step)``; flags are ``score >= t``
-    (``inclusive``) or ``score > t``.  Output per (keys, j): t, tp, fp, fn, f1.
+                    step: float = 0.01, inclusive: bool = True, bounds: DataFrame | None = None,
+                    count: int | None = None, last: float | None = None) -> DataFrame:
+    """F1 at every grid level t_j = start + j*step, j < count, in O(n + T).
+
+    Default grid = numpy ``arange(min, max, step)`` of the series' scores.
+    ``bounds`` (keys, start, stop) gives other ranges (percentiles for G9,
+    best +- 0.05 for G10); ``count``/``last`` give ``linspace`` grids (G8).
+    Flags are ``score >= t`` (``inclusive``, G7) or ``score > t``.
+    Every score is mapped to the last level it passes; a reverse running
+    sum over the (parameter-bounded) grid then gives tp and predicted
+    positives at every level.  Output per (keys, j): t, tp, fp, fn, f1.
     """
     keys = list(keys)
     y = F.col(label).cast("long")
-    rng = _g(df, keys).agg(F.min(score).alias("__min"), F.max(score).alias("__max"),
-                           F.sum(y).alias("__P"))
-    st = F.col("__min") if start is None else F.lit(float(start))
-    cnt = (F.ceil((F.col("__max") - F.col("__min")) / F.lit(float(step))).cast("bigint")
+    stats = (df.groupBy(*keys) if keys else df).agg(F.min(score).alias("start"), F.max(score).alias("stop"),
+                                                     F.sum(y).alias("__P"))
+    if bounds is not None:
+        stats = stats.drop("start", "stop")
+        stats = stats.join(bounds.select(*keys, "start", "stop"), keys) if keys else \
+            stats.withColumns({c: bounds.select(c).scalar() for c in ("start", "stop")})
+    cnt = (F.ceil((F.col("stop") - F.col("start")) / F.lit(float(step))).cast("bigint")
            if count is None else F.lit(int(count)).cast("bigint"))
-    rng = rng.withColumns({"__start": st.cast("double"), "__T": cnt})
+    rng = stats.select(*keys, F.col("start").cast("double").alias("__start"), cnt.alias("__T"), "__P")
     d = attach_scalars(df.select(*keys, score, y.alias("__y")), rng.select(*keys, "__start", "__T"), keys)
     d = d.filter(F.col("__T") > 0)
     d = d.withColumn("__j", _grid_index(F.col(score), F.col("__start"), F.lit(float(step)), F.col("__T"),
-                                        inclusive))
+                                        inclusive, last))
     per = d.filter(F.col("__j") >= 0).groupBy(*keys, "__j").agg(F.sum("__y").alias("__tp"),
                                                                  F.count(F.lit(1)).alias("__pp"))
-    grid = rng.filter(F.col("__T") > 0).select(*keys, "__start", "__P",
+    grid = rng.filter(F.col("__T") > 0).select(*keys, "__start", "__T", "__P",
                                                 F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__T") - 1))
                                                 .alias("__j"))
     g = grid.join(per, keys + ["__j"], "left").fillna(0, subset=["__tp", "__pp"])
     w = Window.partitionBy(*keys).orderBy(F.col("__j").desc()).rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumns({"tp": F.sum("__tp").over(w), "pp": F.sum("__pp").over(w)})
     g = g.withColumns({"fp": F.col("pp") - F.col("tp"), "fn": F.col("__P") - F.col("tp")})
-    return g.select(*keys, F.col("__j").alias("j"),
-                    (F.col("__start") + F.col("__j").cast("double") * F.lit(float(step))).alias("t"),
+    t = _grid_t(F.col("__j"), F.col("__start"), F.lit(float(step)), F.col("__T"), last)
+    return g.select(*keys, F.col("__j").alias("j"), t.alias("t"),
                     "tp", "fp", "fn", f1_from_counts("tp", "fp", "fn").alias("f1"))
 
 
-def threshold_sweep_percentile(df: DataFrame, keys: list[str], score: str, qs: list[float],
-                               label: str = "is_anomaly", rid: str = "rid") -> DataFrame:
-    """F1 when flagging ``score > percentile(q)`` for each q (0..100).
-
-    The count above a percentile follows from positions alone: with
-    h = q/100 (n-1), lo = floor(h), hi = ceil(h), rows strictly above are
-    those after the last position holding v[lo] when v[lo] = v[hi], else
-    those from hi on.  Positives above come from a reverse running sum.
-    """
-    keys = list(keys)
-    base = df.select(*keys, rid, score, F.col(label).cast("long").alias("__y"))
-    ranked = row_index(base, keys, [score, rid], "__pos")
-    last = ranked.groupBy(*keys, score).agg(F.max("__pos").alias("__last"))
-    ranked = join_measured(ranked, last, keys + [score])
-    ranked = running_sum(ranked, keys, "__pos", ["__y"], reverse=True)   # positives at >= pos
-    tot = _g(base, keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__P"))
-    qdf = tot.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-    h = F.col("q") / F.lit(100.0) * (F.col("__n") - 1).cast("double")
-    qdf = qdf.withColumns({"__lo": F.floor(h).cast("bigint"), "__hi": F.ceil(h).cast("bigint")})
-    look = ranked.select(*keys, "__pos", F.col(score).alias("__v"), "__last", F.col("__y_cum").alias("__ycum"))
-    lo = look.withColumnsRenamed({"__pos": "__lo", "__v": "__vlo", "__last": "__lastlo"}).drop("__ycum")
-    hi = look.select(*keys, F.col("__pos").alias("__hi"), F.col("__v").alias("__vhi"))
-    q = join_measured(join_measured(qdf, lo, keys + ["__lo"]), hi, keys + ["__hi"])
-    q = q.withColumn("__first", F.when(F.col("__vlo") == F.col("__vhi"), F.col("__lastlo") + 1)
-                     .otherwise(F.col("__hi")))
-    above = look.select(*keys, F.col("__pos").alias("__first"), "__ycum")
-    q = join_measured(q, above, keys + ["__first"], how="left")
-    q = q.withColumns({"tp": F.coalesce(F.col("__ycum"), F.lit(0)).cast("bigint"),
-                       "pp": (F.col("__n") - F.col("__first")).cast("bigint")})
-    q = q.withColumns({"fp": F.col("pp") - F.col("tp"), "fn": F.col("__P") - F.col("tp")})
-    return q.select(*keys, "q", "tp", "fp", "fn", f1_from_counts("tp", "fp", "fn").alias("f1"))
-
-
 def best_threshold(sweep: DataFrame, keys: list[str], level: str = "t", metric: str = "f1") -> DataFrame:
     """Argmax of the metric; the lowest level wins ties (a distributed max_by)."""
     g = _g(sweep, keys)

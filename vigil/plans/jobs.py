@@ -15,6 +15,11 @@ from vigil.operators import neighbors as NB
 from vigil.sources import catalog as C
 
 
+def knn_scores(df: DataFrame, keys: list[str], k: int, value: str = "value", rid: str = "rid") -> DataFrame:
+    """(keys, rid, score): k-th neighbour distance on one value column."""
+    return NB.knn_score_1d(df, keys, value, rid, k)
+
+
 def scored_knn_1d(spark, sf_dir: str, dataset: str = "events_by_user", k: int = 1, q: float = 98.0,
                   block: int | None = None) -> DataFrame:
     """kNN (k-th neighbour distance on the value) per series, flagged above the q-th percentile."""

@@ -71,3 +71,83 @@ def auroc_sql(src: str, score: str = "score", label: str = "is_anomaly", by: str
                CAST(sum({label}) AS DOUBLE) AS P, CAST(count(*) - sum({label}) AS DOUBLE) AS N
         FROM (SELECT *, rank() OVER ({part} ORDER BY {score}) AS r0, count(*) OVER ({part2}) AS c
               FROM ({src})) {grp}))"""
+
+
+def with_pos(src: str, by: str = "series_id", order: str = "ts, rid", name: str = "row_idx") -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    return f"(SELECT *, row_number() OVER ({part} ORDER BY {order}) - 1 AS {name} FROM ({src}))"
+
+
+def knn_1d_band(src: str, k: int) -> str:
+    """k-th neighbour distance using value-order positions (band join of +-k rows)."""
+    return f"""(SELECT series_id, rid, d AS score FROM (
+        SELECT a.series_id, a.rid, abs(a.value - b.value) AS d,
+               row_number() OVER (PARTITION BY a.series_id, a.rid ORDER BY abs(a.value - b.value)) AS rn
+        FROM {with_pos(src, order='value, rid', name='vp')} a
+        JOIN {with_pos(src, order='value, rid', name='vp')} b
+          ON a.series_id = b.series_id AND b.vp BETWEEN a.vp - {k} AND a.vp + {k} AND b.vp <> a.vp)
+        WHERE rn = {k})"""
+
+
+def erf(x: str) -> str:
+    """erf by Abramowitz & Stegun 7.1.26 (same fixed values as the Spark side)."""
+    from vigil.functions.columns import ERF_A, ERF_P
+    a1, a2, a3, a4, a5 = ERF_A
+    t = f"(1.0 / (1.0 + {ERF_P} * abs({x})))"
+    y = f"(1.0 - (((((({a5} * {t} + ({a4})) * {t} + {a3}) * {t} + ({a2})) * {t} + {a1}) * {t}) * exp(-(abs({x}) * abs({x})))))"
+    return f"(CASE WHEN {x} < 0 THEN -{y} ELSE {y} END)"
+
+
+def loop_from_edges(edges: str, extent: int = 3) -> str:
+    """LoOP from an edge relation (series_id, rid, nid, d) -> series_id, rid, score."""
+    return f"""(WITH e AS ({edges}),
+    pd AS (SELECT series_id, rid, {extent}.0 * sqrt(avg(d * d)) AS pdist FROM e GROUP BY series_id, rid),
+    ev AS (SELECT e.series_id, e.rid, avg(pd.pdist) AS ev FROM e JOIN pd ON e.series_id = pd.series_id
+           AND e.nid = pd.rid GROUP BY e.series_id, e.rid),
+    pl AS (SELECT pd.series_id, pd.rid, pd.pdist / (CASE WHEN ev.ev = 0 THEN 1e-8 ELSE ev.ev END) - 1.0 AS plof
+           FROM pd JOIN ev USING (series_id, rid)),
+    np AS (SELECT series_id, {extent}.0 * sqrt(avg(plof * plof)) AS nplof FROM pl GROUP BY series_id),
+    x AS (SELECT pl.series_id, pl.rid, np.nplof, pl.plof / (np.nplof * sqrt(2.0)) AS z
+          FROM pl JOIN np USING (series_id))
+    SELECT series_id, rid, CASE WHEN nplof > 0 THEN greatest(0.0, {erf('z')}) ELSE 0.0 END AS score FROM x)"""
+
+
+def edges_1d(src: str, k: int) -> str:
+    """Brute-force k nearest others by |dv|, ties by position gap then position (value order)."""
+    p = with_pos(src, order="value, rid", name="vp")
+    return f"""SELECT series_id, rid, nid, d FROM (
+        SELECT a.series_id, a.rid, b.rid AS nid, abs(a.value - b.value) AS d,
+               row_number() OVER (PARTITION BY a.series_id, a.rid
+                                  ORDER BY abs(a.value - b.value), abs(a.vp - b.vp), b.vp) AS rn
+        FROM {p} a JOIN {p} b ON a.series_id = b.series_id AND a.rid <> b.rid) WHERE rn <= {k}"""
+
+
+def edges_vec(q: str, r: str, k: int, p: int = 2, exclude_self: bool = True) -> str:
+    """Brute-force k nearest references per query vector, ties by reference id."""
+    dist = ("list_distance(a.vec, b.vec)" if p == 2 else
+            "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: abs(z[1] - z[2])))")
+    cond = "AND a.rid <> b.rid" if exclude_self else ""
+    return f"""SELECT series_id, rid, nid, d FROM (
+        SELECT a.series_id, a.rid, b.rid AS nid, {dist} AS d,
+               row_number() OVER (PARTITION BY a.series_id, a.rid ORDER BY {dist}, b.rid) AS rn
+        FROM ({q}) a JOIN ({r}) b ON a.series_id = b.series_id {cond}) WHERE rn <= {k}"""
+
+
+def kfold_expr(pos: str, n: str, k: int) -> str:
+    """Contiguous KFold id: the first n % k folds hold one extra row."""
+    q = f"({n} // {k})"
+    r = f"({n} % {k})"
+    return (f"CAST(CASE WHEN {pos} < {r} * ({q} + 1) THEN {pos} // ({q} + 1) "
+            f"ELSE {r} + ({pos} - {r} * ({q} + 1)) // {q} END AS INTEGER)")
+
+
+def windows(src: str, w: int, p: int, by: str = "series_id") -> str:
+    """Window summaries for windows of w rows with p target rows (full windows only)."""
+    part = f"PARTITION BY {by}" if by else ""
+    frame = f"OVER ({part} ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)"
+    tgt = f"lead(value, {w}) OVER ({part} ORDER BY row_idx)"
+    full = f"lead(value, {w + p - 1}) OVER ({part} ORDER BY row_idx)"
+    return f"""(SELECT {by + ', ' if by else ''}row_idx AS win_start, count(*) {frame} AS n_window,
+               sum(value) {frame} AS window_sum, value AS window_first,
+               lead(value, {w - 1}) OVER ({part} ORDER BY row_idx) AS window_last,
+               {tgt} AS target, {full} AS full_marker FROM {with_pos(src, by)})"""

@@ -129,3 +129,7 @@ SELECT series_id, {r6('auroc', 'auroc')} FROM {O.auroc_sql(O.EVENTS_BY_USER, 'va
 def g3_auroc_by_user(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
     return finish(G.auroc(df, ["series_id"], "value"))
+
+
+# the query modules register themselves on import
+from vigil.plans import q_prep  # noqa: E402,F401
