@@ -98,10 +98,14 @@ def _builder(features: list[str], psi: int, seed: int, max_features: float, boot
     return build
 
 
-def iforest_fit(df: DataFrame, rid: str, features: list[str], n_trees: int = 100, max_samples: float = 256,
+def iforest_fit(df: DataFrame, rid, features: list[str], n_trees: int = 100, max_samples: float = 256,
                 seed: int = 42, max_features: float = 1.0, bootstrap: bool = False,
                 max_psi: int = ForestConfig.max_psi, n_rows: int | None = None) -> tuple[DataFrame, int]:
-    """returns (node table, psi).  ``max_samples`` <= 1 is a fraction of the rows."""
+    """returns (node table, psi).  ``max_samples`` <= 1 is a fraction of the rows.
+
+    ``rid`` names the row key: one column, or a list of columns that together
+    identify a row (their 64-bit hash is the sampling key).
+    """
     n = n_rows if n_rows is not None else df.count()
     psi = int(max_samples * n) if max_samples <= 1 else int(max_samples)
     psi = max(2, min(psi, n, max_psi))
@@ -109,7 +113,8 @@ def iforest_fit(df: DataFrame, rid: str, features: list[str], n_trees: int = 100
     r2 = min(1.0, OVERSAMPLE * psi / max(n * r1, 1.0))
     scale = float(2 ** 31)
     unit = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(2 ** 31)).cast("double") / F.lit(scale)
-    pool = df.select(F.col(rid).alias("__rid"), *[F.col(c).cast("double").alias(c) for c in features])
+    key = F.col(rid) if isinstance(rid, str) else F.xxhash64(*[F.col(c) for c in rid])
+    pool = df.select(key.alias("__rid"), *[F.col(c).cast("double").alias(c) for c in features])
     pool = pool.filter(unit(F.col("__rid"), F.lit(seed)) < F.lit(r1))
     member = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                       lambda t: unit(F.col("__rid"), t, F.lit(seed + 1)) < F.lit(r2))

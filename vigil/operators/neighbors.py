@@ -122,8 +122,9 @@ def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, ve
     """
     keys = list(keys)
     schema_keys = [f for f in queries.schema.fields if f.name in keys]
-    q = queries.select(*keys, F.col(rid).alias("rid"), F.col(vec).alias("vec"))
-    r = refs.select(*keys, F.col(rid).alias("rid"), F.col(vec).alias("vec"))
+    # fresh aliases: queries and refs are often the same DataFrame (a self-join)
+    q = queries.select(*[F.col(c).alias(c) for c in keys], F.col(rid).alias("rid"), F.col(vec).alias("vec"))
+    r = refs.select(*[F.col(c).alias(c) for c in keys], F.col(rid).alias("rid"), F.col(vec).alias("vec"))
     nref = (r.groupBy(*keys) if keys else r).agg(F.count(F.lit(1)).alias("__nr"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("__nr") / F.lit(float(block_rows)))).cast("int")
     nref = nref.select(*keys, nb.alias("__nb"))

@@ -25,7 +25,7 @@ EVENTS_COLLECTIVE = (f"SELECT CAST(0 AS BIGINT) AS series_id, event_id AS rid, t
                      f"CASE WHEN {_CM} THEN CAST({COLLECTIVE_VALUE} AS DOUBLE) ELSE value END AS value, "
                      f"CASE WHEN {_CM} THEN 1 ELSE 0 END AS is_anomaly FROM events")
 LFLAG = f"(CASE WHEN l_orderkey % {PLANT_EVERY} = 0 THEN 1 ELSE 0 END)"
-LINEITEM = (f"SELECT CAST(0 AS BIGINT) AS series_id, l_orderkey * 8 + l_linenumber AS rid, "
+LINEITEM = (f"SELECT CAST(0 AS BIGINT) AS series_id, l_orderkey * 8 + l_linenumber AS rid, l_partkey, l_suppkey, "
             f"l_quantity + {LINE_PLANT_SHIFT} * {LFLAG} AS l_quantity, l_extendedprice, l_discount, l_tax, "
             f"{LFLAG} AS is_anomaly FROM lineitem")
 EMBEDDINGS = ("SELECT CAST(0 AS BIGINT) AS series_id, vec_id AS rid, "

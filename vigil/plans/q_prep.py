@@ -194,18 +194,18 @@ def b9_filter_anomalies(spark, sf_dir):
     return finish(B.filter_anomalies(df).select("series_id", "rid", "value"))
 
 
-@query("b10_select_channels", f"SELECT rid, l_quantity, l_discount, l_tax FROM ({O.LINEITEM})")
+@query("b10_select_channels", f"SELECT rid, l_partkey, l_suppkey, l_quantity, l_discount, l_tax FROM ({O.LINEITEM})")
 def b10_select_channels(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "lineitem")
-    return B.select_channels(df, ["l_quantity", "l_discount", "l_quantity", "l_tax"], keep=["rid"])
+    return B.select_channels(df, ["l_quantity", "l_discount", "l_quantity", "l_tax"], keep=list(C.LINE_ORDER))
 
 
-@query("b11_features_labels", f"SELECT rid, l_quantity, l_extendedprice, l_discount, l_tax, is_anomaly "
-       f"FROM ({O.LINEITEM})")
+@query("b11_features_labels", f"SELECT rid, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, "
+       f"is_anomaly FROM ({O.LINEITEM})")
 def b11_features_labels(spark, sf_dir):
     df, spec = C.dataset(spark, sf_dir, "lineitem")
     feats, label = B.features_labels(df, spec)
-    return df.select("rid", *feats, label)
+    return df.select(*spec.order, *feats, label)
 
 
 def _events_pos(spark, sf_dir, name="events"):
@@ -274,12 +274,12 @@ def d1_zscore_filter(spark, sf_dir):
 _CH = list(C.LINE_CHANNELS)
 
 
-@query("d2_standard_scale", "SELECT rid, " + ", ".join(
+@query("d2_standard_scale", "SELECT rid, l_partkey, l_suppkey, " + ", ".join(
     f"round((({c}) - avg({c}) OVER ()) / (CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () "
     f"ELSE 1.0 END), 6) AS {c}" for c in _CH) + f" FROM ({O.LINEITEM})")
 def d2_standard_scale(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "lineitem")
-    return finish(D.standard_scale(df.select("rid", *_CH), [], _CH))
+    return finish(D.standard_scale(df.select(*C.LINE_ORDER, *_CH), [], _CH))
 
 
 _TRAIN_STATS = f"""(SELECT avg(value) AS m, CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1.0 END AS s
@@ -303,12 +303,12 @@ def d4_inverse_scale(spark, sf_dir):
     return finish(D.scale_apply(scaled, model, [], ["value"], inverse=True).select("rid", "value"))
 
 
-@query("d5_zscore_sample_drop_constant", "SELECT rid, " + ", ".join(
+@query("d5_zscore_sample_drop_constant", "SELECT rid, l_partkey, l_suppkey, " + ", ".join(
     f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in _CH)
     + f" FROM ({O.LINEITEM})")
 def d5_zscore_sample_drop_constant(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "lineitem")
-    d = df.select("rid", *_CH, (F.col("l_tax") * 0.0).alias("l_flat"))
+    d = df.select(*C.LINE_ORDER, *_CH, (F.col("l_tax") * 0.0).alias("l_flat"))
     out, _kept = D.zscore_sample_drop_constant(d, _CH + ["l_flat"])
     return finish(out)
 

@@ -120,7 +120,7 @@ def join_measured(big: DataFrame, small: DataFrame, on, how: str = "inner") -> D
         renamed = small.withColumnsRenamed({c: f"__r_{c}" for c in on})
         cond = None
         for c in on:
-            e = big[c].eqNullSafe(renamed[f"__r_{c}"])
+            e = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
             cond = e if cond is None else cond & e
         return big.join(renamed, cond, how).drop(*[f"__r_{c}" for c in on])
     return big.join(small, on, how)
