@@ -120,8 +120,9 @@ def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is
     """F1 at every grid level t_j = start + j*step, j < count, in O(n + T).
 
     Default grid = numpy ``arange(min, max, step)`` of the series' scores.
-    ``bounds`` (keys, start, stop) gives other ranges (percentiles for G9,
-    best +- 0.05 for G10); ``count``/``last`` give ``linspace`` grids (G8).
+    ``bounds`` gives other ranges (percentiles for G9, best +- 0.05 for G10):
+    a (start, stop) pair of numbers for an unkeyed sweep, or a DataFrame
+    (keys, start, stop); ``count``/``last`` give ``linspace`` grids (G8).
     Flags are ``score >= t`` (``inclusive``, G7) or ``score > t``.
     Every score is mapped to the last level it passes; a reverse running
     sum over the (parameter-bounded) grid then gives tp and predicted
@@ -131,7 +132,9 @@ def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is
     y = F.col(label).cast("long")
     stats = (df.groupBy(*keys) if keys else df).agg(F.min(score).alias("start"), F.max(score).alias("stop"),
                                                      F.sum(y).alias("__P"))
-    if bounds is not None:
+    if isinstance(bounds, (tuple, list)):
+        stats = stats.withColumns({"start": F.lit(float(bounds[0])), "stop": F.lit(float(bounds[1]))})
+    elif bounds is not None:
         stats = stats.drop("start", "stop")
         stats = stats.join(bounds.select(*keys, "start", "stop"), keys) if keys else \
             stats.withColumns({c: bounds.select(c).scalar() for c in ("start", "stop")})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vigil.operators import evaluate as G
 from vigil.operators import flags as FL
 from vigil.operators import neighbors as NB
+from vigil.session import materialize
 from vigil.sources import catalog as C
 
 
@@ -27,7 +28,8 @@ def scored_knn_1d(spark, sf_dir: str, dataset: str = "events_by_user", k: int =
     keys = list(spec.keys)
     kw = {"block": block} if block else {}
     s = NB.knn_score_1d(df, keys, "value", "rid", k, **kw)
-    scored = df.select(*keys, "rid", "value", "is_anomaly").join(s, keys + ["rid"])
+    # the scored table feeds the percentile, the flags and every metric: write it once
+    scored = materialize(df.select(*keys, "rid", "value", "is_anomaly").join(s, keys + ["rid"]), "knn-scored")
     return FL.flag_percentile(scored, keys, "score", q)
 
 

@@ -14,7 +14,7 @@ from vigil.operators import splits as S
 from vigil.operators import windows as W
 from vigil.plans import oracle_sql as O
 from vigil.plans.registry import finish, query, r6
-from vigil.session import output_dir
+from vigil.session import materialize, output_dir
 from vigil.sources import catalog as C
 from vigil.sources import files as FS
 
@@ -263,7 +263,7 @@ F11 = f11_sql(O.EVENTS_COLLECTIVE)
 def f11_scores(spark, sf_dir):
     p = positioned(spark, sf_dir, "events_collective")
     s = FC.forecast_baseline_score(p, KEYS, "value", 45, 1)
-    return p.select("series_id", "row_idx", "is_anomaly").join(s, KEYS + ["row_idx"])
+    return materialize(p.select("series_id", "row_idx", "is_anomaly").join(s, KEYS + ["row_idx"]), "f11-scored")
 
 
 @query("f11_forecast_baseline_score", f"SELECT row_idx, {r6('score', 'score')} FROM {F11}")
@@ -342,7 +342,8 @@ def f16_flag_threshold(spark, sf_dir):
 def loop_user_scored(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
     s = NB.loop_1d(df, KEYS, "value", "rid", k=20)
-    return FL.flag_share(df.select("series_id", "rid", "is_anomaly").join(s, KEYS + ["rid"]), KEYS, "score")
+    scored = materialize(df.select("series_id", "rid", "is_anomaly").join(s, KEYS + ["rid"]), "loop-scored")
+    return FL.flag_share(scored, KEYS, "score")
 
 
 LOOP_USER_FLAGS = f"""(SELECT l.series_id, l.rid, s.is_anomaly, l.score,

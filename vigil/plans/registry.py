@@ -132,4 +132,4 @@ def g3_auroc_by_user(spark, sf_dir):
 
 
 # the query modules register themselves on import
-from vigil.plans import q_detect, q_prep  # noqa: E402,F401
+from vigil.plans import q_detect, q_eval, q_prep  # noqa: E402,F401
