@@ -27,9 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.session import materialize, spread
 from vigil.spec import ForestConfig
 
 OVERSAMPLE = 2.0
+# The node table is shipped to every task; trees x (2 psi - 1) must stay below this.
+MAX_NODES = 50_000_000
 EULER_GAMMA = 0.5772156649015329
 
 NODE_SCHEMA = T.StructType([
@@ -109,6 +112,8 @@ def iforest_fit(df: DataFrame, rid, features: list[str], n_trees: int = 100, max
     n = n_rows if n_rows is not None else df.count()
     psi = int(max_samples * n) if max_samples <= 1 else int(max_samples)
     psi = max(2, min(psi, n, max_psi))
+    if n_trees * (2 * psi - 1) > MAX_NODES:
+        raise ValueError(f"{n_trees} trees of {psi} samples exceed the model bound of {MAX_NODES} nodes")
     r1 = min(1.0, OVERSAMPLE * psi * n_trees / max(n, 1))
     r2 = min(1.0, OVERSAMPLE * psi / max(n * r1, 1.0))
     scale = float(2 ** 31)
@@ -122,7 +127,8 @@ def iforest_fit(df: DataFrame, rid, features: list[str], n_trees: int = 100, max
                    .withColumn("__h", F.xxhash64(F.col("__rid"), F.col("tree"), F.lit(seed + 2))))
     nodes = sampled.groupBy("tree").applyInPandas(_builder(features, psi, seed, max_features, bootstrap),
                                                   NODE_SCHEMA)
-    return nodes, psi
+    # the node table is the model: write it once so scoring never refits
+    return materialize(nodes, "forest-nodes"), psi
 
 
 def _model_arrays(nodes_pdf: pd.DataFrame):
@@ -163,18 +169,16 @@ def path_lengths(x: np.ndarray, arrays) -> np.ndarray:
     return leaf_len[tt, node].mean(axis=1)
 
 
-def iforest_score(df: DataFrame, nodes: DataFrame, psi: int, features: list[str], out: str = "score",
-                  max_nodes: int = 50_000_000) -> DataFrame:
+def iforest_score(df: DataFrame, nodes: DataFrame, psi: int, features: list[str], out: str = "score") -> DataFrame:
     """anomaly score 2^(-E[h]/c(psi)) in (0, 1); larger = more anomalous.
 
-    The node table is collected once (its size is bounded by trees x (2 psi - 1),
-    checked against ``max_nodes``) and shipped to the tasks as a broadcast.
+    The node table is collected once — its size is bounded by trees x
+    (2 psi - 1) <= MAX_NODES, checked when the forest was fitted — and
+    shipped to the tasks as a broadcast variable.
     """
     spark = df.sparkSession
-    n_nodes = nodes.count()
-    if n_nodes > max_nodes:
-        raise ValueError(f"forest has {n_nodes} nodes, above the broadcast bound {max_nodes}")
     arrays = _model_arrays(nodes.toPandas())
+    df = spread(df)
     bc = spark.sparkContext.broadcast(arrays)
     norm = float(c_factor(np.array([psi]))[0]) or 1.0
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])

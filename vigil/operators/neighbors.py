@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from vigil.functions.columns import erf
 from vigil.operators.positions import DEFAULT_BLOCK_ROWS, row_index, with_halo
-from vigil.session import attach_scalars, join_measured
+from vigil.session import attach_scalars, materialize
 
 # ---------------------------------------------------------------- 1-D (F2)
 
@@ -32,22 +32,23 @@ def knn_1d_candidates(df: DataFrame, keys: list[str], value: str, rid: str, k: i
                       block: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Per row: sorted array of the k nearest others as struct(d, dp, np, nid).
 
-    Ties in distance are broken by position gap ``dp`` then position ``np``
-    in (value, rid) order, which keeps the chosen set inside +-k positions.
+    One sliding frame of +-k rows (in value order) gives the candidates;
+    ties in distance are broken by position gap ``dp`` then position ``np``,
+    which keeps the chosen set inside +-k positions.
     """
     keys = list(keys)
     base = df.select(*keys, rid, value).filter(F.col(value).isNotNull())
     pos = row_index(base, keys, [value, rid], "__vp")
     h = with_halo(pos, "__vp", block, k, k)
-    w = Window.partitionBy(*keys, "_blk").orderBy("__vp")
-    v = F.col(value)
-    cands = []
-    for i in range(1, k + 1):
-        for fn in (F.lag, F.lead):
-            cands.append(F.struct(F.abs(v - fn(value, i).over(w)).alias("d"), F.lit(i).alias("dp"),
-                                  fn("__vp", i).over(w).alias("np"), fn(rid, i).over(w).alias("nid")))
-    arr = F.slice(F.array_sort(F.filter(F.array(*cands), lambda x: x["d"].isNotNull())), 1, k)
-    out = h.withColumn("nbrs", arr).filter(F.col("_home"))
+    w = Window.partitionBy(*keys, "_blk").orderBy("__vp").rowsBetween(-k, k)
+    h = h.withColumn("__win", F.collect_list(F.struct(F.col("__vp").alias("p"), F.col(rid).alias("i"),
+                                                      F.col(value).alias("v"))).over(w)).filter(F.col("_home"))
+    me_p, me_v = F.col("__vp"), F.col(value)
+    others = F.filter("__win", lambda x: x["p"] != me_p)
+    cand = F.transform(others, lambda x: F.struct(F.abs(x["v"] - me_v).alias("d"),
+                                                  F.abs(x["p"] - me_p).alias("dp"),
+                                                  x["p"].alias("np"), x["i"].alias("nid")))
+    out = h.withColumn("nbrs", F.slice(F.array_sort(cand), 1, k))
     return out.select(*keys, rid, value, F.col("__vp").alias("value_pos"), "nbrs")
 
 
@@ -171,14 +172,26 @@ def loop_from_edges(edges: DataFrame, keys: list[str], rid: str = "rid", extent:
     plof  = pdist / mean(pdist of the neighbours) - 1 (a zero mean counts as 1e-8);
     nplof = extent * sqrt(mean plof^2) over the series;
     LoOP  = max(0, erf(plof / (nplof * sqrt 2))), 0 when nplof = 0.
+    The edge table feeds two branches, so it is written once first.
     """
     keys = list(keys)
+    lists = edges.groupBy(*keys, rid).agg(F.collect_list(F.struct(F.col("d").alias("d"),
+                                                                  F.col("nid").alias("nid"))).alias("nbrs"))
+    return loop_from_lists(lists, keys, rid, extent, out)
+
+
+def loop_from_lists(lists: DataFrame, keys: list[str], rid: str = "rid", extent: int = 3,
+                    out: str = "score") -> DataFrame:
+    """LoOP from per-row neighbour arrays ``nbrs`` (struct d, nid), k per row."""
+    keys = list(keys)
     ext = F.lit(float(extent))
-    pdist = edges.groupBy(*keys, rid).agg((ext * F.sqrt(F.avg(F.col("d") * F.col("d")))).alias("pdist"))
-    nb = edges.select(*keys, rid, "nid").join(
-        pdist.withColumnsRenamed({rid: "nid", "pdist": "__npd"}), keys + ["nid"])
+    msq = F.aggregate("nbrs", F.lit(0.0), lambda a, x: a + x["d"] * x["d"]) / F.size("nbrs")
+    pd_ = lists.select(*keys, rid, "nbrs", (ext * F.sqrt(msq)).alias("pdist"))
+    pd_ = materialize(pd_, "loop-pdist")
+    nb = pd_.select(*keys, rid, F.explode(F.col("nbrs")["nid"]).alias("nid"))
+    nb = nb.join(pd_.select(*keys, F.col(rid).alias("nid"), F.col("pdist").alias("__npd")), keys + ["nid"])
     ev = nb.groupBy(*keys, rid).agg(F.avg("__npd").alias("__ev"))
-    pl = pdist.join(ev, keys + [rid])
+    pl = pd_.select(*keys, rid, "pdist").join(ev, keys + [rid])
     denom = F.when(F.col("__ev") == 0, F.lit(1e-8)).otherwise(F.col("__ev"))
     pl = pl.withColumn("plof", F.col("pdist") / denom - F.lit(1.0))
     g = pl.groupBy(*keys) if keys else pl
@@ -190,7 +203,10 @@ def loop_from_edges(edges: DataFrame, keys: list[str], rid: str = "rid", extent:
 
 
 def loop_1d(df, keys, value, rid, k=20, extent=3, block=DEFAULT_BLOCK_ROWS, out="score"):
-    return loop_from_edges(edges_1d(df, keys, value, rid, k, block), keys, rid, extent, out)
+    c = knn_1d_candidates(df, keys, value, rid, k, block)
+    lists = c.select(*keys, rid, F.transform("nbrs", lambda x: F.struct(x["d"].alias("d"),
+                                                                       x["nid"].alias("nid"))).alias("nbrs"))
+    return loop_from_lists(lists, keys, rid, extent, out)
 
 
 def loop_vec(df, keys, rid, vec, k=20, extent=3, block_rows=4096, out="score"):

@@ -19,12 +19,13 @@ from vigil.sources import catalog as C
 from vigil.sources import files as FS
 
 EV, EVU = O.EVENTS, O.EVENTS_BY_USER
-KEYS = ["series_id"]
+UK = ["series_id"]   # one series per user
+GK: list = []         # one long series: no series key (stats attach as scalar subqueries)
 
 
 def positioned(spark, sf_dir, name="events"):
     df, _ = C.dataset(spark, sf_dir, name)
-    return P.row_index(df, KEYS, ["ts", "rid"])
+    return P.row_index(df, (UK if name.endswith("_by_user") else GK), ["ts", "rid"])
 
 
 def _summary(w, by=True):
@@ -48,17 +49,17 @@ def _win_sql(src, w, p, by="series_id"):
 
 @query("e1_sliding_windows_by_user", _win_sql(EVU, 30, 1))
 def e1_sliding_windows_by_user(spark, sf_dir):
-    return _summary(W.sliding_windows(positioned(spark, sf_dir, "events_by_user"), KEYS, ["value"], 30, 1))
+    return _summary(W.sliding_windows(positioned(spark, sf_dir, "events_by_user"), UK, ["value"], 30, 1))
 
 
-@query("e1_sliding_windows_global", _win_sql(EV, 45, 1))
+@query("e1_sliding_windows_global", _win_sql(EV, 45, 1, by=""))
 def e1_sliding_windows_global(spark, sf_dir):
-    return _summary(W.sliding_windows(positioned(spark, sf_dir), KEYS, ["value"], 45, 1))
+    return _summary(W.sliding_windows(positioned(spark, sf_dir), GK, ["value"], 45, 1), by=False)
 
 
-@query("e2_sequences_with_next", _win_sql(EV, 24, 1))
+@query("e2_sequences_with_next", _win_sql(EV, 24, 1, by=""))
 def e2_sequences_with_next(spark, sf_dir):
-    return _summary(W.sequences_with_next(positioned(spark, sf_dir), KEYS, "value", 24))
+    return _summary(W.sequences_with_next(positioned(spark, sf_dir), GK, "value", 24), by=False)
 
 
 _LI_ORDER = ", ".join(C.LINE_ORDER)
@@ -71,8 +72,8 @@ SELECT row_idx AS win_start, count(*) OVER w AS n_window, sum(l_quantity) OVER w
 FROM {_LI_POS} WINDOW w AS (ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)) WHERE nxt IS NOT NULL""")
 def e3_sequences(spark, sf_dir):
     df, spec = C.dataset(spark, sf_dir, "lineitem")
-    p = P.row_index(df, KEYS, list(spec.order))
-    w = W.sequences(p, KEYS, list(spec.values), 30)
+    p = P.row_index(df, GK, list(spec.order))
+    w = W.sequences(p, GK, list(spec.values), 30)
     return finish(w.select("win_start", F.size("window").alias("n_window"),
                            F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0]).alias("qty_sum"),
                            F.element_at("window", -1)[3].alias("tax_last")))
@@ -83,7 +84,7 @@ SELECT series_id, row_idx, lag(value, 5) OVER w AS l5, lag(value, 4) OVER w AS l
        lag(value, 2) OVER w AS l2, lag(value, 1) OVER w AS l1
 FROM {O.with_pos(EVU)} WINDOW w AS (PARTITION BY series_id ORDER BY row_idx)) WHERE l5 IS NOT NULL""")
 def e4_lag_features(spark, sf_dir):
-    lf = W.lag_features(positioned(spark, sf_dir, "events_by_user"), KEYS, ["value"], 5)
+    lf = W.lag_features(positioned(spark, sf_dir, "events_by_user"), UK, ["value"], 5)
     return finish(lf.select("series_id", "row_idx", F.col("features")[0].alias("first_lag"),
                             F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("lag_sum")))
 
@@ -92,9 +93,8 @@ _WMEAN = f"(SELECT win_start, window_sum / 45.0 AS score FROM {O.windows(EV, 45,
 
 
 def _window_means(p):
-    w = W.sliding_windows(p, KEYS, ["value"], 45, 1)
-    return w.select("series_id", "win_start",
-                    (F.aggregate("window", F.lit(0.0), lambda a, x: a + x) / F.lit(45.0)).alias("score"))
+    w = W.sliding_windows(p, GK, ["value"], 45, 1)
+    return w.select("win_start", (F.aggregate("window", F.lit(0.0), lambda a, x: a + x) / F.lit(45.0)).alias("score"))
 
 
 @query("e5_reverse_windowing", f"""SELECT row_idx, round(avg(score) OVER (ORDER BY row_idx ROWS BETWEEN 45 PRECEDING
@@ -102,14 +102,14 @@ AND CURRENT ROW), 6) AS score FROM (SELECT r.row_idx, ws.score FROM {O.with_pos(
 LEFT JOIN {_WMEAN} ws ON ws.win_start = r.row_idx)""")
 def e5_reverse_windowing(spark, sf_dir):
     p = positioned(spark, sf_dir)
-    return finish(W.reverse_windowing(p, _window_means(p), KEYS, 46).select("row_idx", "score"))
+    return finish(W.reverse_windowing(p, _window_means(p), GK, 46).select("row_idx", "score"))
 
 
 @query("e6_align_window_score", f"""SELECT r.rid, r.row_idx, {r6('ws.score', 'score')} FROM {O.with_pos(EV)} r
 JOIN {_WMEAN} ws ON r.row_idx = ws.win_start + 45""")
 def e6_align_window_score(spark, sf_dir):
     p = positioned(spark, sf_dir)
-    return finish(W.align_window_score(p.select("series_id", "rid", "row_idx"), _window_means(p), KEYS, 45)
+    return finish(W.align_window_score(p.select("series_id", "rid", "row_idx"), _window_means(p), GK, 45)
                   .select("rid", "row_idx", "score"))
 
 
@@ -120,7 +120,7 @@ def e6_align_window_score(spark, sf_dir):
        "QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d DESC, nid DESC) = 1")
 def f1_knn_multid(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
-    return finish(NB.knn_score(df, KEYS, "rid", "vec", 11, block_rows=256).select("rid", "score"))
+    return finish(NB.knn_score(df, GK, "rid", "vec", 11, block_rows=256).select("rid", "score"))
 
 
 @query("f1_knn_multid_manhattan", f"SELECT rid, {r6('d', 'score')} FROM "
@@ -128,27 +128,27 @@ def f1_knn_multid(spark, sf_dir):
        "QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d DESC, nid DESC) = 1")
 def f1_knn_multid_manhattan(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
-    return finish(NB.knn_score(df, KEYS, "rid", "vec", 5, p=1.0, block_rows=256).select("rid", "score"))
+    return finish(NB.knn_score(df, GK, "rid", "vec", 5, p=1.0, block_rows=256).select("rid", "score"))
 
 
 @query("f4_loop_by_user", f"SELECT series_id, rid, {r6('score', 'score')} FROM "
        f"{O.loop_from_edges(O.edges_1d(EVU, 20))}")
 def f4_loop_by_user(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    return finish(NB.loop_1d(df, KEYS, "value", "rid", k=20))
+    return finish(NB.loop_1d(df, UK, "value", "rid", k=20))
 
 
-@query("f4_loop_multid", f"SELECT series_id, rid, {r6('score', 'score')} FROM "
+@query("f4_loop_multid", f"SELECT rid, {r6('score', 'score')} FROM "
        f"{O.loop_from_edges(O.edges_vec(O.EMBEDDINGS, O.EMBEDDINGS, 20))}")
 def f4_loop_multid(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
-    return finish(NB.loop_vec(df, KEYS, "rid", "vec", k=20, block_rows=256))
+    return finish(NB.loop_vec(df, GK, "rid", "vec", k=20, block_rows=256))
 
 
 def _fold_split(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
-    p = P.row_index(df, KEYS, ["rid"])
-    return S.kfold(p, KEYS, 5)
+    p = P.row_index(df, GK, ["rid"])
+    return S.kfold(p, GK, 5)
 
 
 _EMB_FOLDS = (f"SELECT *, {O.kfold_expr('row_idx', 'count(*) OVER ()', 5)} AS fold FROM "
@@ -170,7 +170,7 @@ def _ranked_edges_sql(q, r, k, p=2):
 def f19_knn_classify(spark, sf_dir):
     d = _fold_split(spark, sf_dir)
     test, train = d.filter(F.col("fold") == 0), d.filter(F.col("fold") != 0)
-    pred = NB.knn_classify(train, test, KEYS, "rid", "vec", "class_label", 5, block_rows=256)
+    pred = NB.knn_classify(train, test, GK, "rid", "vec", "class_label", 5, block_rows=256)
     return pred.select("rid", "pred")
 
 
@@ -201,8 +201,8 @@ def f6_iforest_score(spark, sf_dir):
  (SELECT series_id, quantile_cont(score, 0.95) AS th FROM {O.knn_1d(EVU, 5)} GROUP BY series_id) t USING (series_id))""")
 def f7_contamination_label(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    s = NB.knn_score_1d(df, KEYS, "value", "rid", 5)
-    return FL.contamination_label(s, KEYS, "score", 0.05).select("series_id", "rid", "flag")
+    s = NB.knn_score_1d(df, UK, "value", "rid", 5)
+    return FL.contamination_label(s, UK, "score", 0.05).select("series_id", "rid", "flag")
 
 
 @query("a11_model_roundtrip")
@@ -223,8 +223,8 @@ def a11_model_roundtrip(spark, sf_dir):
 def f8_forecast_fit(spark, sf_dir):
     """Rows-only: Huber linear forecaster on 10 lags, trained on the first 75 % of the series."""
     p = positioned(spark, sf_dir, "events_collective")
-    train = S.split_fraction(p, KEYS, 0.75).filter("is_train = 1")
-    m = FC.forecast_fit(train, KEYS, ["value"], 10)["value"]
+    train = S.split_fraction(p, GK, 0.75).filter("is_train = 1")
+    m = FC.forecast_fit(train, GK, ["value"], 10)["value"]
     rows = [(i, float(c)) for i, c in enumerate(m.coefficients.toArray())] + [(-1, float(m.intercept))]
     return spark.createDataFrame(rows, "lag_index int, coefficient double")
 
@@ -233,17 +233,17 @@ def f8_forecast_fit(spark, sf_dir):
 def f9_forecast_predict(spark, sf_dir):
     """Rows-only: predictions and F10 errors for every row with 10 predecessors."""
     p = positioned(spark, sf_dir, "events_collective")
-    train = S.split_fraction(p, KEYS, 0.75).filter("is_train = 1")
-    models = FC.forecast_fit(train, KEYS, ["value"], 10)
-    pred = FC.forecast_predict(p, models, KEYS, ["value"], 10)
-    return FC.forecast_error(pred, ["value"]).select("series_id", "row_idx", "value__pred", "error")
+    train = S.split_fraction(p, GK, 0.75).filter("is_train = 1")
+    models = FC.forecast_fit(train, GK, ["value"], 10)
+    pred = FC.forecast_predict(p, models, GK, ["value"], 10)
+    return FC.forecast_error(pred, ["value"]).select("row_idx", "value__pred", "error")
 
 
 @query("f10_forecast_error", f"""SELECT win_start, {r6('abs(t - l)', 'error')} FROM (SELECT row_idx AS win_start,
 lead(value, 9) OVER (ORDER BY row_idx) AS l, lead(value, 10) OVER (ORDER BY row_idx) AS t FROM {O.with_pos(EV)})
 WHERE t IS NOT NULL""")
 def f10_forecast_error(spark, sf_dir):
-    w = W.sliding_windows(positioned(spark, sf_dir), KEYS, ["value"], 10, 1)
+    w = W.sliding_windows(positioned(spark, sf_dir), GK, ["value"], 10, 1)
     return finish(FC.window_forecast_error(w, "last").select("win_start", "error"))
 
 
@@ -262,8 +262,8 @@ F11 = f11_sql(O.EVENTS_COLLECTIVE)
 
 def f11_scores(spark, sf_dir):
     p = positioned(spark, sf_dir, "events_collective")
-    s = FC.forecast_baseline_score(p, KEYS, "value", 45, 1)
-    return materialize(p.select("series_id", "row_idx", "is_anomaly").join(s, KEYS + ["row_idx"]), "f11-scored")
+    s = FC.forecast_baseline_score(p, GK, "value", 45, 1)
+    return materialize(p.select("series_id", "row_idx", "is_anomaly").join(s, GK + ["row_idx"]), "f11-scored")
 
 
 @query("f11_forecast_baseline_score", f"SELECT row_idx, {r6('score', 'score')} FROM {F11}")
@@ -273,7 +273,7 @@ def f11_forecast_baseline_score(spark, sf_dir):
 
 def _pca(spark, sf_dir):
     p = positioned(spark, sf_dir)
-    w = W.sequences_with_next(p, KEYS, "value", 24)
+    w = W.sequences_with_next(p, GK, "value", 24)
     w = RC.flatten_window(w)
     train = w.filter(F.col("win_start") < 4000)
     model = RC.reconstruct_fit(train, rank=4)
@@ -293,7 +293,7 @@ def f13_reconstruct_predict(spark, sf_dir):
     """Rows-only: rebuilt windows and their F15 error for every window."""
     w, m = _pca(spark, sf_dir)
     r = RC.reconstruct_predict(w, m)
-    return RC.window_mae(r).select("series_id", "win_start", "mae")
+    return RC.window_mae(r).select("win_start", "mae")
 
 
 def _band_mae_sql(src, w, col, order="ts, rid"):
@@ -312,7 +312,7 @@ def _mean_recon(w, col="flat", out="recon"):
 
 @query("f15_window_mae", f"SELECT win_start, {r6('mae', 'mae')} FROM {_band_mae_sql(EV, 30, 'value')}")
 def f15_window_mae(spark, sf_dir):
-    w = RC.flatten_window(W.sequences_with_next(positioned(spark, sf_dir), KEYS, "value", 30))
+    w = RC.flatten_window(W.sequences_with_next(positioned(spark, sf_dir), GK, "value", 30))
     return finish(RC.window_mae(_mean_recon(w)).select("win_start", "mae"))
 
 
@@ -324,8 +324,8 @@ _F14_PARTS = [f"{_band_mae_sql(O.LINEITEM, 10, c, _LI_ORDER)} c{i}" for i, c in
     f" JOIN {p} USING (win_start)" for p in _F14_PARTS[1:]))
 def f14_window_mae_channel(spark, sf_dir):
     df, spec = C.dataset(spark, sf_dir, "lineitem")
-    p = P.row_index(df, KEYS, list(spec.order))
-    w = W.sequences(p, KEYS, list(spec.values), 10)
+    p = P.row_index(df, GK, list(spec.order))
+    w = W.sequences(p, GK, list(spec.values), 10)
     n = F.size("window")
     means = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.aggregate(
         "window", F.lit(0.0), lambda a, x: a + x[c]) / n)
@@ -341,9 +341,9 @@ def f16_flag_threshold(spark, sf_dir):
 
 def loop_user_scored(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    s = NB.loop_1d(df, KEYS, "value", "rid", k=20)
-    scored = materialize(df.select("series_id", "rid", "is_anomaly").join(s, KEYS + ["rid"]), "loop-scored")
-    return FL.flag_share(scored, KEYS, "score")
+    s = NB.loop_1d(df, UK, "value", "rid", k=20)
+    scored = materialize(df.select("series_id", "rid", "is_anomaly").join(s, UK + ["rid"]), "loop-scored")
+    return FL.flag_share(scored, UK, "score")
 
 
 LOOP_USER_FLAGS = f"""(SELECT l.series_id, l.rid, s.is_anomaly, l.score,
@@ -361,5 +361,5 @@ def f17_flag_share(spark, sf_dir):
 @query("f18_flag_percentile", f"SELECT series_id, rid, flag FROM {O.percentile_flag(O.knn_1d(EVU, 5)[1:-1], 98.0)}")
 def f18_flag_percentile(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    s = NB.knn_score_1d(df, KEYS, "value", "rid", 5)
-    return FL.flag_percentile(s, KEYS, "score", 98.0).select("series_id", "rid", "flag")
+    s = NB.knn_score_1d(df, UK, "value", "rid", 5)
+    return FL.flag_percentile(s, UK, "score", 98.0).select("series_id", "rid", "flag")

@@ -18,7 +18,8 @@ from vigil.sources import board as BD
 from vigil.sources import catalog as C
 
 EV, EVU = O.EVENTS, O.EVENTS_BY_USER
-KEYS = ["series_id"]
+UK = ["series_id"]
+GK: list = []
 
 
 def dbl(x: float) -> str:
@@ -139,8 +140,8 @@ G10_SQL = _sweep_sql(KNN_GLOBAL, 0.001, False, f"({_BEST9} - {dbl(0.05)})",
 
 def knn_global(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events")
-    s = NB.knn_score_1d(df, KEYS, "value", "rid", 1)
-    return materialize(df.select("series_id", "rid", "is_anomaly").join(s, KEYS + ["rid"]), "knn-global")
+    s = NB.knn_score_1d(df, GK, "value", "rid", 1)
+    return materialize(df.select("series_id", "rid", "is_anomaly").join(s, GK + ["rid"]), "knn-global")
 
 
 def _g9(spark, sf_dir):
@@ -183,7 +184,7 @@ def g12_combined_metric(spark, sf_dir):
 @query("g13_label_agreement", f"""SELECT series_id, rid, CASE WHEN flag = 1 THEN 'flagged_not_labelled'
 ELSE 'labelled_not_flagged' END AS disagreement FROM {KNN_FLAGS} WHERE flag <> is_anomaly""")
 def g13_label_agreement(spark, sf_dir):
-    return G.label_agreement(knn_flags(spark, sf_dir), keys=KEYS)
+    return G.label_agreement(knn_flags(spark, sf_dir), keys=UK)
 
 
 def _f19_sql():
@@ -217,7 +218,7 @@ SELECT r.bin, round(mn + (mx - mn) * CAST(r.bin AS DOUBLE) / {dbl(30.0)}, 6) AS
 FROM b, (SELECT range AS bin FROM range(0, 30)) r LEFT JOIN c ON c.bin = r.bin""")
 def g16_score_histogram(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    return finish(G.score_histogram(NB.knn_score_1d(df, KEYS, "value", "rid", 5), [], "score", 30))
+    return finish(G.score_histogram(NB.knn_score_1d(df, UK, "value", "rid", 5), [], "score", 30))
 
 
 # ---------------------------------------------------------------- boards
@@ -286,8 +287,8 @@ GRID_F1 = f"(SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (
 
 def knn_grid(spark, sf_dir, ks=KS, qs=QS):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    cands = NB.knn_1d_candidates(df, KEYS, "value", "rid", max(ks))
-    g = H.knn_grid_f1(cands, df, KEYS, "rid", ks, qs)
+    cands = NB.knn_1d_candidates(df, UK, "value", "rid", max(ks))
+    g = H.knn_grid_f1(cands, df, UK, "rid", ks, qs)
     return g.withColumn("k", F.col("k").cast("bigint"))
 
 

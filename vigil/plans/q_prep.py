@@ -54,8 +54,8 @@ FROM {O.with_pos(EV)} p JOIN {O.knn_1d_band(EV, 1)} k USING (series_id, rid)"""
 def a5_write_read_scores(spark, sf_dir):
     """A5 then A4: keyed kNN scores written as CSV and read back with a schema."""
     df, _ = C.dataset(spark, sf_dir, "events")
-    pos = P.row_index(df.select("series_id", "rid", "ts"), ["series_id"], ["ts", "rid"])
-    sc = J.knn_scores(df, ["series_id"], 1).join(pos, ["series_id", "rid"])
+    pos = P.row_index(df.select("series_id", "rid", "ts"), [], ["ts", "rid"])
+    sc = J.knn_scores(df, [], 1).join(pos, "rid")
     path = output_dir(spark, "a5-scores")
     FS.write_scores(finish(sc.select("series_id", "row_idx", "score")), path)
     return FS.read_scores(spark, path)
@@ -210,7 +210,7 @@ def b11_features_labels(spark, sf_dir):
 
 def _events_pos(spark, sf_dir, name="events"):
     df, _ = C.dataset(spark, sf_dir, name)
-    return P.row_index(df, ["series_id"], ["ts", "rid"])
+    return P.row_index(df, ["series_id"] if name.endswith("_by_user") else [], ["ts", "rid"])
 
 
 @query("b13_head_rows", f"SELECT rid, row_idx FROM {O.with_pos(EV)} WHERE row_idx < 5000")
@@ -257,7 +257,7 @@ def c4_split_tail_validation(spark, sf_dir):
 @query("c5_kfold", f"""SELECT rid, {O.kfold_expr('row_idx', 'count(*) OVER ()', 5)} AS fold
 FROM {O.with_pos(EV)}""")
 def c5_kfold(spark, sf_dir):
-    return S.kfold(_events_pos(spark, sf_dir), ["series_id"], 5).select("rid", "fold")
+    return S.kfold(_events_pos(spark, sf_dir), [], 5).select("rid", "fold")
 
 
 # ------------------------------------------------------------------ D

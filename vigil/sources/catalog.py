@@ -22,8 +22,11 @@ LINE_PLANT_SHIFT = 100.0    # planted lineitem quantity = l_quantity + 100
 INTERVAL = ("2024-01-10 00:00:00", "2024-01-10 12:00:00")
 COLLECTIVE_PERIOD, COLLECTIVE_LO, COLLECTIVE_HI, COLLECTIVE_VALUE = 2000, 1000, 1059, 250.0
 
-UNIVARIATE = SeriesSpec()
-MULTIVARIATE = SeriesSpec(order=("rid",), values=("vec",))
+# One long series has no series key: every per-series statistic then attaches
+# as a scalar subquery instead of a join on a constant column.
+UNIVARIATE = SeriesSpec(keys=())
+BY_USER = SeriesSpec(keys=("series_id",))
+MULTIVARIATE = SeriesSpec(keys=(), order=("rid",), values=("vec",))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,13 +104,13 @@ def labelled_documents(spark, sf_dir, label: str = "toxic") -> DataFrame:
 
 CATALOG = {
     "events": (events_planted, UNIVARIATE),
-    "events_by_user": (lambda s, d: events_planted(s, d, by_user=True), UNIVARIATE),
+    "events_by_user": (lambda s, d: events_planted(s, d, by_user=True), BY_USER),
     "events_weak": (events_weak, UNIVARIATE),
     "events_interval": (events_interval, UNIVARIATE),
     "events_collective": (events_collective, UNIVARIATE),
     "embeddings": (embeddings, MULTIVARIATE),
     # (l_orderkey, l_linenumber) repeats in the data; part and supplier keys break the tie
-    "lineitem": (lineitem_planted, SeriesSpec(order=LINE_ORDER, values=LINE_CHANNELS)),
+    "lineitem": (lineitem_planted, SeriesSpec(keys=(), order=LINE_ORDER, values=LINE_CHANNELS)),
 }
 
 
