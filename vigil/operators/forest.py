@@ -178,7 +178,8 @@ def iforest_score(df: DataFrame, nodes: DataFrame, psi: int, features: list[str]
     """
     spark = df.sparkSession
     arrays = _model_arrays(nodes.toPandas())
-    df = spread(df)
+    if not df.isStreaming:
+        df = spread(df)
     bc = spark.sparkContext.broadcast(arrays)
     norm = float(c_factor(np.array([psi]))[0]) or 1.0
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
