@@ -53,9 +53,9 @@ def percentile_flag(src: str, q: float, score: str = "score") -> str:
 
 
 def f1_sql(src: str, label: str = "is_anomaly", flag: str = "flag") -> str:
-    tp = f"count_if({label} = 1 AND {flag} = 1)"
-    fp = f"count_if({label} = 0 AND {flag} = 1)"
-    fn = f"count_if({label} = 1 AND {flag} = 0)"
+    tp = f"CAST(count_if({label} = 1 AND {flag} = 1) AS BIGINT)"
+    fp = f"CAST(count_if({label} = 0 AND {flag} = 1) AS BIGINT)"
+    fn = f"CAST(count_if({label} = 1 AND {flag} = 0) AS BIGINT)"
     return (f"(SELECT CASE WHEN 2*{tp}+{fp}+{fn} = 0 THEN 0.0 ELSE 2.0*{tp} / (2*{tp}+{fp}+{fn}) END "
             f"FROM ({src}))")
 
@@ -147,7 +147,7 @@ def windows(src: str, w: int, p: int, by: str = "series_id") -> str:
     frame = f"OVER ({part} ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)"
     tgt = f"lead(value, {w}) OVER ({part} ORDER BY row_idx)"
     full = f"lead(value, {w + p - 1}) OVER ({part} ORDER BY row_idx)"
-    return f"""(SELECT {by + ', ' if by else ''}row_idx AS win_start, count(*) {frame} AS n_window,
+    return f"""(SELECT {by + ', ' if by else ''}row_idx AS win_start, CAST(count(*) {frame} AS INTEGER) AS n_window,
                sum(value) {frame} AS window_sum, value AS window_first,
                lead(value, {w - 1}) OVER ({part} ORDER BY row_idx) AS window_last,
                {tgt} AS target, {full} AS full_marker FROM {with_pos(src, by)})"""

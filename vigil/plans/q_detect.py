@@ -67,7 +67,7 @@ _LI_POS = O.with_pos(O.LINEITEM, order=_LI_ORDER)
 
 
 @query("e3_sequences", f"""SELECT win_start, n_window, {r6('qty_sum', 'qty_sum')}, {r6('tax_last', 'tax_last')} FROM (
-SELECT row_idx AS win_start, count(*) OVER w AS n_window, sum(l_quantity) OVER w AS qty_sum,
+SELECT row_idx AS win_start, CAST(count(*) OVER w AS INTEGER) AS n_window, sum(l_quantity) OVER w AS qty_sum,
        lead(l_tax, 29) OVER (ORDER BY row_idx) AS tax_last, lead(l_tax, 30) OVER (ORDER BY row_idx) AS nxt
 FROM {_LI_POS} WINDOW w AS (ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)) WHERE nxt IS NOT NULL""")
 def e3_sequences(spark, sf_dir):

@@ -37,8 +37,8 @@ def knn_flags(spark, sf_dir):
 
 
 def _conf_sql(src):
-    return f"""SELECT count_if(is_anomaly = 1 AND flag = 1) AS tp, count_if(is_anomaly = 0 AND flag = 1) AS fp,
-    count_if(is_anomaly = 1 AND flag = 0) AS fn, count_if(is_anomaly = 0 AND flag = 0) AS tn FROM {src}"""
+    return f"""SELECT CAST(count_if(is_anomaly = 1 AND flag = 1) AS BIGINT) AS tp, CAST(count_if(is_anomaly = 0 AND flag = 1) AS BIGINT) AS fp,
+    CAST(count_if(is_anomaly = 1 AND flag = 0) AS BIGINT) AS fn, CAST(count_if(is_anomaly = 0 AND flag = 0) AS BIGINT) AS tn FROM {src}"""
 
 
 @query("g1_confusion", _conf_sql(KNN_FLAGS))
@@ -102,9 +102,9 @@ def _sweep_sql(src, step, inclusive, start, count, last=None):
     return f"""(WITH s AS (SELECT * FROM {src}), b AS (SELECT min(score) AS mn, max(score) AS mx FROM s),
     g AS (SELECT j, {t} AS t FROM b, range(0, CAST({count} AS BIGINT)) r(j))
     SELECT j, t, tp, fp, fn, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1
-    FROM (SELECT g.j, g.t, count_if(s.score {op} g.t AND s.is_anomaly = 1) AS tp,
-                 count_if(s.score {op} g.t AND s.is_anomaly = 0) AS fp,
-                 count_if(NOT (s.score {op} g.t) AND s.is_anomaly = 1) AS fn
+    FROM (SELECT g.j, g.t, CAST(count_if(s.score {op} g.t AND s.is_anomaly = 1) AS BIGINT) AS tp,
+                 CAST(count_if(s.score {op} g.t AND s.is_anomaly = 0) AS BIGINT) AS fp,
+                 CAST(count_if(NOT (s.score {op} g.t) AND s.is_anomaly = 1) AS BIGINT) AS fn
           FROM g, s GROUP BY g.j, g.t))"""
 
 
@@ -256,7 +256,7 @@ def g17_leaderboard_long(spark, sf_dir):
 
 
 @query("g18_leaderboard_rank", f"""SELECT dataset, detector, {r6('f1', 'f1')}, {r6('auroc', 'auroc')},
-rank() OVER (PARTITION BY dataset ORDER BY f1 DESC NULLS LAST) AS rank FROM {BOARDS}""")
+CAST(rank() OVER (PARTITION BY dataset ORDER BY f1 DESC NULLS LAST) AS INTEGER) AS rank FROM {BOARDS}""")
 def g18_leaderboard_rank(spark, sf_dir):
     return finish(G.leaderboard_rank(boards(spark, sf_dir)))
 
@@ -277,8 +277,8 @@ def _grid_sql():
     th AS (SELECT series_id, k, {th} FROM sc GROUP BY series_id, k),
     fl AS (SELECT sc.k, g.q, sc.is_anomaly, CASE WHEN sc.score > {pick} THEN 1 ELSE 0 END AS flag
            FROM sc JOIN th USING (series_id, k), (SELECT unnest(CAST({[float(q) for q in QS]} AS DOUBLE[])) AS q) g)
-    SELECT k, q, count_if(is_anomaly = 1 AND flag = 1) AS tp, count_if(is_anomaly = 0 AND flag = 1) AS fp,
-           count_if(is_anomaly = 1 AND flag = 0) AS fn FROM fl GROUP BY k, q)"""
+    SELECT k, q, CAST(count_if(is_anomaly = 1 AND flag = 1) AS BIGINT) AS tp, CAST(count_if(is_anomaly = 0 AND flag = 1) AS BIGINT) AS fp,
+           CAST(count_if(is_anomaly = 1 AND flag = 0) AS BIGINT) AS fn FROM fl GROUP BY k, q)"""
 
 
 GRID = _grid_sql()

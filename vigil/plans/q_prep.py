@@ -357,8 +357,8 @@ def d11_standardised_error(spark, sf_dir):
     return finish(D.standardised_error(df.select("series_id", "rid", "value"), ["series_id"], "value"))
 
 
-@query("d12_row_and_label_counts", f"""SELECT series_id, count(*) AS n_rows, count_if(is_anomaly = 1) AS n_anomalies,
-count_if(value > 400.0) AS n_flagged FROM ({EVU}) GROUP BY series_id""")
+@query("d12_row_and_label_counts", f"""SELECT series_id, count(*) AS n_rows, CAST(count_if(is_anomaly = 1) AS BIGINT) AS n_anomalies,
+CAST(count_if(value > 400.0) AS BIGINT) AS n_flagged FROM ({EVU}) GROUP BY series_id""")
 def d12_row_and_label_counts(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
     d = df.withColumn("flag", (F.col("value") > 400.0).cast("int"))
