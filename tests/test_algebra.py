@@ -102,3 +102,20 @@ def test_sweep_matches_brute_force(spark):
         t = mn + j * 0.01
         assert tp == sum(1 for r in rows if r["score"] >= t and r["is_anomaly"] == 1)
         assert fp == sum(1 for r in rows if r["score"] >= t and r["is_anomaly"] == 0)
+
+
+def test_wide_exact_knn_matches_numpy_brute_force(spark):
+    import numpy as np
+
+    from vigil.plans.q_detect import wide_knn
+    got = {r["row_idx"]: r["score"] for r in wide_knn(spark, SF_SMALL, k=11, block_rows=1500).collect()}
+    df, spec = C.dataset(spark, SF_SMALL, "lineitem")
+    pdf = df.select(*spec.order, *spec.values).toPandas().sort_values(list(spec.order), kind="stable")
+    x = pdf[list(spec.values)].to_numpy(float)
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    sq = (x * x).sum(1)
+    d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, 10]
+    assert len(got) == len(want)
+    assert max(abs(got[i] - want[i]) for i in range(len(want))) < 1e-6

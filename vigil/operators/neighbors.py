@@ -86,7 +86,21 @@ def _minkowski(q: np.ndarray, r: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
+def _exact_topk_pairs(q, r, qi, ri, k):
+    """Exact Euclidean distances of the candidate pairs (qi[j], ri[j])."""
+    diff = q[qi] - r[ri]
+    d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return d
+
+
 def _block_topk(k: int, p: float, exclude_self: bool, key_names: list[str]):
+    """Per (query block, reference block): the k nearest references of each query row.
+
+    p = 2: squared distances from one matrix product give a shortlist — every
+    reference within a relative 1e-9 of the k-th smallest — and exact
+    distances are recomputed for the shortlist only, so the result (ties
+    broken by neighbour id) is exact.  Other p: exact distances in chunks.
+    """
     def fn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         cols = key_names + ["rid", "nid", "d"]
         if qpdf.empty or rpdf.empty:
@@ -95,17 +109,35 @@ def _block_topk(k: int, p: float, exclude_self: bool, key_names: list[str]):
         r = np.stack(rpdf["vec"].to_numpy()).astype(float)
         qid = qpdf["rid"].to_numpy()
         rid = rpdf["rid"].to_numpy()
-        d = _minkowski(q, r, p)
-        if exclude_self:
-            d[qid[:, None] == rid[None, :]] = np.inf
         kk = min(k, r.shape[0])
-        # order by (d, nid): lexsort over the candidate columns of each row
-        order = np.lexsort((np.broadcast_to(rid, d.shape), d), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(q.shape[0]), kk)
-        sel_d = np.take_along_axis(d, order, axis=1).ravel()
-        sel_n = rid[order.ravel()]
-        res = pd.DataFrame({"rid": qid[rows], "nid": sel_n, "d": sel_d})
-        res = res[np.isfinite(res["d"].to_numpy())]
+        if p == 2:
+            approx = (np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", r, r)[None, :]
+                      - 2.0 * (q @ r.T))
+            np.maximum(approx, 0.0, out=approx)
+            if exclude_self:
+                approx[qid[:, None] == rid[None, :]] = np.inf
+            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            scale = np.maximum(kth, 1e-300)
+            tol = 1e-9 * scale + 1e-12 * (np.einsum("ij,ij->i", q, q) + float(np.max(np.einsum("ij,ij->i", r, r))))
+            qi, ri = np.nonzero(np.isfinite(approx) & (approx <= (kth + tol)[:, None]))
+            d = _exact_topk_pairs(q, r, qi, ri, kk)
+        else:
+            d_full = _minkowski(q, r, p)
+            if exclude_self:
+                d_full[qid[:, None] == rid[None, :]] = np.inf
+            kth = np.partition(d_full, kk - 1, axis=1)[:, kk - 1]
+            qi, ri = np.nonzero(d_full <= kth[:, None])
+            d = d_full[qi, ri]
+        keep = np.isfinite(d)
+        if exclude_self:
+            keep &= qid[qi] != rid[ri]
+        qi, ri, d = qi[keep], ri[keep], d[keep]
+        order = np.lexsort((rid[ri], d, qi))
+        qi, ri, d = qi[order], ri[order], d[order]
+        first = np.r_[0, np.nonzero(np.diff(qi))[0] + 1]
+        rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
+        sel = rank < kk
+        res = pd.DataFrame({"rid": qid[qi[sel]], "nid": rid[ri[sel]], "d": d[sel]})
         for kn in key_names:
             res.insert(0, kn, qpdf[kn].iloc[0])
         return res[cols]

@@ -13,7 +13,7 @@ from vigil.operators import reconstruct as RC
 from vigil.operators import splits as S
 from vigil.operators import windows as W
 from vigil.plans import oracle_sql as O
-from vigil.plans.registry import finish, query, r6
+from vigil.plans.base import finish, query, r6
 from vigil.session import materialize, output_dir
 from vigil.sources import catalog as C
 from vigil.sources import files as FS
@@ -131,6 +131,23 @@ def f1_knn_multid_manhattan(spark, sf_dir):
     return finish(NB.knn_score(df, GK, "rid", "vec", 5, p=1.0, block_rows=256).select("rid", "score"))
 
 
+def wide_knn(spark, sf_dir, k=11, block_rows=8192):
+    """Exact kNN on the standardised wide table, keyed by position (lineitem keys repeat)."""
+    from vigil.operators import stats as D
+    df, spec = C.dataset(spark, sf_dir, "lineitem")
+    ch = list(spec.values)
+    p = P.row_index(df.select(*spec.order, *ch), GK, list(spec.order))
+    z = D.standard_scale(p, GK, ch).withColumn("vec", F.array(*ch))
+    return NB.knn_score(z.select("row_idx", "vec"), GK, "row_idx", "vec", k, block_rows=block_rows)
+
+
+@query("f3_knn_wide_exact")
+def f3_knn_wide_exact(spark, sf_dir):
+    """Rows-only (too large for a brute-force SQL oracle; tested against numpy on sf0.001):
+    the plant-scale kNN path, exact k=11 on the standardised 4-channel table."""
+    return wide_knn(spark, sf_dir)
+
+
 @query("f4_loop_by_user", f"SELECT series_id, rid, {r6('score', 'score')} FROM "
        f"{O.loop_from_edges(O.edges_1d(EVU, 20))}")
 def f4_loop_by_user(spark, sf_dir):

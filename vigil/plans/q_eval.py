@@ -12,7 +12,7 @@ from vigil.operators import stats as D
 from vigil.plans import jobs as J
 from vigil.plans import oracle_sql as O
 from vigil.plans.q_detect import F11, LOOP_USER_FLAGS, _fold_split, f11_scores, loop_user_scored
-from vigil.plans.registry import finish, query, r6
+from vigil.plans.base import finish, query, r6
 from vigil.session import materialize
 from vigil.sources import board as BD
 from vigil.sources import catalog as C
@@ -188,7 +188,7 @@ def g13_label_agreement(spark, sf_dir):
 
 
 def _f19_sql():
-    from vigil.plans.registry import ORACLES
+    from vigil.plans.base import ORACLES  # f19 is registered by q_detect (imported above)
     return ORACLES["f19_knn_classify"]
 
 

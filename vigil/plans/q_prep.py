@@ -11,7 +11,7 @@ from vigil.operators import stats as D
 from vigil.operators import windows as W
 from vigil.plans import jobs as J
 from vigil.plans import oracle_sql as O
-from vigil.plans.registry import finish, query, r6
+from vigil.plans.base import finish, query, r6
 from vigil.session import output_dir
 from vigil.sources import board as BD
 from vigil.sources import catalog as C
@@ -81,7 +81,7 @@ def a7_export_csv(spark, sf_dir):
 
 
 def _board_sql():
-    from vigil.plans.registry import ORACLES
+    from vigil.plans.base import ORACLES
     return ORACLES["knn_events_by_user_board"]
 
 

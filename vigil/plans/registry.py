@@ -2,134 +2,8 @@
 
 Every query reads the driver tables (or what Spark derives from them) in
 full; doubles are rounded to 6 digits on both sides for the comparison.
+The query modules register themselves on import, in this order.
 """
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from vigil.operators import evaluate as G
-from vigil.operators import flags as FL
-from vigil.operators import neighbors as NB
-from vigil.operators import positions as P
-from vigil.operators import stats as D
-from vigil.plans import jobs as J
-from vigil.plans import oracle_sql as O
-from vigil.sources import catalog as C
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
-
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (the oracle does the same)."""
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-                       else F.col(f.name) for f in df.schema.fields])
-
-
-def r6(expr: str, alias: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {alias}"
-
-
-# ---------------------------------------------------------------- flagship
-
-@query("knn_events_by_user_board", f"""
-WITH s AS ({O.EVENTS_BY_USER}),
-sc AS (SELECT s.series_id, s.rid, s.is_anomaly, n.score FROM s JOIN {O.knn_1d('SELECT * FROM s', 1)} n
-       USING (series_id, rid)),
-fl AS {O.percentile_flag('SELECT * FROM sc', 98.0)}
-SELECT 'events_by_user' AS dataset, 'Knn' AS detector,
-       {r6(O.f1_sql('SELECT * FROM fl'), 'f1')}, {r6('(SELECT auroc FROM ' + O.auroc_sql('SELECT * FROM fl') + ')', 'auroc')}
-""")
-def knn_events_by_user_board(spark, sf_dir):
-    """Flagship: per-user 1-D kNN (k=1), p98 flags, F1 + AUROC as a board row."""
-    scored = J.scored_knn_1d(spark, sf_dir, "events_by_user", k=1, q=98.0)
-    return finish(J.board_row(scored, "events_by_user", "Knn"))
-
-
-# ------------------------------------------------------------------- F2
-
-@query("f2_knn_1d_by_user", f"""
-SELECT series_id, rid, {r6('score', 'score')} FROM {O.knn_1d(O.EVENTS_BY_USER, 5)}
-""")
-def f2_knn_1d_by_user(spark, sf_dir):
-    df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    return finish(NB.knn_score_1d(df, ["series_id"], "value", "rid", 5))
-
-
-@query("f2_knn_1d_global", f"""
-WITH s AS ({O.EVENTS}),
-p AS (SELECT rid, value, row_number() OVER (ORDER BY value, rid) AS pos FROM s),
-c AS (SELECT a.rid, abs(a.value - b.value) AS d FROM p a JOIN p b
-      ON b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND b.pos <> a.pos),
-r AS (SELECT rid, d, row_number() OVER (PARTITION BY rid ORDER BY d) AS rn FROM c)
-SELECT CAST(0 AS BIGINT) AS series_id, rid, {r6('d', 'score')} FROM r WHERE rn = 3
-""")
-def f2_knn_1d_global(spark, sf_dir):
-    df, _ = C.dataset(spark, sf_dir, "events")
-    return finish(NB.knn_score_1d(df, ["series_id"], "value", "rid", 3))
-
-
-# ------------------------------------------------------------------ B12
-
-@query("b12_row_index_by_user", f"""
-SELECT series_id, rid, row_number() OVER (PARTITION BY series_id ORDER BY ts, rid) - 1 AS row_idx
-FROM ({O.EVENTS_BY_USER})
-""")
-def b12_row_index_by_user(spark, sf_dir):
-    df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    return P.row_index(df.select("series_id", "rid", "ts"), ["series_id"], ["ts", "rid"]).drop("ts")
-
-
-@query("b12_row_index_global", f"""
-SELECT rid, row_number() OVER (ORDER BY ts, rid) - 1 AS row_idx FROM ({O.EVENTS})
-""")
-def b12_row_index_global(spark, sf_dir):
-    df, _ = C.dataset(spark, sf_dir, "events")
-    return P.row_index(df.select("rid", "ts"), [], ["ts", "rid"]).drop("ts")
-
-
-# ---------------------------------------------------------- D9, F18, G
-
-_QS = [0.01, 0.9, 0.95, 0.97, 0.98, 0.99]
-
-
-@query("d9_score_percentile", " UNION ALL ".join(
-    f"SELECT series_id, CAST({q} AS DOUBLE) AS q, round(CAST(quantile_cont(value, {q}) AS DOUBLE), 6) AS value "
-    f"FROM ({O.EVENTS_BY_USER}) GROUP BY series_id" for q in _QS))
-def d9_score_percentile(spark, sf_dir):
-    df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    return finish(D.quantiles(df, ["series_id"], "value", _QS))
-
-
-@query("g3_auroc_weak", f"""
-SELECT {r6('auroc', 'auroc')} FROM {O.auroc_sql(O.EVENTS_WEAK, 'value')}
-""")
-def g3_auroc_weak(spark, sf_dir):
-    df, _ = C.dataset(spark, sf_dir, "events_weak")
-    return finish(G.auroc(df, [], "value"))
-
-
-@query("g3_auroc_by_user", f"""
-SELECT series_id, {r6('auroc', 'auroc')} FROM {O.auroc_sql(O.EVENTS_BY_USER, 'value', by='series_id')}
-""")
-def g3_auroc_by_user(spark, sf_dir):
-    df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    return finish(G.auroc(df, ["series_id"], "value"))
-
-
-# the query modules register themselves on import
-from vigil.plans import q_detect, q_eval, q_prep  # noqa: E402,F401
+from vigil.plans import q_core, q_prep, q_detect, q_eval  # noqa: F401
+from vigil.plans.base import ORACLES, QUERIES, finish, query, r6  # noqa: F401
