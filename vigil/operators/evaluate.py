@@ -20,6 +20,18 @@ def _g(df, keys):
     return df.groupBy(*keys) if keys else df
 
 
+def tiebreak(df: DataFrame, rid: str | None = "rid"):
+    """A deterministic secondary sort key so equal scores spread over range partitions.
+
+    A score value shared by a third of the rows would otherwise land in one
+    range partition (one task).  Uses the row id when present, else a hash of
+    the whole row (identical rows are interchangeable for every rank statistic).
+    """
+    if rid and rid in df.columns:
+        return F.col(rid)
+    return F.xxhash64(*[F.col(c) for c in df.columns])
+
+
 def confusion(df: DataFrame, keys: list[str], label: str = "is_anomaly", flag: str = "flag") -> DataFrame:
     """G1: tp, fp, fn, tn per group."""
     l, f = F.col(label) == 1, F.col(flag) == 1
@@ -50,8 +62,8 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: str = "is_anomaly")
     AUC = (sum of positive mid-ranks - P(P+1)/2) / (P N); null for one class.
     """
     keys = list(keys)
-    base = df.select(*keys, score, F.col(label).cast("long").alias("__y"))
-    ranked = row_index(base, keys, [score], "__pos")
+    base = df.select(*keys, score, F.col(label).cast("long").alias("__y"), tiebreak(df).alias("__tb"))
+    ranked = row_index(base, keys, [score, "__tb"], "__pos")
     per_score = ranked.groupBy(*keys, score).agg(
         ((F.min("__pos") + F.max("__pos")).cast("double") / F.lit(2.0) + F.lit(1.0)).alias("__mid"),
         F.sum("__y").alias("__npos"), F.count(F.lit(1)).alias("__cnt"))

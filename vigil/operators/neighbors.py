@@ -111,15 +111,22 @@ def _block_topk(k: int, p: float, exclude_self: bool, key_names: list[str]):
         rid = rpdf["rid"].to_numpy()
         kk = min(k, r.shape[0])
         if p == 2:
-            approx = (np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", r, r)[None, :]
-                      - 2.0 * (q @ r.T))
-            np.maximum(approx, 0.0, out=approx)
-            if exclude_self:
-                approx[qid[:, None] == rid[None, :]] = np.inf
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            scale = np.maximum(kth, 1e-300)
-            tol = 1e-9 * scale + 1e-12 * (np.einsum("ij,ij->i", q, q) + float(np.max(np.einsum("ij,ij->i", r, r))))
-            qi, ri = np.nonzero(np.isfinite(approx) & (approx <= (kth + tol)[:, None]))
+            rsq = np.einsum("ij,ij->i", r, r)
+            qsq = np.einsum("ij,ij->i", q, q)
+            parts_q, parts_r = [], []
+            step = max(1, 4_000_000 // max(1, r.shape[0]))   # bounded memory per chunk
+            for s0 in range(0, q.shape[0], step):
+                sl = slice(s0, s0 + step)
+                approx = qsq[sl, None] + rsq[None, :] - 2.0 * (q[sl] @ r.T)
+                np.maximum(approx, 0.0, out=approx)
+                if exclude_self:
+                    approx[qid[sl, None] == rid[None, :]] = np.inf
+                kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+                tol = 1e-9 * np.maximum(kth, 0.0) + 1e-12 * (qsq[sl] + float(rsq.max()))
+                a, b = np.nonzero(np.isfinite(approx) & (approx <= (kth + tol)[:, None]))
+                parts_q.append(a + s0)
+                parts_r.append(b)
+            qi, ri = np.concatenate(parts_q), np.concatenate(parts_r)
             d = _exact_topk_pairs(q, r, qi, ri, kk)
         else:
             d_full = _minkowski(q, r, p)

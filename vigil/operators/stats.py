@@ -96,8 +96,9 @@ def quantiles(df: DataFrame, keys: list[str], col: str, qs: list[float], rid: st
     q) rows at floor/ceil of q*(n-1) are read back.  Result: keys, q, value.
     """
     keys = list(keys)
-    base = df.select(*keys, col, *( [rid] if rid else [])).filter(F.col(col).isNotNull())
-    order = [col] + ([rid] if rid else [])
+    tb = F.col(rid) if rid else F.xxhash64(*[F.col(c) for c in df.columns])
+    base = df.select(*keys, col, tb.alias("__tb")).filter(F.col(col).isNotNull())
+    order = [col, "__tb"]   # a tiebreak spreads a hot value over range partitions
     ranked = row_index(base, keys, order, "__qpos")
     counts = (base.groupBy(*keys) if keys else base).agg(F.count(F.lit(1)).alias("__n"))
     qdf = counts.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))

@@ -131,7 +131,7 @@ def f1_knn_multid_manhattan(spark, sf_dir):
     return finish(NB.knn_score(df, GK, "rid", "vec", 5, p=1.0, block_rows=256).select("rid", "score"))
 
 
-def wide_knn(spark, sf_dir, k=11, block_rows=8192):
+def wide_knn(spark, sf_dir, k=11, block_rows=4096):
     """Exact kNN on the standardised wide table, keyed by position (lineitem keys repeat)."""
     from vigil.operators import stats as D
     df, spec = C.dataset(spark, sf_dir, "lineitem")
