@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.positions import DEFAULT_BLOCK_ROWS
+from vigil.session import materialize
 from vigil.operators.stats import max_normalise, standardised_error
 from vigil.operators.windows import lag_features, reverse_windowing, sliding_windows
 
@@ -76,7 +77,8 @@ def forecast_baseline_score(df: DataFrame, keys: list[str], value: str, window:
     """
     keys = list(keys)
     w = sliding_windows(df, keys, [value], window, horizon, pos, block)
-    e = window_forecast_error(w, method)
+    # per-window errors feed a statistic and the per-row mapping: write them once
+    e = materialize(window_forecast_error(w, method).select(*keys, "win_start", "error"), "window-errors")
     e = standardised_error(e, keys, "error", "score")
     rows = reverse_windowing(df, e, keys, window + horizon, pos, "score", block)
     return max_normalise(rows, keys, "score")

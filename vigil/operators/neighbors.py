@@ -29,7 +29,7 @@ from vigil.session import attach_scalars, materialize
 
 
 def knn_1d_candidates(df: DataFrame, keys: list[str], value: str, rid: str, k: int,
-                      block: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                      block: int = DEFAULT_BLOCK_ROWS, carry: tuple = ()) -> DataFrame:
     """Per row: sorted array of the k nearest others as struct(d, dp, np, nid).
 
     One sliding frame of +-k rows (in value order) gives the candidates;
@@ -37,7 +37,7 @@ def knn_1d_candidates(df: DataFrame, keys: list[str], value: str, rid: str, k: i
     which keeps the chosen set inside +-k positions.
     """
     keys = list(keys)
-    base = df.select(*keys, rid, value).filter(F.col(value).isNotNull())
+    base = df.select(*keys, rid, value, *carry).filter(F.col(value).isNotNull())
     pos = row_index(base, keys, [value, rid], "__vp")
     h = with_halo(pos, "__vp", block, k, k)
     w = Window.partitionBy(*keys, "_blk").orderBy("__vp").rowsBetween(-k, k)
@@ -49,15 +49,18 @@ def knn_1d_candidates(df: DataFrame, keys: list[str], value: str, rid: str, k: i
                                                   F.abs(x["p"] - me_p).alias("dp"),
                                                   x["p"].alias("np"), x["i"].alias("nid")))
     out = h.withColumn("nbrs", F.slice(F.array_sort(cand), 1, k))
-    return out.select(*keys, rid, value, F.col("__vp").alias("value_pos"), "nbrs")
+    return out.select(*keys, rid, value, *carry, F.col("__vp").alias("value_pos"), "nbrs")
 
 
 def knn_score_1d(df: DataFrame, keys: list[str], value: str, rid: str, k: int,
-                 block: int = DEFAULT_BLOCK_ROWS, out: str = "score") -> DataFrame:
-    """distance to the k-th nearest other row (null if the series is too short)."""
-    c = knn_1d_candidates(df, keys, value, rid, k, block)
+                 block: int = DEFAULT_BLOCK_ROWS, out: str = "score", carry: tuple = ()) -> DataFrame:
+    """distance to the k-th nearest other row (null if the series is too short).
+
+    ``carry`` names extra columns (e.g. the label) passed through unchanged.
+    """
+    c = knn_1d_candidates(df, keys, value, rid, k, block, carry)
     kth = F.when(F.size("nbrs") >= k, F.element_at("nbrs", k)["d"])
-    return c.select(*keys, rid, kth.alias(out))
+    return c.select(*keys, rid, *carry, kth.alias(out))
 
 
 def edges_1d(df, keys, value, rid, k, block=DEFAULT_BLOCK_ROWS) -> DataFrame:

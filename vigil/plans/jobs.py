@@ -24,19 +24,28 @@ def knn_scores(df: DataFrame, keys: list[str], k: int, value: str = "value", rid
 def scored_knn_1d(spark, sf_dir: str, dataset: str = "events_by_user", k: int = 1, q: float = 98.0,
                   block: int | None = None) -> DataFrame:
     """kNN (k-th neighbour distance on the value) per series, flagged above the q-th percentile."""
+    return knn_1d_scored_and_flagged(spark, sf_dir, dataset, k, q, block)[1]
+
+
+def knn_1d_scored_and_flagged(spark, sf_dir: str, dataset: str = "events_by_user", k: int = 1,
+                              q: float = 98.0, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scored, flagged): the written score table and its percentile flags."""
     df, spec = C.dataset(spark, sf_dir, dataset)
     keys = list(spec.keys)
     kw = {"block": block} if block else {}
-    s = NB.knn_score_1d(df, keys, "value", "rid", k, **kw)
+    s = NB.knn_score_1d(df, keys, "value", "rid", k, carry=("is_anomaly",), **kw)
     # the scored table feeds the percentile, the flags and every metric: write it once
-    scored = materialize(df.select(*keys, "rid", "value", "is_anomaly").join(s, keys + ["rid"]), "knn-scored")
-    return FL.flag_percentile(scored, keys, "score", q)
+    scored = materialize(s, "knn-scored")
+    return scored, FL.flag_percentile(scored, keys, "score", q)
+
 
+def board_row(flagged: DataFrame, dataset: str, detector: str, score: str = "score",
+              label: str = "is_anomaly", flag: str = "flag", scores: DataFrame | None = None) -> DataFrame:
+    """One leaderboard row: F1 of the flags and AUROC of the scores over the dataset.
 
-def board_row(scored: DataFrame, dataset: str, detector: str, score: str = "score",
-              label: str = "is_anomaly", flag: str = "flag") -> DataFrame:
-    """One leaderboard row: F1 of the flags and AUROC of the scores over the dataset."""
-    f1 = G.prf(G.confusion(scored, [], label, flag)).select("f1")
-    auc = G.auroc(scored, [], score, label)
+    ``scores`` (the unflagged score table) spares the AUROC sort the flag join.
+    """
+    f1 = G.prf(G.confusion(flagged, [], label, flag)).select("f1")
+    auc = G.auroc(scores if scores is not None else flagged, [], score, label)
     return f1.select(F.lit(dataset).alias("dataset"), F.lit(detector).alias("detector"), "f1",
                      auc.select("auroc").scalar().alias("auroc"))

@@ -24,8 +24,8 @@ SELECT 'events_by_user' AS dataset, 'Knn' AS detector,
 """)
 def knn_events_by_user_board(spark, sf_dir):
     """Flagship: per-user 1-D kNN (k=1), p98 flags, F1 + AUROC as a board row."""
-    scored = J.scored_knn_1d(spark, sf_dir, "events_by_user", k=1, q=98.0)
-    return finish(J.board_row(scored, "events_by_user", "Knn"))
+    scored, flagged = J.knn_1d_scored_and_flagged(spark, sf_dir, "events_by_user", k=1, q=98.0)
+    return finish(J.board_row(flagged, "events_by_user", "Knn", scores=scored))
 
 
 # ------------------------------------------------------------------- F2

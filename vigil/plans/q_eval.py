@@ -238,9 +238,11 @@ BOARDS = _board_rows_sql()
 
 
 def boards(spark, sf_dir):
-    ku = J.board_row(knn_flags(spark, sf_dir), "events_by_user", "Knn")
+    ks, kf = J.knn_1d_scored_and_flagged(spark, sf_dir, "events_by_user", k=1, q=98.0)
+    ku = J.board_row(kf, "events_by_user", "Knn", scores=ks)
     lu = J.board_row(loop_user_scored(spark, sf_dir), "events_by_user", "LoOP")
-    kg = J.board_row(J.scored_knn_1d(spark, sf_dir, "events", k=1, q=98.0), "events", "Knn")
+    gs, gf = J.knn_1d_scored_and_flagged(spark, sf_dir, "events", k=1, q=98.0)
+    kg = J.board_row(gf, "events", "Knn", scores=gs)
     return BD.union_boards({"events_by_user": ku.unionByName(lu), "events": kg})
 
 
