@@ -89,7 +89,7 @@ def _minkowski(q: np.ndarray, r: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
-def _exact_topk_pairs(q, r, qi, ri, k):
+def _exact_pair_distances(q, r, qi, ri):
     """Exact Euclidean distances of the candidate pairs (qi[j], ri[j])."""
     diff = q[qi] - r[ri]
     d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
@@ -130,7 +130,7 @@ def _block_topk(k: int, p: float, exclude_self: bool, key_names: list[str]):
                 parts_q.append(a + s0)
                 parts_r.append(b)
             qi, ri = np.concatenate(parts_q), np.concatenate(parts_r)
-            d = _exact_topk_pairs(q, r, qi, ri, kk)
+            d = _exact_pair_distances(q, r, qi, ri)
         else:
             d_full = _minkowski(q, r, p)
             if exclude_self:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import f1_from_counts
-from vigil.session import attach_scalars
 
 
 def param_grid(spark: SparkSession, params: dict[str, list]) -> DataFrame:
@@ -52,17 +51,8 @@ def knn_grid_f1(cands: DataFrame, labels: DataFrame, keys: list[str], rid: str,
     return conf.withColumn("f1", f1_from_counts("tp", "fp", "fn"))
 
 
-def fold_metric_mean(per_fold: DataFrame, params: list[str], metric: str) -> DataFrame:
-    """H3: mean metric over folds per parameter row, best first (lowest params win ties)."""
-    return per_fold.groupBy(*params).agg(F.avg(metric).alias(f"mean_{metric}"))
-
-
 def best_params(scored: DataFrame, params: list[str], metric: str) -> DataFrame:
     """H3/H4: the parameter row with the highest metric (ties: smallest parameters)."""
     order = F.struct(F.col(metric), *[-F.col(p) for p in params])
     return scored.agg(F.max_by(F.struct(*params), order).alias("best"), F.max(metric).alias(metric)) \
                  .select("best.*", metric)
-
-
-def attach(df, stats, keys):
-    return attach_scalars(df, stats, keys)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vigil.operators import evaluate as G
 from vigil.operators import neighbors as NB
 from vigil.operators import search as H
-from vigil.operators import splits as S
 from vigil.operators import stats as D
 from vigil.plans import jobs as J
 from vigil.plans import oracle_sql as O
@@ -221,6 +220,36 @@ def g16_score_histogram(spark, sf_dir):
     return finish(G.score_histogram(NB.knn_score_1d(df, UK, "value", "rid", 5), [], "score", 30))
 
 
+# ---------------------------------------------------------------- labelled documents
+
+def _docs_sql(label):
+    return (f"SELECT CAST(0 AS BIGINT) AS series_id, d.doc_id AS rid, CAST(d.n_chars AS DOUBLE) AS score, "
+            f"l.{label} AS is_anomaly FROM documents d JOIN labels l USING (doc_id)")
+
+
+@query("g3_auroc_labelled_documents", " UNION ALL ".join(
+    f"SELECT '{lab}' AS label, {r6('auroc', 'auroc')} FROM {O.auroc_sql(_docs_sql(lab))}" for lab in ("toxic", "quality")))
+def g3_auroc_labelled_documents(spark, sf_dir):
+    """G3 on labels without series: document length as the score of each binary label."""
+    out = None
+    for lab in ("toxic", "quality"):
+        a = G.auroc(C.labelled_documents(spark, sf_dir, lab), [], "score").select(F.lit(lab).alias("label"), "auroc")
+        out = a if out is None else out.unionByName(a)
+    return finish(out)
+
+
+@query("g2_prf_labelled_documents", f"""SELECT tp, fp, fn, tn,
+round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision,
+round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall,
+round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1
+FROM ({_conf_sql(O.percentile_flag(_docs_sql('toxic'), 90.0))})""")
+def g2_prf_labelled_documents(spark, sf_dir):
+    """F18 + G1/G2: flag documents above the 90th length percentile, score against ``toxic``."""
+    from vigil.operators import flags as FL
+    d = C.labelled_documents(spark, sf_dir, "toxic")
+    return finish(G.prf(G.confusion(FL.flag_percentile(d, [], "score", 90.0), [])))
+
+
 # ---------------------------------------------------------------- boards
 
 def _board_rows_sql():

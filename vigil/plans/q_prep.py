@@ -91,10 +91,14 @@ b AS (SELECT 'events_by_user' AS dataset, d AS detector FROM (SELECT unnest({lis
 SELECT b.dataset, b.detector, k.f1, k.auroc FROM b LEFT JOIN k USING (dataset, detector)
 """)
 def a8_leaderboard_upsert(spark, sf_dir):
-    board = BD.empty_board(spark, "events_by_user")
+    """The reference's flow: read the dataset's board file, set the detector's cells, write a new version."""
+    base = output_dir(spark, "a8-board")
+    BD.write_board(BD.empty_board(spark, "events_by_user"), base, 0)
+    board = BD.read_board(spark, f"{base}/v0")
     scored, flagged = J.knn_1d_scored_and_flagged(spark, sf_dir, "events_by_user", k=1, q=98.0)
     row = J.board_row(flagged, "events_by_user", "Knn", scores=scored)
-    return finish(BD.upsert(board, finish(row)))
+    BD.write_board(BD.upsert(board, finish(row)), base, 1)
+    return finish(BD.read_board(spark, f"{base}/v1"))
 
 
 @query("a9_attach_scores", f"""SELECT s.series_id, s.rid, s.is_anomaly, {r6('k.score', 'score')}

@@ -13,12 +13,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count we are willing to ship to every executor as a broadcast
-# side.  Only tables whose size is bounded by parameters (partition counts,
-# grid sizes, model nodes) or by a measured count below this go broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "vigil") -> SparkSession:
     """Session with the settings the engine relies on (AQE, UTC, Arrow)."""
@@ -82,12 +76,6 @@ def output_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
@@ -138,15 +126,6 @@ def join_measured(big: DataFrame, small: DataFrame, on, how: str = "inner") -> D
     return big.join(small, on, how)
 
 
-def broadcast_bounded(df: DataFrame, max_rows: int, bound: int) -> DataFrame:
-    """Broadcast hint for a side whose row count is bounded by parameters.
-
-    ``bound`` is the caller's proven upper bound (e.g. trees x nodes per tree);
-    above ``max_rows`` the side is left to the planner.
-    """
-    return F.broadcast(df) if bound <= max_rows else df
-
-
 def attach_scalars(df: DataFrame, scalars: DataFrame, on: list[str] | None = None,
                    how: str = "inner") -> DataFrame:
     """Attach per-group statistics (one row per group) to every row.

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SCORE_SCHEMA = "series_id long, row_idx long, score double"
 
@@ -78,7 +77,3 @@ def save_ml_model(model, path: str) -> str:
     """A11 for pyspark.ml models (forecasters, PCA)."""
     model.write().overwrite().save(path)
     return path
-
-
-def keyed(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*[F.col(c) for c in cols])
