@@ -119,3 +119,19 @@ def test_wide_exact_knn_matches_numpy_brute_force(spark):
     want = np.sort(d, axis=1)[:, 10]
     assert len(got) == len(want)
     assert max(abs(got[i] - want[i]) for i in range(len(want))) < 1e-6
+
+
+def test_hot_series_spreads_over_range_partitions(spark):
+    """One series holding a third of the rows must not land in one task."""
+    df, _ = C.dataset(spark, SF_SMALL, "events_by_user")
+    users = sorted(r[0] for r in df.select("series_id").distinct().collect())
+    cut = users[len(users) // 3]
+    hot = df.withColumn("series_id", F.when(F.col("series_id") <= cut, F.lit(-1)).otherwise(F.col("series_id")))
+    n_hot = hot.filter("series_id = -1").count()
+    assert n_hot * 4 > df.count()          # at least a quarter of all rows in one series
+    ranged = hot.repartitionByRange(8, "series_id", "ts", "rid").withColumn("pid", F.spark_partition_id())
+    per_part = [r["count"] for r in ranged.filter("series_id = -1").groupBy("pid").count().collect()]
+    assert len(per_part) >= 2 and max(per_part) < n_hot * 0.75
+    got = P.row_index(hot, ["series_id"], ["ts", "rid"], partitions=8)
+    ref = hot.withColumn("ref", F.row_number().over(Window.partitionBy("series_id").orderBy("ts", "rid")) - 1)
+    assert got.join(ref.select("rid", "ref"), "rid").filter(F.col("row_idx") != F.col("ref")).count() == 0
