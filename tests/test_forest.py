@@ -26,3 +26,16 @@ def test_forest_respects_tree_sample_size(spark):
     nodes, psi = FR.iforest_fit(df, list(spec.order), list(spec.values), n_trees=10, max_samples=64, seed=1)
     roots = nodes.filter("node = 0").select("size").collect()
     assert psi == 64 and all(r["size"] <= 64 for r in roots) and len(roots) == 10
+
+
+def test_forecasters_predict_every_row_with_history(spark):
+    from vigil.operators import forecast as FC
+    from vigil.operators import positions as P
+    from vigil.operators import splits as S
+    df, _ = C.dataset(spark, SF_SMALL, "events_collective")
+    p = P.row_index(df, [], ["ts", "rid"])
+    train = S.split_fraction(p, [], 0.75).filter("is_train = 1")
+    for model in ("linear", "gbt"):
+        m = FC.forecast_fit(train, [], ["value"], 5, model=model, max_iter=10)
+        pred = FC.forecast_error(FC.forecast_predict(p, m, [], ["value"], 5), ["value"])
+        assert pred.filter(F.col("error").isNotNull()).count() == p.count() - 5

@@ -11,30 +11,44 @@ whose whole scoring chain can be checked against SQL.
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.positions import DEFAULT_BLOCK_ROWS
 from vigil.session import materialize
+from vigil.operators.splits import split_tail_validation
 from vigil.operators.stats import max_normalise, standardised_error
 from vigil.operators.windows import lag_features, reverse_windowing, sliding_windows
 
 
 def forecast_fit(train: DataFrame, keys: list[str], values: list[str], window: int, pos: str = "row_idx",
-                 block: int = DEFAULT_BLOCK_ROWS, max_iter: int = 100, reg: float = 0.0):
-    """F8: one Huber-loss linear model per channel on E4 lag vectors.
-
-    ``train`` is the (positioned) training part of the series.  Returns
-    {channel: LinearRegressionModel}; the models are the fitted parameters.
+                 block: int = DEFAULT_BLOCK_ROWS, max_iter: int = 100, reg: float = 0.0, model: str = "linear",
+                 validation: float = 0.1, seed: int = 42):
+    """F8: one model per channel on E4 lag vectors (``train`` = positioned training rows).
+
+    model='linear': Huber-loss linear regression (L-BFGS).
+    model='gbt': gradient-boosted trees with absolute-error loss that stop
+    when the error on the last ``validation`` share of the training rows
+    (C4, in order) stops improving — the reference's validation-based stop.
+    Returns {channel: fitted model}; the models are the fitted parameters.
     """
     lf = lag_features(train, keys, values, window, pos, block)
     lf = lf.withColumn("__x", array_to_vector("features"))
+    if model == "gbt":
+        lf = split_tail_validation(lf, keys, validation, pos, "__val").withColumn("__val", F.col("__val") == 1)
     models = {}
     for v in values:
-        lr = LinearRegression(featuresCol="__x", labelCol=v, predictionCol=f"{v}__pred", loss="huber",
-                              maxIter=max_iter, regParam=reg, elasticNetParam=0.0)
-        models[v] = lr.fit(lf.select("__x", F.col(v).cast("double").alias(v)))
+        if model == "linear":
+            est = LinearRegression(featuresCol="__x", labelCol=v, predictionCol=f"{v}__pred", loss="huber",
+                                   maxIter=max_iter, regParam=reg, elasticNetParam=0.0)
+            models[v] = est.fit(lf.select("__x", F.col(v).cast("double").alias(v)))
+        elif model == "gbt":
+            est = GBTRegressor(featuresCol="__x", labelCol=v, predictionCol=f"{v}__pred", lossType="absolute",
+                               maxIter=max_iter, validationIndicatorCol="__val", validationTol=0.01, seed=seed)
+            models[v] = est.fit(lf.select("__x", "__val", F.col(v).cast("double").alias(v)))
+        else:
+            raise ValueError(f"unknown forecast model {model!r}")
     return models
 
 

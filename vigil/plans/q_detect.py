@@ -256,6 +256,16 @@ def f9_forecast_predict(spark, sf_dir):
     return FC.forecast_error(pred, ["value"]).select("row_idx", "value__pred", "error")
 
 
+@query("f8_forecast_fit_gbt")
+def f8_forecast_fit_gbt(spark, sf_dir):
+    """Rows-only: absolute-loss boosted trees with a validation-based stop; predictions and errors."""
+    p = positioned(spark, sf_dir, "events_collective")
+    train = S.split_fraction(p, GK, 0.75).filter("is_train = 1")
+    models = FC.forecast_fit(train, GK, ["value"], 10, model="gbt", max_iter=30)
+    pred = FC.forecast_predict(p, models, GK, ["value"], 10)
+    return FC.forecast_error(pred, ["value"]).select("row_idx", "value__pred", "error")
+
+
 @query("f10_forecast_error", f"""SELECT win_start, {r6('abs(t - l)', 'error')} FROM (SELECT row_idx AS win_start,
 lead(value, 9) OVER (ORDER BY row_idx) AS l, lead(value, 10) OVER (ORDER BY row_idx) AS t FROM {O.with_pos(EV)})
 WHERE t IS NOT NULL""")
