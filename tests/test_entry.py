@@ -44,3 +44,24 @@ def test_oracle_agreement_small(spark, duck, name):
                               else r[i]) for i in order) for r in cur.fetchall())
     assert sorted(df.columns) == sorted(cols)
     assert got == want
+
+
+def test_job_config_rejects_unknown_keys(spark):
+    from vigil.plans import jobs as J
+    with pytest.raises(KeyError):
+        J.run_job(spark, SF_SMALL, {"dataset": "events", "detector": "knn", "K": 5})
+    with pytest.raises(KeyError):
+        J.run_job(spark, SF_SMALL, {"dataset": "nope", "detector": "knn"})
+
+
+@pytest.mark.parametrize("conf", [
+    {"dataset": "events", "detector": "loop", "k": 10},
+    {"dataset": "lineitem", "detector": "iforest", "n_trees": 20, "max_samples": 64, "contamination": 0.05},
+    {"dataset": "events_collective", "detector": "forecast", "window": 20, "level": 0.5},
+    {"dataset": "embeddings", "detector": "knn", "k": 5, "percentile": 95.0},
+])
+def test_job_configs_produce_a_board_row(spark, conf):
+    from vigil.plans import jobs as J
+    flagged, row = J.run_job(spark, SF_SMALL, conf)
+    r = row.collect()
+    assert len(r) == 1 and 0.0 <= r[0]["f1"] <= 1.0

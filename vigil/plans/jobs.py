@@ -49,3 +49,67 @@ def board_row(flagged: DataFrame, dataset: str, detector: str, score: str = "sco
     auc = G.auroc(scores if scores is not None else flagged, [], score, label)
     return f1.select(F.lit(dataset).alias("dataset"), F.lit(detector).alias("detector"), "f1",
                      auc.select("auroc").scalar().alias("auroc"))
+
+
+# ------------------------------------------------------------------ config-driven jobs
+
+DETECTORS = ("knn", "loop", "iforest", "forecast")
+
+
+def run_job(spark, sf_dir: str, conf: dict) -> tuple[DataFrame, DataFrame]:
+    """Run one detector from a JSON-like config, like the reference's notebooks.
+
+    conf: {"dataset": <catalog name>, "detector": knn | loop | iforest | forecast, ...params}.
+    Unknown datasets, detectors or parameter keys raise.  Returns
+    (flagged rows, one leaderboard row).
+    """
+    from vigil.operators import forecast as FC
+    from vigil.operators import forest as FR
+    from vigil.operators import positions as P
+    from vigil.spec import ForestConfig, KnnConfig, LoopConfig, WindowConfig, from_dict
+
+    conf = dict(conf)
+    name, det = conf.pop("dataset"), conf.pop("detector")
+    if det not in DETECTORS:
+        raise KeyError(f"unknown detector {det!r}; known: {DETECTORS}")
+    df, spec = C.dataset(spark, sf_dir, name)
+    keys = list(spec.keys)
+    label = spec.label
+    if det == "knn":
+        cfg = from_dict(KnnConfig, conf)
+        if spec.values == ("value",):
+            s = NB.knn_score_1d(df, keys, "value", spec.rid, cfg.k, carry=(label,))
+        else:
+            e = NB.knn_score(df, keys, spec.rid, spec.values[0], cfg.k, cfg.p, cfg.block_rows)
+            s = df.select(*keys, spec.rid, label).join(e, keys + [spec.rid])
+        scored = materialize(s, "job-knn")
+        flagged = FL.flag_percentile(scored, keys, "score", cfg.percentile)
+        title = "Knn"
+    elif det == "loop":
+        cfg = from_dict(LoopConfig, conf)
+        if spec.values == ("value",):
+            s = NB.loop_1d(df, keys, "value", spec.rid, cfg.k, cfg.extent)
+        else:
+            s = NB.loop_vec(df, keys, spec.rid, spec.values[0], cfg.k, cfg.extent)
+        scored = materialize(df.select(*keys, spec.rid, label).join(s, keys + [spec.rid]), "job-loop")
+        flagged = FL.flag_share(scored, keys, "score", label)
+        title = "LoOP"
+    elif det == "iforest":
+        contamination = conf.pop("contamination", 0.1)
+        cfg = from_dict(ForestConfig, conf)
+        feats = list(spec.values)
+        nodes, psi = FR.iforest_fit(df, list(spec.order), feats, cfg.n_trees, cfg.max_samples, cfg.seed,
+                                    max_psi=cfg.max_psi)
+        scored = materialize(FR.iforest_score(df.select(*keys, *spec.order, *feats, label), nodes, psi, feats),
+                             "job-forest")
+        flagged = FL.contamination_label(scored, keys, "score", contamination)
+        title = "IForest"
+    else:
+        level = conf.pop("level", 0.7)
+        cfg = from_dict(WindowConfig, conf)
+        p = P.row_index(df, keys, list(spec.order))
+        s = FC.forecast_baseline_score(p, keys, spec.values[0], cfg.window, cfg.horizon, block=cfg.block_rows)
+        scored = materialize(p.select(*keys, "row_idx", label).join(s, keys + ["row_idx"]), "job-forecast")
+        flagged = FL.flag_threshold(scored, "score", level)
+        title = "DeeP-ANT"
+    return flagged, board_row(flagged, name, title, label=label, scores=scored)

@@ -8,7 +8,7 @@ from vigil.operators import positions as P
 from vigil.operators import stats as D
 from vigil.plans import jobs as J
 from vigil.plans import oracle_sql as O
-from vigil.plans.base import finish, query, r6
+from vigil.plans.base import ORACLES, finish, query, r6
 from vigil.sources import catalog as C
 
 
@@ -97,3 +97,13 @@ SELECT series_id, {r6('auroc', 'auroc')} FROM {O.auroc_sql(O.EVENTS_BY_USER, 'va
 def g3_auroc_by_user(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
     return finish(G.auroc(df, ["series_id"], "value"))
+
+
+@query("knn_job_from_config")
+def knn_job_from_config(spark, sf_dir):
+    """The flagship run from a JSON-like job config (the reference's entry point)."""
+    conf = {"dataset": "events_by_user", "detector": "knn", "k": 1, "percentile": 98.0}
+    return finish(J.run_job(spark, sf_dir, conf)[1])
+
+
+ORACLES["knn_job_from_config"] = ORACLES["knn_events_by_user_board"]
