@@ -110,7 +110,7 @@ def test_wide_exact_knn_matches_numpy_brute_force(spark):
     from vigil.plans.q_detect import wide_knn
     got = {r["row_idx"]: r["score"] for r in wide_knn(spark, SF_SMALL, k=11, block_rows=1500).collect()}
     df, spec = C.dataset(spark, SF_SMALL, "lineitem")
-    pdf = df.select(*spec.order, *spec.values).toPandas().sort_values(list(spec.order), kind="stable")
+    pdf = df.select(*C.LINE_KEY, *spec.values).toPandas().sort_values(list(spec.order), kind="stable")
     x = pdf[list(spec.values)].to_numpy(float)
     x = (x - x.mean(axis=0)) / x.std(axis=0)
     sq = (x * x).sum(1)

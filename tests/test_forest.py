@@ -11,10 +11,10 @@ from vigil.sources import catalog as C
 def test_forest_scores_range_repeatability_and_quality(spark):
     df, spec = C.dataset(spark, SF_SMALL, "lineitem")
     feats = list(spec.values)
-    nodes, psi = FR.iforest_fit(df, list(spec.order), feats, n_trees=40, max_samples=128, seed=7)
-    s1 = FR.iforest_score(df.select(*spec.order, *feats, "is_anomaly"), nodes, psi, feats)
+    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), feats, n_trees=40, max_samples=128, seed=7)
+    s1 = FR.iforest_score(df.select(*C.LINE_KEY, *feats, "is_anomaly"), nodes, psi, feats)
     # same seed, different partitioning of the input -> the same forest and scores
-    nodes2, _ = FR.iforest_fit(df.repartition(5), list(spec.order), feats, n_trees=40, max_samples=128, seed=7)
+    nodes2, _ = FR.iforest_fit(df.repartition(5), list(C.LINE_KEY), feats, n_trees=40, max_samples=128, seed=7)
     assert nodes.exceptAll(nodes2).count() == 0
     stats = s1.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).head()
     assert 0.0 < stats["lo"] <= stats["hi"] < 1.0
@@ -23,7 +23,7 @@ def test_forest_scores_range_repeatability_and_quality(spark):
 
 def test_forest_respects_tree_sample_size(spark):
     df, spec = C.dataset(spark, SF_SMALL, "lineitem")
-    nodes, psi = FR.iforest_fit(df, list(spec.order), list(spec.values), n_trees=10, max_samples=64, seed=1)
+    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), list(spec.values), n_trees=10, max_samples=64, seed=1)
     roots = nodes.filter("node = 0").select("size").collect()
     assert psi == 64 and all(r["size"] <= 64 for r in roots) and len(roots) == 10
 

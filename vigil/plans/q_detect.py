@@ -136,7 +136,7 @@ def wide_knn(spark, sf_dir, k=11, block_rows=4096):
     from vigil.operators import stats as D
     df, spec = C.dataset(spark, sf_dir, "lineitem")
     ch = list(spec.values)
-    p = P.row_index(df.select(*spec.order, *ch), GK, list(spec.order))
+    p = P.row_index(df.select(*C.LINE_KEY, *ch), GK, list(spec.order))
     z = D.standard_scale(p, GK, ch).withColumn("vec", F.array(*ch))
     return NB.knn_score(z.select("row_idx", "vec"), GK, "row_idx", "vec", k, block_rows=block_rows)
 
@@ -196,7 +196,7 @@ def f19_knn_classify(spark, sf_dir):
 
 def _forest(spark, sf_dir, n_trees=100, psi=256):
     df, spec = C.dataset(spark, sf_dir, "lineitem")
-    nodes, psi = FR.iforest_fit(df, list(spec.order), list(spec.values), n_trees=n_trees, max_samples=psi, seed=42)
+    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), list(spec.values), n_trees=n_trees, max_samples=psi, seed=42)
     return df, spec, nodes, psi
 
 
@@ -210,7 +210,7 @@ def f5_iforest_fit(spark, sf_dir):
 def f6_iforest_score(spark, sf_dir):
     """Rows-only: isolation-forest score for every lineitem row."""
     df, spec, nodes, psi = _forest(spark, sf_dir)
-    return FR.iforest_score(df.select(*spec.order, *spec.values, "is_anomaly"), nodes, psi, list(spec.values))
+    return FR.iforest_score(df.select(*C.LINE_KEY, *spec.values, "is_anomaly"), nodes, psi, list(spec.values))
 
 
 @query("f7_contamination_label", f"""SELECT series_id, rid, flag FROM
@@ -229,8 +229,8 @@ def a11_model_roundtrip(spark, sf_dir):
     path = output_dir(spark, "a11-forest")
     FS.save_forest(nodes, psi, path)
     nodes2, psi2 = FS.load_forest(spark, path)
-    return FR.iforest_score(df.select(*spec.order, *spec.values), nodes2, psi2, list(spec.values)) \
-        .select(*spec.order, "score")
+    return FR.iforest_score(df.select(*C.LINE_KEY, *spec.values), nodes2, psi2, list(spec.values)) \
+        .select(*C.LINE_KEY, "score")
 
 
 # ------------------------------------------------------------------ F (forecast / reconstruction)

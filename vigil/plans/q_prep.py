@@ -202,7 +202,7 @@ def b9_filter_anomalies(spark, sf_dir):
 @query("b10_select_channels", f"SELECT rid, l_partkey, l_suppkey, l_quantity, l_discount, l_tax FROM ({O.LINEITEM})")
 def b10_select_channels(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "lineitem")
-    return B.select_channels(df, ["l_quantity", "l_discount", "l_quantity", "l_tax"], keep=list(C.LINE_ORDER))
+    return B.select_channels(df, ["l_quantity", "l_discount", "l_quantity", "l_tax"], keep=list(C.LINE_KEY))
 
 
 @query("b11_features_labels", f"SELECT rid, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, "
@@ -210,7 +210,7 @@ def b10_select_channels(spark, sf_dir):
 def b11_features_labels(spark, sf_dir):
     df, spec = C.dataset(spark, sf_dir, "lineitem")
     feats, label = B.features_labels(df, spec)
-    return df.select(*spec.order, *feats, label)
+    return df.select(*spec.key_cols(), *feats, label)
 
 
 def _events_pos(spark, sf_dir, name="events"):
@@ -284,7 +284,7 @@ _CH = list(C.LINE_CHANNELS)
     f"ELSE 1.0 END), 6) AS {c}" for c in _CH) + f" FROM ({O.LINEITEM})")
 def d2_standard_scale(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "lineitem")
-    return finish(D.standard_scale(df.select(*C.LINE_ORDER, *_CH), [], _CH))
+    return finish(D.standard_scale(df.select(*C.LINE_KEY, *_CH), [], _CH))
 
 
 _TRAIN_STATS = f"""(SELECT avg(value) AS m, CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1.0 END AS s
@@ -313,7 +313,7 @@ def d4_inverse_scale(spark, sf_dir):
     + f" FROM ({O.LINEITEM})")
 def d5_zscore_sample_drop_constant(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "lineitem")
-    d = df.select(*C.LINE_ORDER, *_CH, (F.col("l_tax") * 0.0).alias("l_flat"))
+    d = df.select(*C.LINE_KEY, *_CH, (F.col("l_tax") * 0.0).alias("l_flat"))
     out, _kept = D.zscore_sample_drop_constant(d, _CH + ["l_flat"])
     return finish(out)
 

@@ -27,6 +27,10 @@ class SeriesSpec:
     values: tuple = ("value",)
     label: str | None = "is_anomaly"
     rid: str = "rid"
+    row_key: tuple = ()       # columns identifying a row when ``rid`` alone does not
+
+    def key_cols(self) -> tuple:
+        return self.row_key or (self.rid,)
 
 
 def from_dict(cls, conf: dict):
