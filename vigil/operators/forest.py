@@ -151,22 +151,25 @@ def _model_arrays(nodes_pdf: pd.DataFrame):
 
 
 def path_lengths(x: np.ndarray, arrays) -> np.ndarray:
-    """Mean path length over trees for each row of x (all trees and rows at once)."""
+    """Mean path length over trees for each row of x (all trees and rows at once).
+
+    Node arrays are walked as flat vectors (index = tree * width + node), one
+    level of every tree per step, so the loop runs at most depth-limit times.
+    """
     feat, thr, left, right, leaf_len, present = arrays
-    trees = np.nonzero(present)[0]
-    n = x.shape[0]
-    node = np.zeros((n, len(trees)), dtype=np.int64)
-    tt = np.broadcast_to(trees, node.shape)
-    rows = np.broadcast_to(np.arange(n)[:, None], node.shape)
-    for _ in range(feat.shape[1]):
-        f = feat[tt, node]
+    width = feat.shape[1]
+    base = (np.nonzero(present)[0] * width)[None, :]
+    ff, tf, lf, rf, ll = feat.ravel(), thr.ravel(), left.ravel(), right.ravel(), leaf_len.ravel()
+    node = np.repeat(base, x.shape[0], axis=0)
+    for _ in range(width):
+        f = ff[node]
         inner = f >= 0
         if not inner.any():
             break
-        v = x[rows, np.where(inner, f, 0)]
-        nxt = np.where(v < thr[tt, node], left[tt, node], right[tt, node])
+        v = np.take_along_axis(x, np.where(inner, f, 0), axis=1)
+        nxt = np.where(v < tf[node], lf[node], rf[node]) + base
         node = np.where(inner, nxt, node)
-    return leaf_len[tt, node].mean(axis=1)
+    return ll[node].mean(axis=1)
 
 
 def iforest_score(df: DataFrame, nodes: DataFrame, psi: int, features: list[str], out: str = "score") -> DataFrame:

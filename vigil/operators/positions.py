@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.session import join_measured, materialize, shuffle_partitions
+from vigil.session import join_measured, materialize
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
@@ -42,9 +42,10 @@ def row_index(df: DataFrame, keys: list[str], order: list, out: str = "row_idx",
     ``order`` items are column names or sort Columns (e.g. ``F.col('s').desc()``).
     """
     keys = list(keys)
-    n_parts = partitions or shuffle_partitions(df.sparkSession)
     sort_key = [F.col(k) for k in keys] + _order_cols(order)
-    ranged = (df.repartitionByRange(n_parts, *sort_key)
+    # without an explicit count AQE may merge adjacent (still contiguous) ranges
+    ranger = df.repartitionByRange(partitions, *sort_key) if partitions else df.repartitionByRange(*sort_key)
+    ranged = (ranger
                 .sortWithinPartitions(*sort_key)
                 .withColumn("__mid", F.monotonically_increasing_id())
                 .withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS))
