@@ -116,19 +116,33 @@ def _block_topk(k: int, p: float, exclude_self: bool, key_names: list[str]):
         if p == 2:
             rsq = np.einsum("ij,ij->i", r, r)
             qsq = np.einsum("ij,ij->i", q, q)
+            r_order = np.argsort(rid, kind="stable")
+            r_sorted = rid[r_order]
             parts_q, parts_r = [], []
             step = max(1, 4_000_000 // max(1, r.shape[0]))   # bounded memory per chunk
             for s0 in range(0, q.shape[0], step):
-                sl = slice(s0, s0 + step)
-                approx = qsq[sl, None] + rsq[None, :] - 2.0 * (q[sl] @ r.T)
-                np.maximum(approx, 0.0, out=approx)
-                if exclude_self:
-                    approx[qid[sl, None] == rid[None, :]] = np.inf
-                kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-                tol = 1e-9 * np.maximum(kth, 0.0) + 1e-12 * (qsq[sl] + float(rsq.max()))
-                a, b = np.nonzero(np.isfinite(approx) & (approx <= (kth + tol)[:, None]))
-                parts_q.append(a + s0)
-                parts_r.append(b)
+                qs = qid[s0:s0 + step]
+                approx = q[s0:s0 + step] @ r.T          # squared distances, built in place
+                approx *= -2.0
+                approx += qsq[s0:s0 + step, None]
+                approx += rsq[None, :]
+                if exclude_self:   # each query's own column, found by id (no block-sized mask)
+                    at = np.minimum(np.searchsorted(r_sorted, qs), len(r_sorted) - 1)
+                    hit = r_sorted[at] == qs
+                    approx[np.nonzero(hit)[0], r_order[at[hit]]] = np.inf
+                best = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
+                kth = np.take_along_axis(approx, best, axis=1).max(axis=1)
+                tol = 1e-9 * np.abs(kth) + 1e-12 * (qsq[s0:s0 + step] + float(rsq.max()))
+                within = (approx <= (kth + tol)[:, None]).sum(axis=1)
+                plain = within <= kk                     # no near-tie beyond the k best
+                rows = np.nonzero(plain)[0]
+                parts_q.append(np.repeat(rows + s0, kk))
+                parts_r.append(best[rows].ravel())
+                tied = np.nonzero(~plain)[0]
+                if len(tied):                            # keep every near-tie; exact order decides
+                    a, b = np.nonzero(approx[tied] <= (kth[tied] + tol[tied])[:, None])
+                    parts_q.append(tied[a] + s0)
+                    parts_r.append(b)
             qi, ri = np.concatenate(parts_q), np.concatenate(parts_r)
             d = _exact_pair_distances(q, r, qi, ri)
         else:
