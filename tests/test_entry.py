@@ -7,9 +7,13 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
+# one or more queries from every SURVEY §2 area (the full set runs in scripts/compare.py)
 ORACLE_SAMPLE = ["knn_events_by_user_board", "f2_knn_1d_by_user", "f4_loop_by_user", "g3_auroc_weak",
                  "g7_threshold_sweep", "e5_reverse_windowing", "f19_knn_classify", "d9_score_percentile",
-                 "h3_grid_search_cv", "b12_row_index_global"]
+                 "h3_grid_search_cv", "b12_row_index_global", "a5_write_read_scores", "a8_leaderboard_upsert",
+                 "b8_label_by_intervals", "c4_split_tail_validation", "d5_zscore_sample_drop_constant",
+                 "e3_sequences", "f14_window_mae_channel", "g5_roc_curve", "g10_threshold_refine",
+                 "knn_job_from_config"]
 
 
 def test_entry_smoke(spark):
@@ -36,12 +40,12 @@ def _norm(v):
 @pytest.mark.parametrize("name", ORACLE_SAMPLE)
 def test_oracle_agreement_small(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
-    got = sorted(tuple(_norm(r[c]) for c in sorted(df.columns)) for r in df.collect())
+    got = sorted((tuple(_norm(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=repr)
     cur = duck.execute(E.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    want = sorted(tuple(_norm(float(r[i]) if hasattr(r[i], "as_integer_ratio") and not isinstance(r[i], int)
-                              else r[i]) for i in order) for r in cur.fetchall())
+    want = sorted((tuple(_norm(float(r[i]) if hasattr(r[i], "as_integer_ratio") and not isinstance(r[i], int)
+                               else r[i]) for i in order) for r in cur.fetchall()), key=repr)
     assert sorted(df.columns) == sorted(cols)
     assert got == want
 
