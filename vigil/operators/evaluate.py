@@ -86,7 +86,7 @@ def roc_curve(df: DataFrame, keys: list[str], score: str, label: str = "is_anoma
     per = df.groupBy(*keys, score).agg(F.sum(y).alias("__pos"), F.sum(F.lit(1) - y).alias("__neg"))
     ranked = row_index(per, keys, [F.col(score).desc()], "__i")
     cum = running_sum(ranked, keys, "__i", ["__pos", "__neg"])
-    tot = _g(per, keys).agg(F.sum("__pos").alias("__P"), F.sum("__neg").alias("__N"))
+    tot = _g(ranked, keys).agg(F.sum("__pos").alias("__P"), F.sum("__neg").alias("__N"))
     cum = attach_scalars(cum, tot, keys)
     pts = cum.select(*keys, F.col(score).alias("threshold"),
                      (F.col("__neg_cum") / F.col("__N")).alias("fpr"),

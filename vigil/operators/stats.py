@@ -100,7 +100,8 @@ def quantiles(df: DataFrame, keys: list[str], col: str, qs: list[float], rid: st
     base = df.select(*keys, col, tb.alias("__tb")).filter(F.col(col).isNotNull())
     order = [col, "__tb"]   # a tiebreak spreads a hot value over range partitions
     ranked = row_index(base, keys, order, "__qpos")
-    counts = (base.groupBy(*keys) if keys else base).agg(F.count(F.lit(1)).alias("__n"))
+    # counts from the written positions: the (possibly expensive) input is read once
+    counts = (ranked.groupBy(*keys) if keys else ranked).agg(F.count(F.lit(1)).alias("__n"))
     qdf = counts.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     h = F.col("q") * (F.col("__n") - 1).cast("double")
     qdf = qdf.withColumns({"__lo": F.floor(h).cast("bigint"), "__hi": F.ceil(h).cast("bigint"),

@@ -218,7 +218,7 @@ def f6_iforest_score(spark, sf_dir):
  (SELECT series_id, quantile_cont(score, 0.95) AS th FROM {O.knn_1d(EVU, 5)} GROUP BY series_id) t USING (series_id))""")
 def f7_contamination_label(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    s = NB.knn_score_1d(df, UK, "value", "rid", 5)
+    s = materialize(NB.knn_score_1d(df, UK, "value", "rid", 5), "knn-scores")
     return FL.contamination_label(s, UK, "score", 0.05).select("series_id", "rid", "flag")
 
 
@@ -388,5 +388,5 @@ def f17_flag_share(spark, sf_dir):
 @query("f18_flag_percentile", f"SELECT series_id, rid, flag FROM {O.percentile_flag(O.knn_1d(EVU, 5)[1:-1], 98.0)}")
 def f18_flag_percentile(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    s = NB.knn_score_1d(df, UK, "value", "rid", 5)
+    s = materialize(NB.knn_score_1d(df, UK, "value", "rid", 5), "knn-scores")
     return FL.flag_percentile(s, UK, "score", 98.0).select("series_id", "rid", "flag")
