@@ -69,3 +69,13 @@ def test_job_configs_produce_a_board_row(spark, conf):
     flagged, row = J.run_job(spark, SF_SMALL, conf)
     r = row.collect()
     assert len(r) == 1 and 0.0 <= r[0]["f1"] <= 1.0
+
+
+def test_intermediate_tables_live_in_the_checkpoint_folder(spark):
+    from vigil.session import checkpoint_dir, materialize
+    df = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id")
+    out = materialize(df, "probe")
+    files = out.inputFiles()
+    root = checkpoint_dir(spark).replace("file:", "")
+    assert files and all(root in f.replace("file:", "") for f in files)
+    assert out.count() == df.count()

@@ -101,8 +101,3 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, cols: list[str],
     d = join_measured(d, tot, keys + ["__b"])
     d = d.withColumns({f"{c}{suffix}": F.col(f"__in_{c}") + F.col(f"__o_{c}") for c in cols})
     return d.drop("__b", *[f"__in_{c}" for c in cols], *[f"__o_{c}" for c in cols])
-
-
-def positional_window(df: DataFrame, keys: list[str], pos: str, block: int = DEFAULT_BLOCK_ROWS):
-    """Window spec over (series, block) ordered by position, for use after ``with_halo``."""
-    return Window.partitionBy(*keys, "_blk").orderBy(pos)

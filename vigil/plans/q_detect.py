@@ -57,6 +57,13 @@ def e1_sliding_windows_global(spark, sf_dir):
     return _summary(W.sliding_windows(positioned(spark, sf_dir), GK, ["value"], 45, 1), by=False)
 
 
+@query("e1_sliding_windows_short", _win_sql(EV, 45, 1, by="").replace(
+    "WHERE full_marker IS NOT NULL", f"WHERE full_marker IS NOT NULL AND win_start < (SELECT count(*) FROM ({EV})) - 46"))
+def e1_sliding_windows_short(spark, sf_dir):
+    """E1 variant with one window fewer (n - w - p windows)."""
+    return _summary(W.sliding_windows(positioned(spark, sf_dir), GK, ["value"], 45, 1, short=True), by=False)
+
+
 @query("e2_sequences_with_next", _win_sql(EV, 24, 1, by=""))
 def e2_sequences_with_next(spark, sf_dir):
     return _summary(W.sequences_with_next(positioned(spark, sf_dir), GK, "value", 24), by=False)

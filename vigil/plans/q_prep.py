@@ -244,6 +244,12 @@ def c2_split_at(spark, sf_dir):
     return S.split_at(_events_pos(spark, sf_dir), 6000, reverse=True).select("rid", "is_train")
 
 
+@query("c2_split_at_forward", f"SELECT rid, CAST(row_idx < 4000 AS INTEGER) AS is_train FROM {O.with_pos(EV)}")
+def c2_split_at_forward(spark, sf_dir):
+    """Train on the first 4000 rows (the reversed variant is c2_split_at)."""
+    return S.split_at(_events_pos(spark, sf_dir), 4000).select("rid", "is_train")
+
+
 @query("c3_split_random")
 def c3_split_random(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
