@@ -245,10 +245,14 @@ def a11_model_roundtrip(spark, sf_dir):
 
 @query("f8_forecast_fit")
 def f8_forecast_fit(spark, sf_dir):
-    """Rows-only: Huber linear forecaster on 10 lags, trained on the first 75 % of the series."""
+    """Rows-only: Huber linear forecaster on 10 lags, trained on the first 75 % of the series,
+    saved and reloaded (A11) before its coefficients are reported."""
     p = positioned(spark, sf_dir, "events_collective")
     train = S.split_fraction(p, GK, 0.75).filter("is_train = 1")
-    m = FC.forecast_fit(train, GK, ["value"], 10)["value"]
+    from pyspark.ml.regression import LinearRegressionModel
+    fitted = FC.forecast_fit(train, GK, ["value"], 10)["value"]
+    path = output_dir(spark, "f8-model")
+    m = FS.load_ml_model(LinearRegressionModel, FS.save_ml_model(fitted, path))   # A11 round trip
     rows = [(i, float(c)) for i, c in enumerate(m.coefficients.toArray())] + [(-1, float(m.intercept))]
     return spark.createDataFrame(rows, "lag_index int, coefficient double")
 

@@ -77,3 +77,8 @@ def save_ml_model(model, path: str) -> str:
     """A11 for pyspark.ml models (forecasters, PCA)."""
     model.write().overwrite().save(path)
     return path
+
+
+def load_ml_model(model_cls, path: str):
+    """Restore a pyspark.ml model saved by ``save_ml_model`` (pass its class)."""
+    return model_cls.load(path)
