@@ -101,3 +101,9 @@ def test_erf_matches_math(spark):
     got = [r[0] for r in df.select(erf("x")).collect()]
     for x, g in zip(xs, got):
         assert abs(g - math.erf(x)) < 2e-7
+
+
+def test_degenerate_series_give_nulls_not_errors(spark):
+    df = _series(spark, [0, 0, 0])
+    assert [r["value"] for r in D.max_normalise(df, [], "value").collect()] == [None] * 3
+    assert [r["value"] for r in D.standardised_error(df, [], "value").collect()] == [None] * 3

@@ -126,13 +126,14 @@ def max_normalise(df: DataFrame, keys: list[str], col: str, out: str | None = No
     g = df.groupBy(*keys) if keys else df
     m = g.agg(F.max(col).alias("__max"))
     d = _attach(df, m, keys)
-    return d.withColumn(out or col, F.col(col) / F.col("__max")).drop("__max")
+    # a zero maximum gives null (ANSI division would raise)
+    return d.withColumn(out or col, F.try_divide(F.col(col), F.col("__max"))).drop("__max")
 
 
 def standardised_error(df: DataFrame, keys: list[str], col: str, out: str | None = None) -> DataFrame:
     """|x - mean| / sample std per series."""
     d = _attach(df, moments(df, keys, [col], sample=True), keys)
-    z = F.abs(F.col(col) - F.col(f"{col}__mean")) / F.col(f"{col}__std")
+    z = F.try_divide(F.abs(F.col(col) - F.col(f"{col}__mean")), F.col(f"{col}__std"))   # constant -> null
     return d.withColumn(out or col, z).drop(f"{col}__mean", f"{col}__std")
 
 
