@@ -107,3 +107,12 @@ def test_degenerate_series_give_nulls_not_errors(spark):
     df = _series(spark, [0, 0, 0])
     assert [r["value"] for r in D.max_normalise(df, [], "value").collect()] == [None] * 3
     assert [r["value"] for r in D.standardised_error(df, [], "value").collect()] == [None] * 3
+
+
+def test_single_class_roc_and_lonely_row_loop(spark):
+    one = spark.createDataFrame([(0, 0.2), (0, 0.4)], "is_anomaly int, score double")
+    pts = G.roc_curve(one, [], "score").filter("point > 0").collect()
+    assert all(r["tpr"] is None for r in pts)
+    lonely = spark.createDataFrame([(7, 1, 1.0), (8, 2, 1.0), (8, 3, 4.0)], "series_id long, rid long, value double")
+    s = {r["rid"]: r["score"] for r in NB.loop_1d(lonely, ["series_id"], "value", "rid", k=1).collect()}
+    assert set(s) == {1, 2, 3} and s[1] is None and s[2] is not None

@@ -89,8 +89,8 @@ def roc_curve(df: DataFrame, keys: list[str], score: str, label: str = "is_anoma
     tot = _g(ranked, keys).agg(F.sum("__pos").alias("__P"), F.sum("__neg").alias("__N"))
     cum = attach_scalars(cum, tot, keys)
     pts = cum.select(*keys, F.col(score).alias("threshold"),
-                     (F.col("__neg_cum") / F.col("__N")).alias("fpr"),
-                     (F.col("__pos_cum") / F.col("__P")).alias("tpr"),
+                     F.try_divide(F.col("__neg_cum"), F.col("__N")).alias("fpr"),   # one class -> null
+                     F.try_divide(F.col("__pos_cum"), F.col("__P")).alias("tpr"),
                      (F.col("__i") + 1).alias("point"))
     start = tot.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
                        F.lit(0.0).alias("tpr"), F.lit(0).cast("bigint").alias("point"))

@@ -241,21 +241,23 @@ def loop_from_lists(lists: DataFrame, keys: list[str], rid: str = "rid", extent:
     """LoOP from per-row neighbour arrays ``nbrs`` (struct d, nid), k per row."""
     keys = list(keys)
     ext = F.lit(float(extent))
-    msq = F.aggregate("nbrs", F.lit(0.0), lambda a, x: a + x["d"] * x["d"]) / F.size("nbrs")
+    msq = F.try_divide(F.aggregate("nbrs", F.lit(0.0), lambda a, x: a + x["d"] * x["d"]), F.size("nbrs"))
     pd_ = lists.select(*keys, rid, "nbrs", (ext * F.sqrt(msq)).alias("pdist"))
     pd_ = materialize(pd_, "loop-pdist")
     nb = pd_.select(*keys, rid, F.explode(F.col("nbrs")["nid"]).alias("nid"))
     nb = nb.join(pd_.select(*keys, F.col(rid).alias("nid"), F.col("pdist").alias("__npd")), keys + ["nid"])
     ev = nb.groupBy(*keys, rid).agg(F.avg("__npd").alias("__ev"))
-    pl = pd_.select(*keys, rid, "pdist").join(ev, keys + [rid])
+    pl = pd_.select(*keys, rid, "pdist").join(ev, keys + [rid], "left")   # no neighbours: kept, score null
     denom = F.when(F.col("__ev") == 0, F.lit(1e-8)).otherwise(F.col("__ev"))
     pl = pl.withColumn("plof", F.col("pdist") / denom - F.lit(1.0))
     g = pl.groupBy(*keys) if keys else pl
     npl = g.agg((ext * F.sqrt(F.avg(F.col("plof") * F.col("plof")))).alias("nplof"))
     pl = attach_scalars(pl, npl, keys)
-    val = F.when(F.col("nplof") > 0,
-                 F.greatest(F.lit(0.0), erf(F.col("plof") / (F.col("nplof") * F.lit(math.sqrt(2.0))))))
-    return pl.select(*keys, rid, F.coalesce(val, F.lit(0.0)).alias(out))
+    val = (F.when(F.col("plof").isNull(), F.lit(None).cast("double"))
+            .when(F.col("nplof") > 0,
+                  F.greatest(F.lit(0.0), erf(F.col("plof") / (F.col("nplof") * F.lit(math.sqrt(2.0))))))
+            .otherwise(F.lit(0.0)))
+    return pl.select(*keys, rid, val.alias(out))
 
 
 def loop_1d(df, keys, value, rid, k=20, extent=3, block=DEFAULT_BLOCK_ROWS, out="score"):
