@@ -116,3 +116,9 @@ def test_single_class_roc_and_lonely_row_loop(spark):
     lonely = spark.createDataFrame([(7, 1, 1.0), (8, 2, 1.0), (8, 3, 4.0)], "series_id long, rid long, value double")
     s = {r["rid"]: r["score"] for r in NB.loop_1d(lonely, ["series_id"], "value", "rid", k=1).collect()}
     assert set(s) == {1, 2, 3} and s[1] is None and s[2] is not None
+
+
+def test_multid_knn_keeps_short_series(spark):
+    df = spark.createDataFrame([(1, 1, [0.0]), (2, 2, [0.0]), (2, 3, [2.0])], "series_id long, rid long, vec array<double>")
+    s = {r["rid"]: r["score"] for r in NB.knn_score(df, ["series_id"], "rid", "vec", 1).collect()}
+    assert s == {1: None, 2: 2.0, 3: 2.0}

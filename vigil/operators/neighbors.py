@@ -212,9 +212,13 @@ def kth_distance(edges: DataFrame, keys: list[str], rid: str, k: int, out: str =
 
 def knn_score(df: DataFrame, keys: list[str], rid: str, vec: str, k: int, p: float = 2.0,
               block_rows: int = 4096, out: str = "score") -> DataFrame:
-    """exact k-th neighbour distance for vector rows (self excluded)."""
+    """exact k-th neighbour distance for vector rows (self excluded).
+
+    Rows with fewer than k other rows in their series are kept with a null score.
+    """
     e = knn_edges(df, df, keys, rid, vec, k, p, block_rows)
-    return kth_distance(e, keys, rid, k, out)
+    rows = df.select(*[F.col(c).alias(c) for c in keys], F.col(rid).alias(rid))
+    return rows.join(kth_distance(e, keys, rid, k, out), list(keys) + [rid], "left")
 
 
 # ------------------------------------------------------------------- F4
