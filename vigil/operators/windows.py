@@ -28,6 +28,8 @@ def sliding_windows(df: DataFrame, keys: list[str], values: list[str], window: i
 
     ``short`` drops the last window (the reference variant with n-w-p).
     Output: keys, win_start, window (array), target (array; empty if p=0).
+    A window touching a null value is not full and is left out (the
+    reference drops null rows before windowing, B5).
     """
     keys = list(keys)
     span = window + horizon
