@@ -122,3 +122,15 @@ def test_multid_knn_keeps_short_series(spark):
     df = spark.createDataFrame([(1, 1, [0.0]), (2, 2, [0.0]), (2, 3, [2.0])], "series_id long, rid long, vec array<double>")
     s = {r["rid"]: r["score"] for r in NB.knn_score(df, ["series_id"], "rid", "vec", 1).collect()}
     assert s == {1: None, 2: 2.0, 3: 2.0}
+
+
+def test_intervals_across_midnight(spark):
+    from vigil.operators import series as B
+    rows = spark.createDataFrame([(1, "2024-01-01 23:50:00"), (2, "2024-01-02 00:05:00"), (3, "2024-01-02 00:30:00"),
+                                  (4, "2024-01-03 12:00:00")], "rid long, t string").selectExpr(
+        "rid", "cast(t as timestamp_ntz) as ts")
+    iv = spark.createDataFrame([("2024-01-01 23:45:00", "2024-01-02 00:10:00"),
+                                ("2024-01-03 11:00:00", "2024-01-03 12:00:00")], "s string, e string").selectExpr(
+        "cast(s as timestamp_ntz) as start", "cast(e as timestamp_ntz) as end")
+    got = {r["rid"]: r["is_anomaly"] for r in B.label_by_intervals(rows, "ts", iv).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 1}
