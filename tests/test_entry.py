@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from vigil.plans import registry
 
 # one or more queries from every SURVEY §2 area (the full set runs in scripts/compare.py)
 ORACLE_SAMPLE = ["knn_events_by_user_board", "f2_knn_1d_by_user", "f4_loop_by_user", "g3_auroc_weak",
@@ -25,7 +26,8 @@ def test_entry_smoke(spark):
 def test_every_query_is_registered_with_an_oracle_or_rows_only():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
-    rows_only = set(qs) - set(sqls)
+    rows_only = set(registry.QUERIES) - set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(qs)
     assert rows_only <= {"c3_split_random", "f5_iforest_fit", "f6_iforest_score", "a11_model_roundtrip",
                          "f8_forecast_fit", "f9_forecast_predict", "f12_reconstruct_fit",
                          "f13_reconstruct_predict", "h2_param_sample", "f3_knn_wide_exact", "f8_forecast_fit_gbt"}
