@@ -55,3 +55,36 @@ def drop_table(df: DataFrame) -> None:
 
 def as_text(c) -> F.Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def map_text(docs: DataFrame, kernel: Callable, fields: list[tuple[str, str]], keep: list[str], text: str = "text",
+             slice_bytes: int | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` plus what ``kernel(bytes, offsets)`` computes for each row's whole text.
+
+    ``kernel`` gets one slice of neighbouring rows and returns one Arrow array (or numpy array) per field.
+    """
+    import pyarrow as pa
+
+    from vigil.llm.text import SLICE_BYTES, slices
+    src = docs.select(*keep, *([] if text in keep else [text]))
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*((k, kinds[k]) for k in keep), *fields])
+    names = [*keep, *(n for n, _ in fields)]
+    most = slice_bytes or SLICE_BYTES
+
+    def run(batches):
+        for batch in batches:
+            for i, j, buf, offs in slices(batch, text, most):
+                new = kernel(buf, offs)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).slice(i, j - i) for k in keep),
+                     *(c if isinstance(c, pa.Array) else pa.array(c) for c in new)], names=names)
+    return src.mapInArrow(run, schema)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores behind it where an input column already has it (Spark ignores case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

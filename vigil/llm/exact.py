@@ -28,33 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.base import drop_table, query, table, write_table
-from vigil.llm.text import NOT_SPACE, count_by_row, slices
+from vigil.llm.base import drop_table, map_text, query, table, write_table
+from vigil.llm.text import NOT_SPACE, count_by_row
 
 FIRST_DIGIT = 64      # bytes of the first digit
 GROWTH = 8            # each digit is so many times wider than the last
 
 
-def _normalise(batches):
-    """(doc_id, text) -> code points of the text, its bytes without space characters and their SHA-256."""
-    for batch in batches:
-        for i, j, buf, offs in slices(batch):
-            keep = NOT_SPACE[buf]
-            ends = np.zeros(j - i + 1, np.int64)
-            np.cumsum(count_by_row(keep, offs), out=ends[1:])
-            body = buf[keep].tobytes()
-            points = count_by_row((buf & 0xC0) != 0x80, offs)
-            sha = [hashlib.sha256(body[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(i, j - i), pa.array(points), pa.array(np.diff(ends)), pa.array(sha, pa.string()),
-                pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(body)]).cast(pa.binary())],
-                names=["doc_id", "n_points", "n_bytes", "text_sha256", "body"])
+def _normalise(buf, offs):
+    """Code points of each text, size and SHA-256 of its bytes without space characters, and those bytes."""
+    keep = NOT_SPACE[buf]
+    ends = np.zeros(len(offs), np.int64)
+    np.cumsum(count_by_row(keep, offs), out=ends[1:])
+    body = buf[keep].tobytes()
+    sha = [hashlib.sha256(body[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    bodies = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sha), [None, pa.py_buffer(ends), pa.py_buffer(body)])
+    return [count_by_row((buf & 0xC0) != 0x80, offs), np.diff(ends), pa.array(sha, pa.string()), bodies.cast(pa.binary())]
 
 
 def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select("doc_id", "text").mapInArrow(
-        _normalise, "doc_id long, n_points long, n_bytes long, text_sha256 string, body binary")
+    rows = map_text(docs, _normalise, [("n_points", "long"), ("n_bytes", "long"), ("text_sha256", "string"),
+                                       ("body", "binary")], ["doc_id"])
     rows = write_table(rows.withColumn("rid", F.monotonically_increasing_id()), "exact-rows")
     slim = rows.select("rid", "doc_id", "text_sha256")
     active = rows.select("rid", F.lit(0).cast("long").alias("gid"), "doc_id", "n_points", "n_bytes", "body")
