@@ -1,4 +1,4 @@
 """All registered queries of the subpackage (importing a module registers its queries)."""
 
-from vigil.llm import decontam, exact, langid, license, mixing, simhash, tokens, warc  # noqa: F401
+from vigil.llm import decontam, exact, langid, license, mixing, simhash, spans, tokens, warc  # noqa: F401
 from vigil.llm.base import ORACLES, QUERIES  # noqa: F401

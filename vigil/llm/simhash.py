@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.base import fresh, map_text, partitions, query, table, write_table
 from vigil.llm.components import components
-from vigil.llm.text import LOWER, NOT_SPACE, word_spans
+from vigil.llm.text import LOWER, NOT_SPACE, join_words, word_spans
 
 SHINGLE = 3
 SEED = 42
@@ -51,16 +51,13 @@ def _shingles(buf, offs, n):
     words = np.diff(first)
     if not len(starts):
         return np.zeros(0, np.uint64), words
-    size = ends - starts
-    at = np.concatenate([[0], np.cumsum(size + 1)])
-    joined = np.full(at[-1], 0x20, np.uint8)
-    joined[np.arange(size.sum()) + np.repeat(at[:-1] - np.cumsum(size) + size, size)] = low[NOT_SPACE[low]]
-    begin, stop = at[:-1], at[:-1] + size
+    data, at = join_words(low, starts, ends)
+    begin, stop = at[:-1], at[1:] - 1
     count = np.where(words >= n, words - n + 1, np.minimum(words, 1))
     row = np.repeat(np.arange(len(words)), count)
     head = first[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     tail = np.minimum(head + n, first[1:][row]) - 1
-    data, xx = joined.tobytes(), xxhash.xxh64_intdigest
+    xx = xxhash.xxh64_intdigest
     h = np.fromiter((xx(data[a:b], SEED) for a, b in zip(begin[head].tolist(), stop[tail].tolist())), np.uint64, len(head))
     return h, count
 

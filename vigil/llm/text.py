@@ -129,3 +129,14 @@ def count_by_row(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
     c = np.zeros(len(mask) + 1, np.int64)
     np.cumsum(mask, out=c[1:])
     return c[first[1:]] - c[first[:-1]]
+
+
+def join_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words as bytes, one blank behind each, and every word's start there (one entry more than words)."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(at[-1], 0x20, np.uint8)
+    n = np.arange(size.sum())
+    before = np.cumsum(size) - size
+    out[n + np.repeat(at[:-1] - before, size)] = buf[n + np.repeat(starts - before, size)]
+    return out.tobytes(), at
