@@ -271,3 +271,57 @@ def test_predictions_ignore_lang_source_and_id(spark, documents):
     a = rows(langid.identify(documents, model, ["doc_id"]), "doc_id", "lang_pred", "score")
     b = rows(langid.identify(other, model, ["doc_id"]).withColumn("doc_id", F.col("doc_id") - 10_000), "doc_id", "lang_pred", "score")
     assert a == b
+
+
+# -- 10 and 2: repeated windows
+
+def _tangle(seed, n=60):
+    """Texts cut and pasted from few sources, with repeats inside and between them."""
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice(["ab", "c", "dé", "the", "x" * 9, "q\n"]) + str(rng.randrange(40)) for _ in range(120)) for _ in range(5)]
+    out = []
+    for i in range(n):
+        parts = []
+        for _ in range(rng.randrange(0, 4)):
+            p = rng.choice(pool)
+            a = rng.randrange(len(p))
+            parts.append(p[a:a + rng.randrange(1, 400)])
+        out.append((i * 3, rng.choice([" ", "", " z "]).join(parts)))
+    return out + [(1000, "a" * 450), (1001, "a" * 250), (1002, "ab" * 200), (40, "a" * 99), (41, None), (1003, pool[0] + pool[0]), (1003, pool[0] + pool[0]), (1003, pool[1] + pool[0])]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shared_word_windows(spark, edge, seed):
+    from vigil.llm import spans
+    docs = spark.createDataFrame(_tangle(seed), "doc_id long, text string").repartition(7).unionByName(edge.select("doc_id", "text"))
+    out = spans.remove_shared_windows(docs, with_text=True)
+    assert rows(out, "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.shared_windows(pairs(docs)))
+    assert all(brute.sha(r["kept"]) == r["kept_sha256"] for r in out.collect())
+
+
+@pytest.mark.parametrize("seed,reduced", [(1, False), (2, False), (3, True)])
+def test_repeated_byte_strings(spark, edge, seed, reduced, monkeypatch):
+    from vigil.llm import suffixes
+    if reduced:
+        monkeypatch.setattr(suffixes, "COLLECTION", 300)
+    docs = spark.createDataFrame(_tangle(seed), "doc_id long, text string").repartition(7).unionByName(edge.select("doc_id", "text"))
+    out = suffixes.remove_repeated_bytes(docs, with_bytes=True)
+    assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(brute.repeated_bytes(pairs(docs)))
+    assert all(brute.sha(bytes(r["kept"])) == r["kept_sha256"] for r in out.collect())
+
+
+def test_repeats_in_empty_tables(empty):
+    from vigil.llm import spans, suffixes
+    assert spans.remove_shared_windows(empty).count() == 0 and suffixes.remove_repeated_bytes(empty).count() == 0
+
+
+def test_column_wise_order_is_the_suffix_order():
+    import numpy as np
+    from vigil.llm.bwt import sorted_suffixes
+    rng = random.Random(3)
+    for alphabet in (b"abc", bytes([0, 7, 255])):
+        for _ in range(60):
+            ss = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(0, 12))) for _ in range(rng.randrange(1, 12))]
+            ends = np.r_[0, np.cumsum([len(s) for s in ss])].astype(np.int64)
+            who, at = sorted_suffixes(np.frombuffer(b"".join(ss), np.uint8), ends, 2)
+            assert [ss[w][a:] for w, a in zip(who, at)] == sorted(s[i:] for s in ss for i in range(len(s) - 1))

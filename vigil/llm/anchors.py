@@ -44,7 +44,7 @@ def identity(h: np.ndarray, n: int) -> np.ndarray:
 
 def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary array whose i-th entry holds values[ends[i]:ends[i + 1]]."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 def expand(ends: np.ndarray, take: np.ndarray) -> np.ndarray:

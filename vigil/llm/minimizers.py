@@ -37,10 +37,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def pieces(buf: np.ndarray, offs: np.ndarray, window: int, k: int):
-    """(hash, row, start, n) of every run of windows sharing one minimizer occurrence; starts are within the row."""
+    """(hash, row, start, n, off) of every run of n windows sharing one minimizer occurrence, off bytes behind start in the row."""
     none = np.zeros(0, np.int64)
     if len(buf) < window:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     h = gram_hash(buf, k)
     # order by the hash's high bits, then by place, which also tells the winner's place
     low = np.uint64((1 << 64 - _ORDER_BITS) - 1)
@@ -51,4 +51,4 @@ def pieces(buf: np.ndarray, offs: np.ndarray, window: int, k: int):
     new = np.r_[True, (at[1:] != at[:-1]) | ~inside[:-1] | (row[1:] != row[:-1])]
     begin = np.flatnonzero(new & inside)
     closed = np.flatnonzero(np.r_[new[1:] | ~inside[1:], True] & inside)
-    return h[at[begin]], row[begin], begin - offs[:-1][row[begin]], closed - begin + 1
+    return h[at[begin]], row[begin], begin - offs[:-1][row[begin]], closed - begin + 1, at[begin] - begin
