@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vigil.llm.base import fresh, query, table
 
 SEED = "mix-1"
-SMOOTHING = 0.5       # default target weight of a source: its size to this power
+SMOOTHING = 0.7       # default target weight of a source: its size to this power
 EPOCHS = 1.0          # expected size of the result, in sizes of the input
 PART_MEAN = 500.0
 
@@ -88,7 +88,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 @query("op3_poisson_mixing", """
 WITH RECURSIVE s AS (SELECT source, CAST(sum(length(text)) AS DOUBLE) AS size FROM documents GROUP BY 1),
-r AS (SELECT source, (SELECT sum(size) FROM s) * (sqrt(size) / (SELECT sum(sqrt(size)) FROM s)) / size AS rate FROM s),
+r AS (SELECT source, (SELECT sum(size) FROM s) * (pow(size, 0.7) / (SELECT sum(pow(size, 0.7)) FROM s)) / size AS rate FROM s),
 c(source, rate, k, p, cdf) AS (SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
   UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM c WHERE k < rate + 12 * sqrt(rate) + 30),
 u AS (SELECT *, CAST(('0x' || substr(md5('mix-1:' || doc_id || ':1'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
