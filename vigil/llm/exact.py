@@ -60,7 +60,8 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
         groups = (digit.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
                   .filter("n > 1"))
         groups = write_table(groups.withColumn("new_gid", F.monotonically_increasing_id()), "exact-groups")
-        split = digit.join(groups, ["gid", "digit", "ended"]).select(
+        # always by sorted merge: with a broadcast at small sizes only, the plan would change as the input grows
+        split = digit.join(groups.hint("merge"), ["gid", "digit", "ended"]).select(
             "rid", F.col("new_gid").alias("gid"), "doc_id", "n_points", "n_bytes", "ended", "n",
             F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"),
             F.when(~F.col("ended"), F.col("body")).alias("body"))
