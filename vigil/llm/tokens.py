@@ -24,7 +24,9 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -43,7 +45,7 @@ SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 16 << 10
 BLOCK_BYTES = 1 << 20        # compressed bytes after which a block is closed
 LEVEL = 3
-WORD_CACHE = 300_000         # distinct words a worker remembers
+WORD_CACHE = 300_000         # distinct words in each of the two generations a worker remembers
 
 # The splitting rule of the byte-level tokenizer, with its letter and number classes
 # spelled out for the characters of _PLAIN (printable ASCII, tab, line ends, Latin-1 and Latin Extended letters).
@@ -51,6 +53,9 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 _PLAIN = re.compile("[^\\x20-\\x7e\\t\\n\\r¡-¬®-ɏ]")
 _SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
+# Byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for characters from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -58,6 +63,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Words(dict):
+    """Word -> packed ids; a missing word is encoded once.  When full, the older half is forgotten."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word) or self.encode(word)
+        if len(self) >= WORD_CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Texts -> little-endian id arrays, with a word cache."""
 
@@ -66,31 +87,32 @@ class Encoder:
         self.tk = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if max(self.tk.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.words: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.end = self.pack([end_id])
+        self.words = Words(self._word)
         # only a byte-level splitter with this rule may be replaced by _SPLIT
-        import json
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.split = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
                       and not spec.get("normalizer"))
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one split word, straight from the library's model (no second splitting)."""
+        return self.pack([t.id for t in self.tk.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
+
     def pack(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text and the end id."""
-        plain = [self.split and not _PLAIN.search(t) and not any(s in t for s in self.special) for t in texts]
-        parts = [_SPLIT.findall(t) if p else None for t, p in zip(texts, plain)]
-        if len(self.words) > WORD_CACHE:
-            self.words = {}
-        new = list(set().union(*(p for p in parts if p)) - self.words.keys()) if any(plain) else []
-        for w, e in zip(new, self.tk.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = self.pack(e.ids)
-        whole = iter(self.tk.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
-        get = self.words.__getitem__
-        return [(b"".join(map(get, p)) if p is not None else self.pack(next(whole).ids)) + self.end for p in parts]
+        get, out = self.words.__getitem__, []
+        for t in texts:
+            if self.split and not _PLAIN.search(t) and not any(s in t for s in self.special):
+                out.append(b"".join(map(get, _SPLIT.findall(t))) + self.end)
+            else:
+                out.append(self.pack(self.tk.encode(t, add_special_tokens=False).ids) + self.end)
+        return out
 
 
 _encoders: dict = {}
