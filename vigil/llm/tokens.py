@@ -89,7 +89,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if max(self.tk.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = self.pack([end_id])
-        self.words = Words(self._word)
+        self.model, self.words = self.tk.model, Words(self._word)
         # only a byte-level splitter with this rule may be replaced by _SPLIT
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -99,7 +99,7 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one split word, straight from the library's model (no second splitting)."""
-        return self.pack([t.id for t in self.tk.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
+        return self.pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
 
     def pack(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
