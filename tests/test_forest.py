@@ -21,11 +21,32 @@ def test_forest_scores_range_repeatability_and_quality(spark):
     assert G.auroc(s1, [], "score").head()["auroc"] > 0.9
 
 
-def test_forest_respects_tree_sample_size(spark):
+def test_every_tree_gets_exactly_its_sample_and_nodes_add_up(spark):
     df, spec = C.dataset(spark, SF_SMALL, "lineitem")
-    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), list(spec.values), n_trees=10, max_samples=64, seed=1)
-    roots = nodes.filter("node = 0").select("size").collect()
-    assert psi == 64 and all(r["size"] <= 64 for r in roots) and len(roots) == 10
+    for kw in ({"max_samples": 64}, {"max_samples": 0.3, "n_trees": 3}, {"max_samples": 50, "bootstrap": True, "max_features": 0.5}):
+        nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), list(spec.values), **{"n_trees": 10, "seed": 1} | kw)
+        want = int(kw["max_samples"]) if kw["max_samples"] > 1 else int(kw["max_samples"] * df.count())
+        t = nodes.toPandas()
+        assert psi == want and (t[t.node == 1]["size"] == psi).all() and (t.node == 1).sum() == kw.get("n_trees", 10)
+        size = {(a, b): c for a, b, c in zip(t.tree, t.node, t["size"])}
+        limit = int(t.depth.max())
+        for r in t.itertuples():
+            if r.feature >= 0:
+                assert size.get((r.tree, r.left), 0) + size.get((r.tree, r.right), 0) == r.size
+            else:
+                assert r.size == 1 or r.depth == limit or kw.get("max_features")
+        if kw.get("max_features"):
+            assert t[t.feature >= 0].groupby("tree").feature.nunique().max() <= 2
+
+
+def test_scores_do_not_depend_on_tree_chunks(spark):
+    df, spec = C.dataset(spark, SF_SMALL, "lineitem")
+    feats = list(spec.values)
+    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), feats, n_trees=6, max_samples=32, seed=3)
+    rows = df.select(*C.LINE_KEY, *feats).limit(500)
+    a = {tuple(r)[:3]: round(r["score"], 9) for r in FR.iforest_score(rows, nodes, psi, feats).collect()}
+    b = {tuple(r)[:3]: round(r["score"], 9) for r in FR.iforest_score(rows, nodes, psi, feats, chunk_nodes=50).collect()}
+    assert a == b and len(set(a.values())) > 10
 
 
 def test_forecasters_predict_every_row_with_history(spark):

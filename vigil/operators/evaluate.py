@@ -4,6 +4,10 @@ Rank statistics are computed from distributed positions (no global window):
 AUROC is the Mann-Whitney statistic with mid-ranks for ties, the ROC curve
 uses two-level running sums, and threshold sweeps map every score to the
 last grid level it passes (O(n + T) instead of one pass per level).
+
+One rule for rows without a score or flag (short series, null values), in every
+metric here: they count as *not flagged* -- a missed positive (fn) or a true
+negative (tn) -- and rank below every scored row.  No row leaves a count.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ def _g(df, keys):
     return df.groupBy(*keys) if keys else df
 
 
+def _is_one(col: str):
+    return F.coalesce(F.col(col) == 1, F.lit(False))
+
+
 def tiebreak(df: DataFrame, rid: str | None = "rid"):
     """A deterministic secondary sort key so equal scores spread over range partitions.
 
@@ -33,8 +41,8 @@ def tiebreak(df: DataFrame, rid: str | None = "rid"):
 
 
 def confusion(df: DataFrame, keys: list[str], label: str = "is_anomaly", flag: str = "flag") -> DataFrame:
-    """G1: tp, fp, fn, tn per group."""
-    l, f = F.col(label) == 1, F.col(flag) == 1
+    """G1: tp, fp, fn, tn per group (a null flag is not flagged, a null label not anomalous)."""
+    l, f = _is_one(label), _is_one(flag)
     return _g(df, keys).agg(F.count_if(l & f).alias("tp"), F.count_if(~l & f).alias("fp"),
                             F.count_if(l & ~f).alias("fn"), F.count_if(~l & ~f).alias("tn"))
 
@@ -60,6 +68,7 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: str = "is_anomaly")
     """Area under the ROC curve as a rank statistic (ties count 1/2).
 
     AUC = (sum of positive mid-ranks - P(P+1)/2) / (P N); null for one class.
+    Rows without a score share the lowest rank.
     """
     keys = list(keys)
     base = df.select(*keys, score, F.col(label).cast("long").alias("__y"), tiebreak(df).alias("__tb"))
@@ -186,19 +195,20 @@ def combined_metric(df: DataFrame, f1: str = "f1", auc: str = "auroc") -> DataFr
 def label_agreement(df: DataFrame, rid: str = "rid", label: str = "is_anomaly", flag: str = "flag",
                     keys: list[str] = ()) -> DataFrame:
     """Rows where flags and labels disagree, with which side flagged them."""
-    bad = df.filter(F.col(label) != F.col(flag))
-    kind = F.when(F.col(flag) == 1, F.lit("flagged_not_labelled")).otherwise(F.lit("labelled_not_flagged"))
+    bad = df.filter(_is_one(label) != _is_one(flag))
+    kind = F.when(_is_one(flag), F.lit("flagged_not_labelled")).otherwise(F.lit("labelled_not_flagged"))
     return bad.select(*keys, rid, kind.alias("disagreement"))
 
 
 def accuracy(df: DataFrame, keys: list[str], pred: str, label: str) -> DataFrame:
-    """Share of correct class predictions."""
-    return _g(df, keys).agg(F.avg((F.col(pred) == F.col(label)).cast("double")).alias("accuracy"))
+    """Share of correct class predictions (no prediction is a wrong one)."""
+    right = F.coalesce(F.col(pred) == F.col(label), F.lit(False))
+    return _g(df, keys).agg(F.avg(right.cast("double")).alias("accuracy"))
 
 
 def point_categories(df: DataFrame, label: str = "is_anomaly", flag: str = "flag", out: str = "category"):
     """The data behind each scatter: tp / fp / fn / tn per point."""
-    l, f = F.col(label) == 1, F.col(flag) == 1
+    l, f = _is_one(label), _is_one(flag)
     cat = (F.when(l & f, "true_positive").when(~l & f, "false_positive")
             .when(l & ~f, "false_negative").otherwise("true_negative"))
     return df.withColumn(out, cat)

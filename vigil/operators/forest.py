@@ -1,20 +1,25 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) on Spark.
 
+Every random choice is a hash (``hash_unit``: leading hex digits of an MD5) of
+seed, tree, node or row key, so a forest is a pure function of its input and
+can be computed by any engine, under any partitioning.
+
 Fit
-  1. One hash per row keeps a pool of ~c*psi*T rows (a filter at the scan).
-  2. Inside the pool, each tree takes rows whose per-tree hash falls below a
-     rate giving ~c*psi candidates; the psi with the smallest hashes are its
-     sample.  A uniform sample of a uniform sample is uniform, and the whole
-     draw is a pure function of (row key, tree, seed): repeatable whatever
-     the partitioning.
-  3. ``groupBy('tree').applyInPandas`` grows each tree from its own sample
-     (bounded: ~c*psi rows per group) into a node table
-     (tree, node, feature, threshold, left, right, size, depth) — the model.
+  1. One hash per row keeps a pool of about twice the rows all trees need.
+  2. Tree t's sample is exactly the psi rows of the pool with the smallest
+     hash of (seed, t, key); rows are first filtered by a rate at which a tree
+     gets at least psi candidates but for odds below 1e-14, and if one still
+     has too few, the rate is lifted to 1.
+  3. All trees grow together, level by level: per (tree, node) the least and
+     greatest value of every feature (one aggregation with map-side combine), a
+     hash picks a non-constant feature and a threshold between them, and rows
+     move down by a join on (tree, node).  No task ever holds a tree's sample,
+     so psi may be any number or fraction of the rows.
 
 Score
-  The node table has at most T*(2*psi-1) rows (a bound fixed by the
-  parameters), so it is shipped to every task; ``mapInPandas`` walks all
-  trees for a whole Arrow batch at once: 2^(-E[h(x)]/c(psi)).
+  The node table has at most T*(2*psi-1) rows.  It is shipped to the tasks in
+  chunks of whole trees of about ``CHUNK_NODES`` nodes, one pass per chunk;
+  each pass adds its trees' path lengths.  Score = 2^(-E[h(x)]/c(psi)).
 """
 
 from __future__ import annotations
@@ -23,24 +28,26 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.session import materialize, spread
-from vigil.spec import ForestConfig
 
-OVERSAMPLE = 2.0
-# The node table is shipped to every task; trees x (2 psi - 1) must stay below this.
-MAX_NODES = 50_000_000
+#: Nodes of the trees a task holds at a time when scoring (at least one tree).
+CHUNK_NODES = 2_000_000
 EULER_GAMMA = 0.5772156649015329
+NODE_COLUMNS = ("tree", "node", "feature", "threshold", "left", "right", "size", "depth")
+
+
+def hash_unit(*parts) -> F.Column:
+    """52 bits of the MD5 of the colon-joined parts, as a number in [0, 1)."""
+    cols = [p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
-NODE_SCHEMA = T.StructType([
-    T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
-    T.StructField("feature", T.IntegerType()), T.StructField("threshold", T.DoubleType()),
-    T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
-    T.StructField("size", T.IntegerType()), T.StructField("depth", T.IntegerType()),
-])
+
+def _feature_subset(n_features: int, max_features: float) -> int:
+    return max(1, int(round(max_features * n_features))) if max_features <= 1 else min(n_features, int(max_features))
 
 
 def c_factor(n) -> np.ndarray:
@@ -53,148 +60,152 @@ def c_factor(n) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int, feats: np.ndarray) -> list[tuple]:
-    """Grow one isolation tree; returns node rows (node, feature, thr, left, right, size, depth)."""
-    nodes: list[list] = []
-    stack = [(np.arange(x.shape[0]), 0, -1, 0)]  # (rows, depth, parent, side)
-    while stack:
-        idx, depth, parent, side = stack.pop()
-        me = len(nodes)
-        nodes.append([me, -1, 0.0, -1, -1, int(len(idx)), depth])
-        if parent >= 0:
-            nodes[parent][3 + side] = me
-        if depth >= limit or len(idx) <= 1:
-            continue
-        sub = x[idx][:, feats]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        ok = np.nonzero(hi > lo)[0]
-        if len(ok) == 0:
-            continue
-        j = ok[rng.integers(len(ok))]
-        thr = rng.uniform(lo[j], hi[j])
-        f = int(feats[j])
-        nodes[me][1], nodes[me][2] = f, float(thr)
-        go_left = x[idx, f] < thr
-        stack.append((idx[~go_left], depth + 1, me, 1))
-        stack.append((idx[go_left], depth + 1, me, 0))
-    return [tuple(n) for n in nodes]
-
-
-def _builder(features: list[str], psi: int, seed: int, max_features: float, bootstrap: bool):
-    limit = max(1, int(math.ceil(math.log2(max(psi, 2)))))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["__h", "__rid"]).head(psi)
-        x = pdf[features].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, tree])
-        if bootstrap and len(x):
-            x = x[rng.integers(0, len(x), len(x))]
-        n_f = len(features)
-        k = max(1, int(round(max_features * n_f))) if max_features <= 1 else min(n_f, int(max_features))
-        feats = np.sort(rng.choice(n_f, size=k, replace=False)) if k < n_f else np.arange(n_f)
-        rows = _grow(x, rng, limit, feats)
-        out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
-        out.insert(0, "tree", tree)
-        return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32",
-                           "right": "int32", "size": "int32", "depth": "int32"})
-    return build
+def sample_rows(df: DataFrame, rid, features: list[str], n_trees: int, psi: int, n: int, seed: int) -> DataFrame:
+    """(tree, place, x): exactly psi rows per tree, place 0 to psi - 1 by hash."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ([rid] if isinstance(rid, str) else rid)])
+    base = df.select(key.alias("__key"), *[F.col(c).cast("double").alias(c) for c in features])
+    rate = min(1.0, (2.0 * psi * n_trees + 1000.0) / max(n, 1))
+    pool = base if rate >= 1.0 else base.filter(hash_unit(seed, "pool", F.col("__key")) < F.lit(rate))
+    pool = materialize(pool, "forest-pool")
+    n_pool = pool.count()
+    if n_pool < psi:
+        pool, n_pool = base, n
+    need = min(1.0, (psi + 8.0 * math.sqrt(psi) + 32.0) / max(n_pool, 1))
+    order = Window.partitionBy("tree").orderBy("__h", "__key", *features)
+    for limit in dict.fromkeys((need, 1.0)):
+        trees = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                            lambda t: F.struct(t.alias("tree"), hash_unit(seed, t, F.col("__key")).alias("h")))
+        drawn = pool.withColumn("d", F.explode(F.filter(trees, lambda s: s["h"] < F.lit(limit))))
+        drawn = drawn.select(F.col("d.tree").alias("tree"), F.col("d.h").alias("__h"), "__key", *features)
+        ranked = drawn.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < psi)
+        sample = materialize(ranked.select("tree", "place", F.array(*features).alias("x")), "forest-sample")
+        short = sample.groupBy("tree").count().agg(F.min("count"), F.count(F.lit(1))).first()
+        if tuple(short) == (psi, n_trees):
+            break
+    return sample
+
+
+def _decide(stats: DataFrame, level: int, limit: int, n_features: int, subset: int, seed: int) -> DataFrame:
+    """Feature and threshold of every node of one level (feature -1: a leaf)."""
+    idx = F.sequence(F.lit(0), F.lit(n_features - 1))
+    if subset < n_features:          # the tree's own features: those with the smallest hashes
+        ordered = F.array_sort(F.transform(idx, lambda f: F.struct(hash_unit(seed, "features", F.col("tree"), f).alias("h"), f.alias("f"))))
+        idx = F.transform(F.slice(ordered, 1, subset), lambda s: s["f"])
+    split = F.array_sort(F.filter(idx, lambda f: F.element_at("hi", f + 1) > F.element_at("lo", f + 1)))
+    out = stats.withColumn("__split", split)
+    n = F.size("__split")
+    pick = F.floor(hash_unit(seed, "feature", F.col("tree"), F.col("node")) * n).cast("int")
+    inner = (F.col("size") > 1) & (n > 0) & F.lit(level < limit)
+    out = out.withColumn("feature", F.when(inner, F.element_at("__split", pick + 1)).otherwise(F.lit(-1)))
+    lo, hi = (F.element_at(c, F.col("feature") + 1) for c in ("lo", "hi"))
+    thr = F.when(inner, lo + hash_unit(seed, "threshold", F.col("tree"), F.col("node")) * (hi - lo)).otherwise(F.lit(0.0))
+    none = F.lit(-1).cast("long")
+    return out.select("tree", "node", "feature", thr.alias("threshold"), F.when(inner, 2 * F.col("node")).otherwise(none).alias("left"),
+                      F.when(inner, 2 * F.col("node") + 1).otherwise(none).alias("right"), "size", F.lit(level).alias("depth"))
 
 
 def iforest_fit(df: DataFrame, rid, features: list[str], n_trees: int = 100, max_samples: float = 256,
                 seed: int = 42, max_features: float = 1.0, bootstrap: bool = False,
-                max_psi: int = ForestConfig.max_psi, n_rows: int | None = None) -> tuple[DataFrame, int]:
-    """returns (node table, psi).  ``max_samples`` <= 1 is a fraction of the rows.
+                n_rows: int | None = None) -> tuple[DataFrame, int]:
+    """returns (node table, psi).  ``max_samples`` <= 1 is a fraction of the rows; never cut.
 
-    ``rid`` names the row key: one column, or a list of columns that together
-    identify a row (their 64-bit hash is the sampling key).
+    ``rid`` names the row key: one column, or the columns that together identify a row.  Nodes are
+    numbered like a heap: the root is 1, node i's children are 2i and 2i + 1.
     """
     n = n_rows if n_rows is not None else df.count()
     psi = int(max_samples * n) if max_samples <= 1 else int(max_samples)
-    psi = max(2, min(psi, n, max_psi))
-    if n_trees * (2 * psi - 1) > MAX_NODES:
-        raise ValueError(f"{n_trees} trees of {psi} samples exceed the model bound of {MAX_NODES} nodes")
-    r1 = min(1.0, OVERSAMPLE * psi * n_trees / max(n, 1))
-    r2 = min(1.0, OVERSAMPLE * psi / max(n * r1, 1.0))
-    scale = float(2 ** 31)
-    unit = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(2 ** 31)).cast("double") / F.lit(scale)
-    key = F.col(rid) if isinstance(rid, str) else F.xxhash64(*[F.col(c) for c in rid])
-    pool = df.select(key.alias("__rid"), *[F.col(c).cast("double").alias(c) for c in features])
-    pool = pool.filter(unit(F.col("__rid"), F.lit(seed)) < F.lit(r1))
-    member = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                      lambda t: unit(F.col("__rid"), t, F.lit(seed + 1)) < F.lit(r2))
-    sampled = (pool.withColumn("tree", F.explode(member))
-                   .withColumn("__h", F.xxhash64(F.col("__rid"), F.col("tree"), F.lit(seed + 2))))
-    nodes = sampled.groupBy("tree").applyInPandas(_builder(features, psi, seed, max_features, bootstrap),
-                                                  NODE_SCHEMA)
-    # the node table is the model: write it once so scoring never refits
-    return materialize(nodes, "forest-nodes"), psi
+    psi = max(2, min(psi, n))
+    limit = max(1, int(math.ceil(math.log2(psi))))
+    rows = sample_rows(df, rid, features, n_trees, psi, n, seed)
+    if bootstrap:                    # psi draws with replacement from the tree's own sample
+        draws = rows.select("tree", F.floor(hash_unit(seed, "draw", F.col("tree"), F.col("place")) * psi).cast("int").alias("place"))
+        rows = draws.join(rows, ["tree", "place"])
+    rows = rows.select("tree", F.lit(1).cast("long").alias("node"), "x")
+    subset, levels = _feature_subset(len(features), max_features), []
+    for level in range(limit + 1):
+        extremes = [F.array(*[f(F.element_at("x", i + 1)) for i in range(len(features))]).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+        stats = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"), *extremes)
+        nodes = materialize(_decide(stats, level, limit, len(features), subset, seed), "forest-level")
+        levels.append(nodes)
+        if level == limit:
+            break
+        inner = nodes.filter("feature >= 0").select("tree", "node", "feature", "threshold")
+        down = rows.join(inner, ["tree", "node"])
+        child = 2 * F.col("node") + (F.element_at("x", F.col("feature") + 1) >= F.col("threshold")).cast("long")
+        rows = materialize(down.select("tree", child.alias("node"), "x"), "forest-rows")
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.select(*NODE_COLUMNS), psi
 
 
 def _model_arrays(nodes_pdf: pd.DataFrame):
-    n_trees = int(nodes_pdf["tree"].max()) + 1
-    width = int(nodes_pdf["node"].max()) + 1
-    feat = np.full((n_trees, width), -1, dtype=np.int64)
-    thr = np.zeros((n_trees, width))
-    left = np.zeros((n_trees, width), dtype=np.int64)
-    right = np.zeros((n_trees, width), dtype=np.int64)
-    leaf_len = np.zeros((n_trees, width))
-    t, nd = nodes_pdf["tree"].to_numpy(), nodes_pdf["node"].to_numpy()
-    feat[t, nd] = nodes_pdf["feature"].to_numpy()
-    thr[t, nd] = nodes_pdf["threshold"].to_numpy()
-    left[t, nd] = nodes_pdf["left"].to_numpy()
-    right[t, nd] = nodes_pdf["right"].to_numpy()
-    leaf_len[t, nd] = nodes_pdf["depth"].to_numpy() + c_factor(nodes_pdf["size"].to_numpy())
-    present = np.zeros(n_trees, dtype=bool)
-    present[np.unique(t)] = True
-    return feat, thr, left, right, leaf_len, present
+    """Flat arrays of some trees: roots, and per node feature, threshold, child places and leaf path length."""
+    t = nodes_pdf.sort_values(["tree", "node"]).reset_index(drop=True)
+    tree, node = t["tree"].to_numpy(), t["node"].to_numpy()
+    place = pd.Series(np.arange(len(t)), index=pd.MultiIndex.from_arrays([tree, node]))
+    # a side that no sampled row took is an empty leaf, one level down
+    spare = len(t) + np.arange(len(t))
+    left, right = (np.where(t["feature"] >= 0, place.reindex(pd.MultiIndex.from_arrays([tree, t[side]])).fillna(-1).astype(int), 0) for side in ("left", "right"))
+    left, right = np.where(left < 0, spare, left), np.where(right < 0, spare, right)
+    pad = lambda x, fill: np.concatenate([x, fill])
+    nothing = np.zeros(len(t), dtype=int)
+    depth, size = t["depth"].to_numpy(), t["size"].to_numpy()
+    return (np.flatnonzero(node == 1), pad(t["feature"].to_numpy(), nothing - 1), pad(t["threshold"].to_numpy(), nothing.astype(float)),
+            pad(left, nothing), pad(right, nothing), pad(depth + c_factor(size), depth + 1.0))
 
 
 def path_lengths(x: np.ndarray, arrays) -> np.ndarray:
-    """Mean path length over trees for each row of x (all trees and rows at once).
-
-    Node arrays are walked as flat vectors (index = tree * width + node), one
-    level of every tree per step, so the loop runs at most depth-limit times.
-    """
-    feat, thr, left, right, leaf_len, present = arrays
-    width = feat.shape[1]
-    base = (np.nonzero(present)[0] * width)[None, :]
-    ff, tf, lf, rf, ll = feat.ravel(), thr.ravel(), left.ravel(), right.ravel(), leaf_len.ravel()
-    node = np.repeat(base, x.shape[0], axis=0)
-    for _ in range(width):
-        f = ff[node]
+    """Summed path length over the trees of ``arrays`` for each row of x (one level of every tree per step)."""
+    roots, feat, thr, left, right, leaf_len = arrays
+    node = np.repeat(roots[None, :], x.shape[0], axis=0)
+    while True:
+        f = feat[node]
         inner = f >= 0
         if not inner.any():
-            break
+            return leaf_len[node].sum(axis=1)
         v = np.take_along_axis(x, np.where(inner, f, 0), axis=1)
-        nxt = np.where(v < tf[node], lf[node], rf[node]) + base
-        node = np.where(inner, nxt, node)
-    return ll[node].mean(axis=1)
+        node = np.where(inner, np.where(v < thr[node], left[node], right[node]), node)
 
 
-def iforest_score(df: DataFrame, nodes: DataFrame, psi: int, features: list[str], out: str = "score") -> DataFrame:
+def iforest_score(df: DataFrame, nodes: DataFrame, psi: int, features: list[str], out: str = "score",
+                  partitions: int | None = None, chunk_nodes: int = CHUNK_NODES) -> DataFrame:
     """anomaly score 2^(-E[h]/c(psi)) in (0, 1); larger = more anomalous.
 
-    The node table is collected once — its size is bounded by trees x
-    (2 psi - 1) <= MAX_NODES, checked when the forest was fitted — and
-    shipped to the tasks as a broadcast variable.
+    The trees are sent to the tasks in chunks of whole trees of about ``chunk_nodes`` nodes.  Rows with
+    a null feature keep a null score.  ``partitions`` spreads an input of few scan splits.
     """
     spark = df.sparkSession
-    arrays = _model_arrays(nodes.toPandas())
-    if not df.isStreaming:
-        df = spread(df)
-    bc = spark.sparkContext.broadcast(arrays)
+    sizes = nodes.groupBy("tree").count().orderBy("tree").collect()          # one number per tree
+    if not sizes:
+        return df.withColumn(out, F.lit(None).cast("double"))
     norm = float(c_factor(np.array([psi]))[0]) or 1.0
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-
-    def score(batches):
-        arr = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{out: pd.Series([], dtype=float)})
-                continue
-            x = pdf[features].to_numpy(dtype=float)
-            h = path_lengths(x, arr)
-            yield pdf.assign(**{out: np.power(2.0, -h / norm)})
-
-    return df.mapInPandas(score, schema)
+    n_trees, total = len(sizes), "__path"
+    if not df.isStreaming:
+        df = spread(df, partitions)
+    state = df.withColumn(total, F.lit(0.0))
+    chunk, held, chunks = [], 0, []
+    for r in sizes:
+        if chunk and held + r["count"] > chunk_nodes:
+            chunks.append(chunk)
+            chunk, held = [], 0
+        chunk, held = [*chunk, r["tree"]], held + r["count"]
+    chunks.append(chunk)
+    for trees in chunks:
+        arrays = spark.sparkContext.broadcast(_model_arrays(nodes.filter(F.col("tree").between(trees[0], trees[-1])).toPandas()))
+
+        def add(batches, arrays=arrays):
+            for pdf in batches:
+                x = pdf[features].to_numpy(dtype=float)
+                known = ~np.isnan(x).any(axis=1)
+                path = np.full(len(pdf), np.nan)
+                step = max(1, 4_000_000 // len(arrays.value[0]))               # rows x trees held at once
+                at = np.flatnonzero(known)
+                for s in range(0, len(at), step):
+                    path[at[s:s + step]] = path_lengths(x[at[s:s + step]], arrays.value)
+                yield pdf.assign(**{total: pdf[total] + path})
+        state = state.mapInPandas(add, state.schema)
+        if len(chunks) > 1 and not state.isStreaming:
+            state = materialize(state, "forest-paths")
+    score = F.pow(F.lit(2.0), -F.col(total) / F.lit(n_trees * norm))
+    return state.withColumn(out, F.when(~F.isnan(total) & F.col(total).isNotNull(), score)).drop(total)

@@ -25,6 +25,9 @@ from vigil.functions.columns import erf
 from vigil.operators.positions import DEFAULT_BLOCK_ROWS, row_index, with_halo
 from vigil.session import attach_scalars, materialize
 
+#: Rows per block of vectors: two blocks and their distances fit a task comfortably.
+DEFAULT_VECTOR_BLOCK = 4096
+
 # ---------------------------------------------------------------- 1-D (F2)
 
 
@@ -54,13 +57,19 @@ def knn_1d_candidates(df: DataFrame, keys: list[str], value: str, rid: str, k: i
 
 def knn_score_1d(df: DataFrame, keys: list[str], value: str, rid: str, k: int,
                  block: int = DEFAULT_BLOCK_ROWS, out: str = "score", carry: tuple = ()) -> DataFrame:
-    """distance to the k-th nearest other row (null if the series is too short).
+    """distance to the k-th nearest other row.
 
-    ``carry`` names extra columns (e.g. the label) passed through unchanged.
+    Every row stays: the score is null if the series is too short or the row has no value (such rows
+    are nobody's neighbours).  ``carry`` names extra columns (e.g. the label) passed through unchanged.
     """
     c = knn_1d_candidates(df, keys, value, rid, k, block, carry)
     kth = F.when(F.size("nbrs") >= k, F.element_at("nbrs", k)["d"])
-    return c.select(*keys, rid, *carry, kth.alias(out))
+    return c.select(*keys, rid, *carry, kth.alias(out)).unionByName(_valueless(df, [*keys, rid, *carry], value, out))
+
+
+def _valueless(df: DataFrame, cols: list[str], value: str, out: str) -> DataFrame:
+    """Rows without a value, with a null score."""
+    return df.filter(F.col(value).isNull()).select(*cols, F.lit(None).cast("double").alias(out))
 
 
 def edges_1d(df, keys, value, rid, k, block=DEFAULT_BLOCK_ROWS) -> DataFrame:
@@ -169,7 +178,7 @@ def _block_topk(k: int, p: float, exclude_self: bool, key_names: list[str]):
 
 
 def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, vec: str, k: int,
-              p: float = 2.0, block_rows: int = 4096, exclude_self: bool = True) -> DataFrame:
+              p: float = 2.0, block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True) -> DataFrame:
     """Exact k nearest references of every query row: (keys, rid, nid, d, rank).
 
     Per series, rows are dealt to nb = ceil(n_ref / block_rows) hashed
@@ -211,7 +220,7 @@ def kth_distance(edges: DataFrame, keys: list[str], rid: str, k: int, out: str =
 
 
 def knn_score(df: DataFrame, keys: list[str], rid: str, vec: str, k: int, p: float = 2.0,
-              block_rows: int = 4096, out: str = "score") -> DataFrame:
+              block_rows: int = DEFAULT_VECTOR_BLOCK, out: str = "score") -> DataFrame:
     """exact k-th neighbour distance for vector rows (self excluded).
 
     Rows with fewer than k other rows in their series are kept with a null score.
@@ -268,10 +277,10 @@ def loop_1d(df, keys, value, rid, k=20, extent=3, block=DEFAULT_BLOCK_ROWS, out=
     c = knn_1d_candidates(df, keys, value, rid, k, block)
     lists = c.select(*keys, rid, F.transform("nbrs", lambda x: F.struct(x["d"].alias("d"),
                                                                        x["nid"].alias("nid"))).alias("nbrs"))
-    return loop_from_lists(lists, keys, rid, extent, out)
+    return loop_from_lists(lists, keys, rid, extent, out).unionByName(_valueless(df, [*keys, rid], value, out))
 
 
-def loop_vec(df, keys, rid, vec, k=20, extent=3, block_rows=4096, out="score"):
+def loop_vec(df, keys, rid, vec, k=20, extent=3, block_rows=DEFAULT_VECTOR_BLOCK, out="score"):
     return loop_from_edges(knn_edges(df, df, keys, rid, vec, k, 2.0, block_rows), keys, rid, extent, out)
 
 
@@ -279,7 +288,7 @@ def loop_vec(df, keys, rid, vec, k=20, extent=3, block_rows=4096, out="score"):
 
 
 def knn_classify(train: DataFrame, test: DataFrame, keys: list[str], rid: str, vec: str, label: str,
-                 k: int, p: float = 2.0, block_rows: int = 4096, out: str = "pred") -> DataFrame:
+                 k: int, p: float = 2.0, block_rows: int = DEFAULT_VECTOR_BLOCK, out: str = "pred") -> DataFrame:
     """majority label of the k nearest training rows (ties -> smallest label)."""
     keys = list(keys)
     e = knn_edges(test, train, keys, rid, vec, k, p, block_rows, exclude_self=False)

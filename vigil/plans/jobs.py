@@ -99,7 +99,7 @@ def run_job(spark, sf_dir: str, conf: dict) -> tuple[DataFrame, DataFrame]:
         cfg = from_dict(ForestConfig, conf)
         feats = list(spec.values)
         nodes, psi = FR.iforest_fit(df, list(spec.key_cols()), feats, cfg.n_trees, cfg.max_samples, cfg.seed,
-                                    max_psi=cfg.max_psi)
+                                    cfg.max_features, cfg.bootstrap)
         scored = materialize(FR.iforest_score(df.select(*keys, *spec.key_cols(), *feats, label), nodes, psi, feats),
                              "job-forest")
         flagged = FL.contamination_label(scored, keys, "score", contamination)

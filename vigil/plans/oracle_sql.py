@@ -28,6 +28,7 @@ LFLAG = f"(CASE WHEN l_orderkey % {PLANT_EVERY} = 0 THEN 1 ELSE 0 END)"
 LINEITEM = (f"SELECT CAST(0 AS BIGINT) AS series_id, l_orderkey * 8 + l_linenumber AS rid, l_partkey, l_suppkey, "
             f"l_quantity + {LINE_PLANT_SHIFT} * {LFLAG} AS l_quantity, l_extendedprice, l_discount, l_tax, "
             f"{LFLAG} AS is_anomaly FROM lineitem")
+LINEITEM_SRC = f"({LINEITEM})"
 EMBEDDINGS = ("SELECT CAST(0 AS BIGINT) AS series_id, vec_id AS rid, "
               "list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label AS class_label, "
               "CASE WHEN label = 0 THEN 1 ELSE 0 END AS is_anomaly FROM embeddings")
@@ -151,3 +152,59 @@ def windows(src: str, w: int, p: int, by: str = "series_id") -> str:
                sum(value) {frame} AS window_sum, value AS window_first,
                lead(value, {w - 1}) OVER ({part} ORDER BY row_idx) AS window_last,
                {tgt} AS target, {full} AS full_marker FROM {with_pos(src, by)})"""
+
+
+# ------------------------------------------------------------------ isolation forest
+
+
+def unit(*parts: str) -> str:
+    """The hash number of operators.forest.hash_unit: 52 bits of an MD5 as [0, 1)."""
+    return f"(CAST(('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def forest_ctes(src: str, key: list[str], feats: list[str], n_trees: int, psi: int, seed: int = 42) -> tuple[str, int]:
+    """CTEs of a whole forest (base, e0 .. eL hold the levels' nodes) and the last level."""
+    limit = max(1, (psi - 1).bit_length())
+    f, s = ", ".join(feats), f"'{seed}'"
+    k = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in key)
+    out = [f"base AS MATERIALIZED (SELECT *, {k} AS k, row_number() OVER () AS rowno FROM {src})",
+           f"pool AS MATERIALIZED (SELECT k, {f} FROM base WHERE {unit(s, chr(39) + 'pool' + chr(39), 'k')} < (2.0 * {psi} * {n_trees} + 1000.0) / (SELECT count(*) FROM base))",
+           f"""s0 AS MATERIALIZED (SELECT tree, CAST(1 AS BIGINT) AS node, {f} FROM (SELECT tree, {f},
+               row_number() OVER (PARTITION BY tree ORDER BY {unit(s, 'tree', 'k')}, k, {f}) AS rn
+               FROM pool, (SELECT unnest(range({n_trees})) AS tree)) WHERE rn <= {psi})"""]
+    for lv in range(limit + 1):
+        usable = ", ".join(f"CASE WHEN max({c}) > min({c}) THEN {i} END" for i, c in enumerate(feats))
+        out.append(f"""a{lv} AS MATERIALIZED (SELECT tree, node, count(*) AS size, [{', '.join(f'min({c})' for c in feats)}] AS lo,
+            [{', '.join(f'max({c})' for c in feats)}] AS hi, list_filter([{usable}], lambda x: x IS NOT NULL) AS c FROM s{lv} GROUP BY tree, node)""")
+        out.append(f"""d{lv} AS (SELECT *, CASE WHEN size > 1 AND len(c) > 0 AND {lv} < {limit}
+            THEN c[1 + CAST(floor({unit(s, "'feature'", 'tree', 'node')} * len(c)) AS INT)] ELSE -1 END AS feature FROM a{lv})""")
+        out.append(f"""e{lv} AS MATERIALIZED (SELECT CAST(tree AS INT) AS tree, node, feature,
+            CASE WHEN feature >= 0 THEN lo[feature + 1] + {unit(s, "'threshold'", 'tree', 'node')} * (hi[feature + 1] - lo[feature + 1]) ELSE 0.0::DOUBLE END AS threshold,
+            CASE WHEN feature >= 0 THEN 2 * node ELSE -1 END AS "left", CASE WHEN feature >= 0 THEN 2 * node + 1 ELSE -1 END AS "right",
+            size, {lv} AS depth FROM d{lv})""")
+        if lv < limit:
+            out.append(f"""s{lv + 1} AS MATERIALIZED (SELECT s.tree, 2 * s.node + CASE WHEN [{f}][e.feature + 1] >= e.threshold THEN 1 ELSE 0 END AS node, {f}
+                FROM s{lv} s JOIN e{lv} e ON s.tree = e.tree AND s.node = e.node WHERE e.feature >= 0)""")
+    return ", ".join(out), limit
+
+
+def forest_nodes(src, key, feats, n_trees, psi, seed=42) -> str:
+    ctes, limit = forest_ctes(src, key, feats, n_trees, psi, seed)
+    union = " UNION ALL ".join(f"SELECT * FROM e{lv}" for lv in range(limit + 1))
+    return f"""WITH {ctes} SELECT tree, node, feature, round(threshold, 6) AS threshold, "left", "right", size, depth FROM ({union})"""
+
+
+def forest_scores(src, key, feats, cols, n_trees, psi, seed=42) -> str:
+    """(cols, score): paths of all rows through the forest, one level per CTE."""
+    ctes, limit = forest_ctes(src, key, feats, n_trees, psi, seed)
+    f = ", ".join(feats)
+    c = lambda n: f"(CASE WHEN {n} > 2 THEN 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END)"
+    steps, ends = [f"w0 AS (SELECT rowno, tree, CAST(1 AS BIGINT) AS node, {f} FROM base, (SELECT unnest(range({n_trees})) AS tree))"], []
+    for lv in range(limit + 1):
+        steps.append(f"j{lv} AS MATERIALIZED (SELECT w.*, e.feature, e.threshold, e.size FROM w{lv} w LEFT JOIN e{lv} e ON w.tree = e.tree AND w.node = e.node)")
+        ends.append(f"SELECT rowno, {lv} + coalesce({c('size')}, 0.0) AS h FROM j{lv} WHERE coalesce(feature, -1) < 0")
+        if lv < limit:
+            steps.append(f"w{lv + 1} AS (SELECT rowno, tree, 2 * node + CASE WHEN [{f}][feature + 1] >= threshold THEN 1 ELSE 0 END AS node, {f} FROM j{lv} WHERE feature >= 0)")
+    paths = f"SELECT rowno, sum(h) AS h FROM ({' UNION ALL '.join(ends)}) GROUP BY rowno"
+    return f"""WITH {ctes}, {', '.join(steps)} SELECT {cols}, round(pow(2.0, -h / ({n_trees} * {c(float(psi))})), 6) AS score
+        FROM base JOIN ({paths}) USING (rowno)"""

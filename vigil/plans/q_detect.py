@@ -127,7 +127,7 @@ def e6_align_window_score(spark, sf_dir):
        "QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d DESC, nid DESC) = 1")
 def f1_knn_multid(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
-    return finish(NB.knn_score(df, GK, "rid", "vec", 11, block_rows=256).select("rid", "score"))
+    return finish(NB.knn_score(df, GK, "rid", "vec", 11).select("rid", "score"))
 
 
 @query("f1_knn_multid_manhattan", f"SELECT rid, {r6('d', 'score')} FROM "
@@ -135,7 +135,7 @@ def f1_knn_multid(spark, sf_dir):
        "QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d DESC, nid DESC) = 1")
 def f1_knn_multid_manhattan(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
-    return finish(NB.knn_score(df, GK, "rid", "vec", 5, p=1.0, block_rows=256).select("rid", "score"))
+    return finish(NB.knn_score(df, GK, "rid", "vec", 5, p=1.0).select("rid", "score"))
 
 
 def wide_knn(spark, sf_dir, k=11, block_rows=4096):
@@ -166,7 +166,7 @@ def f4_loop_by_user(spark, sf_dir):
        f"{O.loop_from_edges(O.edges_vec(O.EMBEDDINGS, O.EMBEDDINGS, 20))}")
 def f4_loop_multid(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
-    return finish(NB.loop_vec(df, GK, "rid", "vec", k=20, block_rows=256))
+    return finish(NB.loop_vec(df, GK, "rid", "vec", k=20))
 
 
 def _fold_split(spark, sf_dir):
@@ -194,7 +194,7 @@ def _ranked_edges_sql(q, r, k, p=2):
 def f19_knn_classify(spark, sf_dir):
     d = _fold_split(spark, sf_dir)
     test, train = d.filter(F.col("fold") == 0), d.filter(F.col("fold") != 0)
-    pred = NB.knn_classify(train, test, GK, "rid", "vec", "class_label", 5, block_rows=256)
+    pred = NB.knn_classify(train, test, GK, "rid", "vec", "class_label", 5)
     return pred.select("rid", "pred")
 
 
@@ -207,17 +207,36 @@ def _forest(spark, sf_dir, n_trees=100, psi=256):
     return df, spec, nodes, psi
 
 
-@query("f5_iforest_fit")
+FOREST = (O.LINEITEM_SRC, list(C.LINE_KEY), list(C.LINE_CHANNELS))
+
+
+@query("f5_iforest_fit", O.forest_nodes(*FOREST, 100, 256))
 def f5_iforest_fit(spark, sf_dir):
-    """Rows-only: node table (tree, node, feature, threshold, left, right, size, depth)."""
-    return _forest(spark, sf_dir)[2]
+    """Node table (tree, node, feature, threshold, left, right, size, depth) of 100 trees of 256 rows."""
+    return finish(_forest(spark, sf_dir)[2])
 
 
-@query("f6_iforest_score")
+@query("f6_iforest_score", O.forest_scores(*FOREST, ", ".join([*C.LINE_KEY, *C.LINE_CHANNELS, "is_anomaly"]), 100, 256))
 def f6_iforest_score(spark, sf_dir):
-    """Rows-only: isolation-forest score for every lineitem row."""
+    """Isolation-forest score for every lineitem row."""
     df, spec, nodes, psi = _forest(spark, sf_dir)
-    return FR.iforest_score(df.select(*C.LINE_KEY, *spec.values, "is_anomaly"), nodes, psi, list(spec.values))
+    scored = FR.iforest_score(df.select(*C.LINE_KEY, *spec.values, "is_anomaly"), nodes, psi, list(spec.values),
+                              partitions=shuffle_partitions(spark))
+    return scored.withColumn("score", F.round("score", 6))
+
+
+@query("h5_seeded", """SELECT * FROM (VALUES (1, CAST(0 AS BIGINT)), (2, CAST(0 AS BIGINT))) t(run, differing_nodes)""")
+def h5_seeded(spark, sf_dir):
+    """Equal seeds give equal forests under two other partitionings of the whole table: nodes that differ."""
+    df, spec = C.dataset(spark, sf_dir, "lineitem")
+    fit = lambda d: FR.iforest_fit(d, list(C.LINE_KEY), list(spec.values), n_trees=5, max_samples=64, seed=42)[0]
+    nodes, out = fit(df), None
+    for run, other in ((1, df.repartition(5)), (2, df.repartition(11, "l_partkey"))):
+        twin = fit(other)
+        diff = nodes.exceptAll(twin).unionByName(twin.exceptAll(nodes)).agg(F.count(F.lit(1)).alias("differing_nodes"))
+        diff = diff.select(F.lit(run).alias("run"), "differing_nodes")
+        out = diff if out is None else out.unionByName(diff)
+    return out
 
 
 @query("f7_contamination_label", f"""SELECT series_id, rid, flag FROM
@@ -229,15 +248,15 @@ def f7_contamination_label(spark, sf_dir):
     return FL.contamination_label(s, UK, "score", 0.05).select("series_id", "rid", "flag")
 
 
-@query("a11_model_roundtrip")
+@query("a11_model_roundtrip", O.forest_scores(*FOREST, ", ".join(C.LINE_KEY), 20, 64))
 def a11_model_roundtrip(spark, sf_dir):
-    """Rows-only: fit a forest, save its node table, load it back and score with the loaded model."""
-    df, spec, nodes, psi = _forest(spark, sf_dir, n_trees=50)
+    """Fit a forest, save its node table, load it back and score with the loaded model."""
+    df, spec, nodes, psi = _forest(spark, sf_dir, n_trees=20, psi=64)
     path = output_dir(spark, "a11-forest")
     FS.save_forest(nodes, psi, path)
     nodes2, psi2 = FS.load_forest(spark, path)
-    return FR.iforest_score(df.select(*C.LINE_KEY, *spec.values), nodes2, psi2, list(spec.values)) \
-        .select(*C.LINE_KEY, "score")
+    scored = FR.iforest_score(df.select(*C.LINE_KEY, *spec.values), nodes2, psi2, list(spec.values))
+    return scored.select(*C.LINE_KEY, F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ F (forecast / reconstruction)

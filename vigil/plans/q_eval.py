@@ -373,7 +373,7 @@ def h3_grid_search_cv(spark, sf_dir):
     refs = d.withColumn("fold", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col("fold"))))
     out = None
     for p in (1.0, 2.0):
-        e = NB.knn_edges(d, refs, ["fold"], "rid", "vec", max(_CV_KS), p, block_rows=256, exclude_self=False)
+        e = NB.knn_edges(d, refs, ["fold"], "rid", "vec", max(_CV_KS), p, exclude_self=False)
         lab = d.select(F.col("rid").alias("nid"), F.col("class_label").alias("__lab"))
         e = e.join(lab, "nid").withColumn("k", F.explode(F.array(*[F.lit(k) for k in _CV_KS])))
         e = e.filter(F.col("rank") <= F.col("k"))

@@ -9,10 +9,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names this process's written outputs, so that two runs on one shared folder keep apart.
+RUN_ID = uuid.uuid4().hex[:12]
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "vigil") -> SparkSession:
     """Session with the settings the engine relies on (AQE, UTC, Arrow)."""
@@ -44,9 +51,28 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per context): Arrow functions import it there.
+
+    The archive is written on the driver and served by Spark itself; executors need no install,
+    PYTHONPATH or shared folder for it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_vigil_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="vigil-package-"), "vigil.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(path)
+    sc._vigil_shipped = True
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -71,9 +97,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def output_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables, beside the checkpoints (shared storage)."""
+    """A folder of this run for written tables: under ``vigil.output.dir``, else beside the checkpoints (shared storage)."""
     base = spark.conf.get("vigil.output.dir", None) or os.path.join(checkpoint_dir(spark), "vigil-out")
-    return f"{base.rstrip('/')}/{name}"
+    return f"{base.rstrip('/')}/{RUN_ID}/{name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -83,22 +109,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     range partitioning sampled twice could differ); the files also survive
     the loss of the executors that computed them.
     """
-    import uuid
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vigil-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the input has fewer partitions.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Round-robin the rows over ``partitions`` tasks if a number is given, else leave them where they are.
 
-    For CPU-heavy per-row work (Arrow Python scoring).  A large input already
-    has thousands of scan splits and is returned unchanged (no shuffle).
+    For CPU-heavy per-row work on an input of few scan splits; the caller decides, nothing is measured.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(partitions) if partitions else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -60,7 +60,8 @@ class LoopConfig:
 class ForestConfig:
     n_trees: int = 100
     max_samples: float = 256   # rows per tree (<= 1.0 means a fraction of n)
-    max_psi: int = 65536       # cap so one tree's sample fits one task
+    max_features: float = 1.0  # features per tree (<= 1.0 means a fraction)
+    bootstrap: bool = False    # draw each tree's rows with replacement
     seed: int = 42
 
 
