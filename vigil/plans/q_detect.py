@@ -14,7 +14,7 @@ from vigil.operators import splits as S
 from vigil.operators import windows as W
 from vigil.plans import oracle_sql as O
 from vigil.plans.base import finish, query, r6
-from vigil.session import materialize, output_dir
+from vigil.session import materialize, output_dir, shuffle_partitions
 from vigil.sources import catalog as C
 from vigil.sources import files as FS
 
