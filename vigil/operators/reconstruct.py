@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.operators.splits import split_fraction
+from vigil.operators.stats import scale_apply, scale_fit
+from vigil.operators.windows import sliding_windows
+
 
 def flatten_window(df: DataFrame, col: str = "window", out: str = "flat") -> DataFrame:
     """Multichannel windows (array<array>) -> one flat array, channel-major."""
@@ -29,6 +33,14 @@ def flatten_window(df: DataFrame, col: str = "window", out: str = "flat") -> Dat
     return df.withColumn(out, F.col(col))
 
 
+def unflatten_window(df: DataFrame, channels: int, col: str = "recon", out: str = "recon_window") -> DataFrame:
+    """Inverse of ``flatten_window``: channel-major numbers -> one array of channel values per time step."""
+    steps = (F.size(col) / channels).cast("int")
+    back = F.transform(F.sequence(F.lit(0), steps - 1), lambda t: F.transform(
+        F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.element_at(col, (c * steps + t + 1).cast("int"))))
+    return df.withColumn(out, back)
+
+
 def reconstruct_fit(train: DataFrame, rank: int, col: str = "flat") -> dict:
     """mean and principal components of the training windows (the model)."""
     dim = len(train.select(col).head()[0])
@@ -70,3 +82,40 @@ def window_mae_channel(df: DataFrame, a: str = "window", b: str = "recon_window"
     per = F.transform(F.sequence(F.lit(0), n_ch - 1), lambda c: F.aggregate(
         F.zip_with(a, b, lambda x, y: F.abs(x[c] - y[c])), F.lit(0.0), lambda acc, v: acc + v) / F.size(a))
     return df.withColumn(out, per)
+
+
+def reconstruct_score(df: DataFrame, keys: list[str], values: list[str], window: int, rank: int, pos: str = "row_idx",
+                      train_fraction: float = 0.4) -> tuple[DataFrame, dict]:
+    """F12-F15 end to end: (keys, pos, score, channel_mae) per row behind its window, and the model.
+
+    Channels are scaled with the training rows' statistics (D3); windows inside the training rows fit the
+    model; every window is rebuilt, its mean absolute error (all channels, and per channel) belongs to the
+    row behind it (E6).
+    """
+    keys, values = list(keys), list(values)
+    marked = split_fraction(df.select(*keys, pos, *values), keys, train_fraction, pos)
+    scaled = scale_apply(marked, scale_fit(marked.filter("is_train = 1"), keys, values), keys, values)
+    w = flatten_window(sliding_windows(scaled, keys, values, window, 1, pos))
+    last = scaled.filter("is_train = 1").select(*keys, F.col(pos).alias("__end"))
+    # a training window ends on a training row
+    train = w.withColumn("__end", F.col("win_start") + F.lit(window - 1)).join(last, [*keys, "__end"])
+    model = reconstruct_fit(train, rank)
+    r = window_mae(reconstruct_predict(w, model), out="score")
+    if len(values) > 1:
+        r = window_mae_channel(unflatten_window(r, len(values)), "window", "recon_window", "channel_mae")
+    else:
+        r = r.withColumn("channel_mae", F.array("score"))
+    return r.select(*keys, (F.col("win_start") + F.lit(window)).alias(pos), "score", "channel_mae"), model
+
+
+def save_reconstruction(spark, model: dict, path: str) -> str:
+    """The mean vector and components as one Parquet row per position."""
+    rows = [(i, float(m), [float(x) for x in c]) for i, (m, c) in enumerate(zip(model["mean"], model["pc"]))]
+    spark.createDataFrame(rows, "position int, mean double, components array<double>").write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_reconstruction(spark, path: str) -> dict:
+    rows = spark.read.parquet(path).orderBy("position").collect()       # window x channels numbers
+    pc = np.array([r["components"] for r in rows])
+    return {"mean": np.array([r["mean"] for r in rows]), "pc": pc, "rank": pc.shape[1]}

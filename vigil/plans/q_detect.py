@@ -12,6 +12,7 @@ from vigil.operators import positions as P
 from vigil.operators import reconstruct as RC
 from vigil.operators import splits as S
 from vigil.operators import windows as W
+from vigil.plans import jobs as J
 from vigil.plans import oracle_sql as O
 from vigil.plans.base import finish, query, r6
 from vigil.session import materialize, output_dir, shuffle_partitions
@@ -420,3 +421,107 @@ def f18_flag_percentile(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
     s = materialize(NB.knn_score_1d(df, UK, "value", "rid", 5), "knn-scores")
     return FL.flag_percentile(s, UK, "score", 98.0).select("series_id", "rid", "flag")
+
+
+# ------------------------------------------------------------------ jobs, end to end
+
+
+def _board_sql(scored: str, name: str, title: str, level: float) -> str:
+    """Board row of scored rows (is_anomaly, score) flagged above a level; rows without a score rank lowest."""
+    flagged = f"(SELECT *, CASE WHEN score > {level} THEN 1 ELSE 0 END AS flag FROM {scored})"
+    return f"""WITH s AS MATERIALIZED (SELECT * FROM {flagged}),
+    c AS (SELECT count_if(is_anomaly = 1 AND flag = 1) AS tp, count_if(is_anomaly = 0 AND flag = 1) AS fp, count_if(is_anomaly = 1 AND flag = 0) AS fn FROM s),
+    r AS (SELECT is_anomaly, rank() OVER (ORDER BY coalesce(score, -1e300)) + (count(*) OVER (PARTITION BY coalesce(score, -1e300)) - 1) / 2.0 AS mid FROM s),
+    a AS (SELECT sum(CASE WHEN is_anomaly = 1 THEN mid END) AS w, CAST(count_if(is_anomaly = 1) AS DOUBLE) AS p, CAST(count_if(is_anomaly = 0) AS DOUBLE) AS n FROM r)
+    SELECT '{name}' AS dataset, '{title}' AS detector,
+      round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1,
+      round(CASE WHEN p > 0 AND n > 0 THEN (w - p * (p + 1) / 2) / (p * n) END, 6) AS auroc FROM c, a"""
+
+
+# least squares on one lag: slope and intercept of value on the value before, over the first 75 % of the rows
+ONE_LAG = f"""(WITH p AS MATERIALIZED (SELECT *, lag(value) OVER (ORDER BY row_idx) AS x FROM {O.with_pos(O.EVENTS_COLLECTIVE)}),
+    m AS (SELECT regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM p WHERE row_idx < (SELECT floor(0.75 * count(*)) FROM p) AND x IS NOT NULL),
+    e AS (SELECT row_idx - 1 AS win_start, abs(a + b * x - value) AS err FROM p, m WHERE x IS NOT NULL),
+    z AS (SELECT win_start, abs(err - avg(err) OVER ()) / stddev_samp(err) OVER () AS score FROM e),
+    r AS (SELECT p.row_idx, p.is_anomaly, avg(z.score) OVER (ORDER BY p.row_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s
+          FROM p LEFT JOIN z ON z.win_start = p.row_idx)
+    SELECT row_idx, is_anomaly, s / max(s) OVER () AS score FROM r)"""
+
+
+@query("job_forecast_one_lag", _board_sql(ONE_LAG, "events_collective", "DeeP-ANT", 0.3))
+def job_forecast_one_lag(spark, sf_dir):
+    """Trained forecaster (one lag, squared loss) from fit to board row."""
+    conf = {"dataset": "events_collective", "detector": "forecast", "model": "squared", "window": 1, "level": 0.3}
+    return finish(J.run_job(spark, sf_dir, conf)[1])
+
+
+# windows of two scaled values rebuilt from one component: the 2 x 2 covariance has its eigenvector in closed form
+WINDOW_TWO = f"""(WITH p AS MATERIALIZED (SELECT row_idx, is_anomaly, value FROM {O.with_pos(O.EVENTS_COLLECTIVE)}),
+    cut AS (SELECT floor(0.4 * count(*)) AS n FROM p),
+    st AS (SELECT avg(value) AS m, CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1.0 END AS s FROM p, cut WHERE row_idx < n),
+    w AS MATERIALIZED (SELECT * FROM (SELECT row_idx, (value - m) / s AS x, (lead(value) OVER (ORDER BY row_idx) - m) / s AS y,
+        lead(value, 2) OVER (ORDER BY row_idx) AS nxt FROM p, st) WHERE nxt IS NOT NULL),
+    c AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM w, cut WHERE row_idx + 1 < n),
+    v AS (SELECT *, ((a + d) + sqrt((a - d) * (a - d) + 4 * b * b)) / 2 AS l FROM c),
+    u AS (SELECT *, b / sqrt(b * b + (l - a) * (l - a)) AS v1, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS v2 FROM v),
+    e AS (SELECT row_idx + 2 AS row_idx, (abs(x - mx - v1 * (v1 * (x - mx) + v2 * (y - my))) + abs(y - my - v2 * (v1 * (x - mx) + v2 * (y - my)))) / 2 AS score FROM w, u)
+    SELECT p.row_idx, p.is_anomaly, e.score FROM p LEFT JOIN e USING (row_idx))"""
+
+
+@query("job_reconstruct_window_two", _board_sql(WINDOW_TWO, "events_collective", "LSTM-AE", 0.5))
+def job_reconstruct_window_two(spark, sf_dir):
+    """Reconstruction detector (window 2, one component) from scaling to board row."""
+    conf = {"dataset": "events_collective", "detector": "reconstruct", "window": 2, "rank": 1, "level": 0.5}
+    return finish(J.run_job(spark, sf_dir, conf)[1])
+
+
+@query("f13_reconstruct_window_two", f"SELECT row_idx, {r6('score', 'score')} FROM {WINDOW_TWO} WHERE score IS NOT NULL")
+def f13_reconstruct_window_two(spark, sf_dir):
+    """Rebuild error of every window of two scaled values."""
+    s, _ = RC.reconstruct_score(positioned(spark, sf_dir, "events_collective"), GK, ["value"], 2, 1)
+    return finish(s.select("row_idx", "score"))
+
+
+_BASE4 = O.with_pos(O.LINEITEM, order=_LI_ORDER)
+_MISS = " + ".join(f"power(lead({c}, 10) OVER o - avg({c}) OVER (ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), 2)" for c in C.LINE_CHANNELS)
+
+
+@query("f11_forecast_baseline_wide", f"""WITH e AS (SELECT win_start, err FROM (SELECT row_idx AS win_start, sqrt({_MISS}) AS err,
+    lead(row_idx, 10) OVER o AS full_marker FROM {_BASE4} WINDOW o AS (ORDER BY row_idx)) WHERE full_marker IS NOT NULL),
+z AS (SELECT win_start, abs(err - avg(err) OVER ()) / stddev_samp(err) OVER () AS score FROM e),
+r AS (SELECT p.row_idx, avg(z.score) OVER (ORDER BY p.row_idx ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS s FROM {_BASE4} p LEFT JOIN z ON z.win_start = p.row_idx)
+SELECT row_idx, round(s / max(s) OVER (), 6) AS score FROM r""")
+def f11_forecast_baseline_wide(spark, sf_dir):
+    """Baseline forecast over all four lineitem channels together."""
+    df, spec = C.dataset(spark, sf_dir, "lineitem")
+    return finish(FC.forecast_baseline_score(P.row_index(df, GK, list(spec.order)), GK, list(spec.values), 10))
+
+
+# series with missing values and series of one row: scores are null there, and every metric keeps the rows
+SPARSE = """(SELECT CASE WHEN event_id % 53 = 7 THEN -event_id ELSE user_id END AS series_id, event_id AS rid,
+    CASE WHEN event_id % 31 <> 5 THEN value + 600.0 * (CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) END AS value,
+    CASE WHEN event_id % 97 = 0 OR event_id % 310 = 5 OR event_id % 530 = 7 THEN 1 ELSE 0 END AS is_anomaly FROM events)"""
+SPARSE_SCORED = f"""(SELECT s.series_id, s.rid, s.is_anomaly, n.score FROM {SPARSE} s
+    LEFT JOIN {O.knn_1d(f"SELECT * FROM {SPARSE} WHERE value IS NOT NULL", 1)} n USING (series_id, rid))"""
+
+
+def sparse_scored(spark, sf_dir):
+    e = C.table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    d = e.select(F.when(i % 53 == 7, -i).otherwise(F.col("user_id")).alias("series_id"), i.alias("rid"),
+                 F.when(i % 31 != 5, F.col("value") + F.lit(C.PLANT_SHIFT) * C.planted_flag("event_id")).alias("value"),
+                 F.when((i % 97 == 0) | (i % 310 == 5) | (i % 530 == 7), 1).otherwise(0).alias("is_anomaly"))
+    return materialize(NB.knn_score_1d(d, UK, "value", "rid", 1, carry=("is_anomaly",)), "sparse-scored")
+
+
+@query("f2_knn_1d_missing", f"SELECT series_id, rid, {r6('score', 'score')} FROM {SPARSE_SCORED}")
+def f2_knn_1d_missing(spark, sf_dir):
+    """Every row keeps its place: null scores for rows without a value or neighbours."""
+    return finish(sparse_scored(spark, sf_dir).select("series_id", "rid", "score"))
+
+
+@query("g_board_with_missing_scores", _board_sql(SPARSE_SCORED, "events_sparse", "Knn", 5.0))
+def g_board_with_missing_scores(spark, sf_dir):
+    """F1 and AUROC count rows without a score as not flagged and ranked lowest."""
+    s = sparse_scored(spark, sf_dir)
+    return finish(J.board_row(FL.flag_threshold(s, "score", 5.0), "events_sparse", "Knn", scores=s))

@@ -72,6 +72,24 @@ class WindowConfig:
     block_rows: int = 1_000_000
 
 
+@dataclass(frozen=True)
+class ForecastConfig:
+    window: int = 45
+    horizon: int = 1           # baseline only; trained models predict one step
+    model: str = "linear"      # linear (Huber) | squared | gbt | baseline (window mean)
+    train_fraction: float = 0.75
+    level: float = 0.7         # flag iff score > level
+    block_rows: int = 1_000_000
+
+
+@dataclass(frozen=True)
+class ReconstructConfig:
+    window: int = 24
+    rank: int = 4
+    train_fraction: float = 0.4
+    level: float = 0.995
+
+
 @dataclass(frozen=True)
 class SweepConfig:
     step: float = 0.01
