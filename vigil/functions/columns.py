@@ -77,3 +77,9 @@ def in_interval(ts, start: str, end: str) -> Column:
 
 def rounded(c, digits: int = 6) -> Column:
     return F.round(col(c).cast("double"), digits)
+
+
+def hash_unit(*parts) -> F.Column:
+    """52 bits of the MD5 of the colon-joined parts, as a number in [0, 1): the same in any engine."""
+    cols = [p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

@@ -137,7 +137,7 @@ def _grid_index(s, start, step, count, inclusive, last=None):
 
 def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is_anomaly",
                     step: float = 0.01, inclusive: bool = True, bounds: DataFrame | None = None,
-                    count: int | None = None, last: float | None = None) -> DataFrame:
+                    count: int | None = None, last: float | None = None, expand: bool = True) -> DataFrame:
     """F1 at every grid level t_j = start + j*step, j < count, in O(n + T).
 
     Default grid = numpy ``arange(min, max, step)`` of the series' scores.
@@ -145,9 +145,11 @@ def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is
     a (start, stop) pair of numbers for an unkeyed sweep, or a DataFrame
     (keys, start, stop); ``count``/``last`` give ``linspace`` grids (G8).
     Flags are ``score >= t`` (``inclusive``, G7) or ``score > t``.
-    Every score is mapped to the last level it passes; a reverse running
-    sum over the (parameter-bounded) grid then gives tp and predicted
-    positives at every level.  Output per (keys, j): t, tp, fp, fn, f1.
+    Every score is mapped to the last level it passes.  Counts change only at
+    levels some score ends at, so a distributed reverse running sum over those
+    gives one row per run of levels with equal counts.  Output per (keys, j):
+    t, tp, fp, fn, f1 -- every level with ``expand``, else the lowest of each run
+    (which holds every best level, however many levels the range has).
     """
     keys = list(keys)
     y = F.col(label).cast("long")
@@ -168,12 +170,18 @@ def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is
                                         inclusive, last))
     per = d.filter(F.col("__j") >= 0).groupBy(*keys, "__j").agg(F.sum("__y").alias("__tp"),
                                                                  F.count(F.lit(1)).alias("__pp"))
-    grid = rng.filter(F.col("__T") > 0).select(*keys, "__start", "__T", "__P",
-                                                F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__T") - 1))
-                                                .alias("__j"))
-    g = grid.join(per, keys + ["__j"], "left").fillna(0, subset=["__tp", "__pp"])
-    w = Window.partitionBy(*keys).orderBy(F.col("__j").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumns({"tp": F.sum("__tp").over(w), "pp": F.sum("__pp").over(w)})
+    ranked = row_index(per, keys, ["__j"], "__i")
+    cum = running_sum(ranked, keys, "__i", ["__tp", "__pp"], reverse=True)
+    before = ranked.select(*keys, (F.col("__i") + 1).alias("__i"), (F.col("__j") + 1).alias("__lo"))
+    none = F.lit(0).cast("bigint")
+    runs = cum.join(before, keys + ["__i"], "left").select(*keys, F.coalesce("__lo", none).alias("__lo"), F.col("__j").alias("__hi"),
+                                                           F.col("__tp_cum").alias("tp"), F.col("__pp_cum").alias("pp"))
+    rng = rng.filter(F.col("__T") > 0)
+    highest = _g(ranked, keys).agg(F.max("__j").alias("__top"))
+    above = attach_scalars(rng.select(*keys, "__T"), highest, keys, "left")        # levels no score passes
+    above = above.select(*keys, F.coalesce(F.col("__top") + 1, none).alias("__lo"), (F.col("__T") - 1).alias("__hi"), none.alias("tp"), none.alias("pp"))
+    g = attach_scalars(runs.unionByName(above.filter(F.col("__lo") <= F.col("__hi"))), rng, keys)
+    g = g.withColumn("__j", F.explode(F.sequence("__lo", "__hi")) if expand else F.col("__lo"))
     g = g.withColumns({"fp": F.col("pp") - F.col("tp"), "fn": F.col("__P") - F.col("tp")})
     t = _grid_t(F.col("__j"), F.col("__start"), F.lit(float(step)), F.col("__T"), last)
     return g.select(*keys, F.col("__j").alias("j"), t.alias("t"),

@@ -1,6 +1,6 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) on Spark.
 
-Every random choice is a hash (``hash_unit``: leading hex digits of an MD5) of
+Every random choice is a hash (``functions.columns.hash_unit``: leading hex digits of an MD5) of
 seed, tree, node or row key, so a forest is a pure function of its input and
 can be computed by any engine, under any partitioning.
 
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.functions.columns import hash_unit
 from vigil.session import materialize, spread
 
 #: Nodes of the trees a task holds at a time when scoring (at least one tree).
@@ -40,12 +41,6 @@ EULER_GAMMA = 0.5772156649015329
 NODE_COLUMNS = ("tree", "node", "feature", "threshold", "left", "right", "size", "depth")
 
 
-def hash_unit(*parts) -> F.Column:
-    """52 bits of the MD5 of the colon-joined parts, as a number in [0, 1)."""
-    cols = [p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-
-
 def _feature_subset(n_features: int, max_features: float) -> int:
     return max(1, int(round(max_features * n_features))) if max_features <= 1 else min(n_features, int(max_features))
 

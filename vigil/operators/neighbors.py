@@ -253,14 +253,23 @@ def loop_from_lists(lists: DataFrame, keys: list[str], rid: str = "rid", extent:
                     out: str = "score") -> DataFrame:
     """LoOP from per-row neighbour arrays ``nbrs`` (struct d, nid), k per row."""
     keys = list(keys)
-    ext = F.lit(float(extent))
-    msq = F.try_divide(F.aggregate("nbrs", F.lit(0.0), lambda a, x: a + x["d"] * x["d"]), F.size("nbrs"))
-    pd_ = lists.select(*keys, rid, "nbrs", (ext * F.sqrt(msq)).alias("pdist"))
-    pd_ = materialize(pd_, "loop-pdist")
+    pd_ = materialize(lists.select(*keys, rid, "nbrs", _pdist(extent).alias("pdist")), "loop-pdist")
     nb = pd_.select(*keys, rid, F.explode(F.col("nbrs")["nid"]).alias("nid"))
     nb = nb.join(pd_.select(*keys, F.col(rid).alias("nid"), F.col("pdist").alias("__npd")), keys + ["nid"])
     ev = nb.groupBy(*keys, rid).agg(F.avg("__npd").alias("__ev"))
     pl = pd_.select(*keys, rid, "pdist").join(ev, keys + [rid], "left")   # no neighbours: kept, score null
+    return _loop_scores(pl, keys, rid, extent, out)
+
+
+def _pdist(extent) -> F.Column:
+    """extent * root mean square distance of the neighbours ``nbrs``."""
+    msq = F.try_divide(F.aggregate("nbrs", F.lit(0.0), lambda a, x: a + x["d"] * x["d"]), F.size("nbrs"))
+    return F.lit(float(extent)) * F.sqrt(msq)
+
+
+def _loop_scores(pl: DataFrame, keys: list[str], rid: str, extent, out: str) -> DataFrame:
+    """LoOP from each row's pdist and the mean ``__ev`` of its neighbours' pdist."""
+    ext = F.lit(float(extent))
     denom = F.when(F.col("__ev") == 0, F.lit(1e-8)).otherwise(F.col("__ev"))
     pl = pl.withColumn("plof", F.col("pdist") / denom - F.lit(1.0))
     g = pl.groupBy(*keys) if keys else pl
@@ -274,10 +283,19 @@ def loop_from_lists(lists: DataFrame, keys: list[str], rid: str = "rid", extent:
 
 
 def loop_1d(df, keys, value, rid, k=20, extent=3, block=DEFAULT_BLOCK_ROWS, out="score"):
+    """F4 on one column: a row's neighbours lie within k positions in value order, so their
+    distances are read from one more window over the positions; no edge table, no join."""
+    keys = list(keys)
     c = knn_1d_candidates(df, keys, value, rid, k, block)
-    lists = c.select(*keys, rid, F.transform("nbrs", lambda x: F.struct(x["d"].alias("d"),
-                                                                       x["nid"].alias("nid"))).alias("nbrs"))
-    return loop_from_lists(lists, keys, rid, extent, out).unionByName(_valueless(df, [*keys, rid], value, out))
+    pd_ = c.select(*keys, rid, "value_pos", F.transform("nbrs", lambda x: x["np"]).alias("__nps"), _pdist(extent).alias("pdist"))
+    pd_ = materialize(pd_, "loop-pdist")
+    h = with_halo(pd_, "value_pos", block, k, k)
+    w = Window.partitionBy(*keys, "_blk").orderBy("value_pos").rowsBetween(-k, k)
+    around = F.map_from_entries(F.collect_list(F.struct("value_pos", "pdist")).over(w))
+    h = h.withColumn("__around", around).filter(F.col("_home"))
+    total = F.aggregate(F.transform("__nps", lambda p: F.element_at("__around", p)), F.lit(0.0), lambda a, x: a + x)
+    ev = h.select(*keys, rid, "pdist", F.try_divide(total, F.size("__nps")).alias("__ev"))
+    return _loop_scores(ev, keys, rid, extent, out).unionByName(_valueless(df, [*keys, rid], value, out))
 
 
 def loop_vec(df, keys, rid, vec, k=20, extent=3, block_rows=DEFAULT_VECTOR_BLOCK, out="score"):

@@ -24,7 +24,7 @@ def param_grid(spark: SparkSession, params: dict[str, list]) -> DataFrame:
 
 def param_sample(grid: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """H2: n combinations chosen by a seeded hash order (a sampling operator, so a limit)."""
-    h = F.xxhash64(*[F.col(c) for c in grid.columns], F.lit(int(seed)))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in grid.columns]))
     return grid.withColumn("__h", h).orderBy("__h").limit(int(n)).drop("__h")
 
 
@@ -38,16 +38,19 @@ def knn_grid_f1(cands: DataFrame, labels: DataFrame, keys: list[str], rid: str,
     """
     from vigil.operators.stats import quantiles
     keys = list(keys)
-    sc = cands.select(*keys, rid, F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "nbrs")
-    sc = sc.withColumn("score", F.when(F.size("nbrs") >= F.col("k"), F.element_at("nbrs", F.col("k"))["d"]))
-    sc = sc.join(labels.select(*keys, rid, label), keys + [rid]).drop("nbrs")
+    named = cands if label in cands.columns else cands.join(labels.select(*keys, rid, label), keys + [rid])
+    sc = named.select(*keys, rid, label, F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "nbrs")
+    sc = sc.withColumn("score", F.when(F.size("nbrs") >= F.col("k"), F.element_at("nbrs", F.col("k"))["d"])).drop("nbrs")
     th = quantiles(sc, keys + ["k"], "score", [q / 100.0 for q in qs])
-    th = th.withColumn("q", F.round(F.col("q") * 100.0, 6))
-    fl = sc.join(th.withColumnRenamed("value", "__t"), keys + ["k"])
-    fl = fl.withColumn("flag", (F.col("score") > F.col("__t")).cast("int"))
-    y, f = F.col(label) == 1, F.col("flag") == 1
-    conf = fl.groupBy("k", "q").agg(F.count_if(y & f).alias("tp"), F.count_if(~y & f).alias("fp"),
-                                    F.count_if(y & ~f).alias("fn"))
+    # one wide threshold row per (series, k); each scored row is counted once for all percentiles
+    wide = th.groupBy(*keys, "k").agg(*[F.max(F.when(F.abs(F.col("q") - q / 100.0) < 1e-12, F.col("value"))).alias(f"__t{i}") for i, q in enumerate(qs)])
+    fl = sc.join(wide, keys + ["k"], "left")
+    y = F.coalesce(F.col(label) == 1, F.lit(False))
+    counts = []
+    for i in range(len(qs)):
+        f = F.coalesce(F.col("score") > F.col(f"__t{i}"), F.lit(False))       # a missing score is not flagged
+        counts.append(F.struct(F.lit(float(qs[i])).alias("q"), F.count_if(y & f).alias("tp"), F.count_if(~y & f).alias("fp"), F.count_if(y & ~f).alias("fn")))
+    conf = fl.groupBy("k").agg(F.array(*counts).alias("__c")).select("k", F.inline("__c"))
     return conf.withColumn("f1", f1_from_counts("tp", "fp", "fn"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import columns as X
+from vigil.operators.positions import row_index, running_sum
 from vigil.operators.positions import row_index  # noqa: F401  (B12 re-exported)
 from vigil.spec import SeriesSpec
 
@@ -59,20 +60,23 @@ def label_by_interval(df: DataFrame, ts: str, start: str, end: str, out: str = "
 
 
 def label_by_intervals(df: DataFrame, ts: str, intervals: DataFrame, out: str = "is_anomaly") -> DataFrame:
-    """B8 for many intervals (columns start, end): a bucketed range join.
+    """B8 for many intervals (columns start, end): the number of open intervals along time.
 
-    Intervals are exploded into the days they touch, so the join is an
-    equi-join on (day) plus a range filter — no nested-loop join.  A row is
-    labelled 1 if any interval contains it; rows are never duplicated.
+    Starts (+1), rows and ends (-1) are put in one order by time -- starts before and ends behind rows of
+    the same time, both ends inclusive -- and a distributed running sum tells at each row how many
+    intervals are open.  No row meets an interval; a crowded day is just more rows of the sort.  A row
+    without time gets a null label, as with one interval.
     """
-    days = intervals.select("start", "end", F.explode(
-        F.sequence(F.to_date("start"), F.to_date("end"))).alias("__day"))
-    probe = df.withColumn("__day", F.to_date(ts))
-    hit = (probe.select("__day", ts).distinct().join(days, "__day")
-                .filter(F.col(ts).between(F.col("start"), F.col("end")))
-                .select("__day", ts).distinct().withColumn("__hit", F.lit(1)))
-    return (probe.join(hit, ["__day", ts], "left")
-                 .withColumn(out, F.coalesce("__hit", F.lit(0))).drop("__day", "__hit"))
+    own = F.struct(*[F.col(c) for c in df.columns])
+    iv = intervals.filter(F.col("start") <= F.col("end"))
+    rows = df.filter(F.col(ts).isNotNull()).select(F.col(ts).alias("__at"), F.lit(1).alias("__o"), F.lit(0).alias("__d"), own.alias("__row"))
+    blank = F.lit(None).cast(rows.schema["__row"].dataType)
+    edge = lambda c, o, d: iv.select(F.col(c).alias("__at"), F.lit(o).alias("__o"), F.lit(d).alias("__d"), blank.alias("__row"))
+    line = rows.unionByName(edge("start", 0, 1)).unionByName(edge("end", 2, -1))
+    line = row_index(line.withColumn("__tb", F.xxhash64("__row")), [], ["__at", "__o", "__tb"], "__pos")
+    open_now = running_sum(line, [], "__pos", ["__d"]).filter(F.col("__o") == 1)
+    timeless = df.filter(F.col(ts).isNull()).withColumn(out, F.lit(None).cast("int"))
+    return open_now.select("__row.*", (F.col("__d_cum") > 0).cast("int").alias(out)).unionByName(timeless)
 
 
 def filter_anomalies(df: DataFrame, label: str = "is_anomaly") -> DataFrame:

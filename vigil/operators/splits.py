@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.columns import hash_unit
 from vigil.session import attach_scalars
 
 
@@ -35,9 +36,8 @@ def split_at(df: DataFrame, k: int, pos: str = "row_idx", reverse: bool = False,
 
 def split_random(df: DataFrame, rid: str, test_fraction: float = 0.2, seed: int = 42,
                  out: str = "is_test") -> DataFrame:
-    """Seeded hash hold-out, independent of partitioning and row order."""
-    h = F.pmod(F.xxhash64(F.col(rid), F.lit(int(seed))), F.lit(1_000_000))
-    return df.withColumn(out, (h < F.lit(int(round(test_fraction * 1_000_000)))).cast("int"))
+    """Seeded hash hold-out, independent of partitioning, row order and engine."""
+    return df.withColumn(out, (hash_unit(seed, "split", F.col(rid)) < F.lit(float(test_fraction))).cast("int"))
 
 
 def split_tail_validation(df: DataFrame, keys: list[str], fraction: float = 0.1, pos: str = "win_start",

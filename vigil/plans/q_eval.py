@@ -143,10 +143,10 @@ def knn_global(spark, sf_dir):
     return materialize(df.select("series_id", "rid", "is_anomaly").join(s, GK + ["rid"]), "knn-global")
 
 
-def _g9(spark, sf_dir):
+def _g9(spark, sf_dir, expand=True):
     sc = knn_global(spark, sf_dir)
     q = {r["q"]: r["value"] for r in D.quantiles(sc, [], "score", [0.01, 0.95]).collect()}
-    return sc, G.threshold_sweep(sc, [], "score", step=0.01, inclusive=False, bounds=(q[0.01], q[0.95]))
+    return sc, G.threshold_sweep(sc, [], "score", step=0.01, inclusive=False, bounds=(q[0.01], q[0.95]), expand=expand)
 
 
 @query("g9_sweep_percentile", _sweep_out(G9_SQL))
@@ -156,7 +156,7 @@ def g9_sweep_percentile(spark, sf_dir):
 
 @query("g10_threshold_refine", _sweep_out(G10_SQL))
 def g10_threshold_refine(spark, sf_dir):
-    sc, sw = _g9(spark, sf_dir)
+    sc, sw = _g9(spark, sf_dir, expand=False)
     best = G.best_threshold(sw, []).head()["best_t"]
     return finish(G.threshold_sweep(sc, [], "score", step=0.001, inclusive=False, bounds=(best - 0.05, best + 0.05)))
 
@@ -164,7 +164,8 @@ def g10_threshold_refine(spark, sf_dir):
 @query("g11_best_threshold", f"SELECT {r6('t', 'best_t')}, {r6('f1', 'best_f1')} FROM {G7_SQL} "
        "ORDER BY f1 DESC, t LIMIT 1")
 def g11_best_threshold(spark, sf_dir):
-    return finish(G.best_threshold(G.threshold_sweep(f11_scores(spark, sf_dir), [], "score", step=0.01), []))
+    runs = G.threshold_sweep(f11_scores(spark, sf_dir), [], "score", step=0.01, expand=False)
+    return finish(G.best_threshold(runs, []))
 
 
 @query("g12_combined_metric", f"""SELECT {r6('t', 'best_t')}, {r6('f1', 'f1')}, {r6('auroc', 'auroc')},
@@ -175,9 +176,8 @@ def g12_combined_metric(spark, sf_dir):
     sw = G.threshold_sweep(sc, [], "score", step=0.01)
     sw = sw.withColumn("auroc", G.auroc(sc, [], "score").select("auroc").scalar())
     c = G.combined_metric(sw)
-    best = G.best_threshold(c, [], "t", "combined")
-    row = c.join(best.select(F.col("best_t").alias("t")), "t")
-    return finish(row.select(F.col("t").alias("best_t"), "f1", "auroc", "combined"))
+    best = F.max_by(F.struct(F.col("t").alias("best_t"), "f1", "auroc", "combined"), F.struct("combined", -F.col("t")))
+    return finish(c.agg(best.alias("b")).select("b.*"))
 
 
 @query("g13_label_agreement", f"""SELECT series_id, rid, CASE WHEN flag = 1 THEN 'flagged_not_labelled'
@@ -297,7 +297,7 @@ def g18_leaderboard_rank(spark, sf_dir):
 KS, QS = [1, 3, 5, 11], [95.0, 97.0, 98.0, 99.0]
 
 
-def _grid_sql():
+def _grid_sql(KS=KS, QS=QS):
     e = f"""SELECT a.series_id, a.rid, a.is_anomaly, abs(a.value - b.value) AS d,
         row_number() OVER (PARTITION BY a.series_id, a.rid ORDER BY abs(a.value - b.value)) AS rn
         FROM ({EVU}) a JOIN ({EVU}) b ON a.series_id = b.series_id AND a.rid <> b.rid"""
@@ -318,7 +318,7 @@ GRID_F1 = f"(SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (
 
 def knn_grid(spark, sf_dir, ks=KS, qs=QS):
     df, _ = C.dataset(spark, sf_dir, "events_by_user")
-    cands = NB.knn_1d_candidates(df, UK, "value", "rid", max(ks))
+    cands = NB.knn_1d_candidates(df, UK, "value", "rid", max(ks), carry=("is_anomaly",))
     g = H.knn_grid_f1(cands, df, UK, "rid", ks, qs)
     return g.withColumn("k", F.col("k").cast("bigint"))
 
@@ -334,13 +334,16 @@ def h4_grid_search_f1(spark, sf_dir):
     return finish(H.best_params(knn_grid(spark, sf_dir), ["k", "q"], "f1"))
 
 
-@query("h2_param_sample")
+_H2 = f"(SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1 FROM {_grid_sql(range(1, 11), range(90, 100))})"
+
+
+@query("h2_param_sample", f"SELECT k, q, tp, fp, fn, {r6('f1', 'f1')} FROM {_H2} ORDER BY md5('42:' || CAST(k AS VARCHAR) || ':' || CAST(q AS VARCHAR)) LIMIT 6")
 def h2_param_sample(spark, sf_dir):
-    """Rows-only: 6 (k, percentile) pairs drawn by a seeded hash from a 10 x 10 grid, evaluated on the data."""
+    """6 (k, percentile) pairs drawn by a seeded hash from a 10 x 10 grid, evaluated on the data."""
     grid = H.param_grid(spark, {"k": list(range(1, 11)), "q": [float(q) for q in range(90, 100)]})
     picked = H.param_sample(grid, 6, seed=42).withColumn("k", F.col("k").cast("bigint"))
     ks = sorted({int(r["k"]) for r in picked.collect()})
-    return picked.join(knn_grid(spark, sf_dir, ks, [float(q) for q in range(90, 100)]), ["k", "q"])
+    return finish(picked.join(knn_grid(spark, sf_dir, ks, [float(q) for q in range(90, 100)]), ["k", "q"]))
 
 
 _CV_KS = [1, 3, 5, 7]
@@ -384,3 +387,22 @@ def h3_grid_search_cv(spark, sf_dir):
         r = acc.groupBy("k").agg(F.avg("accuracy").alias("mean_accuracy")).withColumn("p", F.lit(p))
         out = r if out is None else out.unionByName(r)
     return finish(out.select(F.col("k").cast("bigint").alias("k"), "p", "mean_accuracy"))
+
+
+# scores from 0 to 5e8 in steps of 0.01: fifty billion levels, of which only those where a count changes are made
+WIDE = "(SELECT CASE WHEN event_id = 3 THEN 5e8 ELSE value END AS score, CASE WHEN value > 300 OR event_id = 3 THEN 1 ELSE 0 END AS is_anomaly FROM events)"
+
+
+@query("g11_best_threshold_wide_range", f"""WITH s AS {WIDE}, b AS (SELECT min(score) AS mn, max(score) AS mx, sum(is_anomaly) AS pos FROM s),
+l AS (SELECT CAST(floor((score - mn) / {dbl(0.01)}) AS BIGINT) AS j0, score, is_anomaly, mn, mx FROM s, b),
+j AS (SELECT CASE WHEN score >= mn + (j0 + 1) * {dbl(0.01)} AND j0 + 1 < ceil((mx - mn) / {dbl(0.01)}) THEN j0 + 1 WHEN score >= mn + j0 * {dbl(0.01)} THEN j0 ELSE j0 - 1 END AS j, is_anomaly, mn, mx FROM l),
+j2 AS (SELECT least(j, CAST(ceil((mx - mn) / {dbl(0.01)}) AS BIGINT) - 1) AS j, is_anomaly, mn FROM j),
+c AS (SELECT j, any_value(mn) AS mn, sum(is_anomaly) AS tp, count(*) AS pp FROM j2 GROUP BY j),
+r AS (SELECT coalesce(lag(j) OVER (ORDER BY j) + 1, 0) AS lo, mn, sum(tp) OVER (ORDER BY j DESC) AS tp, sum(pp) OVER (ORDER BY j DESC) AS pp FROM c)
+SELECT round(r.mn + lo * {dbl(0.01)}, 6) AS best_t, round(2.0 * tp / (pp + pos), 6) AS best_f1 FROM r, b ORDER BY 2.0 * tp / (pp + pos) DESC, lo LIMIT 1""")
+def g11_best_threshold_wide_range(spark, sf_dir):
+    """Best level of a sweep whose grid could never be written out."""
+    e = C.table(spark, sf_dir, "events")
+    odd = F.col("event_id") == 3
+    s = e.select(F.when(odd, F.lit(5e8)).otherwise(F.col("value")).alias("score"), ((F.col("value") > 300) | odd).cast("int").alias("is_anomaly"))
+    return finish(G.best_threshold(G.threshold_sweep(s, [], "score", step=0.01, expand=False), []))

@@ -250,7 +250,7 @@ def c2_split_at_forward(spark, sf_dir):
     return S.split_at(_events_pos(spark, sf_dir), 4000).select("rid", "is_train")
 
 
-@query("c3_split_random")
+@query("c3_split_random", f"SELECT rid, CAST({O.unit(chr(39) + '42' + chr(39), chr(39) + 'split' + chr(39), 'rid')} < 0.2 AS INTEGER) AS is_test FROM ({O.EMBEDDINGS})")
 def c3_split_random(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
     return S.split_random(df.select("rid"), "rid", 0.2, 42)
