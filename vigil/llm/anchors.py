@@ -28,8 +28,11 @@ NO_ID = (1 << 63) - 1        # stands for a null doc_id: sorts behind all others
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(nid, tie, text): nid is doc_id with nulls last, tie tells apart texts under one doc_id."""
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("nid"), F.pmod(F.xxhash64("text"), F.lit(1 << 31)).cast("int").alias("tie"),
+    """(nid, tie, text): nid is doc_id with nulls last, tie tells apart texts under one doc_id.
+
+    No column can be null, so both joins on (nid, tie) ask for the same exchange of texts and Spark makes it once.
+    """
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("nid"), F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tie"),
                        F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.session import checkpoint_dir, materialize
+from vigil.session import checkpoint_dir, materialize, ship_package
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,9 @@ ARROW_ROWS = 1000
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Arrow batch size, and the package on the executors; call it once before using the operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    ship_package(spark)
     return spark
 
 
