@@ -127,15 +127,14 @@ def repeated(docs: DataFrame, kernel: Callable) -> DataFrame:
                 yield pack(int(nid[0] % n), True, nid, tie, np.zeros(len(o), np.int64), row[o], h=ident[o], dup=np.zeros(len(o), np.uint8))
 
     def meet(batches):
-        seen = []
+        seen, found = [], Findings()
         for batch in batches:
             for r in range(batch.num_rows):
-                if batch.column("known")[r].as_py():
-                    nids, ties, counts, ident = unpack(batch, r, h=np.uint64)
-                    yield found_rows(nids, ties, np.r_[0, np.cumsum(counts)], "idents", ident)
+                nids, ties, counts, *more = unpack(batch, r, **({"h": np.uint64} if batch.column("known")[r].as_py() else {"h": np.uint32, "dup": np.uint8}))
+                if len(more) == 1:
+                    found.add(np.repeat(nids, counts), np.repeat(ties, counts), more[0])
                 else:
-                    nids, ties, counts, h, dup = unpack(batch, r, h=np.uint32, dup=np.uint8)
-                    seen.append((nids, ties, counts, (np.uint64(batch.column("part")[r].as_py()) << np.uint64(32)) | h, dup))
+                    seen.append((nids, ties, counts, (np.uint64(batch.column("part")[r].as_py()) << np.uint64(32)) | more[0], more[1]))
         if seen:
             nids, ties, counts, ident, dup = (np.concatenate(x) for x in zip(*seen))
             del seen
@@ -145,18 +144,32 @@ def repeated(docs: DataFrame, kernel: Callable) -> DataFrame:
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
             twice &= dup == 0                          # repeats inside a batch were reported by that batch
-            yield found_rows(nids, ties, np.r_[0, np.cumsum(counts)], "idents", ident, twice)
+            found.add(np.repeat(nids, counts)[twice], np.repeat(ties, counts)[twice], ident[twice])
+        yield from found.rows("idents")
+
     sent = docs.mapInArrow(send, sent_schema("h", "dup")).repartition(partitions(docs.sparkSession), "part")
     return sent.mapInArrow(meet, "nid long, tie int, idents binary")
 
 
-def found_rows(nids, ties, ends, name, values, chosen=None) -> pa.RecordBatch:
-    """(nid, tie, packed values) of the documents that have any (chosen) entries."""
-    if chosen is not None:
-        ends, values = np.r_[0, np.cumsum(chosen)][ends], values[chosen]
-    has = np.flatnonzero(np.diff(ends))
-    return pa.RecordBatch.from_arrays([pa.array(nids[has], pa.int64()), pa.array(ties[has], pa.int32()), binary(values, np.r_[ends[has], ends[-1]])],
-                                      names=["nid", "tie", name])
+class Findings:
+    """What one task found, gathered to one row per document."""
+
+    def __init__(self):
+        self.parts = []
+
+    def add(self, nid, tie, values) -> None:
+        if len(values):
+            self.parts.append((np.asarray(nid), np.asarray(tie), np.asarray(values)))
+
+    def rows(self, name: str):
+        """(nid, tie, packed values), one row per document."""
+        if self.parts:
+            nid, tie, values = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.lexsort((tie, nid))
+            nid, tie, values = nid[order], tie[order], values[order]
+            first = np.flatnonzero(np.r_[True, (nid[1:] != nid[:-1]) | (tie[1:] != tie[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(nid[first], pa.int64()), pa.array(tie[first], pa.int32()),
+                                              binary(values, np.r_[first, len(nid)])], names=["nid", "tie", name])
 
 
 def with_found(docs: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:

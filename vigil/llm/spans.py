@@ -118,22 +118,24 @@ def removed_starts(docs: DataFrame) -> DataFrame:
             yield A.pack(None, False, nid, tie, bucket[here], row[here], **_places(pos[here]), hi=hi[here], lo=lo[here].astype(np.uint16))
 
     def meet(batches):
-        seen = []
+        seen, found = [], A.Findings()
         for batch in batches:
             for r in range(batch.num_rows):
-                if batch.column("known")[r].as_py():
-                    nids, ties, counts, near, far = A.unpack(batch, r, near=np.uint16, far=np.uint16)
-                    yield A.found_rows(nids, ties, np.r_[0, np.cumsum(counts)], "starts", near + (far.astype(np.uint32) << 16))
+                known = batch.column("known")[r].as_py()
+                kinds = {"near": np.uint16, "far": np.uint16} | ({} if known else {"hi": np.uint64, "lo": np.uint16})
+                nids, ties, counts, near, far, *more = A.unpack(batch, r, **kinds)
+                entries = (np.repeat(nids, counts), np.repeat(ties, counts), near + (far.astype(np.uint32) << 16))
+                if known:
+                    found.add(*entries)
                 else:
-                    seen.append(A.unpack(batch, r, near=np.uint16, far=np.uint16, hi=np.uint64, lo=np.uint16))
+                    seen.append((*entries, *more))
         if seen:
-            nids, ties, counts, near, far, hi, lo = (np.concatenate(x) for x in zip(*seen))
+            nid, tie, start, hi, lo = (np.concatenate(x) for x in zip(*seen))
             del seen
-            nid = np.repeat(nids, counts)
             order, least = _first_ids(hi, lo, nid)
-            gone = np.zeros(len(hi), bool)
-            gone[order] = nid[order] > least
-            yield A.found_rows(nids, ties, np.r_[0, np.cumsum(counts)], "starts", near + (far.astype(np.uint32) << 16), gone)
+            late = order[nid[order] > least]
+            found.add(nid[late], tie[late], start[late])
+        yield from found.rows("starts")
 
     found = A.repeated(docs, kernel)
     sent = A.with_found(docs, found, "idents", "inner").mapInArrow(send, A.sent_schema("near", "far", "hi", "lo"))

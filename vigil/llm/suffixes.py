@@ -59,26 +59,11 @@ def _chosen(buf, offs, idents, own, n_buckets):
     return ident[at], row[at], start[at], n[at], off[at]
 
 
-class _Runs:
-    """Repeated runs of windows, gathered per document."""
-
-    def __init__(self):
-        self.nid, self.tie, self.start, self.n = [], [], [], []
-
-    def add(self, nid, tie, start, n):
-        for have, new in ((self.nid, nid), (self.tie, tie), (self.start, start), (self.n, n)):
-            have.append(np.asarray(new))
-
-    def rows(self):
-        if not self.nid or not sum(map(len, self.nid)):
-            return
-        nid, tie, start, n = (np.concatenate(x) for x in (self.nid, self.tie, self.start, self.n))
-        order = np.lexsort((start, tie, nid))
-        nid, tie = nid[order], tie[order]
-        runs = np.empty(len(order), _RUN)
-        runs["start"], runs["n"] = start[order], n[order]
-        first = np.flatnonzero(np.r_[True, (nid[1:] != nid[:-1]) | (tie[1:] != tie[:-1])])
-        yield A.found_rows(nid[first], tie[first], np.r_[first, len(nid)], "runs", runs)
+def _runs(start, n) -> np.ndarray:
+    """Runs of n windows from start on."""
+    out = np.empty(len(start), _RUN)
+    out["start"], out["n"] = start, n
+    return out
 
 
 def _firsts(group: np.ndarray, nid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,13 +101,13 @@ def _split(strings, off, n):
             yield i, a, k - 1, b"r" + s[o:o + GRAM + LENGTH - GRAM - REACH]
 
 
-def _meet_pieces(nid, tie, start, n, off, ident, body, runs: _Runs) -> None:
+def _meet_pieces(nid, tie, start, n, off, ident, body, found: A.Findings) -> None:
     """All entries of one task: reports the repeated runs among them."""
     ids: dict = {}
     content = np.fromiter((ids.setdefault((i, b), len(ids)) for i, b in zip(ident.tolist(), body)), np.int64, len(body))
     order, first, begin = _firsts(content, nid, start)
     late = order[~first]
-    runs.add(nid[late], tie[late], start[late], n[late])
+    found.add(nid[late], tie[late], _runs(start[late], n[late]))
     lead = order[begin]                                 # one entry per distinct piece, at its first place
     # every entry at a first place (several only if rows repeat a doc_id) shares the fate of its windows
     stay = order[first]
@@ -156,7 +141,7 @@ def _meet_pieces(nid, tie, start, n, off, ident, body, runs: _Runs) -> None:
         at = A.expand(owner_ends, take)
         reps = np.diff(owner_ends)[take]
         e = stay[at]
-        runs.add(nid[e], tie[e], start[e] + np.repeat(low[part] + first_window, reps), np.repeat(count, reps))
+        found.add(nid[e], tie[e], _runs(start[e] + np.repeat(low[part] + first_window, reps), np.repeat(count, reps)))
     order, first, begin = _firsts(same, p_nid, p_start)
     late = order[~first]
     report(late, np.zeros(len(late), np.int64), high[late] - low[late] + 1)
@@ -218,15 +203,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             content = np.fromiter((ids.setdefault(b, len(ids)) for b in body), np.int64, len(body))
             order, first, _ = _firsts(content, nid[row], start)
             late = order[~first]
-            runs = _Runs()
-            runs.add(nid[row[late]], tie[row[late]], start[late], n[late])
-            for found in runs.rows():
-                ends = np.frombuffer(found.column("runs").buffers()[1], np.int32)[:found.num_rows + 1].astype(np.int64) // _RUN.itemsize
-                values = np.frombuffer(found.column("runs").buffers()[2], _RUN)
-                rows = np.repeat(np.arange(found.num_rows), np.diff(ends))
-                yield A.pack(int(nid[0] % n_buckets), True, found.column("nid").to_numpy(), found.column("tie").to_numpy(),
-                             np.zeros(len(rows), np.int64), rows, start=values["start"].copy(), n=values["n"].copy(),
-                             **{c: np.zeros(len(rows), "u1") for c in ("off", "ident", "body")})
+            if len(late):
+                late = late[np.argsort(row[late], kind="stable")]
+                yield A.pack(int(nid[0] % n_buckets), True, nid, tie, np.zeros(len(late), np.int64), row[late],
+                             start=start[late].astype(np.uint32), n=n[late].astype(np.uint32),
+                             **{c: np.zeros(len(late), "u1") for c in ("off", "ident", "body")})
             here = order[first]
             bucket = (ident >> np.uint64(32)).astype(np.int64)
             here = here[np.lexsort((start[here], row[here], bucket[here]))]
@@ -238,30 +219,26 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     def meet(batches):
         unpack = zstandard.ZstdDecompressor()
-        seen, body = [], []
+        seen, body, found = [], [], A.Findings()
         for batch in batches:
             for r in range(batch.num_rows):
-                kinds = {"start": np.uint32, "n": np.uint32}
                 known = batch.column("known")[r].as_py()
-                if not known:
-                    kinds |= {"off": np.uint8, "ident": np.uint32}
+                kinds = {"start": np.uint32, "n": np.uint32} | ({} if known else {"off": np.uint8, "ident": np.uint32})
                 nids, ties, counts, start, n, *more = A.unpack(batch, r, **kinds)
+                nid, tie = np.repeat(nids, counts), np.repeat(ties, counts)
                 if known:
-                    runs = np.empty(len(start), _RUN)
-                    runs["start"], runs["n"] = start, n
-                    yield A.found_rows(nids, ties, np.r_[0, np.cumsum(counts)], "runs", runs)
+                    found.add(nid, tie, _runs(start, n))
                     continue
                 ident = (np.uint64(batch.column("part")[r].as_py()) << np.uint64(32)) | more[1]
-                seen.append((np.repeat(nids, counts), np.repeat(ties, counts), start.astype(np.int64), n.astype(np.int64), more[0].astype(np.int64), ident))
+                seen.append((nid, tie, start.astype(np.int64), n.astype(np.int64), more[0].astype(np.int64), ident))
                 raw = unpack.decompress(batch.column("body")[r].as_py())
                 ends = np.r_[0, np.cumsum(n.astype(np.int64) + LENGTH - 1)].tolist()
                 body += [raw[a:b] for a, b in zip(ends, ends[1:])]
         if seen:
-            runs = _Runs()
             columns = [np.concatenate(x) for x in zip(*seen)]
             del seen
-            _meet_pieces(*columns, body, runs)
-            yield from runs.rows()
+            _meet_pieces(*columns, body, found)
+        yield from found.rows("runs")
 
     found = A.repeated(docs, kernel)
     sent = A.with_found(docs, found, "idents", "inner").mapInArrow(send, A.sent_schema("start", "n", "off", "ident", "body"))
