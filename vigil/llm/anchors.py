@@ -17,11 +17,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.base import partitions
+from vigil.llm.base import ARROW_ROWS, partitions
 from vigil.llm.text import slices
 
 NO_ID = (1 << 63) - 1        # stands for a null doc_id: sorts behind all others
@@ -98,7 +97,7 @@ def unpack(batch: pa.RecordBatch, r: int, **kinds):
 
 
 def repeated(docs: DataFrame, kernel: Callable) -> DataFrame:
-    """(nid, tie, idents): for documents with any, the packed identities of their anchors found more than once.
+    """Findings (see ``beside``): the identities of every document's anchors found more than once.
 
     ``kernel(bytes, offsets)`` gives the hash and row of every anchor of a slice.
     """
@@ -145,14 +144,14 @@ def repeated(docs: DataFrame, kernel: Callable) -> DataFrame:
             twice[order[:-1][same]] = True
             twice &= dup == 0                          # repeats inside a batch were reported by that batch
             found.add(np.repeat(nids, counts)[twice], np.repeat(ties, counts)[twice], ident[twice])
-        yield from found.rows("idents")
+        yield from found.rows(n)
 
     sent = docs.mapInArrow(send, sent_schema("h", "dup")).repartition(partitions(docs.sparkSession), "part")
-    return sent.mapInArrow(meet, "nid long, tie int, idents binary")
+    return sent.mapInArrow(meet, FOUND)
 
 
 class Findings:
-    """What one task found, gathered to one row per document."""
+    """What one task found for documents, gathered to one row per destination."""
 
     def __init__(self):
         self.parts = []
@@ -161,27 +160,66 @@ class Findings:
         if len(values):
             self.parts.append((np.asarray(nid), np.asarray(tie), np.asarray(values)))
 
-    def rows(self, name: str):
-        """(nid, tie, packed values), one row per document."""
+    def rows(self, n: int):
+        """One row per destination: its documents and their values, packed."""
         if self.parts:
             nid, tie, values = (np.concatenate(x) for x in zip(*self.parts))
-            order = np.lexsort((tie, nid))
-            nid, tie, values = nid[order], tie[order], values[order]
-            first = np.flatnonzero(np.r_[True, (nid[1:] != nid[:-1]) | (tie[1:] != tie[:-1])])
-            yield pa.RecordBatch.from_arrays([pa.array(nid[first], pa.int64()), pa.array(tie[first], pa.int32()),
-                                              binary(values, np.r_[first, len(nid)])], names=["nid", "tie", name])
-
-
-def with_found(docs: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
-    """``docs`` (nid, tie, text) beside the list of their packed findings."""
-    lists = found.groupBy("nid", "tie").agg(F.collect_list(name).alias(name))      # of one document
-    return docs.join(lists, ["nid", "tie"], how)
-
-
-def joined(lists: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All packed values of a column of lists of binaries, and each row's end among them."""
-    flat = lists.flatten()
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-    each = pc.binary_length(flat).to_numpy().astype(np.int64) // np.dtype(kind).itemsize if len(flat) else np.zeros(0, np.int64)
-    ends = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(sizes)]]
-    return np.frombuffer(b"".join(flat.to_pylist()), kind), ends
+            dest = destination_of(nid, tie, n)
+            order = np.lexsort((tie, nid, dest))
+            nid, tie, dest = nid[order], tie[order], dest[order]
+            row = np.cumsum(np.r_[0, (nid[1:] != nid[:-1]) | (tie[1:] != tie[:-1])])
+            heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            yield pack(None, True, nid[heads], tie[heads], dest, row, values=values[order])
+
+
+def destination(n: int) -> F.Column:
+    """Which of n groups a document's findings go to (copies of one text go to many)."""
+    mixed = F.shiftright(F.pmod("nid", F.lit(1 << 31)) * F.lit(2654435761), 20)
+    return F.pmod(mixed + F.col("tie"), F.lit(n)).cast("int")
+
+
+def destination_of(nid: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
+    return (((nid % (1 << 31)) * 2654435761 >> 20) + tie) % n
+
+
+def beside(docs: DataFrame, found: DataFrame, run: Callable, schema: str, kind) -> DataFrame:
+    """``run`` over the documents of every destination with what was found for them.
+
+    ``run(batch, values, own)`` gets a batch (nid, tie, text) and yields batches of ``schema``;
+    values[own[i]:own[i + 1]] belong to row i.  A destination is a fixed share of all documents (there are
+    twice as many as shuffle partitions), and its findings come in one row per sending task.
+    """
+    n = buckets(docs.sparkSession)
+    left = docs.withColumn("part", destination(n))
+    out_schema = None
+
+    def group(texts: pa.Table, finds: pa.Table) -> pa.Table:
+        parts = [unpack(b, r, values=kind) for b in finds.to_batches() for r in range(b.num_rows)]
+        if parts:
+            nid, tie, values = (np.concatenate(x) for x in zip(*((np.repeat(a, c), np.repeat(b, c), v) for a, b, c, v in parts)))
+        else:
+            nid, tie, values = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, kind)
+        order = np.lexsort((tie, nid))
+        nid, tie, values = nid[order], tie[order], values[order]
+        head = np.flatnonzero(np.r_[True, (nid[1:] != nid[:-1]) | (tie[1:] != tie[:-1])]) if len(nid) else np.zeros(0, np.int64)
+        place = {key: i for i, key in enumerate(zip(nid[head].tolist(), tie[head].tolist()))}
+        ends = np.r_[head, len(nid)]
+        out = []
+        for batch in texts.to_batches(ARROW_ROWS):
+            at = np.array([place.get(key, -1) for key in zip(*(x.tolist() for x in rows_of(batch)))], np.int64)
+            have = np.flatnonzero(at >= 0)
+            size = np.zeros(len(at), np.int64)
+            size[have] = np.diff(ends)[at[have]]
+            out += run(batch, values[expand(ends, at[have])], np.r_[0, np.cumsum(size)])
+        return pa.Table.from_batches(out, schema=out_schema)
+    out_schema = arrow_schema(schema)
+    return left.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(group, schema)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+             "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+
+FOUND = sent_schema("values")

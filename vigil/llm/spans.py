@@ -88,34 +88,32 @@ def _first_ids(hi, lo, nid):
 
 
 def removed_starts(docs: DataFrame) -> DataFrame:
-    """(nid, tie, starts): packed word numbers at which removed windows of ``docs`` (nid, tie, text) start."""
+    """Findings: the word numbers at which removed windows of ``docs`` (nid, tie, text) start."""
     n = A.buckets(docs.sparkSession)
 
     def kernel(buf, offs):
         run, row, _ = _anchors(buf, offs)[1]
         return run, row
 
-    def send(batches):
-        for batch in batches:
-            nid, tie = A.rows_of(batch)
-            idents, own = A.joined(batch.column("idents"), np.uint64)
-            parts = []
-            for i, j, buf, offs in slices(batch):
-                a, r, b, p = _windows(buf, offs, idents[own[i]:own[j]], own[i:j + 1] - own[i], n)
-                parts.append((a, r + i, b, p))
-            hi, row, lo, pos = (np.concatenate(x) for x in zip(*parts))
-            if not len(hi):
-                continue
-            order, least = _first_ids(hi, lo, nid[row])
-            later = order[nid[row[order]] > least]
-            if len(later):                                     # an earlier document of this batch has the window
-                later = later[np.lexsort((pos[later], row[later]))]
-                yield A.pack(int(nid[0] % n), True, nid, tie, np.zeros(len(later), np.int64), row[later],
-                             **_places(pos[later]), hi=np.zeros(len(later), "u1"), lo=np.zeros(len(later), "u1"))
-            here = order[nid[row[order]] == least]
-            bucket = ((hi >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-            here = here[np.lexsort((pos[here], row[here], bucket[here]))]
-            yield A.pack(None, False, nid, tie, bucket[here], row[here], **_places(pos[here]), hi=hi[here], lo=lo[here].astype(np.uint16))
+    def send(batch, idents, own):
+        nid, tie = A.rows_of(batch)
+        parts = []
+        for i, j, buf, offs in slices(batch):
+            a, r, b, p = _windows(buf, offs, idents[own[i]:own[j]], own[i:j + 1] - own[i], n)
+            parts.append((a, r + i, b, p))
+        hi, row, lo, pos = (np.concatenate(x) for x in zip(*parts))
+        if not len(hi):
+            return
+        order, least = _first_ids(hi, lo, nid[row])
+        later = order[nid[row[order]] > least]
+        if len(later):                                     # an earlier document of this batch has the window
+            later = later[np.lexsort((pos[later], row[later]))]
+            yield A.pack(int(nid[0] % n), True, nid, tie, np.zeros(len(later), np.int64), row[later],
+                         **_places(pos[later]), hi=np.zeros(len(later), "u1"), lo=np.zeros(len(later), "u1"))
+        here = order[nid[row[order]] == least]
+        bucket = ((hi >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+        here = here[np.lexsort((pos[here], row[here], bucket[here]))]
+        yield A.pack(None, False, nid, tie, bucket[here], row[here], **_places(pos[here]), hi=hi[here], lo=lo[here].astype(np.uint16))
 
     def meet(batches):
         seen, found = [], A.Findings()
@@ -135,11 +133,11 @@ def removed_starts(docs: DataFrame) -> DataFrame:
             order, least = _first_ids(hi, lo, nid)
             late = order[nid[order] > least]
             found.add(nid[late], tie[late], start[late])
-        yield from found.rows("starts")
+        yield from found.rows(n)
 
     found = A.repeated(docs, kernel)
-    sent = A.with_found(docs, found, "idents", "inner").mapInArrow(send, A.sent_schema("near", "far", "hi", "lo"))
-    return sent.repartition(partitions(docs.sparkSession), "part").mapInArrow(meet, "nid long, tie int, starts binary")
+    sent = A.beside(docs, found, send, A.sent_schema("near", "far", "hi", "lo"), np.uint64)
+    return sent.repartition(partitions(docs.sparkSession), "part").mapInArrow(meet, A.FOUND)
 
 
 def _places(pos: np.ndarray) -> dict:
@@ -150,28 +148,25 @@ def _places(pos: np.ndarray) -> dict:
 def remove_shared_windows(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (and the kept words, joined by blanks)."""
     keyed = A.keyed(docs)
-    both = A.with_found(keyed, removed_starts(keyed), "starts", "left")
     schema = "nid long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches):
-        for batch in batches:
-            all_starts, own = A.joined(batch.column("starts"), np.uint32)
-            for i, j, buf, offs in slices(batch):
-                starts, ends, first = word_spans(buf, offs, NOT_SPACE)
-                at = all_starts[own[i]:own[j]].astype(np.int64) + np.repeat(first[:-1], np.diff(own[i:j + 1]))
-                step = np.zeros(len(starts) + 1, np.int32)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + WINDOW, -1)
-                keep = np.cumsum(step[:-1]) == 0
-                left = count_by_row(keep, first)
-                data, pos = join_words(buf, starts[keep], ends[keep])
-                edge = pos[np.r_[0, np.cumsum(left)]]
-                texts = [data[a:max(a, b - 1)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                cols = [batch.column("nid").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.diff(first) - left),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array([t.decode() for t in texts], pa.string())] if with_text else []), names=names)
-    out = both.mapInArrow(run, schema)
+    def run(batch, all_starts, own):
+        for i, j, buf, offs in slices(batch):
+            starts, ends, first = word_spans(buf, offs, NOT_SPACE)
+            at = all_starts[own[i]:own[j]].astype(np.int64) + np.repeat(first[:-1], np.diff(own[i:j + 1]))
+            step = np.zeros(len(starts) + 1, np.int32)
+            np.add.at(step, at, 1)
+            np.add.at(step, at + WINDOW, -1)
+            keep = np.cumsum(step[:-1]) == 0
+            left = count_by_row(keep, first)
+            data, pos = join_words(buf, starts[keep], ends[keep])
+            edge = pos[np.r_[0, np.cumsum(left)]]
+            texts = [data[a:max(a, b - 1)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            cols = [batch.column("nid").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.diff(first) - left),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array([t.decode() for t in texts], pa.string())] if with_text else []), names=names)
+    out = A.beside(keyed, removed_starts(keyed), run, schema, np.uint32)
     return out.select(F.when(F.col("nid") != A.NO_ID, F.col("nid")).alias("doc_id"), *names[1:])
 
 

@@ -177,45 +177,43 @@ def _meet_pieces(nid, tie, start, n, off, ident, body, found: A.Findings) -> Non
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(nid, tie, runs): runs of windows of ``docs`` (nid, tie, text) that start earlier elsewhere."""
+    """Findings: runs of windows of ``docs`` (nid, tie, text) that start earlier elsewhere."""
     n_buckets = A.buckets(docs.sparkSession)
 
     def kernel(buf, offs):
         return pieces(buf, offs, LENGTH, GRAM)[:2]
 
-    def send(batches):
+    def send(batch, idents, own):
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            nid, tie = A.rows_of(batch)
-            idents, own = A.joined(batch.column("idents"), np.uint64)
-            parts, body = [], []
-            for i, j, buf, offs in slices(batch):
-                ident, row, start, n, off = _chosen(buf, offs, idents[own[i]:own[j]], own[i:j + 1] - own[i], n_buckets)
-                a = offs[:-1][row] + start
-                raw = buf.tobytes()
-                body += [raw[x:y] for x, y in zip(a.tolist(), (a + n + LENGTH - 1).tolist())]
-                parts.append((ident, row + i, start, n, off))
-            ident, row, start, n, off = (np.concatenate(x) for x in zip(*parts))
-            if not len(ident):
-                continue
-            # equal pieces of this batch: only those at the first place travel
-            ids: dict = {}
-            content = np.fromiter((ids.setdefault(b, len(ids)) for b in body), np.int64, len(body))
-            order, first, _ = _firsts(content, nid[row], start)
-            late = order[~first]
-            if len(late):
-                late = late[np.argsort(row[late], kind="stable")]
-                yield A.pack(int(nid[0] % n_buckets), True, nid, tie, np.zeros(len(late), np.int64), row[late],
-                             start=start[late].astype(np.uint32), n=n[late].astype(np.uint32),
-                             **{c: np.zeros(len(late), "u1") for c in ("off", "ident", "body")})
-            here = order[first]
-            bucket = (ident >> np.uint64(32)).astype(np.int64)
-            here = here[np.lexsort((start[here], row[here], bucket[here]))]
-            edge = np.flatnonzero(np.r_[True, bucket[here][1:] != bucket[here][:-1]])
-            sent = A.pack(None, False, nid, tie, bucket[here], row[here], start=start[here].astype(np.uint32), n=n[here].astype(np.uint32),
-                          off=off[here].astype(np.uint8), ident=(ident[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            bodies = [pack.compress(b"".join(body[k] for k in here[x:y].tolist())) for x, y in zip(edge, np.r_[edge[1:], len(here)])]
-            yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(bodies, pa.binary())], names=[*sent.schema.names, "body"])
+        nid, tie = A.rows_of(batch)
+        parts, body = [], []
+        for i, j, buf, offs in slices(batch):
+            ident, row, start, n, off = _chosen(buf, offs, idents[own[i]:own[j]], own[i:j + 1] - own[i], n_buckets)
+            a = offs[:-1][row] + start
+            raw = buf.tobytes()
+            body += [raw[x:y] for x, y in zip(a.tolist(), (a + n + LENGTH - 1).tolist())]
+            parts.append((ident, row + i, start, n, off))
+        ident, row, start, n, off = (np.concatenate(x) for x in zip(*parts))
+        if not len(ident):
+            return
+        # equal pieces of this batch: only those at the first place travel
+        ids: dict = {}
+        content = np.fromiter((ids.setdefault(b, len(ids)) for b in body), np.int64, len(body))
+        order, first, _ = _firsts(content, nid[row], start)
+        late = order[~first]
+        if len(late):
+            late = late[np.argsort(row[late], kind="stable")]
+            yield A.pack(int(nid[0] % n_buckets), True, nid, tie, np.zeros(len(late), np.int64), row[late],
+                         start=start[late].astype(np.uint32), n=n[late].astype(np.uint32),
+                         **{c: np.zeros(len(late), "u1") for c in ("off", "ident", "body")})
+        here = order[first]
+        bucket = (ident >> np.uint64(32)).astype(np.int64)
+        here = here[np.lexsort((start[here], row[here], bucket[here]))]
+        edge = np.flatnonzero(np.r_[True, bucket[here][1:] != bucket[here][:-1]])
+        sent = A.pack(None, False, nid, tie, bucket[here], row[here], start=start[here].astype(np.uint32), n=n[here].astype(np.uint32),
+                      off=off[here].astype(np.uint8), ident=(ident[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        bodies = [pack.compress(b"".join(body[k] for k in here[x:y].tolist())) for x, y in zip(edge, np.r_[edge[1:], len(here)])]
+        yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(bodies, pa.binary())], names=[*sent.schema.names, "body"])
 
     def meet(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -238,42 +236,39 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             columns = [np.concatenate(x) for x in zip(*seen)]
             del seen
             _meet_pieces(*columns, body, found)
-        yield from found.rows("runs")
+        yield from found.rows(n_buckets)
 
     found = A.repeated(docs, kernel)
-    sent = A.with_found(docs, found, "idents", "inner").mapInArrow(send, A.sent_schema("start", "n", "off", "ident", "body"))
-    return sent.repartition(partitions(docs.sparkSession), "part").mapInArrow(meet, "nid long, tie int, runs binary")
+    sent = A.beside(docs, found, send, A.sent_schema("start", "n", "off", "ident", "body"), np.uint64)
+    return sent.repartition(partitions(docs.sparkSession), "part").mapInArrow(meet, A.FOUND)
 
 
 def remove_repeated_bytes(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
     keyed = A.keyed(docs)
-    both = A.with_found(keyed, repeated_runs(keyed), "runs", "left")
     schema = "nid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches):
-        for batch in batches:
-            runs, own = A.joined(batch.column("runs"), _RUN)
-            for i, j, buf, offs in slices(batch):
-                mine = runs[own[i]:own[j]]
-                at = mine["start"].astype(np.int64) + np.repeat(offs[:-1], np.diff(own[i:j + 1]))
-                step = np.zeros(len(buf) + 1, np.int32)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + mine["n"] + LENGTH - 1, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                head = gone.copy()
-                head[1:] &= ~gone[:-1]
-                inner = offs[(offs > 0) & (offs < len(buf))]
-                head[inner] = gone[inner]
-                removed = count_by_row(gone, offs)
-                kept = buf[~gone].tobytes()
-                ends = np.r_[0, np.cumsum(np.diff(offs) - removed)].tolist()
-                texts = [kept[a:b] for a, b in zip(ends, ends[1:])]
-                cols = [batch.column("nid").slice(i, j - i), pa.array(np.diff(offs)), pa.array(removed), pa.array(count_by_row(head, offs)),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array(texts, pa.binary())] if with_bytes else []), names=names)
-    out = both.mapInArrow(run, schema)
+    def run(batch, runs, own):
+        for i, j, buf, offs in slices(batch):
+            mine = runs[own[i]:own[j]]
+            at = mine["start"].astype(np.int64) + np.repeat(offs[:-1], np.diff(own[i:j + 1]))
+            step = np.zeros(len(buf) + 1, np.int32)
+            np.add.at(step, at, 1)
+            np.add.at(step, at + mine["n"] + LENGTH - 1, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            head = gone.copy()
+            head[1:] &= ~gone[:-1]
+            inner = offs[(offs > 0) & (offs < len(buf))]
+            head[inner] = gone[inner]
+            removed = count_by_row(gone, offs)
+            kept = buf[~gone].tobytes()
+            ends = np.r_[0, np.cumsum(np.diff(offs) - removed)].tolist()
+            texts = [kept[a:b] for a, b in zip(ends, ends[1:])]
+            cols = [batch.column("nid").slice(i, j - i), pa.array(np.diff(offs)), pa.array(removed), pa.array(count_by_row(head, offs)),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(texts, pa.binary())] if with_bytes else []), names=names)
+    out = A.beside(keyed, repeated_runs(keyed), run, schema, _RUN)
     return out.select(F.when(F.col("nid") != A.NO_ID, F.col("nid")).alias("doc_id"), *names[1:])
 
 
