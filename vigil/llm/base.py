@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 #: Rows per Arrow batch: batches of a few MB of text keep Python workers small.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def tune(spark: SparkSession) -> SparkSession:
