@@ -33,7 +33,7 @@ ORDER = 4
 FIT_ROWS = 500          # expected training rows per language at most
 UNIT = 4096             # code length units per bit
 MIN_SCORE = 0.5         # the pipeline rejects documents below this posterior
-MAX_BITS = 8.0          # ... or above this code length per byte (no better than uniform bytes)
+MAX_BITS = 11.0         # ... or at this code length per byte: its bytes are foreign to every language learned
 _PAD = 0xFF             # precedes every text; no UTF-8 text has this byte
 
 
