@@ -6,8 +6,9 @@ the same rule and every distinct word is encoded by the library once per
 worker; any other text goes to the library whole.
 
 File format: one Parquet row per block of neighbouring documents,
-``(block, first_doc, last_doc, dict_sha256, id_bytes, doc_ids[], n_tokens[],
-offsets[], payload)``.  ``payload`` is the concatenation of one zstd frame per
+``(part, block, before, first_doc, last_doc, dict_sha256, id_bytes, doc_ids[],
+n_tokens[], offsets[], payload)``; ``before`` counts the ids of the part's earlier
+blocks.  ``payload`` is the concatenation of one zstd frame per
 document; ``offsets`` (one entry more than documents) is the index, so one
 short document is read by slicing its frame.  Ids are stored as little-endian
 unsigned integers of ``id_bytes`` bytes.  Rows are in ascending doc_id order
@@ -169,13 +170,13 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
         ids: list = []
         sizes: list = []
         frames: list = []
-        part, block, held = 0, 0, 0
+        part, block, before, held = 0, 0, 0, 0
 
         def close():
             offs = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist()
             known = [d for d in ids if d is not None] or [None]
             return pa.RecordBatch.from_pylist([{
-                "part": part, "block": block, "first_doc": known[0], "last_doc": known[-1], "dict_sha256": sha, "id_bytes": enc.kind.itemsize,
+                "part": part, "block": block, "before": before, "first_doc": known[0], "last_doc": known[-1], "dict_sha256": sha, "id_bytes": enc.kind.itemsize,
                 "doc_ids": ids, "n_tokens": sizes, "offsets": offs, "payload": b"".join(frames)}], schema=kind)
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
@@ -189,13 +190,14 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
                     held += len(frame)
                     if held >= BLOCK_BYTES:
                         yield close()
+                        before += sum(sizes)
                         ids, sizes, frames, held, block = [], [], [], 0, block + 1
         if ids:
             yield close()
-    kind = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()),
+    kind = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()),
                       ("dict_sha256", pa.string()), ("id_bytes", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
                       ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
-    blocks = rows.mapInArrow(run, "part int, block long, first_doc long, last_doc long, dict_sha256 string, id_bytes int, "
+    blocks = rows.mapInArrow(run, "part int, block long, before long, first_doc long, last_doc long, dict_sha256 string, id_bytes int, "
                                   "doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary")
     return write_table(blocks, "token-blocks"), dictionary
 
@@ -203,21 +205,17 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
 def starts(blocks: DataFrame) -> DataFrame:
     """``blocks`` plus ``start``: the ids of all documents before each block.
 
-    Totals per range partition (as many as shuffle partitions) give the partitions' starts; within a
-    partition blocks are few and summed in a window of that partition.
+    Totals per part (as many as shuffle partitions) give the parts' starts; a block knows its place in its part.
     """
-    from pyspark.sql import Window
-    sized = blocks.withColumn("n", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x))
-    totals = sorted((r["part"], r["n"]) for r in sized.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    base, at = {}, 0
+    size = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    totals = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum(size).alias("n")).collect())
+    rows, at = [], 0
     for p, n in totals:
-        base[p] = at
+        rows.append((p, at))
         at += n
-    w = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sized.select("part", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("inner"))
-    first = blocks.sparkSession.createDataFrame([*base.items()], "part int, base long")
-    before = before.join(first, "part").select("part", "block", (F.col("inner") + F.col("base")).alias("start"))
-    return blocks.join(before, ["part", "block"])
+    base = blocks.sparkSession.createDataFrame(rows, "part int, base long")
+    # one row per part: the bound of the broadcast is the number of shuffle partitions; payloads stay where they are
+    return blocks.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("before")).drop("base")
 
 
 def _frames(blocks: DataFrame, raw: bytes, kernel, schema: str) -> DataFrame:
