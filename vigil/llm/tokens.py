@@ -41,7 +41,7 @@ from vigil.llm.base import partitions, query, table, write_table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 DICT_BYTES = 64 << 10
-#: Documents the dictionary is trained on (a bounded sample, the first by hash of doc_id), and bytes used of each.
+#: Documents the dictionary is trained on (a bounded sample, drawn by hash), and characters used of each.
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 16 << 10
 BLOCK_BYTES = 1 << 20        # compressed bytes after which a block is closed
@@ -136,16 +136,21 @@ def _texts(batch: pa.RecordBatch, step: int = 200):
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, size: int = DICT_BYTES) -> bytes:
-    """zstd dictionary from the serialized ids of at most SAMPLE_DOCS documents; b"" when there is too little to train on."""
-    head = F.substring("text", 1, SAMPLE_BYTES).alias("text")          # of the sample only; documents are stored whole
-    sample = docs.select(head, F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    """zstd dictionary from the serialized ids of about SAMPLE_DOCS documents; b"" when there is too little to train on.
+
+    Documents are drawn by a hash of (doc_id, text) at a rate, so nothing is sorted; the limit only bounds
+    what a row repeated very often can add.
+    """
+    scale, n = 1 << 30, max(docs.count(), 1)
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < min(scale, scale * SAMPLE_DOCS // n)
+    sample = docs.filter(drawn).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(2 * SAMPLE_DOCS)
 
     def run(batches):
         enc = _encoder(path, end_id)
         for batch in batches:
             for _, _, texts in _texts(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([b[:SAMPLE_BYTES] for b in enc.encode(texts)], pa.binary())], names=["ids"])
-    data = [bytes(r[0]) for r in sample.select("text").mapInArrow(run, "ids binary").collect()]
+    data = [bytes(r[0]) for r in sample.mapInArrow(run, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(size, data).as_bytes()
     except zstandard.ZstdError:
