@@ -37,6 +37,8 @@ from vigil.session import materialize, spread
 
 #: Nodes of the trees a task holds at a time when scoring (at least one tree).
 CHUNK_NODES = 2_000_000
+#: Levels after which the moved rows are written; in between they are derived from the written node tables.
+ROWS_EVERY = 3
 EULER_GAMMA = 0.5772156649015329
 NODE_COLUMNS = ("tree", "node", "feature", "threshold", "left", "right", "size", "depth")
 
@@ -127,7 +129,9 @@ def iforest_fit(df: DataFrame, rid, features: list[str], n_trees: int = 100, max
         inner = nodes.filter("feature >= 0").select("tree", "node", "feature", "threshold")
         down = rows.join(inner, ["tree", "node"])
         child = 2 * F.col("node") + (F.element_at("x", F.col("feature") + 1) >= F.col("threshold")).cast("long")
-        rows = materialize(down.select("tree", child.alias("node"), "x"), "forest-rows")
+        rows = down.select("tree", child.alias("node"), "x")
+        if level % ROWS_EVERY == ROWS_EVERY - 1:      # lineage: at most so many joins with written node tables
+            rows = materialize(rows, "forest-rows")
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)

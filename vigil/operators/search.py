@@ -36,24 +36,49 @@ def knn_grid_f1(cands: DataFrame, labels: DataFrame, keys: list[str], rid: str,
     the k-th distance of each grid k is read off it, so one neighbour pass
     serves the whole grid.  Percentiles are exact (per k, across the series).
     """
-    from vigil.operators.stats import quantiles
     keys = list(keys)
     named = cands if label in cands.columns else cands.join(labels.select(*keys, rid, label), keys + [rid])
     sc = named.select(*keys, rid, label, F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "nbrs")
     sc = sc.withColumn("score", F.when(F.size("nbrs") >= F.col("k"), F.element_at("nbrs", F.col("k"))["d"])).drop("nbrs")
-    th = quantiles(sc, keys + ["k"], "score", [q / 100.0 for q in qs])
-    # one wide threshold row per (series, k); each scored row is counted once for all percentiles
-    wide = th.groupBy(*keys, "k").agg(*[F.max(F.when(F.abs(F.col("q") - q / 100.0) < 1e-12, F.col("value"))).alias(f"__t{i}") for i, q in enumerate(qs)])
-    fl = sc.join(wide, keys + ["k"], "left")
+    return _percentile_counts(sc, keys, "k", qs, label)
+
+
+def _percentile_counts(sc: DataFrame, keys: list[str], param: str, qs: list[float], label: str) -> DataFrame:
+    """F1 per (param, percentile) of scored rows (keys, param, score, label), thresholds exact per (keys, param)."""
+    from vigil.operators.stats import quantiles
+    th = quantiles(sc, keys + [param], "score", [q / 100.0 for q in qs])
+    # one wide threshold row per (series, param); each scored row is counted once for all percentiles
+    wide = th.groupBy(*keys, param).agg(*[F.max(F.when(F.abs(F.col("q") - q / 100.0) < 1e-12, F.col("value"))).alias(f"__t{i}") for i, q in enumerate(qs)])
+    fl = sc.join(wide, keys + [param], "left")
     y = F.coalesce(F.col(label) == 1, F.lit(False))
     counts = []
     for i in range(len(qs)):
         f = F.coalesce(F.col("score") > F.col(f"__t{i}"), F.lit(False))       # a missing score is not flagged
         counts.append(F.struct(F.lit(float(qs[i])).alias("q"), F.count_if(y & f).alias("tp"), F.count_if(~y & f).alias("fp"), F.count_if(y & ~f).alias("fn")))
-    conf = fl.groupBy("k").agg(F.array(*counts).alias("__c")).select("k", F.inline("__c"))
+    conf = fl.groupBy(param).agg(F.array(*counts).alias("__c")).select(param, F.inline("__c"))
     return conf.withColumn("f1", f1_from_counts("tp", "fp", "fn"))
 
 
+def forest_grid_f1(df: DataFrame, nodes: DataFrame, psi: int, features: list[str], tree_counts: list[int],
+                   contaminations: list[float], label: str = "is_anomaly") -> DataFrame:
+    """H4 for the isolation forest: F1 for every (n_trees, contamination).
+
+    The largest forest is fitted once; a smaller one is its first trees.  A contamination c flags the rows
+    above the (1 - c) score quantile.
+    """
+    from vigil.operators.forest import iforest_score
+    from vigil.session import materialize
+    out = None
+    for k in tree_counts:
+        s = iforest_score(df.select(*features, label), nodes.filter(F.col("tree") < k), psi, features)
+        # equal paths must tie at the threshold whatever the order their lengths were added in
+        s = s.select(F.lit(k).alias("n_trees"), label, F.round("score", 9).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    qs = [100.0 * (1.0 - c) for c in contaminations]
+    g = _percentile_counts(materialize(out, "forest-grid"), [], "n_trees", qs, label)
+    return g.withColumn("contamination", F.round(1.0 - F.col("q") / 100.0, 9)).drop("q")
+
+
 def best_params(scored: DataFrame, params: list[str], metric: str) -> DataFrame:
     """H3/H4: the parameter row with the highest metric (ties: smallest parameters)."""
     order = F.struct(F.col(metric), *[-F.col(p) for p in params])

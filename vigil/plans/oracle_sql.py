@@ -194,17 +194,25 @@ def forest_nodes(src, key, feats, n_trees, psi, seed=42) -> str:
     return f"""WITH {ctes} SELECT tree, node, feature, round(threshold, 6) AS threshold, "left", "right", size, depth FROM ({union})"""
 
 
-def forest_scores(src, key, feats, cols, n_trees, psi, seed=42) -> str:
-    """(cols, score): paths of all rows through the forest, one level per CTE."""
+def forest_paths(src, key, feats, n_trees, psi, seed=42) -> str:
+    """CTEs ending with paths(rowno, tree, h): every row's path length in every tree, one level per CTE."""
     ctes, limit = forest_ctes(src, key, feats, n_trees, psi, seed)
     f = ", ".join(feats)
-    c = lambda n: f"(CASE WHEN {n} > 2 THEN 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END)"
-    steps, ends = [f"w0 AS (SELECT rowno, tree, CAST(1 AS BIGINT) AS node, {f} FROM base, (SELECT unnest(range({n_trees})) AS tree))"], []
+    steps, ends = [f"w0 AS (SELECT rowno, CAST(tree AS INT) AS tree, CAST(1 AS BIGINT) AS node, {f} FROM base, (SELECT unnest(range({n_trees})) AS tree))"], []
     for lv in range(limit + 1):
         steps.append(f"j{lv} AS MATERIALIZED (SELECT w.*, e.feature, e.threshold, e.size FROM w{lv} w LEFT JOIN e{lv} e ON w.tree = e.tree AND w.node = e.node)")
-        ends.append(f"SELECT rowno, {lv} + coalesce({c('size')}, 0.0) AS h FROM j{lv} WHERE coalesce(feature, -1) < 0")
+        ends.append(f"SELECT rowno, tree, {lv} + coalesce({c_factor('size')}, 0.0) AS h FROM j{lv} WHERE coalesce(feature, -1) < 0")
         if lv < limit:
             steps.append(f"w{lv + 1} AS (SELECT rowno, tree, 2 * node + CASE WHEN [{f}][feature + 1] >= threshold THEN 1 ELSE 0 END AS node, {f} FROM j{lv} WHERE feature >= 0)")
-    paths = f"SELECT rowno, sum(h) AS h FROM ({' UNION ALL '.join(ends)}) GROUP BY rowno"
-    return f"""WITH {ctes}, {', '.join(steps)} SELECT {cols}, round(pow(2.0, -h / ({n_trees} * {c(float(psi))})), 6) AS score
-        FROM base JOIN ({paths}) USING (rowno)"""
+    return f"{ctes}, {', '.join(steps)}, paths AS MATERIALIZED ({' UNION ALL '.join(ends)})"
+
+
+def c_factor(n) -> str:
+    return f"(CASE WHEN {n} > 2 THEN 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END)"
+
+
+def forest_scores(src, key, feats, cols, n_trees, psi, seed=42) -> str:
+    """(cols, score) of all rows."""
+    return f"""WITH {forest_paths(src, key, feats, n_trees, psi, seed)}
+        SELECT {cols}, round(pow(2.0, -h / ({n_trees} * {c_factor(float(psi))})), 6) AS score
+        FROM base JOIN (SELECT rowno, sum(h) AS h FROM paths GROUP BY rowno) USING (rowno)"""

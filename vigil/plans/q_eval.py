@@ -10,7 +10,8 @@ from vigil.operators import search as H
 from vigil.operators import stats as D
 from vigil.plans import jobs as J
 from vigil.plans import oracle_sql as O
-from vigil.plans.q_detect import F11, LOOP_USER_FLAGS, _fold_split, f11_scores, loop_user_scored
+from vigil.operators import forest as FR
+from vigil.plans.q_detect import F11, FOREST, LOOP_USER_FLAGS, _fold_split, f11_scores, loop_user_scored
 from vigil.plans.base import finish, query, r6
 from vigil.session import materialize
 from vigil.sources import board as BD
@@ -406,3 +407,48 @@ def g11_best_threshold_wide_range(spark, sf_dir):
     odd = F.col("event_id") == 3
     s = e.select(F.when(odd, F.lit(5e8)).otherwise(F.col("value")).alias("score"), ((F.col("value") > 300) | odd).cast("int").alias("is_anomaly"))
     return finish(G.best_threshold(G.threshold_sweep(s, [], "score", step=0.01, expand=False), []))
+
+
+# ---------------------------------------------------------------- forest: grid and sweep
+
+_TREES, _SHARES = [5, 10, 20], [0.01, 0.02, 0.05]
+_GRID_PATHS = O.forest_paths(*FOREST, 20, 64)
+_GRID_SCORES = " UNION ALL ".join(
+    f"SELECT {k} AS n_trees, rowno, round(pow(2.0, -sum(h) / ({k} * {O.c_factor(64.0)})), 9) AS score FROM paths WHERE tree < {k} GROUP BY rowno" for k in _TREES)
+FOREST_GRID = f"""WITH {_GRID_PATHS}, s AS MATERIALIZED (SELECT n_trees, score, is_anomaly FROM ({_GRID_SCORES}) JOIN base USING (rowno)),
+t AS (SELECT n_trees, c, CASE c {' '.join(f'WHEN {c} THEN quantile_cont(score, {1.0 - c})' for c in _SHARES)} END AS th
+      FROM s, (SELECT unnest(CAST({_SHARES} AS DOUBLE[])) AS c) GROUP BY n_trees, c),
+g AS (SELECT n_trees, c AS contamination, count_if(is_anomaly = 1 AND score > th) AS tp, count_if(is_anomaly = 0 AND score > th) AS fp,
+      count_if(is_anomaly = 1 AND score <= th) AS fn FROM s JOIN t USING (n_trees) GROUP BY n_trees, c)
+SELECT CAST(n_trees AS INTEGER) AS n_trees, contamination, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM g"""
+
+
+def _grid_forest(spark, sf_dir):
+    df, spec = C.dataset(spark, sf_dir, "lineitem")
+    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), list(spec.values), n_trees=20, max_samples=64, seed=42)
+    return df, nodes, psi, list(spec.values)
+
+
+@query("h4_forest_grid_f1", FOREST_GRID)
+def h4_forest_grid_f1(spark, sf_dir):
+    """F1 for every (number of trees, contamination); one fitted forest serves the grid."""
+    df, nodes, psi, feats = _grid_forest(spark, sf_dir)
+    return finish(H.forest_grid_f1(df, nodes, psi, feats, _TREES, _SHARES))
+
+
+FOREST_SCORED = f"(WITH {_GRID_PATHS} SELECT round(pow(2.0, -h / (20 * {O.c_factor(64.0)})), 9) AS score, is_anomaly FROM base JOIN (SELECT rowno, sum(h) AS h FROM paths GROUP BY rowno) USING (rowno))"
+
+
+@query("g8_forest_best_level", f"""WITH s AS MATERIALIZED {FOREST_SCORED},
+l AS (SELECT j, CASE WHEN j = 89 THEN 1.0::DOUBLE ELSE 0.0 + CAST(j AS DOUBLE) * {dbl(_STEP89)} END AS t FROM (SELECT unnest(range(90)) AS j)),
+g AS (SELECT t, count_if(is_anomaly = 1 AND score > t) AS tp, count_if(is_anomaly = 0 AND score > t) AS fp, count_if(is_anomaly = 1 AND score <= t) AS fn FROM s, l GROUP BY t)
+SELECT round(t, 6) AS best_t, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS best_f1 FROM g
+ORDER BY 2.0 * tp / (2 * tp + fp + fn) DESC, t LIMIT 1""")
+def g8_forest_best_level(spark, sf_dir):
+    """Best of 90 levels on [0, 1] for the forest's scores."""
+    df, nodes, psi, feats = _grid_forest(spark, sf_dir)
+    s = FR.iforest_score(df.select(*feats, "is_anomaly"), nodes, psi, feats).select("is_anomaly", F.round("score", 9).alias("score"))
+    s = materialize(s, "forest-scored")
+    sw = G.threshold_sweep(s, [], "score", step=_STEP89, inclusive=False, bounds=(0.0, 1.0), count=90, last=1.0, expand=False)
+    return finish(G.best_threshold(sw, []))
