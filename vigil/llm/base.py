@@ -64,10 +64,12 @@ def as_text(c) -> F.Column:
 
 
 def map_text(docs: DataFrame, kernel: Callable, fields: list[tuple[str, str]], keep: list[str], text: str = "text",
-             slice_bytes: int | None = None) -> DataFrame:
+             slice_bytes: int | None = None, then: tuple[Callable, str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` plus what ``kernel(bytes, offsets)`` computes for each row's whole text.
 
     ``kernel`` gets one slice of neighbouring rows and returns one Arrow array (or numpy array) per field.
+    ``then`` = (batches -> batches, schema) goes over the result in the same Python worker (a second
+    ``mapInArrow`` would keep twice as many workers on every executor).
     """
     import pyarrow as pa
 
@@ -85,6 +87,8 @@ def map_text(docs: DataFrame, kernel: Callable, fields: list[tuple[str, str]], k
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(i, j - i) for k in keep),
                      *(c if isinstance(c, pa.Array) else pa.array(c) for c in new)], names=names)
+    if then:
+        return src.mapInArrow(lambda batches: then[0](run(batches)), then[1])
     return src.mapInArrow(run, schema)
 
 

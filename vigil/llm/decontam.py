@@ -140,13 +140,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
         last = b == blocks - 1
         carried = cols if last else list(dict.fromkeys([*cols, "text"]))
         size = min(max(SLICE_BYTES, 8 * sum(len(t) for _, t in block)), 8 * SLICE_BYTES)
-        extra = [(fresh("n_words", keep), "long"), (fresh("matches_new", keep), MATCH)]
+        n_words = fresh("n_words", keep)
+        if last and not b:                                  # the usual case: one block, one pass
+            fields = [(n_words, "long"), (found, MATCH)]
+            return map_text(state, _matcher(probe), fields, carried, slice_bytes=size, then=_summary(docs, keep, n_words, found))
+        extra = [(n_words, "long"), (fresh("matches_new", keep), MATCH)]
         state = map_text(state, _matcher(probe), extra, carried + ([found] if b else []), slice_bytes=size)
         merged = F.concat(found, extra[1][0]) if b else F.col(extra[1][0])
         state = state.withColumn(found, merged).drop(extra[1][0])
         if not last:
-            state = write_table(state.drop(extra[0][0]), "decontam")
-    return _summary(state, keep, fresh("n_words", keep), found)
+            state = write_table(state.drop(n_words), "decontam")
+    return state.select(*keep, n_words, found).mapInArrow(*_summary(docs, keep, n_words, found))
 
 
 def _matcher(probe):
@@ -162,13 +166,12 @@ def _matcher(probe):
     return kernel
 
 
-def _summary(state: DataFrame, keep: list[str], n_words: str, found: str) -> DataFrame:
-    """Counts from the matches of each row."""
+def _summary(docs: DataFrame, keep: list[str], n_words: str, found: str):
+    """(batches -> batches, schema) for batches of ``keep``, words and matches: counts from the matches of each row."""
     names = [fresh(n, keep) for n in ("n_hit", "n_items", "items_sha256", "contaminated")]
-    kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
-    cols = [*keep, n_words, found]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, n_words]) + \
-        f", `{names[0]}` long, `{names[1]}` long, `{names[2]}` string, `{names[3]}` boolean, `{found}` {MATCH}"
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + \
+        f", `{n_words}` long, `{names[0]}` long, `{names[1]}` long, `{names[2]}` string, `{names[3]}` boolean, `{found}` {MATCH}"
     blank = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
@@ -186,7 +189,7 @@ def _summary(state: DataFrame, keep: list[str], n_words: str, found: str) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in [*keep, n_words]), pa.array(hit), pa.array(items), pa.array(sha, pa.string()),
                  pa.array(hit > 0), lists], names=[*keep, n_words, *names, found])
-    return state.select(*cols).mapInArrow(run, schema)
+    return run, schema
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

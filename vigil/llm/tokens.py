@@ -46,7 +46,7 @@ SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 16 << 10
 BLOCK_BYTES = 1 << 20        # compressed bytes after which a block is closed
 LEVEL = 3
-WORD_CACHE = 300_000         # distinct words in each of the two generations a worker remembers
+WORD_CACHE = 200_000         # distinct words in each of the two generations a worker remembers
 
 # The splitting rule of the byte-level tokenizer, with its letter and number classes
 # spelled out for the characters of _PLAIN (printable ASCII, tab, line ends, Latin-1 and Latin Extended letters).
