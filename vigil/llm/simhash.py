@@ -44,22 +44,27 @@ _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorde
           .astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(1, dtype=np.uint64)
 
 
-def _shingles(buf, offs, n):
-    """XXH64 of every word shingle (words joined by one space) and the number per row."""
+def shingle_spans(buf, offs, n):
+    """Lower-cased words joined by one space, begin and stop of every n-word shingle there, and the number per row."""
     low = LOWER[buf]
     starts, ends, first = word_spans(low, offs, NOT_SPACE)
     words = np.diff(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), words
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64), words
     data, at = join_words(low, starts, ends)
     begin, stop = at[:-1], at[1:] - 1
     count = np.where(words >= n, words - n + 1, np.minimum(words, 1))
     row = np.repeat(np.arange(len(words)), count)
     head = first[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     tail = np.minimum(head + n, first[1:][row]) - 1
+    return data, begin[head], stop[tail], count
+
+
+def _shingles(buf, offs, n):
+    """XXH64 of every word shingle and the number per row."""
+    data, begin, stop, count = shingle_spans(buf, offs, n)
     xx = xxhash.xxh64_intdigest
-    h = np.fromiter((xx(data[a:b], SEED) for a, b in zip(begin[head].tolist(), stop[tail].tolist())), np.uint64, len(head))
-    return h, count
+    return np.fromiter((xx(data[a:b], SEED) for a, b in zip(begin.tolist(), stop.tolist())), np.uint64, len(begin)), count
 
 
 def _fingerprint(h: np.ndarray, count: np.ndarray) -> np.ndarray:
