@@ -36,16 +36,28 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1:w - 1 + n])
 
 
+def least_places(h: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least of every w consecutive hashes, by their high bits and then by place.
+
+    The low bits hold the place relative to a block; blocks overlap so that every window lies in one.
+    """
+    low = np.uint64((1 << 64 - _ORDER_BITS) - 1)
+    most = int(low) + 1
+    out = []
+    for a in range(0, len(h) - w + 1, most - w + 1):
+        part = h[a:a + most]
+        key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_min(key, w) & low).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 def pieces(buf: np.ndarray, offs: np.ndarray, window: int, k: int):
     """(hash, row, start, n, off) of every run of n windows sharing one minimizer occurrence, off bytes behind start in the row."""
     none = np.zeros(0, np.int64)
     if len(buf) < window:
         return none.astype(np.uint64), none, none, none, none
     h = gram_hash(buf, k)
-    # order by the hash's high bits, then by place, which also tells the winner's place
-    low = np.uint64((1 << 64 - _ORDER_BITS) - 1)
-    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    at = (sliding_min(key, window - k + 1) & low).astype(np.int64)
+    at = least_places(h, window - k + 1)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:len(at)]
     inside = np.arange(len(at)) + window <= offs[1:][row]            # windows never cross documents
     new = np.r_[True, (at[1:] != at[:-1]) | ~inside[:-1] | (row[1:] != row[:-1])]
