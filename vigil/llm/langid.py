@@ -213,7 +213,13 @@ def ppm_language_id(spark, sf_dir):
 
 
 def keep_identified(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language is recognised: not ``und``, posterior and code length within the limits."""
-    out = identify(docs, fit(training.filter(~held_out())), docs.columns)
+    """Rows of ``docs`` whose language is recognised: not ``und``, posterior and code length within the limits.
+
+    Without any labelled row to learn from, all rows whose text has a letter stay.
+    """
+    model = fit(training.filter(~held_out()))
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    out = identify(docs, model, docs.columns)
     lang, score, bits = (F.col(fresh(n, docs.columns)) for n in ("lang_pred", "score", "bits_per_byte"))
     return out.filter((lang != "und") & (score >= MIN_SCORE) & (bits < MAX_BITS)).select(*docs.columns)
