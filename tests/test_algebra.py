@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 from vigil.operators import evaluate as G
 from vigil.operators import neighbors as NB
 from vigil.operators import positions as P

@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 from vigil.plans import registry
 
 # one or more queries from every SURVEY §2 area (the full set runs in scripts/compare.py)
@@ -111,7 +111,7 @@ def test_arrow_functions_run_from_another_folder(tmp_path):
     import subprocess
     import sys
 
-    from conftest import ROOT
+    from testdata_paths import ROOT
     code = f"""import sys; sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 from vigil.operators import evaluate as G
 from vigil.operators import forest as FR
 from vigil.sources import catalog as C

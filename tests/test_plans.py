@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 CHECKED = ["knn_events_by_user_board", "f2_knn_1d_global", "f4_loop_by_user", "f1_knn_multid",
            "e1_sliding_windows_global", "g5_roc_curve", "g7_threshold_sweep", "d9_score_percentile",

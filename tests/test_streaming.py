@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 from vigil.operators import stats as D
 from vigil.session import checkpoint_dir
 from vigil.streaming import scoring as ST
