@@ -8,16 +8,16 @@ as Parquet in the shared checkpoint folder and rereads it, so a lost executor
 costs one stage's tasks at most.
 
 * language ID drops documents without recognisable language (no letters, a
-  posterior under one half, or bytes foreign to every language); the model is
+  posterior under one half, or mostly characters of scripts foreign to the model); the model is
   trained on the stage's own labelled rows.
-* near-dedup keeps one document of every component of texts whose sets of
-  five-word shingles have a Jaccard similarity of 0.8 or more.
+* near-dedup keeps one document of every component of SimHash fingerprints
+  (three-word shingles) within three bits.
 * decontamination drops documents with a ten-word window of a benchmark item.
 * mixing repeats documents by Poisson counts towards smoothed source weights
   and shuffles them globally.
 * token files encodes the mix and reads it back: doc_id, start, n_tokens, ids_crc32.
 
-The language model and the MinHash keys cannot be computed in SQL, so there is
+The language model and the fingerprints cannot be computed in SQL, so there is
 no ORACLE_SQL; tests/llm/test_pipeline.py compares every stage with a plain version.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import base, decontam, jaccard, langid, mixing, tokens
+from vigil.llm import base, decontam, langid, mixing, simhash, tokens
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.drop_near_copies(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
