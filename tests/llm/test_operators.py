@@ -325,3 +325,23 @@ def test_column_wise_order_is_the_suffix_order():
             ends = np.r_[0, np.cumsum([len(s) for s in ss])].astype(np.int64)
             who, at = sorted_suffixes(np.frombuffer(b"".join(ss), np.uint8), ends, 2)
             assert [ss[w][a:] for w, a in zip(who, at)] == sorted(s[i:] for s in ss for i in range(len(s) - 1))
+
+
+# -- every column name that a module makes up may be an input column too
+
+@pytest.mark.parametrize("module", ["mixing", "simhash", "langid", "decontam"])
+def test_input_columns_named_like_the_modules_own(spark, edge, module):
+    import importlib
+    import re
+    m = importlib.import_module(f"vigil.llm.{module}")
+    with open(m.__file__, encoding="utf-8") as f:
+        names = {x.lower() for x in re.findall(r'"([A-Za-z_][A-Za-z_0-9]*)"', f.read())} - {c.lower() for c in edge.columns}
+    names |= {"__cdf", "__parts", "kept_id", "kept_mark"}
+    docs = edge.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(7).alias(n) for n in sorted(names)])
+    keep = {"mixing": mixing.mix, "simhash": simhash.drop_near_duplicates, "langid": lambda d: langid.keep_identified(d, d),
+            "decontam": lambda d: decontam.decontaminate(d, spark.createDataFrame(ITEMS, "item_id long, text string"))}[module]
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    out = keep(docs)
+    assert out.columns == docs.columns and rows(out, *plain.columns) == rows(keep(plain), *plain.columns)
+    if out.count():
+        assert {tuple(r) for r in out.select(*sorted(names)).distinct().collect()} == {(7,) * len(names)}

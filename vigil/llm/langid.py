@@ -33,7 +33,7 @@ ORDER = 4
 FIT_ROWS = 500          # expected training rows per language at most
 UNIT = 4096             # code length units per bit
 MIN_SCORE = 0.5         # the pipeline rejects documents below this posterior
-MAX_BITS = 11.0         # ... or at this code length per byte: its bytes are foreign to every language learned
+MAX_FOREIGN = 0.5       # ... or with most characters of scripts that no training text has
 _PAD = 0xFF             # precedes every text; no UTF-8 text has this byte
 
 
@@ -134,6 +134,16 @@ class Model:
             out[i][full] = np.add.reduceat(c, offs[:-1][full], dtype=np.int64)
         return out
 
+    def foreign(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Share of every row's characters whose first byte no training text of any language has."""
+        known = np.zeros(256, bool)
+        known[self.levels[0][0].keys.astype(np.int64)] = True
+        first = (buf & 0xC0) != 0x80                     # all bytes but the later ones of a character
+        total, strange = np.zeros(len(buf) + 1, np.int64), np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(first, out=total[1:])
+        np.cumsum(first & ~known[buf], out=strange[1:])
+        return (strange[offs[1:]] - strange[offs[:-1]]) / np.maximum(total[offs[1:]] - total[offs[:-1]], 1)
+
     def _escaped(self, g: np.ndarray) -> np.ndarray:
         """Lengths of sequences that no language has at full order."""
         out = np.zeros((len(self.langs), len(g)), np.int32)
@@ -183,24 +193,24 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` plus lang_pred, score, bits_per_byte (fresh names) for every whole text of ``docs``."""
+    """``keep`` plus lang_pred, score, bits_per_byte, foreign_share (fresh names) for every whole text of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)        # bounded by the training sample
-    lettered, lang, score, bits = (fresh(n, docs.columns) for n in ("lettered", "lang_pred", "score", "bits_per_byte"))
+    lettered, lang, score, bits, foreign = (fresh(n, docs.columns) for n in ("lettered", "lang_pred", "score", "bits_per_byte", "foreign_share"))
 
     def kernel(buf, offs):
         m = shared.value
         total, size = m.lengths(buf, offs), np.diff(offs)
         if not m.langs:
-            return [pa.array(["und"] * len(size), pa.string()), np.zeros(len(size)), np.zeros(len(size))]
+            return [pa.array(["und"] * len(size), pa.string()), *[np.zeros(len(size))] * 3]
         best = total.argmin(0)
         least = total[best, np.arange(len(size))]
         weight = np.exp2(-np.minimum((total - least) / UNIT, 1000.0)).sum(0)
-        return [pa.array(m.langs, pa.string()).take(pa.array(best)), 1.0 / weight, least / UNIT / np.maximum(size, 1)]
+        return [pa.array(m.langs, pa.string()).take(pa.array(best)), 1.0 / weight, least / UNIT / np.maximum(size, 1), m.foreign(buf, offs)]
     known = docs.withColumn(lettered, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    out = map_text(known, kernel, [(lang, "string"), (score, "double"), (bits, "double")], [*keep, lettered])
+    out = map_text(known, kernel, [(lang, "string"), (score, "double"), (bits, "double"), (foreign, "double")], [*keep, lettered])
     und = ~F.col(lettered) | (F.col(lang) == "und")
     return out.select(*keep, F.when(und, "und").otherwise(F.col(lang)).alias(lang),
-                      F.when(und, 0.0).otherwise(F.col(score)).alias(score), bits)
+                      F.when(und, 0.0).otherwise(F.col(score)).alias(score), bits, foreign)
 
 
 @query("op1_ppm_language_id")
@@ -213,7 +223,7 @@ def ppm_language_id(spark, sf_dir):
 
 
 def keep_identified(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language is recognised: not ``und``, posterior and code length within the limits.
+    """Rows of ``docs`` whose language is recognised: not ``und``, posterior within its limit, script known to the model.
 
     Without any labelled row to learn from, all rows whose text has a letter stay.
     """
@@ -221,5 +231,5 @@ def keep_identified(docs: DataFrame, training: DataFrame) -> DataFrame:
     if not model.langs:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     out = identify(docs, model, docs.columns)
-    lang, score, bits = (F.col(fresh(n, docs.columns)) for n in ("lang_pred", "score", "bits_per_byte"))
-    return out.filter((lang != "und") & (score >= MIN_SCORE) & (bits < MAX_BITS)).select(*docs.columns)
+    lang, score, foreign = (F.col(fresh(n, docs.columns)) for n in ("lang_pred", "score", "foreign_share"))
+    return out.filter((lang != "und") & (score >= MIN_SCORE) & (foreign <= MAX_FOREIGN)).select(*docs.columns)

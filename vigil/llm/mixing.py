@@ -68,13 +68,14 @@ def _cdf(mean: F.Column) -> F.Column:
 def replicate(docs: DataFrame, weights: dict | None = None, smoothing: float = SMOOTHING, epochs: float = EPOCHS,
               seed: str = SEED) -> DataFrame:
     """All copies in shuffled order: the columns of ``docs``, rate, n_copies, copy_no (from 1), shuffle_key (fresh names)."""
-    rate, n_copies, copy_no, key, own = (fresh(n, docs.columns) for n in ("rate", "n_copies", "copy_no", "shuffle_key", "mix_source"))
+    rate, n_copies, copy_no, key, own, n_parts, cdf = (
+        fresh(n, docs.columns) for n in ("rate", "n_copies", "copy_no", "shuffle_key", "mix_source", "rate_parts", "rate_cdf"))
     rates = mixing_rates(docs, weights, smoothing, epochs)
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
-    rates = rates.select(F.col("source").alias(own), F.col("rate").alias(rate), parts.alias("__parts"), _cdf(F.col("rate") / parts).alias("__cdf"))
+    rates = rates.select(F.col("source").alias(own), F.col("rate").alias(rate), parts.alias(n_parts), _cdf(F.col("rate") / parts).alias(cdf))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda k: _uniform(F.lit(seed), name, k.cast("string")))
-    count = F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter("__cdf", lambda c: c <= u)))
+    draws = F.transform(F.sequence(F.lit(1), F.col(n_parts)), lambda k: _uniform(F.lit(seed), name, k.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter(cdf, lambda c: c <= u)))
     out = docs.join(rates, docs["source"].eqNullSafe(F.col(own))).withColumn(n_copies, count.cast("long")).filter(F.col(n_copies) > 0)
     out = out.withColumn(copy_no, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_copies))))
     out = out.withColumn(key, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col(copy_no).cast("string"))))

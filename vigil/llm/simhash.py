@@ -137,14 +137,11 @@ def near_pairs(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
         F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])).alias("b"))
     keyed = keyed.select("b.c", "b.k", "fp")
     hot = write_table(keyed.groupBy("c", "k").count().filter(F.col("count") > chunk), "simhash-hot")
-    if hot.isEmpty():
-        dealt = keyed.select("c", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-    else:
-        n = F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        dealt = (keyed.join(hot, ["c", "k"], "left").withColumn("n", n).withColumn("mine", mine)
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-                 .select("c", "k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp"))
+    n = F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    dealt = (keyed.join(hot, ["c", "k"], "left").withColumn("n", n).withColumn("mine", mine)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+             .select("c", "k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp"))
     dealt = dealt.repartition(partitions(fps.sparkSession), "c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j", "fp")
 
     def run(batches):
@@ -189,10 +186,10 @@ def simhash_near_dedup(spark, sf_dir):
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component stays: the one with the smallest (doc_id, hash of its text)."""
-    mark = fresh("text_hash", docs.columns)
+    mark, kept_id, kept_mark = (fresh(n, docs.columns) for n in ("text_hash", "kept_id", "kept_mark"))
     marked = docs.withColumn(mark, F.xxhash64("text"))
     groups = near_groups(marked, ["doc_id", mark])
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", mark)).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("kept_id"), F.col(f"best.{mark}").alias("kept_mark"))
-    here = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(mark) == F.col("kept_mark"))
+    best = best.select(F.col("best.doc_id").alias(kept_id), F.col(f"best.{mark}").alias(kept_mark))
+    here = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_mark))
     return marked.join(best, here, "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)

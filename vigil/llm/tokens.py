@@ -41,9 +41,9 @@ from vigil.llm.base import partitions, query, table, write_table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 DICT_BYTES = 64 << 10
-#: Documents the dictionary is trained on (a bounded sample, drawn by hash), and characters used of each.
-SAMPLE_DOCS = 2000
-SAMPLE_BYTES = 16 << 10
+#: The dictionary is trained on about this many pieces of this many id bytes, drawn by hash from whole texts.
+SAMPLE_PIECES = 4000
+PIECE_BYTES = 4 << 10
 BLOCK_BYTES = 1 << 20        # compressed bytes after which a block is closed
 LEVEL = 3
 WORD_CACHE = 200_000         # distinct words in each of the two generations a worker remembers
@@ -136,23 +136,36 @@ def _texts(batch: pa.RecordBatch, step: int = 200):
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, size: int = DICT_BYTES) -> bytes:
-    """zstd dictionary from the serialized ids of about SAMPLE_DOCS documents; b"" when there is too little to train on.
+    """zstd dictionary from pieces of serialized ids; b"" when there is too little to train on.
 
-    Documents are drawn by a hash of (doc_id, text) at a rate, so nothing is sorted; the limit only bounds
-    what a row repeated very often can add.
+    Every document's text counts as ceil(characters / PIECE_BYTES) pieces, and each piece is drawn by a hash of
+    (doc_id, text, piece) at one rate, so any part of a text may be chosen and the result does not depend on
+    partitions.  Only documents with a drawn piece are encoded.  The rate bounds the expected number of pieces;
+    equal rows hash alike, so a drawn (doc_id, text) counts once however often its row repeats.
     """
-    scale, n = 1 << 30, max(docs.count(), 1)
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < min(scale, scale * SAMPLE_DOCS // n)
-    sample = docs.filter(drawn).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(2 * SAMPLE_DOCS)
+    scale = 1 << 30
+    n_pieces = F.greatest(F.ceil(F.length("text") / F.lit(PIECE_BYTES)), F.lit(1)).cast("long")
+    total = docs.agg(F.sum(n_pieces).alias("n")).first()["n"] or 1
+    limit = min(scale, max(1, scale * SAMPLE_PIECES // total))
+    drawn = F.filter(F.sequence(F.lit(0).cast("long"), n_pieces - 1),
+                     lambda k: F.pmod(F.xxhash64("doc_id", "text", k), F.lit(scale)) < limit)
+    sample = (docs.filter(F.col("text").isNotNull()).select("doc_id", "text", drawn.alias("pieces"), n_pieces.alias("n_pieces"))
+              .filter(F.size("pieces") > 0))
 
     def run(batches):
         enc = _encoder(path, end_id)
         for batch in batches:
-            for _, _, texts in _texts(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([b[:SAMPLE_BYTES] for b in enc.encode(texts)], pa.binary())], names=["ids"])
-    data = [bytes(r[0]) for r in sample.mapInArrow(run, "ids binary").collect()]
+            names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            for d, t, ks, n in zip(names.to_pylist(), texts, batch.column("pieces").to_pylist(), batch.column("n_pieces").to_pylist()):
+                b = enc.encode([t])[0]
+                step = enc.kind.itemsize
+                cuts = [len(b) // step * k // n * step for k in range(n + 1)]
+                out = [b[cuts[k]:cuts[k + 1]][:PIECE_BYTES] for k in ks]
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+    pieces = sample.mapInArrow(run, "doc_id long, ids binary").distinct()
+    data = sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["ids"])) for r in pieces.collect())
     try:
-        return zstandard.train_dictionary(size, data).as_bytes()
+        return zstandard.train_dictionary(size, [x[2] for x in data]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
