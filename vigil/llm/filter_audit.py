@@ -9,10 +9,9 @@ Filters (a document fails if ...; words are maximal runs of ``[^\\x20\\x09-\\x0D
 * E  its text is identical to the text of any smaller doc_id, removed or not
 
 E is an existential self-join: a left-semi join on hash, exact text and a
-smaller doc_id.  Its right side is pre-aggregated to one row per text and
-chunk (the smallest doc_id there), so a group of copies is never paired with
-itself.  Texts are exchanged once, both sides read that exchange.  A hash that
-holds more than a quarter of a partition's share of all rows is dealt to
+smaller doc_id.  Its right side is pre-aggregated (first on the map side) to one
+row per text and chunk, the smallest doc_id there, so a group of copies is never
+paired with itself.  A hash that holds more than a quarter of a partition's share of all rows is dealt to
 chunks by doc_id; the smallest rows of its chunks (at most 8 per partition)
 meet in a second semi-join of the same form.
 
@@ -61,14 +60,15 @@ def own_failures(text) -> F.Column:
 def copies_of_smaller(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256) of every row whose text a row with a smaller doc_id has too."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    rows = (docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+            .withColumn("hash", F.xxhash64("text")))
     share = F.lit(HOT * partitions(spark)) / F.lit(max(docs.count(), 1))
     counts = rows.groupBy("hash").count()
     hot = write_table(counts.select("hash", F.ceil(F.col("count") * share).cast("int").alias("chunks")).filter("chunks > 1"), "audit-hot")
     # at most HOT * partitions rows of 12 bytes: the bound of both broadcasts
     dealt = rows.join(F.broadcast(hot), "hash", "left")
-    chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).cast("int")
-    dealt = dealt.select("doc_id", "text", "hash", chunk.alias("chunk")).repartition("hash", "chunk", "text")
+    chunk = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"), F.lit(0))
+    dealt = dealt.select("doc_id", "text", "hash", chunk.alias("chunk"))
     least = dealt.groupBy("hash", "chunk", "text").agg(F.min("doc_id").alias("least"))
 
     def semi(left, right, keys):
