@@ -4,10 +4,10 @@
   on either side, so 2k ``lag``/``lead`` candidates per row suffice.  Rows
   are positioned by a range sort and windows run over (series, block) with
   a k-row halo: O(n log n), every task bounded by the block size.
-* multi-d (F1): exact distances block by block.  Rows are dealt to hashed
-  blocks; each (query block, reference block) pair is one bounded group in
-  a cogrouped Arrow function that keeps only the k best per query row.  No
-  pair is ever materialised as a row; only k candidates per block pair are.
+* multi-d (F1): exact distances inside Voronoi cells (``operators.pivots``).
+  Cells are dealt to hashed blocks; each (query block, reference block) pair
+  is one bounded group in a cogrouped Arrow function that keeps only the k
+  best per query row.  No pair is ever materialised as a row.
 * Edges (rid, nid, d, rank) feed LoOP (F4) and the classifier (F19).
 """
 
@@ -177,38 +177,51 @@ def _block_topk(k: int, p: float, exclude_self: bool, key_names: list[str]):
     return fn
 
 
-def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, vec: str, k: int,
-              p: float = 2.0, block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True) -> DataFrame:
-    """Exact k nearest references of every query row: (keys, rid, nid, d, rank).
+def block_edges(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p: float = 2.0,
+                block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True) -> DataFrame:
+    """(keys, rid, nid, d): at least the k nearest references of every query row (rid, vec) of the same keys.
 
-    Per series, rows are dealt to nb = ceil(n_ref / block_rows) hashed
-    blocks on both sides; every (query block, reference block) group holds
-    about block_rows rows of each and returns k candidates per query row.
-    Candidates are merged with a bounded per-row window (nb * k rows).
+    Per key, queries and references are dealt to hashed blocks of about ``block_rows`` rows each; every
+    (query block, reference block) pair is one bounded group that returns k candidates per query row.
     """
     keys = list(keys)
-    schema_keys = [f for f in queries.schema.fields if f.name in keys]
+    names = [f.name for f in queries.schema.fields if f.name in keys]
+    kinds = [queries.schema[c] for c in names]
     # fresh aliases: queries and refs are often the same DataFrame (a self-join)
-    q = queries.select(*[F.col(c).alias(c) for c in keys], F.col(rid).alias("rid"), F.col(vec).alias("vec"))
-    r = refs.select(*[F.col(c).alias(c) for c in keys], F.col(rid).alias("rid"), F.col(vec).alias("vec"))
-    nref = (r.groupBy(*keys) if keys else r).agg(F.count(F.lit(1)).alias("__nr"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("__nr") / F.lit(float(block_rows)))).cast("int")
-    nref = nref.select(*keys, nb.alias("__nb"))
-    q = attach_scalars(q, nref, keys)
-    r = attach_scalars(r, nref, keys)
-    blk = lambda c, salt: F.pmod(F.xxhash64(F.col(c), F.lit(salt)), F.col("__nb")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))
-    qx = q.withColumn("__qb", blk("rid", 11)).withColumn("__rb", every).drop("__nb")
-    rx = r.withColumn("__rb", blk("rid", 11)).withColumn("__qb", every).drop("__nb")
-    out_schema = T.StructType(schema_keys + [
-        T.StructField("rid", queries.schema[rid].dataType),
-        T.StructField("nid", refs.schema[rid].dataType),
-        T.StructField("d", T.DoubleType())])
+    q = queries.select(*[F.col(c).alias(c) for c in keys], F.col("rid").alias("rid"), F.col("vec").alias("vec"))
+    r = refs.select(*[F.col(c).alias(c) for c in keys], F.col("rid").alias("rid"), F.col("vec").alias("vec"))
+
+    def blocks(df, name):
+        n = (df.groupBy(*keys) if keys else df).agg(F.count(F.lit(1)).alias("__n"))
+        return n.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(float(block_rows)))).cast("int").alias(name))
+    nq, nr = blocks(q, "__nqb"), blocks(r, "__nrb")
+    nb = nq.join(nr, keys) if keys else nq.withColumn("__nrb", nr.select("__nrb").scalar())   # keys without references drop out
+    q, r = attach_scalars(q, nb, keys), attach_scalars(r, nb, keys)
+    blk = lambda n: F.pmod(F.xxhash64(F.col("rid"), F.lit(11)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    qx = q.withColumn("__qb", blk("__nqb")).withColumn("__rb", every("__nrb")).drop("__nqb", "__nrb")
+    rx = r.withColumn("__rb", blk("__nrb")).withColumn("__qb", every("__nqb")).drop("__nqb", "__nrb")
+    out_schema = T.StructType(kinds + [T.StructField("rid", queries.schema["rid"].dataType),
+                                       T.StructField("nid", refs.schema["rid"].dataType), T.StructField("d", T.DoubleType())])
     grp = keys + ["__qb", "__rb"]
-    fn = _block_topk(k, float(p), exclude_self, keys)
-    cand = (qx.groupBy(*grp).cogroup(rx.groupBy(*grp))
-              .applyInPandas(lambda a, b: fn(a.drop(columns=["__qb", "__rb"]), b.drop(columns=["__qb", "__rb"])),
-                             out_schema))
+    fn = _block_topk(k, float(p), exclude_self, names)
+    return (qx.groupBy(*grp).cogroup(rx.groupBy(*grp))
+              .applyInPandas(lambda a, b: fn(a.drop(columns=["__qb", "__rb"]), b.drop(columns=["__qb", "__rb"])), out_schema))
+
+
+def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, vec: str, k: int,
+              p: float = 2.0, block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True) -> DataFrame:
+    """Exact k nearest references of every query row: (keys, rid, nid, d, rank), ties by neighbour id.
+
+    A series of at most ``block_rows`` references is one cell.  A longer one is cut into the Voronoi cells of
+    about sqrt(n) of its rows (``operators.pivots``): a query first meets its own cell, which bounds its k-th
+    distance, then only cells that the triangle inequality lets hold something nearer.
+    """
+    from vigil.operators import pivots
+    keys = list(keys)
+    whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))           # rows with missing numbers have no neighbours
+    named = lambda df: df.select(*keys, F.col(rid).alias("rid"), F.col(vec).alias("vec")).filter(whole)
+    cand = pivots.candidates(named(queries), None if queries is refs else named(refs), keys, k, float(p), block_rows, exclude_self)
     w = Window.partitionBy(*keys, "rid").orderBy("d", "nid")
     ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.withColumnRenamed("rid", rid) if rid != "rid" else ranked
