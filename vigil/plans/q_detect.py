@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from vigil.operators import flags as FL
 from vigil.operators import forecast as FC
 from vigil.operators import forest as FR
+from vigil.operators import lsh as LSH
 from vigil.operators import neighbors as NB
 from vigil.operators import positions as P
 from vigil.operators import reconstruct as RC
 from vigil.operators import splits as S
+from vigil.operators import stats as D
 from vigil.operators import windows as W
 from vigil.plans import jobs as J
 from vigil.plans import oracle_sql as O
@@ -19,6 +21,8 @@ from vigil.session import materialize, output_dir, shuffle_partitions
 from vigil.sources import catalog as C
 from vigil.sources import files as FS
 
+dbl = lambda x: f"CAST({x!r} AS DOUBLE)"
+
 EV, EVU = O.EVENTS, O.EVENTS_BY_USER
 UK = ["series_id"]   # one series per user
 GK: list = []         # one long series: no series key (stats attach as scalar subqueries)
@@ -139,23 +143,72 @@ def f1_knn_multid_manhattan(spark, sf_dir):
     return finish(NB.knn_score(df, GK, "rid", "vec", 5, p=1.0).select("rid", "score"))
 
 
-def wide_knn(spark, sf_dir, k=11, block_rows=4096):
-    """Exact kNN on the standardised wide table, keyed by position (lineitem keys repeat)."""
-    from vigil.operators import stats as D
+def _wide(spark, sf_dir):
+    """Standardised channels of the wide table as (row_idx, vec): lineitem keys repeat, positions do not."""
     df, spec = C.dataset(spark, sf_dir, "lineitem")
     ch = list(spec.values)
     p = P.row_index(df.select(*C.LINE_KEY, *ch), GK, list(spec.order))
-    z = D.standard_scale(p, GK, ch).withColumn("vec", F.array(*ch))
-    return NB.knn_score(z.select("row_idx", "vec"), GK, "row_idx", "vec", k, block_rows=block_rows)
+    return D.standard_scale(p, GK, ch).select("row_idx", F.array(*ch).alias("vec"))
+
+
+def wide_knn(spark, sf_dir, k=11, block_rows=4096):
+    """Exact kNN on the standardised wide table, keyed by position."""
+    return NB.knn_score(_wide(spark, sf_dir), GK, "row_idx", "vec", k, block_rows=block_rows)
 
 
 @query("f3_knn_wide_exact")
 def f3_knn_wide_exact(spark, sf_dir):
-    """Rows-only (too large for a brute-force SQL oracle; tested against numpy on sf0.001):
+    """Rows-only (all pairs are too many for SQL; f3_knn_wide_search has it for every 50th row):
     the plant-scale kNN path, exact k=11 on the standardised 4-channel table."""
     return wide_knn(spark, sf_dir)
 
 
+_WIDE_SQL = "(SELECT row_idx, [" + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in C.LINE_CHANNELS) + f"] AS vec FROM {_LI_POS})"
+_EVERY = 50          # queries: positions divisible by this, against all rows
+
+
+@query("f3_knn_wide_search", f"""WITH v AS MATERIALIZED {_WIDE_SQL},
+e AS (SELECT a.row_idx, list_distance(a.vec, b.vec) AS d FROM v a JOIN v b ON a.row_idx % {_EVERY} = 0 AND a.row_idx <> b.row_idx)
+SELECT row_idx, round(list_sort(min(d, 11))[11], 6) AS score FROM e GROUP BY row_idx""")
+def f3_knn_wide_search(spark, sf_dir):
+    """Exact search: 11th neighbour distance of every 50th row among all rows."""
+    v = _wide(spark, sf_dir)
+    e = NB.knn_edges(v.filter(F.col("row_idx") % _EVERY == 0), v, GK, "row_idx", "vec", 11)
+    return finish(NB.kth_distance(e, GK, "row_idx", 11))
+
+
+def _lsh_sql(k, tables=4, hashes=3, per_bucket=400.0):
+    dirs, shifts = LSH.directions(len(C.LINE_CHANNELS), tables, hashes)
+    dot = lambda a: "(" + " + ".join(f"vec[{i + 1}] * {dbl(c)}" for i, c in enumerate(a)) + ")"
+    spread = "(" + " + ".join(f"stddev_pop({dot(a)})" for t in dirs for a in t) + f") / {tables * hashes}"
+    slab = lambda a, b: f"CAST(floor({dot(a)} / w + {dbl(b)}) AS BIGINT)"
+    rows = " UNION ALL ".join(f"SELECT row_idx, vec, {i} AS t, " + ", ".join(f"{slab(a, b)} AS s{j}" for j, (a, b) in enumerate(zip(dirs[i], shifts[i])))
+                              + " FROM v, width" for i in range(tables))
+    near = [[(step if j == h else 0) for j in range(hashes)] for h in range(hashes) for step in (-1, 1)]
+    probes = " UNION ALL ".join("SELECT row_idx, t, " + ", ".join(f"s{j} + ({d}) AS s{j}" for j, d in enumerate(o)) + f" FROM r WHERE row_idx % {_EVERY} = 0"
+                                for o in [[0] * hashes, *near])
+    on = " AND ".join(["p.t = r.t", *[f"p.s{j} = r.s{j}" for j in range(hashes)]])
+    return f"""WITH v AS MATERIALIZED {_WIDE_SQL},
+    width AS (SELECT round(4.0::DOUBLE * {spread} * pow({per_bucket}::DOUBLE / count(*), 1.0::DOUBLE / {hashes}), 6) AS w FROM v),
+    r AS MATERIALIZED ({rows}), p AS ({probes}),
+    c AS (SELECT DISTINCT p.row_idx, r.row_idx AS nid FROM p JOIN r ON {on} WHERE p.row_idx <> r.row_idx),
+    x AS (SELECT a.row_idx, b.row_idx AS nid, list_distance(a.vec, b.vec) AS d FROM v a JOIN v b ON a.row_idx % {_EVERY} = 0 AND a.row_idx <> b.row_idx),
+    e AS (SELECT row_idx, unnest(min({{'d': d, 'nid': nid}}, {k})) AS n FROM x GROUP BY row_idx)
+    SELECT count(DISTINCT e.row_idx) AS queries, count(*) AS neighbours, count(c.nid) AS found,
+      round(count(c.nid) / count(*)::DOUBLE, 6) AS recall, count(c.nid) >= 0.9 * count(*) AS enough
+    FROM e LEFT JOIN c ON c.row_idx = e.row_idx AND c.nid = e.n.nid"""
+
+
+@query("f3_knn_lsh", _lsh_sql(11))
+def f3_knn_lsh(spark, sf_dir):
+    """Approximate search for every 50th row among all rows, and its recall against the exact search."""
+    v = materialize(_wide(spark, sf_dir), "wide-vectors")
+    q = v.filter(F.col("row_idx") % _EVERY == 0)
+    found = LSH.knn_lsh(q, v, "row_idx", "vec", 11, LSH.fit(v, "vec", len(C.LINE_CHANNELS)))
+    r = LSH.recall(found, NB.knn_edges(q, v, GK, "row_idx", "vec", 11), "row_idx")
+    return finish(r.withColumn("enough", F.col("found") >= 0.9 * F.col("neighbours")))
+
+
 @query("f4_loop_by_user", f"SELECT series_id, rid, {r6('score', 'score')} FROM "
        f"{O.loop_from_edges(O.edges_1d(EVU, 20))}")
 def f4_loop_by_user(spark, sf_dir):
