@@ -49,6 +49,47 @@ def test_scores_do_not_depend_on_tree_chunks(spark):
     assert a == b and len(set(a.values())) > 10
 
 
+def test_forests_do_not_depend_on_how_they_are_grown(spark):
+    df, spec = C.dataset(spark, SF_SMALL, "lineitem")
+    feats = list(spec.values)
+    for kw in ({"max_samples": 0.2}, {"max_samples": 300, "bootstrap": True, "max_features": 0.5}):
+        a = FR.iforest_fit(df, list(C.LINE_KEY), feats, n_trees=4, seed=9, **kw)[0]
+        b = FR.iforest_fit(df, list(C.LINE_KEY), feats, n_trees=4, seed=9, subtree_rows=100, **kw)[0]
+        assert a.count() == b.count() > 500 and a.exceptAll(b).count() == 0
+
+
+def test_smallest_hashes_of_every_group(spark, monkeypatch):
+    import random
+    rng = random.Random(4)
+    rows = [(t, round(rng.random() ** 3, 3), str(rng.randrange(40)), [float(i)]) for t in range(4) for i in range(700)]
+    rows += [(9, 0.5, "same", [float(i % 3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "tree int, __h double, __key string, x array<double>").repartition(5)
+    monkeypatch.setattr(FR, "SLICES", 8)
+    for psi in (1, 37, 299):
+        got = sorted((r["tree"], r["__h"], r["__key"], list(r["x"])) for r in FR.smallest(df, ["tree"], psi).collect())
+        assert got == [(t, h, k, x) for t in (0, 1, 2, 3, 9) for h, k, x in sorted((h, k, x) for u, h, k, x in rows if u == t)[:psi]]
+
+
+def test_large_forest_scores_without_sending_it(spark):
+    """800 trees of a fifth of the rows: one pass over row blocks x tree blocks, nothing broadcast."""
+    df, spec = C.dataset(spark, SF_SMALL, "events")
+    df = df.limit(400).withColumn("value", F.round("value", 1))
+    nodes, psi = FR.iforest_fit(df, ["rid"], ["value"], n_trees=800, max_samples=0.2, seed=5)
+    assert psi == 80 and nodes.select("tree").distinct().count() == 800
+    a = {r["rid"]: round(r["score"], 9) for r in FR.iforest_score(df, nodes, psi, ["value"]).collect()}
+    b = FR.iforest_score(df, nodes, psi, ["value"], chunk_nodes=3000)
+    assert "Broadcast variable" not in b._jdf.queryExecution().toString() and {r["rid"]: round(r["score"], 9) for r in b.collect()} == a
+
+
+def test_rows_with_missing_features(spark):
+    rows = [(i, float(i % 17), None if i % 10 == 0 else float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "rid long, a double, b double")
+    nodes, psi = FR.iforest_fit(df, "rid", ["a", "b"], n_trees=5, max_samples=50)
+    for chunk in (None, 20):
+        out = FR.iforest_score(df, nodes, psi, ["a", "b"], chunk_nodes=chunk).collect()
+        assert len(out) == 300 and {r["rid"] for r in out if r["score"] is None} == set(range(0, 300, 10))
+
+
 def test_forecasters_predict_every_row_with_history(spark):
     from vigil.operators import forecast as FC
     from vigil.operators import positions as P

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,7 +81,23 @@ def rounded(c, digits: int = 6) -> Column:
     return F.round(col(c).cast("double"), digits)
 
 
+def hash_hex(*parts) -> F.Column:
+    """52 bits of the MD5 of the colon-joined parts, as 13 hex digits."""
+    cols = [p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts]
+    return F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 13)
+
+
+def hex_unit(digits: F.Column) -> F.Column:
+    """13 hex digits as a number in [0, 1)."""
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def hash_unit(*parts) -> F.Column:
     """52 bits of the MD5 of the colon-joined parts, as a number in [0, 1): the same in any engine."""
-    cols = [p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return hex_unit(hash_hex(*parts))
+
+
+def hash_below(digits: F.Column, limit: float) -> F.Column:
+    """``hex_unit(digits) < limit``, compared as text (no conversion of numbers that do not pass)."""
+    bound = math.ceil(limit * (1 << 52))
+    return F.lit(True) if bound >= 1 << 52 else digits < F.lit(f"{max(bound, 0):013x}")

@@ -216,3 +216,42 @@ def forest_scores(src, key, feats, cols, n_trees, psi, seed=42) -> str:
     return f"""WITH {forest_paths(src, key, feats, n_trees, psi, seed)}
         SELECT {cols}, round(pow(2.0, -h / ({n_trees} * {c_factor(float(psi))})), 6) AS score
         FROM base JOIN (SELECT rowno, sum(h) AS h FROM paths GROUP BY rowno) USING (rowno)"""
+
+
+def forest_cv(rows: str, feats: list[str], combos: str, levels: int, folds: int = 5, seed: int = 42) -> str:
+    """Mean AUROC over the folds of every forest of ``combos`` (n_trees, max_samples, max_features, contamination).
+
+    ``rows`` has rid, fold, is_anomaly and the features; ``levels`` bounds the depth of any tree.
+    """
+    s, d, key = f"'{seed}'", len(feats), "f, psi, sub, tree"
+    lo, hi = (", ".join(f"{fn}({c})" for c in feats) for fn in ("min", "max"))
+    f = ", ".join(feats)
+    out = [f"base AS MATERIALIZED (SELECT *, CAST(rid AS VARCHAR) AS k FROM {rows})", f"combo AS MATERIALIZED ({combos})",
+           f"""want AS MATERIALIZED (SELECT c.*, t.f, greatest(2, CAST(floor(c.max_samples * t.n) AS BIGINT)) AS psi, greatest(1, CAST(round(c.max_features * {d}) AS INT)) AS sub
+               FROM combo c, (SELECT f, count(*) FILTER (fold <> f) AS n FROM base, (SELECT unnest(range({folds})) AS f) GROUP BY f) t)""",
+           "forest AS MATERIALIZED (SELECT f, psi, sub, max(n_trees) AS trees, CAST(ceil(log2(psi)) AS INT) AS lim FROM want GROUP BY f, psi, sub)",
+           f"own AS MATERIALIZED (SELECT tree, list(ft ORDER BY {unit(s, chr(39) + 'features' + chr(39), 'tree', 'ft')}) AS o FROM (SELECT unnest(range(1000)) AS tree), (SELECT unnest(range({d})) AS ft) GROUP BY tree)",
+           f"""hashed AS MATERIALIZED (SELECT rid, k, fold, tree, {unit(s, 'tree', 'k')} AS h FROM base, (SELECT unnest(range((SELECT max(trees) FROM forest))) AS tree))""",
+           """drawn AS MATERIALIZED (SELECT f, psi, tree, rid FROM (SELECT w.f, w.psi, h.tree, h.rid, row_number() OVER (PARTITION BY w.f, w.psi, h.tree ORDER BY h.h, h.k) AS rn
+               FROM hashed h JOIN (SELECT f, psi, max(trees) AS trees FROM forest GROUP BY f, psi) w ON h.fold <> w.f AND h.tree < w.trees) WHERE rn <= psi)""",
+           "s0 AS MATERIALIZED (SELECT d.f, d.psi, w.sub, w.lim, d.tree, CAST(1 AS BIGINT) AS node, d.rid FROM drawn d JOIN forest w ON d.f = w.f AND d.psi = w.psi AND d.tree < w.trees)",
+           "w0 AS MATERIALIZED (SELECT w.f, w.psi, w.sub, t.tree, CAST(1 AS BIGINT) AS node, b.rid FROM forest w JOIN base b ON b.fold = w.f, (SELECT unnest(range(1000)) AS tree) t WHERE t.tree < w.trees)"]
+    ends = []
+    for lv in range(levels + 1):
+        out.append(f"a{lv} AS (SELECT {key}, lim, node, count(*) AS size, [{lo}] AS lo, [{hi}] AS hi FROM s{lv} JOIN base USING (rid) GROUP BY {key}, lim, node)")
+        out.append(f"""c{lv} AS (SELECT a.*, list_filter(list_sort(list_slice(o, 1, sub)), lambda i: hi[i + 1] > lo[i + 1]) AS c FROM a{lv} a JOIN own USING (tree))""")
+        out.append(f"""e{lv} AS MATERIALIZED (SELECT {key}, node, size, ft, CASE WHEN ft >= 0 THEN lo[ft + 1] + {unit(s, "'threshold'", 'tree', 'node')} * (hi[ft + 1] - lo[ft + 1]) END AS thr
+            FROM (SELECT *, CASE WHEN size > 1 AND len(c) > 0 AND {lv} < lim THEN c[1 + CAST(floor({unit(s, "'feature'", 'tree', 'node')} * len(c)) AS INT)] ELSE -1 END AS ft FROM c{lv}))""")
+        out.append(f"""j{lv} AS MATERIALIZED (SELECT w.*, e.ft, e.thr, e.size FROM w{lv} w LEFT JOIN e{lv} e USING ({key}, node))""")
+        ends.append(f"SELECT {key}, rid, {lv} + coalesce({c_factor('size')}, 0.0) AS h FROM j{lv} WHERE coalesce(ft, -1) < 0")
+        if lv < levels:
+            step = f"2 * node + CASE WHEN [{f}][ft + 1] >= thr THEN 1 ELSE 0 END AS node"
+            out.append(f"s{lv + 1} AS MATERIALIZED (SELECT {key}, lim, {step}, rid FROM s{lv} JOIN e{lv} USING ({key}, node) JOIN base USING (rid) WHERE ft >= 0)")
+            out.append(f"w{lv + 1} AS MATERIALIZED (SELECT {key}, {step}, rid FROM j{lv} JOIN base USING (rid) WHERE ft >= 0)")
+    return f"""WITH {', '.join(out)}, paths AS MATERIALIZED ({' UNION ALL '.join(ends)}),
+    sc AS MATERIALIZED (SELECT p.f, p.psi, p.sub, q.n_trees, p.rid, round(pow(2.0, -sum(p.h) / (q.n_trees * {c_factor('CAST(p.psi AS DOUBLE)')})), 9) AS score
+        FROM paths p JOIN (SELECT DISTINCT f, psi, sub, n_trees FROM want) q ON p.f = q.f AND p.psi = q.psi AND p.sub = q.sub AND p.tree < q.n_trees GROUP BY p.f, p.psi, p.sub, q.n_trees, p.rid),
+    r AS (SELECT sc.*, is_anomaly, rank() OVER (PARTITION BY f, psi, sub, n_trees ORDER BY score) + (count(*) OVER (PARTITION BY f, psi, sub, n_trees, score) - 1) / 2.0 AS mid FROM sc JOIN base USING (rid)),
+    a AS (SELECT f, psi, sub, n_trees, sum(CASE WHEN is_anomaly = 1 THEN mid END) AS w, CAST(count_if(is_anomaly = 1) AS DOUBLE) AS p, CAST(count_if(is_anomaly = 0) AS DOUBLE) AS n FROM r GROUP BY ALL)
+    SELECT CAST(n_trees AS INTEGER) AS n_trees, max_samples, max_features, contamination, round(avg(CASE WHEN p > 0 AND n > 0 THEN (w - p * (p + 1) / 2) / (p * n) END), 6) AS mean_auroc
+    FROM want JOIN a USING (f, psi, sub, n_trees) GROUP BY ALL"""

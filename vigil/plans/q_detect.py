@@ -283,7 +283,7 @@ def f6_iforest_score(spark, sf_dir):
 def h5_seeded(spark, sf_dir):
     """Equal seeds give equal forests under two other partitionings of the whole table: nodes that differ."""
     df, spec = C.dataset(spark, sf_dir, "lineitem")
-    fit = lambda d: FR.iforest_fit(d, list(C.LINE_KEY), list(spec.values), n_trees=5, max_samples=64, seed=42)[0]
+    fit = lambda d: FR.iforest_fit(d, list(C.LINE_KEY), list(spec.values), n_trees=50, max_samples=256, seed=42)[0]
     nodes, out = fit(df), None
     for run, other in ((1, df.repartition(5)), (2, df.repartition(11, "l_partkey"))):
         twin = fit(other)
@@ -302,10 +302,10 @@ def f7_contamination_label(spark, sf_dir):
     return FL.contamination_label(s, UK, "score", 0.05).select("series_id", "rid", "flag")
 
 
-@query("a11_model_roundtrip", O.forest_scores(*FOREST, ", ".join(C.LINE_KEY), 20, 64))
+@query("a11_model_roundtrip", O.forest_scores(*FOREST, ", ".join(C.LINE_KEY), 50, 256))
 def a11_model_roundtrip(spark, sf_dir):
     """Fit a forest, save its node table, load it back and score with the loaded model."""
-    df, spec, nodes, psi = _forest(spark, sf_dir, n_trees=20, psi=64)
+    df, spec, nodes, psi = _forest(spark, sf_dir, n_trees=50)
     path = output_dir(spark, "a11-forest")
     FS.save_forest(nodes, psi, path)
     nodes2, psi2 = FS.load_forest(spark, path)

@@ -411,10 +411,10 @@ def g11_best_threshold_wide_range(spark, sf_dir):
 
 # ---------------------------------------------------------------- forest: grid and sweep
 
-_TREES, _SHARES = [5, 10, 20], [0.01, 0.02, 0.05]
-_GRID_PATHS = O.forest_paths(*FOREST, 20, 64)
+_TREES, _SHARES = [10, 25, 50], [0.01, 0.02, 0.05]
+_GRID_PATHS = O.forest_paths(*FOREST, 50, 256)
 _GRID_SCORES = " UNION ALL ".join(
-    f"SELECT {k} AS n_trees, rowno, round(pow(2.0, -sum(h) / ({k} * {O.c_factor(64.0)})), 9) AS score FROM paths WHERE tree < {k} GROUP BY rowno" for k in _TREES)
+    f"SELECT {k} AS n_trees, rowno, round(pow(2.0, -sum(h) / ({k} * {O.c_factor(256.0)})), 9) AS score FROM paths WHERE tree < {k} GROUP BY rowno" for k in _TREES)
 FOREST_GRID = f"""WITH {_GRID_PATHS}, s AS MATERIALIZED (SELECT n_trees, score, is_anomaly FROM ({_GRID_SCORES}) JOIN base USING (rowno)),
 t AS (SELECT n_trees, c, CASE c {' '.join(f'WHEN {c} THEN quantile_cont(score, {1.0 - c})' for c in _SHARES)} END AS th
       FROM s, (SELECT unnest(CAST({_SHARES} AS DOUBLE[])) AS c) GROUP BY n_trees, c),
@@ -426,7 +426,7 @@ SELECT CAST(n_trees AS INTEGER) AS n_trees, contamination, CAST(tp AS BIGINT) AS
 
 def _grid_forest(spark, sf_dir):
     df, spec = C.dataset(spark, sf_dir, "lineitem")
-    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), list(spec.values), n_trees=20, max_samples=64, seed=42)
+    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), list(spec.values), n_trees=50, max_samples=256, seed=42)
     return df, nodes, psi, list(spec.values)
 
 
@@ -437,7 +437,7 @@ def h4_forest_grid_f1(spark, sf_dir):
     return finish(H.forest_grid_f1(df, nodes, psi, feats, _TREES, _SHARES))
 
 
-FOREST_SCORED = f"(WITH {_GRID_PATHS} SELECT round(pow(2.0, -h / (20 * {O.c_factor(64.0)})), 9) AS score, is_anomaly FROM base JOIN (SELECT rowno, sum(h) AS h FROM paths GROUP BY rowno) USING (rowno))"
+FOREST_SCORED = f"(WITH {_GRID_PATHS} SELECT round(pow(2.0, -h / (50 * {O.c_factor(256.0)})), 9) AS score, is_anomaly FROM base JOIN (SELECT rowno, sum(h) AS h FROM paths GROUP BY rowno) USING (rowno))"
 
 
 @query("g8_forest_best_level", f"""WITH s AS MATERIALIZED {FOREST_SCORED},
@@ -452,3 +452,40 @@ def g8_forest_best_level(spark, sf_dir):
     s = materialize(s, "forest-scored")
     sw = G.threshold_sweep(s, [], "score", step=_STEP89, inclusive=False, bounds=(0.0, 1.0), count=90, last=1.0, expand=False)
     return finish(G.best_threshold(sw, []))
+
+
+# ---------------------------------------------------------------- forest: cross-validated model selection
+
+_CV_WIDTH = 8           # channels selected from the embedding
+_CV_FEATS = [f"v{i}" for i in range(_CV_WIDTH)]
+_CV_ROWS = f"(SELECT rid, fold, is_anomaly, {', '.join(f'vec[{i + 1}] AS {c}' for i, c in enumerate(_CV_FEATS))} FROM ({_EMB}))"
+FOREST_CV_GRID = {"n_trees": [400, 500, 600], "max_samples": [0.2, 0.25, 0.3], "max_features": [0.7, 0.8, 0.9], "contamination": [0.02, 0.03, 0.04]}
+FOREST_CV_SPACE = {"n_trees": [100, 200, 300, 400, 500], "max_samples": [0.1, 0.2, 0.3, 0.4, 0.5],
+                   "contamination": [0.001, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05], "max_features": [0.5, 0.7, 0.9, 1.0]}
+
+
+def _space_sql(params):
+    lists = ", ".join(f"(SELECT unnest(CAST({v} AS {'INTEGER' if k == 'n_trees' else 'DOUBLE'}[])) AS {k})" for k, v in params.items())
+    return f"SELECT * FROM {lists}"
+
+
+def _cv_channels(spark, sf_dir):
+    d = _fold_split(spark, sf_dir)
+    return d.select("rid", "fold", "is_anomaly", *[F.element_at("vec", i + 1).alias(c) for i, c in enumerate(_CV_FEATS)])
+
+
+@query("h3_forest_grid_cv", O.forest_cv(_CV_ROWS, _CV_FEATS, _space_sql(FOREST_CV_GRID), 9))
+def h3_forest_grid_cv(spark, sf_dir):
+    """81 forests by mean AUROC over 5 folds: trees x sample x features x contamination."""
+    combos = [r.asDict() for r in H.param_grid(spark, FOREST_CV_GRID).collect()]
+    return finish(H.forest_cv(_cv_channels(spark, sf_dir), ["rid"], _CV_FEATS, combos))
+
+
+_CV_DRAWN = f"SELECT * FROM ({_space_sql(FOREST_CV_SPACE)}) ORDER BY md5(concat_ws(':', '42', {', '.join(f'CAST({k} AS VARCHAR)' for k in FOREST_CV_SPACE)})) LIMIT 20"
+
+
+@query("h2_forest_param_sample", O.forest_cv(_CV_ROWS, _CV_FEATS, _CV_DRAWN, 10))
+def h2_forest_param_sample(spark, sf_dir):
+    """20 forests drawn from 700 by a seeded hash, by mean AUROC over 5 folds; only drawn ones are fitted."""
+    combos = [r.asDict() for r in H.param_sample(H.param_grid(spark, FOREST_CV_SPACE), 20, seed=42).collect()]
+    return finish(H.forest_cv(_cv_channels(spark, sf_dir), ["rid"], _CV_FEATS, combos))
