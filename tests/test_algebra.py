@@ -135,3 +135,41 @@ def test_hot_series_spreads_over_range_partitions(spark):
     got = P.row_index(hot, ["series_id"], ["ts", "rid"], partitions=8)
     ref = hot.withColumn("ref", F.row_number().over(Window.partitionBy("series_id").orderBy("ts", "rid")) - 1)
     assert got.join(ref.select("rid", "ref"), "rid").filter(F.col("row_idx") != F.col("ref")).count() == 0
+
+
+def test_every_detector_takes_missing_values(spark):
+    """Two channels with gaps: every row stays, only rows without a full window lack a score."""
+    from vigil.operators import forecast as FC
+    from vigil.operators import reconstruct as RC
+    from vigil.operators import positions as P
+    rows = [(i, float(i * 7919 % 101) if i % 11 else None, float(i * i % 67) if i % 17 else None) for i in range(400)]
+    p = P.row_index(spark.createDataFrame(rows, "rid long, a double, b double"), [], ["rid"])
+    for model in ("linear", "squared", "gbt"):
+        out = FC.forecast_model_score(p, [], ["a", "b"], 2, model=model, **({"max_iter": 3} if model == "gbt" else {})).collect()
+        full = {i for i in range(398) if all(None not in rows[j] for j in (i, i + 1, i + 2))}
+        assert len(out) == 400 and {r["row_idx"] for r in out if r["score"] is not None} == {i + d for i in full for d in (0, 1, 2)}
+    out = RC.reconstruct_score(p, [], ["a", "b"], 3, 2)[0].collect()
+    assert {r["row_idx"] - 3 for r in out} == {i for i in range(397) if all(None not in rows[j] for j in range(i, i + 4))}
+    assert all(r["score"] is not None and len(r["channel_mae"]) == 2 for r in out)
+
+
+def test_quantiles_are_order_statistics(spark):
+    """Skewed, tied, tiny and huge values; several series; missing scores; against numpy."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    series = {"a": rng.normal(size=3000), "b": np.exp(rng.normal(size=500) * 40), "c": np.repeat([1.0, 2.0, 5.0], [5, 900, 2]), "d": np.array([3.5]),
+              "e": np.r_[-1e308, 1e308, rng.uniform(size=50) * 1e-300], None: rng.integers(0, 9, size=200).astype(float)}
+    rows = [(k, float(v)) for k, x in series.items() for v in x] + [("a", None), ("z", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    qs = [0.0, 0.01, 0.25, 0.5, 0.97, 0.98, 1.0]
+    got = {(r["k"], r["q"]): r["value"] for r in D.quantiles(df, ["k"], "v", qs).collect()}
+    assert set(got) == {(k, q) for k in series for q in qs}
+    for (k, q), v in got.items():
+        x = np.sort(series[k])
+        h = q * (len(x) - 1)
+        lo, hi = x[int(np.floor(h))], x[int(np.ceil(h))]
+        assert v == lo + (h - np.floor(h)) * (hi - lo) or np.isclose(v, lo + (h - np.floor(h)) * (hi - lo), rtol=1e-12)
+    whole = np.sort(np.concatenate([series[k] for k in ("a", "c")]))
+    one = D.quantiles(df.filter("k IN ('a', 'c')"), [], "v", [0.9]).collect()
+    assert len(one) == 1 and np.isclose(one[0]["value"], np.quantile(whole, 0.9))
+    assert D.quantiles(df.filter("k = 'z'"), [], "v", [0.5]).count() == 0

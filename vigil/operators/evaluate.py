@@ -71,11 +71,11 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: str = "is_anomaly")
     Rows without a score share the lowest rank.
     """
     keys = list(keys)
-    base = df.select(*keys, score, F.col(label).cast("long").alias("__y"), tiebreak(df).alias("__tb"))
-    ranked = row_index(base, keys, [score, "__tb"], "__pos")
-    per_score = ranked.groupBy(*keys, score).agg(
-        ((F.min("__pos") + F.max("__pos")).cast("double") / F.lit(2.0) + F.lit(1.0)).alias("__mid"),
-        F.sum("__y").alias("__npos"), F.count(F.lit(1)).alias("__cnt"))
+    y = F.col(label).cast("long")
+    per = df.groupBy(*keys, score).agg(F.sum(y).alias("__npos"), F.count(F.lit(1)).alias("__cnt"))       # combined on the map side
+    ranked = running_sum(row_index(per, keys, [score], "__pos"), keys, "__pos", ["__cnt"])
+    # rows of one score hold the ranks cum - count + 1 to cum
+    per_score = ranked.withColumn("__mid", F.col("__cnt_cum") - (F.col("__cnt") - F.lit(1)).cast("double") / F.lit(2.0))
     tot = _g(per_score, keys).agg(F.sum(F.col("__npos") * F.col("__mid")).alias("__s"),
                                   F.sum("__npos").alias("__p"),
                                   (F.sum("__cnt") - F.sum("__npos")).alias("__n"))

@@ -22,6 +22,12 @@ from vigil.operators.stats import max_normalise, standardised_error
 from vigil.operators.windows import lag_features, reverse_windowing
 
 
+def _vector(features: str) -> F.Column:
+    """The lags as an ML vector.  Rows with a missing lag are filtered, but Spark may evaluate a conversion
+    before a filter; it must not meet a null there."""
+    return array_to_vector(F.transform(features, lambda x: F.coalesce(x, F.lit(0.0))))
+
+
 def forecast_fit(train: DataFrame, keys: list[str], values: list[str], window: int, pos: str = "row_idx",
                  block: int = DEFAULT_BLOCK_ROWS, max_iter: int = 100, reg: float = 0.0, model: str = "linear",
                  validation: float = 0.1, seed: int = 42):
@@ -33,8 +39,9 @@ def forecast_fit(train: DataFrame, keys: list[str], values: list[str], window: i
     (C4, in order) stops improving — the reference's validation-based stop.
     Returns {channel: fitted model}; the models are the fitted parameters.
     """
-    lf = lag_features(train, keys, values, window, pos, block)
-    lf = lf.withColumn("__x", array_to_vector("features"))
+    # masked training: every lag and every target known
+    lf = lag_features(train, keys, values, window, pos, block).na.drop(subset=list(values))
+    lf = lf.withColumn("__x", _vector("features"))
     if model == "gbt":
         lf = split_tail_validation(lf, keys, validation, pos, "__val").withColumn("__val", F.col("__val") == 1)
     models = {}
@@ -54,8 +61,8 @@ def forecast_fit(train: DataFrame, keys: list[str], values: list[str], window: i
 
 def forecast_predict(df: DataFrame, models: dict, keys: list[str], values: list[str], window: int,
                      pos: str = "row_idx", block: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """prediction for every row that has w predecessors (keys, pos, values, <v>__pred)."""
-    lf = lag_features(df, keys, values, window, pos, block).withColumn("__x", array_to_vector("features"))
+    """prediction for every row that has w known predecessors (keys, pos, values, <v>__pred)."""
+    lf = lag_features(df, keys, values, window, pos, block).withColumn("__x", _vector("features"))
     for v, m in models.items():
         lf = m.transform(lf)
     return lf.drop("__x", "features")
@@ -127,7 +134,11 @@ def forecast_baseline_score(df: DataFrame, keys: list[str], value, window: int =
 def forecast_model_score(df: DataFrame, keys: list[str], values: list[str], window: int, pos: str = "row_idx",
                          train_fraction: float = 0.75, model: str = "linear", block: int = DEFAULT_BLOCK_ROWS,
                          **fit) -> DataFrame:
-    """F8-F10 end to end: fit on the first rows of every series, score all rows of all channels together."""
+    """F8-F10 end to end: fit on the first rows of every series, score all rows of all channels together.
+
+    Windows with a missing value (lag or target, any channel) neither train nor score; every row stays, its score
+    is the mean over the full windows that cover it, null if there is none.
+    """
     train = split_fraction(df, list(keys), train_fraction, pos).filter("is_train = 1")
     models = forecast_fit(train, keys, list(values), window, pos, block, model=model, **fit)
     pred = forecast_error(forecast_predict(df, models, keys, list(values), window, pos, block), list(values))

@@ -90,7 +90,8 @@ def reconstruct_score(df: DataFrame, keys: list[str], values: list[str], window:
 
     Channels are scaled with the training rows' statistics (D3); windows inside the training rows fit the
     model; every window is rebuilt, its mean absolute error (all channels, and per channel) belongs to the
-    row behind it (E6).
+    row behind it (E6).  Windows with a missing value in any channel neither train nor score: the row behind
+    them is not in the result.
     """
     keys, values = list(keys), list(values)
     marked = split_fraction(df.select(*keys, pos, *values), keys, train_fraction, pos)

@@ -40,7 +40,8 @@ def knn_grid_f1(cands: DataFrame, labels: DataFrame, keys: list[str], rid: str,
     named = cands if label in cands.columns else cands.join(labels.select(*keys, rid, label), keys + [rid])
     sc = named.select(*keys, rid, label, F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "nbrs")
     sc = sc.withColumn("score", F.when(F.size("nbrs") >= F.col("k"), F.element_at("nbrs", F.col("k"))["d"])).drop("nbrs")
-    return _percentile_counts(sc, keys, "k", qs, label)
+    from vigil.session import materialize
+    return _percentile_counts(materialize(sc, "grid-scores"), keys, "k", qs, label)
 
 
 def _percentile_counts(sc: DataFrame, keys: list[str], param: str, qs: list[float], label: str) -> DataFrame:

@@ -2,18 +2,17 @@
 
 Statistics are one aggregate per series; with no series keys they attach as
 scalar subqueries, otherwise through a size-checked join.  Exact quantiles
-are read off distributed positions (no per-group value buffer), so a series
-holding a third of the table never lands in one task.
+come from counting passes over value ranges: no sort, no data-sized exchange,
+and a series holding a third of the table never lands in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import MIN_POSITIVE_DOUBLE
-from vigil.operators.positions import row_index
-from vigil.session import attach_scalars, join_measured
+from vigil.session import attach_scalars, join_measured, materialize
 
 
 def _attach(df, stats, keys):
@@ -89,31 +88,76 @@ def contamination(df: DataFrame, keys: list[str], label: str = "is_anomaly", cap
     return g.agg(c.alias("contamination"))
 
 
+#: Buckets of one counting pass of the selection, and rows that may be ranked directly once a range holds no more.
+SELECT_BUCKETS = 1024
+SELECT_ROWS = 10_000
+
+
+def order_statistics(df: DataFrame, ranks: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """(keys, rank, value): the value at each 0-based rank (column ``rank`` of ``ranks``) among a series' known values.
+
+    Selection by counting: each pass counts the rows of every range of interest in ``SELECT_BUCKETS`` equal
+    buckets, combined on the map side, and goes on in the buckets that hold a rank.  A range of equal values
+    is its answer; one of at most ``SELECT_ROWS`` rows is ranked directly.  Nothing of the data's size is sorted,
+    exchanged or written; ``df`` is read once per pass (two or three, and one for the ranges' ends).
+    """
+    keys = list(keys)
+    x = F.col(col).cast("double")
+    base = df.select(*keys, x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    ends = (base.groupBy(*keys) if keys else base).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    state = attach_scalars(ranks, ends.select(*keys, "__lo", "__hi", "__n"), keys) if keys else \
+        ranks.withColumns({c: ends.select(c).scalar() for c in ("__lo", "__hi", "__n")})
+    state = state.select(*keys, "rank", "__lo", "__hi", F.lit(0).cast("long").alias("__before"), "__n")
+
+    def inside(open_):
+        """Rows beside each open range of their series that holds them."""
+        ranges = (open_.groupBy(*keys) if keys else open_).agg(F.collect_set(F.struct("__lo", "__hi")).alias("__ranges"))   # two per quantile at most
+        near = attach_scalars(base, ranges, keys)
+        near = near.withColumn("__r", F.explode(F.filter("__ranges", lambda r: (F.col("__x") >= r["__lo"]) & (F.col("__x") <= r["__hi"]))))
+        return near.select(*keys, "__x", "__r.__lo", "__r.__hi")
+    by = [*keys, "__lo", "__hi"]
+    while True:
+        state = materialize(state, "select-ranges")
+        most = state.filter("__lo < __hi").agg(F.max("__n")).first()[0]
+        if most is None or most <= SELECT_ROWS:
+            break
+        width = F.col("__hi") / 2 - F.col("__lo") / 2                      # halves: the whole width may overflow
+        bucket = F.least(F.floor((F.col("__x") / 2 - F.col("__lo") / 2) / width * SELECT_BUCKETS), F.lit(SELECT_BUCKETS - 1)).cast("int")
+        counted = inside(state.filter("__lo < __hi")).groupBy(*by, bucket.alias("__b")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__min"), F.max("__x").alias("__max"))
+        w = Window.partitionBy(*by).orderBy("__b")                         # SELECT_BUCKETS rows at most
+        counted = counted.withColumn("__c0", F.sum("__c").over(w) - F.col("__c"))
+        hit = join_measured(state, counted, by, "left")
+        r = F.col("rank") - F.col("__before")
+        hit = hit.filter((F.col("__lo") == F.col("__hi")) | ((r >= F.col("__c0")) & (r < F.col("__c0") + F.col("__c"))))
+        state = hit.select(*keys, "rank", F.coalesce("__min", "__lo").alias("__lo"), F.coalesce("__max", "__hi").alias("__hi"),
+                           (F.col("__before") + F.coalesce("__c0", F.lit(0))).alias("__before"), F.coalesce("__c", "__n").alias("__n"))
+    done = state.filter("__lo = __hi").select(*keys, "rank", F.col("__lo").alias("value"))
+    near = inside(state.filter("__lo < __hi")).withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy("__x")) - 1)
+    found = join_measured(state.filter("__lo < __hi"), near, by).filter(F.col("rank") - F.col("__before") == F.col("__at"))
+    return done.unionByName(found.select(*keys, "rank", F.col("__x").alias("value")))
+
+
 def quantiles(df: DataFrame, keys: list[str], col: str, qs: list[float], rid: str | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles (q in [0,1]) per series.
+    """Exact linear-interpolated quantiles (q in [0,1]) per series: keys, q, value.
 
-    Positions come from a range-partitioned sort; only the (at most two per
-    q) rows at floor/ceil of q*(n-1) are read back.  Result: keys, q, value.
+    The values at floor and ceiling of q * (n - 1) come from ``order_statistics``; missing values do not count.
+    ``df`` is read several times: write it first if it is expensive.
     """
     keys = list(keys)
-    tb = F.col(rid) if rid else F.xxhash64(*[F.col(c) for c in df.columns])
-    base = df.select(*keys, col, tb.alias("__tb")).filter(F.col(col).isNotNull())
-    order = [col, "__tb"]   # a tiebreak spreads a hot value over range partitions
-    ranked = row_index(base, keys, order, "__qpos")
-    # counts from the written positions: the (possibly expensive) input is read once
-    counts = (ranked.groupBy(*keys) if keys else ranked).agg(F.count(F.lit(1)).alias("__n"))
-    qdf = counts.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    known = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+    counts = (known.groupBy(*keys) if keys else known).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 0")
     h = F.col("q") * (F.col("__n") - 1).cast("double")
-    qdf = qdf.withColumns({"__lo": F.floor(h).cast("bigint"), "__hi": F.ceil(h).cast("bigint"),
-                           "__frac": h - F.floor(h)})
-    targets = qdf.select(*keys, F.explode(F.array_distinct(F.array("__lo", "__hi"))).alias("__qpos")).distinct()
-    picked = join_measured(ranked.select(*keys, "__qpos", col), targets, keys + ["__qpos"])
-    lo = picked.withColumnsRenamed({"__qpos": "__lo", col: "__vlo"})
-    hi = picked.withColumnsRenamed({"__qpos": "__hi", col: "__vhi"})
-    out = join_measured(qdf, lo, keys + ["__lo"])
-    out = join_measured(out, hi, keys + ["__hi"])
+    qdf = counts.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    qdf = qdf.select(*keys, "q", F.floor(h).cast("bigint").alias("__f"), F.ceil(h).cast("bigint").alias("__g"), (h - F.floor(h)).alias("__frac"))
+    qdf = materialize(qdf, "quantile-ranks")
+    ranks = qdf.select(*keys, F.explode(F.array_distinct(F.array("__f", "__g"))).alias("rank")).distinct()
+    picked = materialize(order_statistics(df, ranks, keys, col), "quantile-values")
+    lo = picked.withColumnsRenamed({"rank": "__f", "value": "__vlo"})
+    hi = picked.withColumnsRenamed({"rank": "__g", "value": "__vhi"})
+    out = join_measured(join_measured(qdf, lo, keys + ["__f"]), hi, keys + ["__g"])
     val = F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))
-    return out.select(*keys, "q", val.alias("value"))
+    return out.select(*keys, "q", F.when(F.col("__frac") > 0, val).otherwise(F.col("__vlo")).alias("value"))
 
 
 def percentile_of(df, keys, col, q: float) -> DataFrame:

@@ -8,6 +8,8 @@ so one huge series is spread over many tasks and nothing runs unpartitioned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,11 @@ from vigil.session import attach_scalars
 
 
 def _vals(values: list[str]):
-    """One channel -> double; several -> array<double> per time step."""
+    """One channel -> double; several -> array<double> per time step, null unless every channel is known."""
     if len(values) == 1:
         return F.col(values[0]).cast("double")
-    return F.array(*[F.col(v).cast("double") for v in values])
+    known = reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values])
+    return F.when(known, F.array(*[F.col(v).cast("double") for v in values]))
 
 
 def sliding_windows(df: DataFrame, keys: list[str], values: list[str], window: int, horizon: int = 1,
@@ -28,8 +31,8 @@ def sliding_windows(df: DataFrame, keys: list[str], values: list[str], window: i
 
     ``short`` drops the last window (the reference variant with n-w-p).
     Output: keys, win_start, window (array), target (array; empty if p=0).
-    A window touching a null value is not full and is left out (the
-    reference drops null rows before windowing, B5).
+    A window touching a null value of any channel is not full and is left out
+    (the reference drops null rows before windowing, B5).
     """
     keys = list(keys)
     span = window + horizon
@@ -66,6 +69,7 @@ def lag_features(df: DataFrame, keys: list[str], values: list[str], window: int,
     """For row i >= w, the previous w values flattened channel-major.
 
     Output keeps the row (so the row's own values are the forecast target).
+    Rows with a missing value among their lags are left out.
     """
     keys = list(keys)
     h = with_halo(df, pos, block, window, 0)
@@ -74,7 +78,7 @@ def lag_features(df: DataFrame, keys: list[str], values: list[str], window: int,
     for v in values:
         feats += [F.lag(F.col(v).cast("double"), lag).over(w) for lag in range(window, 0, -1)]
     h = h.withColumn(out, F.array(*feats)).filter(F.col("_home")).drop("_blk", "_home")
-    return h.filter(F.col(out)[0].isNotNull())
+    return h.filter(F.forall(out, lambda x: x.isNotNull()))
 
 
 def reverse_windowing(rows: DataFrame, window_scores: DataFrame, keys: list[str], size: int,

@@ -24,6 +24,10 @@ _CM = f"(event_id % {COLLECTIVE_PERIOD} BETWEEN {COLLECTIVE_LO} AND {COLLECTIVE_
 EVENTS_COLLECTIVE = (f"SELECT CAST(0 AS BIGINT) AS series_id, event_id AS rid, ts, "
                      f"CASE WHEN {_CM} THEN CAST({COLLECTIVE_VALUE} AS DOUBLE) ELSE value END AS value, "
                      f"CASE WHEN {_CM} THEN 1 ELSE 0 END AS is_anomaly FROM events")
+EVENTS_SPARSE_PAIR = ("SELECT CAST(0 AS BIGINT) AS series_id, event_id AS rid, ts, "
+                      f"CASE WHEN event_id % 31 <> 5 THEN value + {PLANT_SHIFT} * {FLAG} END AS value, "
+                      "CASE WHEN event_id % 43 <> 11 THEN CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) END AS minute, "
+                      f"{FLAG} AS is_anomaly FROM events")
 LFLAG = f"(CASE WHEN l_orderkey % {PLANT_EVERY} = 0 THEN 1 ELSE 0 END)"
 LINEITEM = (f"SELECT CAST(0 AS BIGINT) AS series_id, l_orderkey * 8 + l_linenumber AS rid, l_partkey, l_suppkey, "
             f"l_quantity + {LINE_PLANT_SHIFT} * {LFLAG} AS l_quantity, l_extendedprice, l_discount, l_tax, "

@@ -535,6 +535,67 @@ def f13_reconstruct_window_two(spark, sf_dir):
     return finish(s.select("row_idx", "score"))
 
 
+# ------------------------------------------------------------------ trained detectors on channels with gaps
+
+_PAIR = O.with_pos(O.EVENTS_SPARSE_PAIR)
+# least squares of each channel on the one lag of both, over rows whose four numbers are known: normal equations of two centred predictors
+PAIR_FORECAST = f"""(WITH p AS MATERIALIZED (SELECT *, lag(value) OVER (ORDER BY row_idx) AS x, lag(minute) OVER (ORDER BY row_idx) AS y FROM {_PAIR}),
+    k AS (SELECT * FROM p WHERE value IS NOT NULL AND minute IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(value) AS mu, avg(minute) AS mv, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy,
+          covar_pop(x, value) AS xu, covar_pop(y, value) AS yu, covar_pop(x, minute) AS xv, covar_pop(y, minute) AS yv
+          FROM k WHERE row_idx < (SELECT floor(0.75 * count(*)) FROM p)),
+    b AS (SELECT *, (yy * xu - xy * yu) / (xx * yy - xy * xy) AS ux, (xx * yu - xy * xu) / (xx * yy - xy * xy) AS uy,
+          (yy * xv - xy * yv) / (xx * yy - xy * xy) AS vx, (xx * yv - xy * xv) / (xx * yy - xy * xy) AS vy FROM m),
+    e AS (SELECT row_idx - 1 AS win_start, sqrt(power(mu + ux * (x - mx) + uy * (y - my) - value, 2) + power(mv + vx * (x - mx) + vy * (y - my) - minute, 2)) AS err FROM k, b),
+    z AS (SELECT win_start, abs(err - avg(err) OVER ()) / stddev_samp(err) OVER () AS score FROM e),
+    r AS (SELECT p.row_idx, p.is_anomaly, avg(z.score) OVER (ORDER BY p.row_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s
+          FROM p LEFT JOIN z ON z.win_start = p.row_idx)
+    SELECT row_idx, is_anomaly, s / max(s) OVER () AS score FROM r)"""
+
+
+def _pair_scored(spark, sf_dir, score):
+    p = positioned(spark, sf_dir, "events_sparse_pair")
+    return finish(p.select("row_idx", "is_anomaly").join(score(p), "row_idx", "left").select("row_idx", "is_anomaly", "score"))
+
+
+@query("f9_forecast_sparse_pair", f"SELECT row_idx, is_anomaly, {r6('score', 'score')} FROM {PAIR_FORECAST}")
+def f9_forecast_sparse_pair(spark, sf_dir):
+    """Trained forecaster of two channels with gaps: every row stays, rows without a full window have no score."""
+    return _pair_scored(spark, sf_dir, lambda p: FC.forecast_model_score(p, GK, ["value", "minute"], 1, model="squared"))
+
+
+@query("job_forecast_sparse_pair", _board_sql(PAIR_FORECAST, "events_sparse_pair", "DeeP-ANT", 0.3))
+def job_forecast_sparse_pair(spark, sf_dir):
+    """The same from fit to board row."""
+    conf = {"dataset": "events_sparse_pair", "detector": "forecast", "model": "squared", "window": 1, "level": 0.3}
+    return finish(J.run_job(spark, sf_dir, conf)[1])
+
+
+# windows of one step of two scaled channels, rebuilt from one component
+PAIR_REBUILT = f"""(WITH p AS MATERIALIZED (SELECT row_idx, is_anomaly, value, minute, lead(value) OVER (ORDER BY row_idx) AS nv, lead(minute) OVER (ORDER BY row_idx) AS nm FROM {_PAIR}),
+    cut AS (SELECT floor(0.4 * count(*)) AS n FROM p),
+    st AS (SELECT avg(value) AS mu, stddev_pop(value) AS su, avg(minute) AS mv, stddev_pop(minute) AS sv FROM p, cut WHERE row_idx < n),
+    w AS MATERIALIZED (SELECT row_idx, (value - mu) / su AS x, (minute - mv) / sv AS y FROM p, st WHERE value IS NOT NULL AND minute IS NOT NULL AND nv IS NOT NULL AND nm IS NOT NULL),
+    c AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM w, cut WHERE row_idx < n),
+    v AS (SELECT *, ((a + d) + sqrt((a - d) * (a - d) + 4 * b * b)) / 2 AS l FROM c),
+    u AS (SELECT *, b / sqrt(b * b + (l - a) * (l - a)) AS v1, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS v2 FROM v),
+    e AS (SELECT row_idx + 1 AS row_idx, (abs(x - mx - v1 * (v1 * (x - mx) + v2 * (y - my))) + abs(y - my - v2 * (v1 * (x - mx) + v2 * (y - my)))) / 2 AS score FROM w, u)
+    SELECT p.row_idx, p.is_anomaly, e.score FROM p LEFT JOIN e USING (row_idx))"""
+
+
+@query("f13_reconstruct_sparse_pair", f"SELECT row_idx, is_anomaly, {r6('score', 'score')} FROM {PAIR_REBUILT}")
+def f13_reconstruct_sparse_pair(spark, sf_dir):
+    """Reconstruction of two channels with gaps: rows behind a window that is not full have no score."""
+    return _pair_scored(spark, sf_dir, lambda p: RC.reconstruct_score(p, GK, ["value", "minute"], 1, 1)[0])
+
+
+@query("job_reconstruct_sparse_pair", _board_sql(PAIR_REBUILT, "events_sparse_pair", "LSTM-AE", 0.5))
+def job_reconstruct_sparse_pair(spark, sf_dir):
+    """The same from scaling to board row."""
+    conf = {"dataset": "events_sparse_pair", "detector": "reconstruct", "window": 1, "rank": 1, "level": 0.5}
+    return finish(J.run_job(spark, sf_dir, conf)[1])
+
+
 _BASE4 = O.with_pos(O.LINEITEM, order=_LI_ORDER)
 _MISS = " + ".join(f"power(lead({c}, 10) OVER o - avg({c}) OVER (ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), 2)" for c in C.LINE_CHANNELS)
 

@@ -73,6 +73,17 @@ def events_collective(spark, sf_dir) -> DataFrame:
                     lab.alias("is_anomaly"))
 
 
+def events_sparse_pair(spark, sf_dir) -> DataFrame:
+    """Two channels with gaps: the planted value and the minute of the day, each missing at places of its own."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    lab = planted_flag("event_id")
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    return e.select(F.lit(0).cast("bigint").alias("series_id"), i.alias("rid"), "ts",
+                    F.when(i % 31 != 5, F.col("value") + F.lit(PLANT_SHIFT) * lab).alias("value"),
+                    F.when(i % 43 != 11, minute.cast("double")).alias("minute"), lab.alias("is_anomaly"))
+
+
 def embeddings(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.lit(0).cast("bigint").alias("series_id"), F.col("vec_id").alias("rid"),
@@ -111,6 +122,7 @@ CATALOG = {
     "events_weak": (events_weak, UNIVARIATE),
     "events_interval": (events_interval, UNIVARIATE),
     "events_collective": (events_collective, UNIVARIATE),
+    "events_sparse_pair": (events_sparse_pair, SeriesSpec(keys=(), values=("value", "minute"))),
     "embeddings": (embeddings, MULTIVARIATE),
     "lineitem": (lineitem_planted, SeriesSpec(keys=(), order=LINE_ORDER, values=LINE_CHANNELS, row_key=LINE_KEY)),
 }
