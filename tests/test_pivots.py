@@ -69,3 +69,57 @@ def test_few_pivots_change_nothing(spark, monkeypatch):
 def test_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(0, i, [float(i)]) for i in range(30)], SCHEMA)
     assert NB.knn_edges(df, df, [], "rid", "vec", 50, block_rows=5).count() == 30 * 29
+
+
+@pytest.mark.parametrize("k", [1, 3, 17])
+def test_intervals_are_the_nearest_rows(k):
+    """Sorted values with ties: the same neighbours as ranking (distance, gap, position), and their sums."""
+    rng = np.random.default_rng(k)
+    groups = [np.sort(rng.choice([np.round(rng.normal(size=n) * 50), rng.normal(size=n), np.r_[rng.normal(size=n - 1), 1e9]][i % 3], n, replace=True))
+              for i, n in enumerate([1, 2, 5, 18, 40, 77])]
+    v, size = np.concatenate(groups), np.array([len(g) for g in groups])
+    begin = np.repeat(np.cumsum(size) - size, size)
+    end = begin + np.repeat(size, size)
+    kk = np.minimum(k, end - begin - 1)
+    kth, pdist, ev = NB.interval_stats(v, begin, end, kk, 3.0)
+    want = []
+    for g in groups:
+        near = [sorted((abs(x - y), abs(i - j), j) for j, y in enumerate(g) if j != i)[:k] for i, x in enumerate(g)]
+        pd = [3 * np.sqrt(sum(d * d for d, _, _ in e) / max(len(e), 1)) for e in near]
+        want += [(e[-1][0] if e else 0.0, p, sum(pd[j] for _, _, j in e) / max(len(e), 1)) for e, p in zip(near, pd)]
+    assert np.allclose(np.array([kth, pdist, ev]).T, want, rtol=1e-9, atol=1e-12)
+
+
+def test_one_column_scores_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 4 if i % 9 else None, i, None if i % 50 == 7 else float(np.round(rng.normal() * 20, 1))) for i in range(900)] + [(77, 5000, 1.0)]
+    df = spark.createDataFrame(rows, "s long, rid long, x double").repartition(5)
+    for k in (2, 60, 400):
+        for op in (NB.knn_score_1d, NB.loop_1d):
+            a, b = ({(r["s"], r["rid"]): r["score"] for r in op(df, ["s"], "x", "rid", k=k, block=block).collect()} for block in (10_000, 23))
+            assert set(a) == set(b) == {(s, i) for s, i, _ in rows}
+            assert all((a[i] is None) == (b[i] is None) and (a[i] is None or abs(a[i] - b[i]) < 1e-9) for i in a)
+            assert a[77, 5000] is None
+
+
+@pytest.mark.parametrize("block_rows", [1000, 20])
+def test_farthest_rows(spark, block_rows):
+    rows = [(0, i, [float(v) for v in x]) for i, x in enumerate(shapes(np.random.default_rng(6), 200, 3))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {}
+    for r in PV.farthest(df, ["s"], 7, block_rows).collect():
+        got.setdefault(r["rid"], []).append(r["d"])
+    for _, i, x in rows:
+        d = sorted((float(np.linalg.norm(np.array(x) - np.array(y))) for _, _, y in rows), reverse=True)[:7]
+        assert np.allclose(sorted(got[i], reverse=True), d)
+
+
+def test_far_loop_equals_loop_with_as_many_neighbours(spark):
+    rows = [(i % 2, i, [float(v) for v in x]) for i, x in enumerate(shapes(np.random.default_rng(7), 80, 2))] + [(0, 999, None), (5, 998, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    far = {r["rid"]: r["score"] for r in NB.loop_vec_far(df, ["s"], "rid", "vec", 10, block_rows=15).collect()}
+    assert far[999] is None and far[998] is None and len(far) == len(rows)
+    for s in (0, 1):
+        mine = df.filter(f"s = {s} AND rid < 990")
+        near = {r["rid"]: r["score"] for r in NB.loop_vec(mine, ["s"], "rid", "vec", k=mine.count() - 10).collect()}
+        assert all(abs(far[i] - near[i]) < 1e-6 for i in near)

@@ -1,9 +1,9 @@
 """Nearest-neighbour scores, LoOP and kNN classification.
 
-* 1-D (F2): sort by value; the k nearest other rows lie within k positions
-  on either side, so 2k ``lag``/``lead`` candidates per row suffice.  Rows
-  are positioned by a range sort and windows run over (series, block) with
-  a k-row halo: O(n log n), every task bounded by the block size.
+* 1-D (F2): sort by value; the k nearest other rows are an interval around
+  the row.  Rows are positioned by a range sort; inside (series, block) with a
+  k-row halo the interval is found by bisection and sums over it (LoOP) come
+  from prefix sums: O(n log k), every task bounded by block and halo.
 * multi-d (F1): exact distances inside Voronoi cells (``operators.pivots``).
   Cells are dealt to hashed blocks; each (query block, reference block) pair
   is one bounded group in a cogrouped Arrow function that keeps only the k
@@ -62,11 +62,139 @@ def knn_score_1d(df: DataFrame, keys: list[str], value: str, rid: str, k: int,
     Every row stays: the score is null if the series is too short or the row has no value (such rows
     are nobody's neighbours).  ``carry`` names extra columns (e.g. the label) passed through unchanged.
     """
-    c = knn_1d_candidates(df, keys, value, rid, k, block, carry)
-    kth = F.when(F.size("nbrs") >= k, F.element_at("nbrs", k)["d"])
+    c = intervals_1d(df, keys, value, rid, k, block, carry)
+    kth = F.when(F.col("k") >= k, F.col("kth"))
     return c.select(*keys, rid, *carry, kth.alias(out)).unionByName(_valueless(df, [*keys, rid, *carry], value, out))
 
 
+def nearest_intervals(v: np.ndarray, begin: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Start of each row's neighbour interval: rows start .. start + k are itself and its k nearest.
+
+    ``v`` is sorted within groups; ``begin``/``end`` are the group's limits of each row.  Ties in distance go to the
+    smaller gap in position, then to the smaller position.  All rows are searched together by bisection.
+    """
+    at = np.arange(len(v))
+    lo, hi = np.maximum(begin, at - k), np.minimum(at, end - 1 - k)
+    while True:
+        mid = (lo + hi) // 2
+        right = np.minimum(mid + k + 1, len(v) - 1)
+        dl, dr = v - v[mid], v[right] - v
+        move = (lo < hi) & ((dr < dl) | ((dr == dl) & (right - at < at - mid)))     # the row behind the interval is nearer
+        if not (lo < hi).any():
+            return lo
+        hi = np.where((lo < hi) & ~move, mid, hi)
+        lo = np.where(move, mid + 1, lo)
+
+
+class _Sums:
+    """Sums of x over intervals of at most ``size`` rows inside groups, from prefix sums that start anew every ``size`` rows.
+
+    Nothing is subtracted that is much larger than the interval's own sum, so no digits are lost.
+    """
+
+    def __init__(self, begin: np.ndarray, size: np.ndarray):
+        n = len(begin)
+        at = np.arange(n)
+        self.local = at - begin
+        self.head = at - self.local % size                        # first row of each row's chunk
+        first = np.r_[True, self.head[1:] != self.head[:-1]] if n else np.zeros(0, bool)
+        chunk = np.cumsum(first) - 1
+        self.width = int(size.max()) if n else 1
+        self.shape = (int(chunk[-1]) + 1 if n else 0, self.width)
+        self.place = chunk * self.width + (at - self.head)
+
+    def prefix(self, x: np.ndarray) -> np.ndarray:
+        flat = np.zeros(self.shape[0] * self.shape[1])
+        flat[self.place] = x
+        return np.cumsum(flat.reshape(self.shape), axis=1).ravel()[self.place]
+
+    def between(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sum over rows a .. b of one chunk (0 where a > b)."""
+        before = np.where(a > self.head[b], prefix[np.maximum(a - 1, 0)], 0.0)
+        return np.where(a <= b, prefix[b] - before, 0.0)
+
+
+def interval_stats(v, begin, end, k, extent: float | None = None):
+    """k-th neighbour distance of sorted rows; with ``extent`` also pdist and the neighbours' mean pdist (LoOP)."""
+    lo = nearest_intervals(v, begin, end, k)
+    hi = lo + k
+    kth = np.maximum(v - v[lo], v[hi] - v)
+    if extent is None:
+        return kth, None, None
+    sums = _Sums(begin, np.maximum(k + 1, 1))
+    ref = v[sums.head]
+    p1, p2 = sums.prefix(v - ref), sums.prefix((v - ref) ** 2)
+    split = np.where(sums.head[hi] > lo, sums.head[hi], lo)        # an interval lies in one chunk or two
+    near = np.maximum(split - 1, lo)                               # last row of the first part, if there is one
+    total = np.zeros(len(v))
+    for a, b, used in ((lo, near, split > lo), (split, hi, np.ones(len(v), bool))):
+        shift = ref[b] - v
+        m = b - a + 1
+        part = sums.between(p2, a, b) + 2 * shift * sums.between(p1, a, b) + m * shift * shift
+        total += np.where(used, part, 0.0)
+    kk = np.maximum(k, 1)
+    pdist = extent * np.sqrt(np.maximum(total, 0.0) / kk)
+    pp = sums.prefix(pdist)
+    around = np.where(split > lo, sums.between(pp, lo, near), 0.0) + sums.between(pp, split, hi)
+    return kth, pdist, (around - pdist) / kk
+
+
+def intervals_1d(df: DataFrame, keys: list[str], value: str, rid: str, k: int, block: int = DEFAULT_BLOCK_ROWS,
+                 carry: tuple = (), extent: float | None = None) -> DataFrame:
+    """Rows with a value, with k (their neighbours: fewer in a short series), kth, pdist and ev.
+
+    In value order the k nearest rows of a row are an interval around it: its start is found by bisection, sums over
+    it come from prefix sums.  Memory per row does not depend on k; a task holds a block and a halo of k rows (2k for
+    LoOP, whose neighbours' own intervals are needed too).
+    """
+    keys = list(keys)
+    base = df.select(*keys, rid, F.col(value).cast("double").alias("__v"), *carry).filter(F.col("__v").isNotNull())
+    pos = row_index(base, keys, ["__v", rid], "__vp")
+    n = (pos.groupBy(*keys) if keys else pos).agg(F.count(F.lit(1)).alias("__n"))
+    pos = attach_scalars(pos, n, keys)
+    reach = (2 if extent is not None else 1) * (k + 1)
+    h = with_halo(pos, "__vp", block, reach, reach).withColumn("k", F.least(F.lit(int(k)).cast("long"), F.col("__n") - 1)).drop("__n")
+    h = h.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", "__vp")
+    kept = [*keys, rid, *carry]
+    kinds = {f.name: f.dataType.simpleString() for f in h.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", k long, kth double, pdist double, ev double"
+
+    def run(batches):
+        held: list = []
+
+        def scored(pdf):
+            v, kk = pdf["__v"].to_numpy(dtype=float), pdf["k"].to_numpy()
+            begin_of = np.flatnonzero(changes(pdf))
+            size = np.diff(np.r_[begin_of, len(pdf)])
+            begin, end = np.repeat(begin_of, size), np.repeat(begin_of + size, size)
+            kk = np.minimum(kk, end - begin - 1)                   # only halo rows can lack neighbours here
+            kth, pdist, ev = interval_stats(v, begin, end, kk, extent)
+            out = pdf[kept].assign(k=pdf["k"], kth=kth, pdist=pdist, ev=ev)
+            return out[pdf["_home"].to_numpy(dtype=bool)]
+
+        def changes(pdf):
+            new = np.zeros(len(pdf), bool)
+            new[:1] = True
+            for c in [*keys, "_blk"]:
+                x = pdf[c]
+                same = (x.eq(x.shift())) | (x.isna() & x.shift().isna())
+                new |= ~same.to_numpy(dtype=bool)
+            new[:1] = True
+            return new
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) < 200_000:
+                continue
+            pdf = pd.concat(held, ignore_index=True)
+            last = int(np.flatnonzero(changes(pdf))[-1])           # the last group may go on
+            if last:
+                yield scored(pdf.iloc[:last].reset_index(drop=True))
+            held = [pdf.iloc[last:]]
+        if held and sum(map(len, held)):
+            yield scored(pd.concat(held, ignore_index=True))
+    return h.mapInPandas(run, schema)
+
+
 def _valueless(df: DataFrame, cols: list[str], value: str, out: str) -> DataFrame:
     """Rows without a value, with a null score."""
     return df.filter(F.col(value).isNull()).select(*cols, F.lit(None).cast("double").alias(out))
@@ -177,9 +305,36 @@ def _block_topk(k: int, p: float, exclude_self: bool, key_names: list[str]):
     return fn
 
 
+def _block_far(k: int, key_names: list[str]):
+    """Per (query block, reference block): the k farthest references of each query row (Euclidean, ties to the greater id)."""
+    def fn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        cols = key_names + ["rid", "nid", "d"]
+        if qpdf.empty or rpdf.empty:
+            return pd.DataFrame({c: [] for c in cols})
+        q, r = (np.stack(x["vec"].to_numpy()).astype(float) for x in (qpdf, rpdf))
+        qid, rid = qpdf["rid"].to_numpy(), rpdf["rid"].to_numpy()
+        by_id = np.argsort(-rid if rid.dtype.kind in "if" else rid, kind="stable")
+        r, rid = r[by_id], rid[by_id]                              # equal distances: the greater id comes first
+        kk = min(k, len(r))
+        out_q, out_r, out_d = [], [], []
+        step = max(1, 2_000_000 // max(1, r.size))
+        for s in range(0, len(q), step):
+            d = np.sqrt(((q[s:s + step, None, :] - r[None, :, :]) ** 2).sum(axis=2))
+            best = np.argsort(-d, axis=1, kind="stable")[:, :kk]
+            out_q.append(np.repeat(np.arange(s, s + len(d)), kk))
+            out_r.append(best.ravel())
+            out_d.append(np.take_along_axis(d, best, axis=1).ravel())
+        i, j, d = (np.concatenate(x) for x in (out_q, out_r, out_d))
+        res = pd.DataFrame({"rid": qid[i], "nid": rid[j], "d": d})
+        for kn in key_names:
+            res.insert(0, kn, qpdf[kn].iloc[0])
+        return res[cols]
+    return fn
+
+
 def block_edges(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p: float = 2.0,
-                block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True) -> DataFrame:
-    """(keys, rid, nid, d): at least the k nearest references of every query row (rid, vec) of the same keys.
+                block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True, farthest: bool = False) -> DataFrame:
+    """(keys, rid, nid, d): at least the k nearest (or farthest) references of every query row (rid, vec) of the same keys.
 
     Per key, queries and references are dealt to hashed blocks of about ``block_rows`` rows each; every
     (query block, reference block) pair is one bounded group that returns k candidates per query row.
@@ -204,7 +359,7 @@ def block_edges(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p:
     out_schema = T.StructType(kinds + [T.StructField("rid", queries.schema["rid"].dataType),
                                        T.StructField("nid", refs.schema["rid"].dataType), T.StructField("d", T.DoubleType())])
     grp = keys + ["__qb", "__rb"]
-    fn = _block_topk(k, float(p), exclude_self, names)
+    fn = _block_far(k, names) if farthest else _block_topk(k, float(p), exclude_self, names)
     return (qx.groupBy(*grp).cogroup(rx.groupBy(*grp))
               .applyInPandas(lambda a, b: fn(a.drop(columns=["__qb", "__rb"]), b.drop(columns=["__qb", "__rb"])), out_schema))
 
@@ -296,21 +451,66 @@ def _loop_scores(pl: DataFrame, keys: list[str], rid: str, extent, out: str) ->
 
 
 def loop_1d(df, keys, value, rid, k=20, extent=3, block=DEFAULT_BLOCK_ROWS, out="score"):
-    """F4 on one column: a row's neighbours lie within k positions in value order, so their
-    distances are read from one more window over the positions; no edge table, no join."""
+    """F4 on one column: neighbours are intervals in value order (``intervals_1d``); no edge table, no join, any k."""
     keys = list(keys)
-    c = knn_1d_candidates(df, keys, value, rid, k, block)
-    pd_ = c.select(*keys, rid, "value_pos", F.transform("nbrs", lambda x: x["np"]).alias("__nps"), _pdist(extent).alias("pdist"))
-    pd_ = materialize(pd_, "loop-pdist")
-    h = with_halo(pd_, "value_pos", block, k, k)
-    w = Window.partitionBy(*keys, "_blk").orderBy("value_pos").rowsBetween(-k, k)
-    around = F.map_from_entries(F.collect_list(F.struct("value_pos", "pdist")).over(w))
-    h = h.withColumn("__around", around).filter(F.col("_home"))
-    total = F.aggregate(F.transform("__nps", lambda p: F.element_at("__around", p)), F.lit(0.0), lambda a, x: a + x)
-    ev = h.select(*keys, rid, "pdist", F.try_divide(total, F.size("__nps")).alias("__ev"))
+    ev = intervals_1d(df, keys, value, rid, k, block, extent=float(extent))
+    none = F.lit(None).cast("double")
+    ev = ev.select(*keys, rid, F.when(F.col("k") > 0, F.col("pdist")).otherwise(none).alias("pdist"),
+                   F.when(F.col("k") > 0, F.col("ev")).otherwise(none).alias("__ev"))
+    ev = materialize(ev, "loop-pdist")                              # feeds the series' nplof and the scores
     return _loop_scores(ev, keys, rid, extent, out).unionByName(_valueless(df, [*keys, rid], value, out))
 
 
+def loop_vec_far(df, keys, rid, vec, drop: int, extent=3, block_rows=DEFAULT_VECTOR_BLOCK, out="score"):
+    """F4 with k = n - ``drop`` neighbours: all rows of the series but the ``drop`` - 1 farthest ones.
+
+    Sums over all rows come from the series' moments (count, sum and sum of squares of the vectors), so only the few
+    farthest rows of every row are searched (``pivots.farthest``) and subtracted.
+    """
+    from vigil.operators import pivots
+    keys = list(keys)
+    whole = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = df.filter(whole).select(*keys, F.col(rid).alias("rid"), F.col(vec).alias("vec"))
+    width = rows.agg(F.max(F.size("vec"))).first()[0] or 0
+    mean = (rows.groupBy(*keys) if keys else rows).agg(
+        F.count(F.lit(1)).alias("__n"), F.array(*[F.avg(F.element_at("vec", i + 1)) for i in range(width)]).alias("__mean"))
+    # squares around the mean: no digits are lost to a far origin
+    centred = attach_scalars(rows, mean, keys).withColumn("vec", F.zip_with("vec", "__mean", lambda x, m: x - m)).drop("__mean")
+    sq = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    centred = materialize(centred.withColumn("__sq", sq), "loop-centred")
+    spread = (centred.groupBy(*keys) if keys else centred).agg(F.sum("__sq").alias("__all"))
+    far = materialize(pivots.farthest(centred.select(*keys, "rid", "vec"), keys, drop - 1, block_rows), "loop-far")
+    gone = far.groupBy(*keys, "rid").agg(F.sum(F.col("d") * F.col("d")).alias("__gone"))
+    near = attach_scalars(centred.select(*keys, "rid", "__n", "__sq"), spread, keys)
+    near = near.join(_renamed(gone, keys), _same(keys), "left").drop(*[f"g_{c}" for c in [*keys, "rid"]])
+    k = F.col("__n") - F.lit(drop)
+    total = F.col("__n") * F.col("__sq") + F.col("__all") - F.coalesce("__gone", F.lit(0.0))
+    near = near.select(*keys, "rid", "__n", (F.lit(float(extent)) * F.sqrt(F.greatest(total, F.lit(0.0)) / F.when(k > 0, k))).alias("pdist"))
+    near = materialize(near, "loop-pdist")
+    every = (near.groupBy(*keys) if keys else near).agg(F.sum("pdist").alias("__pd_all"))
+    other = near.select(*[F.col(c).alias(f"n_{c}") for c in keys], F.col("rid").alias("n_rid"), F.col("pdist").alias("__n_pd"))
+    on = F.col("nid") == F.col("n_rid")
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"n_{c}"))
+    lost = far.join(other, on).groupBy(*keys, "rid").agg(F.sum("__n_pd").alias("__gone"))
+    ev = attach_scalars(near, every, keys).join(_renamed(lost, keys), _same(keys), "left").drop(*[f"g_{c}" for c in [*keys, "rid"]])
+    mean_pd = (F.col("__pd_all") - F.col("pdist") - F.coalesce("__gone", F.lit(0.0))) / F.when(k > 0, k)
+    ev = materialize(ev.select(*keys, F.col("rid").alias(rid), "pdist", mean_pd.alias("__ev")), "loop-ev")
+    scored = _loop_scores(ev, keys, rid, extent, out)
+    return scored.unionByName(df.filter(~F.coalesce(whole, F.lit(False))).select(*keys, rid, F.lit(None).cast("double").alias(out)))
+
+
+def _renamed(table: DataFrame, keys: list[str]) -> DataFrame:
+    return table.withColumnsRenamed({c: f"g_{c}" for c in [*keys, "rid"]})
+
+
+def _same(keys: list[str]) -> F.Column:
+    out = F.col("rid") == F.col("g_rid")
+    for c in keys:
+        out = out & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    return out
+
+
 def loop_vec(df, keys, rid, vec, k=20, extent=3, block_rows=DEFAULT_VECTOR_BLOCK, out="score"):
     return loop_from_edges(knn_edges(df, df, keys, rid, vec, k, 2.0, block_rows), keys, rid, extent, out)
 

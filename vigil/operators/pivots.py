@@ -116,6 +116,67 @@ def _reachable(x: np.ndarray, own: np.ndarray, bound: np.ndarray, y: np.ndarray,
     return visit
 
 
+def farthest(rows: DataFrame, keys: list[str], m: int, block_rows: int) -> DataFrame:
+    """(keys, rid, nid, d): the m farthest rows of every row (rid, vec), Euclidean, ties to the greater id.
+
+    The same cells, bounds turned round: m rows lie at least |q p| - greatest away, and a cell is visited only if
+    |q p| + greatest reaches that far.
+    """
+    from pyspark.sql import Window
+
+    from vigil.operators.neighbors import block_edges
+    spark, keys = rows.sparkSession, list(keys)
+    if m <= 0:
+        return rows.select(*keys, "rid", F.col("rid").alias("nid"), F.lit(0.0).alias("d")).limit(0)
+    chosen = choose(rows, keys, block_rows)
+    if chosen:
+        pivots = spark.sparkContext.broadcast(chosen)
+        r = materialize(assign(rows, keys, pivots, 2.0), "far-rows")
+        stats = spark.sparkContext.broadcast(_cell_stats(r, keys, chosen))
+
+        def visits(batches):
+            for pdf in batches:
+                for key, at in _series(pdf, keys):
+                    part = pdf.iloc[at]
+                    y = pivots.value.get(_key(key))
+                    if y is None:
+                        yield part                                  # a short series is one cell
+                        continue
+                    x, s = np.stack(part["vec"].to_numpy()).astype(float), stats.value[_key(key)]
+                    step = max(1, _STEP // len(y))
+                    for b in range(0, len(x), step):
+                        d = distances(x[b:b + step], y, 2.0)
+                        low = np.where(s["count"][None, :] > 0, d - s["far"][None, :], -np.inf)
+                        order = np.argsort(-low, axis=1)
+                        enough = np.cumsum(s["count"][order], axis=1) >= m
+                        at_m = np.where(enough.any(axis=1), enough.argmax(axis=1), len(y) - 1)
+                        promised = np.take_along_axis(low, order, axis=1)[np.arange(len(d)), at_m]
+                        slack = _SLACK * (np.abs(promised) + d.max(axis=1) + 1.0)
+                        reach = (d + s["far"][None, :] >= (promised - slack)[:, None]) & (s["count"][None, :] > 0)
+                        i, j = np.nonzero(reach)
+                        yield part.iloc[b + i].assign(cell=j.astype(np.int32))
+        src = r.drop("dist")
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+        guests = materialize(src.mapInPandas(visits, kinds), "far-visits")
+        cand = block_edges(guests, r, [*keys, "cell"], m, 2.0, block_rows, farthest=True).drop("cell")
+    else:
+        cand = block_edges(rows, rows, keys, m, 2.0, block_rows, farthest=True)
+    w = Window.partitionBy(*keys, "rid").orderBy(F.col("d").desc(), F.col("nid").desc())
+    return cand.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= m).drop("__rank")
+
+
+def _cell_stats(r: DataFrame, keys: list[str], chosen: dict) -> dict:
+    """Per series with pivots: rows, least and greatest distance of every cell (one row per pivot is read)."""
+    cells: dict = {}
+    for row in r.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).collect():
+        key = tuple(row[c] for c in keys)
+        if key in chosen:
+            n = len(chosen[key])
+            s = cells.setdefault(key, {"count": np.zeros(n, np.int64), "near": np.zeros(n), "far": np.zeros(n)})
+            s["count"][row["cell"]], s["near"][row["cell"]], s["far"][row["cell"]] = row["n"], row["near"], row["far"]
+    return cells
+
+
 def candidates(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: int, p: float, block_rows: int,
                exclude_self: bool) -> DataFrame:
     """(keys, rid, nid, d): the k nearest references of every query row (rid, vec), and some that are farther.
@@ -132,14 +193,7 @@ def candidates(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: i
     r = materialize(assign(given, keys, pivots, p), "knn-refs")
     q = r if refs is None else materialize(assign(queries, keys, pivots, p), "knn-queries")
     by_cell = [*keys, "cell"]
-    cells: dict = {}
-    for row in r.groupBy(*by_cell).agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).collect():
-        key = tuple(row[c] for c in keys)                                  # one row per pivot
-        if key in chosen:
-            n = len(chosen[key])
-            s = cells.setdefault(key, {"count": np.zeros(n, np.int64), "near": np.zeros(n), "far": np.zeros(n)})
-            s["count"][row["cell"]], s["near"][row["cell"]], s["far"][row["cell"]] = row["n"], row["near"], row["far"]
-    stats = spark.sparkContext.broadcast(cells)
+    stats = spark.sparkContext.broadcast(_cell_stats(r, keys, chosen))
     own = materialize(block_edges(q, r, by_cell, k, p, block_rows, exclude_self), "knn-own-cell")
     kth = own.groupBy(*by_cell, "rid").agg(F.sort_array(F.collect_list("d")).alias("__d"))    # k per reference block of the cell
     kth = kth.select(*[F.col(c).alias(f"__{c}") for c in by_cell], F.col("rid").alias("__rid"), F.try_element_at("__d", F.lit(k)).alias("__bound"))

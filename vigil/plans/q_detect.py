@@ -223,6 +223,40 @@ def f4_loop_multid(spark, sf_dir):
     return finish(NB.loop_vec(df, GK, "rid", "vec", k=20))
 
 
+def _band_edges(src, k):
+    """k nearest others among the 2k rows around each row in value order (ties: position gap, then position)."""
+    p = O.with_pos(src, order="value, rid", name="vp")
+    return f"""SELECT series_id, rid, nid, d FROM (SELECT a.series_id, a.rid, b.rid AS nid, abs(a.value - b.value) AS d,
+        row_number() OVER (PARTITION BY a.series_id, a.rid ORDER BY abs(a.value - b.value), abs(a.vp - b.vp), b.vp) AS rn
+        FROM {p} a JOIN {p} b ON a.series_id = b.series_id AND b.vp BETWEEN a.vp - {k} AND a.vp + {k} AND b.vp <> a.vp) WHERE rn <= {k}"""
+
+
+@query("f2_knn_1d_large_k", f"SELECT rid, {r6('max(d)', 'score')} FROM ({_band_edges(EV, 2000)}) GROUP BY rid HAVING count(*) = 2000")
+def f2_knn_1d_large_k(spark, sf_dir):
+    """2000th neighbour distance on one column."""
+    df, _ = C.dataset(spark, sf_dir, "events")
+    return finish(NB.knn_score_1d(df, GK, "value", "rid", 2000).select("rid", "score").filter(F.col("score").isNotNull()))
+
+
+@query("f4_loop_large_k", f"SELECT rid, {r6('score', 'score')} FROM {O.loop_from_edges(_band_edges(EV, 2000))}")
+def f4_loop_large_k(spark, sf_dir):
+    """LoOP with 2000 neighbours on one column."""
+    df, _ = C.dataset(spark, sf_dir, "events")
+    return finish(NB.loop_1d(df, GK, "value", "rid", k=2000).select("rid", "score"))
+
+
+_FAR_EDGES = f"""SELECT series_id, rid, nid, d FROM (SELECT a.series_id, a.rid, b.rid AS nid, list_distance(a.vec, b.vec) AS d,
+    row_number() OVER (PARTITION BY a.rid ORDER BY list_distance(a.vec, b.vec), b.rid) AS rn, count(*) OVER (PARTITION BY a.rid) + 1 AS n
+    FROM ({O.EMBEDDINGS}) a JOIN ({O.EMBEDDINGS}) b ON a.rid <> b.rid) WHERE rn <= n - 100"""
+
+
+@query("f4_loop_far_k", f"SELECT rid, {r6('score', 'score')} FROM {O.loop_from_edges(_FAR_EDGES)}")
+def f4_loop_far_k(spark, sf_dir):
+    """LoOP on vectors with all but 100 rows as neighbours."""
+    df, _ = C.dataset(spark, sf_dir, "embeddings")
+    return finish(NB.loop_vec_far(df, GK, "rid", "vec", 100).select("rid", "score"))
+
+
 def _fold_split(spark, sf_dir):
     df, _ = C.dataset(spark, sf_dir, "embeddings")
     p = P.row_index(df, GK, ["rid"])
