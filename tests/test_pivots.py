@@ -75,8 +75,8 @@ def test_fewer_rows_than_k(spark):
 def test_intervals_are_the_nearest_rows(k):
     """Sorted values with ties: the same neighbours as ranking (distance, gap, position), and their sums."""
     rng = np.random.default_rng(k)
-    groups = [np.sort(rng.choice([np.round(rng.normal(size=n) * 50), rng.normal(size=n), np.r_[rng.normal(size=n - 1), 1e9]][i % 3], n, replace=True))
-              for i, n in enumerate([1, 2, 5, 18, 40, 77])]
+    groups = [np.sort([np.round(rng.normal(size=n) * 50), rng.normal(size=n), np.r_[rng.normal(size=n - 1), 1e6 * (-1) ** i]][i % 3])
+              for i, n in enumerate([1, 2, 5, 18, 40, 77, 9, 30, 64])]
     v, size = np.concatenate(groups), np.array([len(g) for g in groups])
     begin = np.repeat(np.cumsum(size) - size, size)
     end = begin + np.repeat(size, size)

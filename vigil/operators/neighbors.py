@@ -86,32 +86,28 @@ def nearest_intervals(v: np.ndarray, begin: np.ndarray, end: np.ndarray, k: np.n
         lo = np.where(move, mid + 1, lo)
 
 
-class _Sums:
-    """Sums of x over intervals of at most ``size`` rows inside groups, from prefix sums that start anew every ``size`` rows.
+class _Chunks:
+    """Rows of every group cut into chunks as long as an interval, ``size`` rows.
 
-    Nothing is subtracted that is much larger than the interval's own sum, so no digits are lost.
+    An interval is then one chunk, or the end of one and the beginning of the next, so its sum is a running sum
+    from a chunk's end plus one from a chunk's beginning: nothing is subtracted, no digits are lost.
     """
 
-    def __init__(self, begin: np.ndarray, size: np.ndarray):
-        n = len(begin)
-        at = np.arange(n)
-        self.local = at - begin
-        self.head = at - self.local % size                        # first row of each row's chunk
-        first = np.r_[True, self.head[1:] != self.head[:-1]] if n else np.zeros(0, bool)
-        chunk = np.cumsum(first) - 1
-        self.width = int(size.max()) if n else 1
-        self.shape = (int(chunk[-1]) + 1 if n else 0, self.width)
-        self.place = chunk * self.width + (at - self.head)
-
-    def prefix(self, x: np.ndarray) -> np.ndarray:
-        flat = np.zeros(self.shape[0] * self.shape[1])
+    def __init__(self, begin: np.ndarray, end: np.ndarray, size: np.ndarray):
+        at = np.arange(len(begin))
+        self.head = at - (at - begin) % size                      # first and last row of each row's chunk
+        self.tail = np.minimum(self.head + size, end) - 1
+        chunk = np.cumsum(at == self.head) - 1
+        self.shape = (int(chunk[-1]) + 1 if len(at) else 0, int(size.max()) if len(at) else 1)
+        self.place = chunk * self.shape[1] + (at - self.head)
+
+    def running(self, x: np.ndarray, back: bool = False) -> np.ndarray:
+        """Sums from the chunk's first row to each row (``back``: from each row to the chunk's last)."""
+        flat = np.zeros(self.shape[0] * self.shape[1], x.dtype)
         flat[self.place] = x
-        return np.cumsum(flat.reshape(self.shape), axis=1).ravel()[self.place]
-
-    def between(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Sum over rows a .. b of one chunk (0 where a > b)."""
-        before = np.where(a > self.head[b], prefix[np.maximum(a - 1, 0)], 0.0)
-        return np.where(a <= b, prefix[b] - before, 0.0)
+        flat = flat.reshape(self.shape)
+        flat = np.cumsum(flat[:, ::-1], axis=1)[:, ::-1] if back else np.cumsum(flat, axis=1)
+        return flat.ravel()[self.place]
 
 
 def interval_stats(v, begin, end, k, extent: float | None = None):
@@ -121,22 +117,20 @@ def interval_stats(v, begin, end, k, extent: float | None = None):
     kth = np.maximum(v - v[lo], v[hi] - v)
     if extent is None:
         return kth, None, None
-    sums = _Sums(begin, np.maximum(k + 1, 1))
-    ref = v[sums.head]
-    p1, p2 = sums.prefix(v - ref), sums.prefix((v - ref) ** 2)
-    split = np.where(sums.head[hi] > lo, sums.head[hi], lo)        # an interval lies in one chunk or two
-    near = np.maximum(split - 1, lo)                               # last row of the first part, if there is one
+    chunks = _Chunks(begin, end, k + 1)
+    two = chunks.head[hi] > lo                                     # the interval begins in the chunk before
     total = np.zeros(len(v))
-    for a, b, used in ((lo, near, split > lo), (split, hi, np.ones(len(v), bool))):
-        shift = ref[b] - v
-        m = b - a + 1
-        part = sums.between(p2, a, b) + 2 * shift * sums.between(p1, a, b) + m * shift * shift
-        total += np.where(used, part, 0.0)
+    # squares around a value of the interval itself: the last of its first part, the first of its second
+    for back, where, ref, rows in ((True, lo, v[chunks.tail], chunks.tail[lo] - lo + 1), (False, hi, v[chunks.head], hi - chunks.head[hi] + 1)):
+        y = v - ref
+        shift = ref[where] - v
+        part = chunks.running(y * y, back)[where] + 2 * shift * chunks.running(y, back)[where] + rows * shift * shift
+        total += np.where(two, part, 0.0) if back else part
     kk = np.maximum(k, 1)
     pdist = extent * np.sqrt(np.maximum(total, 0.0) / kk)
-    pp = sums.prefix(pdist)
-    around = np.where(split > lo, sums.between(pp, lo, near), 0.0) + sums.between(pp, split, hi)
-    return kth, pdist, (around - pdist) / kk
+    wide = pdist.astype(np.longdouble)                             # a row far away is much larger than its neighbours' sum
+    around = np.where(two, chunks.running(wide, True)[lo], 0) + chunks.running(wide)[hi]
+    return kth, pdist, ((around - wide) / kk).astype(float)
 
 
 def intervals_1d(df: DataFrame, keys: list[str], value: str, rid: str, k: int, block: int = DEFAULT_BLOCK_ROWS,
