@@ -173,3 +173,27 @@ def test_quantiles_are_order_statistics(spark):
     one = D.quantiles(df.filter("k IN ('a', 'c')"), [], "v", [0.9]).collect()
     assert len(one) == 1 and np.isclose(one[0]["value"], np.quantile(whole, 0.9))
     assert D.quantiles(df.filter("k = 'z'"), [], "v", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("window,block", [(1, 1000), (2, 7), (5, 40), (5, 1000)])
+def test_window_moments_equal_those_of_built_windows(spark, window, block):
+    import numpy as np
+    from vigil.operators import positions as P
+    from vigil.operators import reconstruct as RC
+    rng = np.random.default_rng(window)
+    rows = [(s, i, *[None if rng.random() < 0.04 else float(v) for v in rng.normal(size=3).round(2)], int(i < 70)) for s in (1, 2, None) for i in range(110)]
+    p = P.row_index(spark.createDataFrame(rows, "s long, rid long, a double, b double, c double, t int"), ["s"], ["rid"])
+    n, mean, cov = RC.window_moments(p, ["s"], ["a", "b", "c"], window, train="t", block=block)
+    built = []
+    for s in (1, 2, None):
+        mine = [r for r in rows if r[0] == s]
+        for i in range(len(mine) - window):
+            part = mine[i:i + window + 1]
+            if all(None not in r[2:5] for r in part) and part[window - 1][5]:
+                built.append([r[c] for c in (2, 3, 4) for r in part[:window]])
+    x = np.array(built)
+    assert n == len(x) > 50 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T), atol=1e-9)
+    if window == 5 and block == 1000:
+        w = spark.createDataFrame([(list(map(float, v)),) for v in built], "flat array<double>")
+        a, b = RC.reconstruct_fit(w, 3), RC.reconstruct_fit_moments((n, mean, cov), 3)
+        assert np.allclose(a["pc"] @ a["pc"].T, b["pc"] @ b["pc"].T, atol=1e-8) and np.allclose(a["mean"], b["mean"])

@@ -1,7 +1,8 @@
 """Reconstruction-error detectors (re-aimed LSTM autoencoder).
 
 A linear autoencoder is PCA: windows are centred, projected on the top
-``rank`` principal components (``pyspark.ml.feature.PCA``) and rebuilt as
+``rank`` principal components (``pyspark.ml.feature.PCA``, or the eigenvectors
+of the windows' covariance, which needs no windows) and rebuilt as
 mean + P P^T (x - mean).  The fitted model is the mean vector and P
 (window x rank numbers); rebuilding runs in an Arrow pandas UDF as one
 matrix product per batch.
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.operators.positions import DEFAULT_BLOCK_ROWS, with_halo
 from vigil.operators.splits import split_fraction
 from vigil.operators.stats import scale_apply, scale_fit
 from vigil.operators.windows import sliding_windows
@@ -54,6 +56,107 @@ def reconstruct_fit(train: DataFrame, rank: int, col: str = "flat") -> dict:
     return {"mean": mean, "pc": comps, "rank": rank}
 
 
+def _block_moments(x: np.ndarray, use: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sum and sum of products of the windows that begin at the rows marked ``use`` (step-major; unknown numbers are 0).
+
+    Products of the first step with the others are lagged cross products.  A window moved by one step has the same
+    products except at the ends of runs of used rows, so all further steps follow from those few rows.
+    """
+    n, c = x.shape
+    total, first = np.zeros((window, c)), np.zeros((window, c, c))
+    at = np.flatnonzero(use)
+    head = x[at]
+    for s in range(window):
+        moved = x[at + s]
+        total[s], first[s] = moved.sum(axis=0), head.T @ moved
+    change = np.diff(np.r_[0, use.astype(int), 0])               # +1 where a run begins, -1 behind its end
+    ends = np.flatnonzero(change)
+    prod = np.zeros((window, c, window, c))
+    prod[0] = first.transpose(1, 0, 2)
+    if window > 1:
+        near = x[np.minimum(ends[:, None] + np.arange(window - 1), n - 1)].reshape(len(ends), (window - 1) * c)
+        gap = ((near * -change[ends][:, None]).T @ near).reshape(window - 1, c, window - 1, c)
+        for s in range(1, window):
+            prod[s, :, s:] = prod[s - 1, :, s - 1:-1] + gap[s - 1, :, s - 1:]
+    full = prod.reshape(window * c, window * c)
+    full = np.triu(full)
+    for s in range(window):                                       # the block on the diagonal is whole already
+        full[s * c:(s + 1) * c, s * c:(s + 1) * c] = prod[s, :, s]
+    upper = np.triu(full, 1)
+    return total.ravel(), np.diag(np.diag(full)) + upper + upper.T, len(at)
+
+
+def window_moments(df: DataFrame, keys: list[str], values: list[str], window: int, pos: str = "row_idx", train: str | None = None,
+                   block: int = DEFAULT_BLOCK_ROWS) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number, mean, covariance) of all full windows (followed by a known row, as E1 with one target), channel-major.
+
+    No window is built: every block of rows adds its lagged cross products, a task sends one matrix, and its rows are
+    added up in groups.  ``train`` marks the rows a window must end on.  The covariance (window x channels)^2 reaches the driver.
+    """
+    keys, c = list(keys), len(values)
+    d = df.select(*keys, pos, (F.col(train) == 1 if train else F.lit(True)).alias("__train"), *[F.col(v).cast("double").alias(v) for v in values])
+    h = with_halo(d, pos, block, 0, window)
+    h = h.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", pos)
+    size = window * c
+
+    def run(batches):
+        number, total, prod = 0, np.zeros(size), np.zeros((size, size))
+        held: list = []
+
+        def groups(pdf):
+            new = np.zeros(len(pdf), bool)
+            for k in [*keys, "_blk"]:
+                same = pdf[k].eq(pdf[k].shift()) | (pdf[k].isna() & pdf[k].shift().isna())
+                new |= ~same.to_numpy(dtype=bool)
+            new[:1] = True
+            return np.flatnonzero(new)
+
+        def add(pdf):
+            nonlocal number, total, prod
+            starts = groups(pdf)
+            for a, b in zip(starts, np.r_[starts[1:], len(pdf)]):
+                x = pdf[values].iloc[a:b].to_numpy(dtype=float)
+                known = ~np.isnan(x).any(axis=1)
+                run_of = np.r_[0, np.cumsum(known)]
+                use = np.zeros(len(x), bool)
+                m = len(x) - window                                # windows with a row behind them
+                if m > 0:
+                    ends = pdf["__train"].iloc[a:b].to_numpy(dtype=bool)[window - 1:window - 1 + m]
+                    use[:m] = (run_of[window + 1:] - run_of[:m] == window + 1) & ends & pdf["_home"].iloc[a:b].to_numpy(dtype=bool)[:m]
+                if use.any():
+                    t, p, k = _block_moments(np.nan_to_num(x), use, window)
+                    number, total, prod = number + k, total + t, prod + p
+        for pdf in batches:
+            held.append(pdf)
+            whole = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf
+            last = int(groups(whole)[-1])                          # the last block may go on
+            if last:
+                add(whole.iloc[:last])
+            held = [whole.iloc[last:].reset_index(drop=True)]
+        if held:
+            add(held[0])
+        if number:
+            yield pd.DataFrame({"i": range(-2, size), "row": [np.array([float(number)]), total, *prod]})
+    parts = h.mapInPandas(run, "i int, row array<double>")
+    summed = parts.groupBy("i").applyInPandas(lambda g: pd.DataFrame({"i": [g["i"].iloc[0]], "row": [np.sum(np.stack(g["row"].to_numpy()), axis=0)]}),
+                                              "i int, row array<double>")
+    rows = {r["i"]: np.array(r["row"]) for r in summed.collect()}   # (window x channels) rows
+    if not rows:
+        return 0, np.zeros(size), np.zeros((size, size))
+    n = int(rows[-2][0])
+    mean = rows[-1] / n
+    cov = (np.array([rows[i] for i in range(size)]) - n * np.outer(mean, mean)) / max(n - 1, 1)
+    major = np.arange(size).reshape(window, c).T.ravel()            # step-major -> channel-major
+    return n, mean[major], cov[np.ix_(major, major)]
+
+
+def reconstruct_fit_moments(moments: tuple[int, np.ndarray, np.ndarray], rank: int) -> dict:
+    """F12 from ``window_moments``: the leading eigenvectors of the covariance."""
+    _, mean, cov = moments
+    _, vectors = np.linalg.eigh(cov)
+    return {"mean": mean, "pc": vectors[:, ::-1][:, :rank], "rank": rank}
+
+
 def reconstruct_predict(df: DataFrame, model: dict, col: str = "flat", out: str = "recon") -> DataFrame:
     """rebuilt window = mean + P P^T (x - mean), one matrix product per Arrow batch."""
     mean, pc = model["mean"], model["pc"]
@@ -89,7 +192,7 @@ def reconstruct_score(df: DataFrame, keys: list[str], values: list[str], window:
     """F12-F15 end to end: (keys, pos, score, channel_mae) per row behind its window, and the model.
 
     Channels are scaled with the training rows' statistics (D3); windows inside the training rows fit the
-    model; every window is rebuilt, its mean absolute error (all channels, and per channel) belongs to the
+    model through their covariance (``window_moments``, no window is built for it); every window is rebuilt, its mean absolute error (all channels, and per channel) belongs to the
     row behind it (E6).  Windows with a missing value in any channel neither train nor score: the row behind
     them is not in the result.
     """
@@ -97,10 +200,8 @@ def reconstruct_score(df: DataFrame, keys: list[str], values: list[str], window:
     marked = split_fraction(df.select(*keys, pos, *values), keys, train_fraction, pos)
     scaled = scale_apply(marked, scale_fit(marked.filter("is_train = 1"), keys, values), keys, values)
     w = flatten_window(sliding_windows(scaled, keys, values, window, 1, pos))
-    last = scaled.filter("is_train = 1").select(*keys, F.col(pos).alias("__end"))
     # a training window ends on a training row
-    train = w.withColumn("__end", F.col("win_start") + F.lit(window - 1)).join(last, [*keys, "__end"])
-    model = reconstruct_fit(train, rank)
+    model = reconstruct_fit_moments(window_moments(scaled, keys, values, window, pos, "is_train"), rank)
     r = window_mae(reconstruct_predict(w, model), out="score")
     if len(values) > 1:
         r = window_mae_channel(unflatten_window(r, len(values)), "window", "recon_window", "channel_mae")

@@ -623,6 +623,21 @@ def f13_reconstruct_sparse_pair(spark, sf_dir):
     return _pair_scored(spark, sf_dir, lambda p: RC.reconstruct_score(p, GK, ["value", "minute"], 1, 1)[0])
 
 
+_COV_STEPS = [(c, k) for c in ("value", "minute") for k in range(3)]
+_COV_LAGS = ", ".join(f"lead({c}, {k}) OVER (ORDER BY row_idx) AS {c}{k}" for c in ("value", "minute") for k in range(4))
+_COV_FULL = " AND ".join(f"{c}{k} IS NOT NULL" for c in ("value", "minute") for k in range(4))
+
+
+@query("f12_window_covariance", f"""WITH w AS MATERIALIZED (SELECT * FROM (SELECT {_COV_LAGS} FROM {_PAIR}) WHERE {_COV_FULL})
+""" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, count(*) AS windows, {r6(f'avg({a}{x})', 'mean_i')}, {r6(f'covar_samp({a}{x}, {b}{y})', 'covariance')} FROM w"
+                         for i, (a, x) in enumerate(_COV_STEPS) for j, (b, y) in enumerate(_COV_STEPS)))
+def f12_window_covariance(spark, sf_dir):
+    """Mean and covariance of all windows of three steps of two channels with gaps, from lagged cross products."""
+    n, mean, cov = RC.window_moments(positioned(spark, sf_dir, "events_sparse_pair"), GK, ["value", "minute"], 3)
+    rows = [(i, j, n, float(mean[i]), float(cov[i, j])) for i in range(6) for j in range(6)]
+    return finish(spark.createDataFrame(rows, "i int, j int, windows long, mean_i double, covariance double"))
+
+
 @query("job_reconstruct_sparse_pair", _board_sql(PAIR_REBUILT, "events_sparse_pair", "LSTM-AE", 0.5))
 def job_reconstruct_sparse_pair(spark, sf_dir):
     """The same from scaling to board row."""
