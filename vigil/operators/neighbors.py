@@ -363,7 +363,7 @@ def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, ve
     """Exact k nearest references of every query row: (keys, rid, nid, d, rank), ties by neighbour id.
 
     A series of at most ``block_rows`` references is one cell.  A longer one is cut into the Voronoi cells of
-    about sqrt(n) of its rows (``operators.pivots``): a query first meets its own cell, which bounds its k-th
+    about sqrt(n) / 2 of its rows (``operators.pivots``): a query first meets its own cell, which bounds its k-th
     distance, then only cells that the triangle inequality lets hold something nearer.
     """
     from vigil.operators import pivots

@@ -1,6 +1,6 @@
 """Exact nearest neighbours without all pairs: Voronoi cells and triangle-inequality bounds.
 
-1. About sqrt(n) references of every long series, drawn by hash, are its pivots.  Each row goes
+1. About sqrt(n) / 2 references of every long series, drawn by hash, are its pivots.  Each row goes
    to the cell of its nearest pivot.  Per cell the number of references and their least and
    greatest distance to the pivot are kept (one row per pivot).
 2. Every query meets the references of its own cell.  Its k-th distance there, or what the cell
@@ -50,8 +50,8 @@ def choose(refs: DataFrame, keys: list[str], block_rows: int) -> dict:
     total = long.agg(F.sum(F.sqrt("__n") * F.col("__dim"))).first()[0]
     if not total:
         return {}
-    # expected number of pivots: sqrt(n), less where all of them would be too many
-    share = F.least(F.lit(1.0), F.lit(min(1.0, MAX_VALUES / total)) / F.sqrt("__n"))
+    # expected number of pivots: sqrt(n) / 2, less where all of them would be too many
+    share = F.lit(min(0.5, MAX_VALUES / total)) / F.sqrt("__n")
     rated = attach_scalars(refs, long.select(*keys, share.alias("__share")), keys) if keys else \
         refs.withColumn("__share", long.select(share.alias("__share")).scalar())
     drawn = rated.filter(hash_unit("pivot", F.concat_ws("|", *[F.col(c).cast("string") for c in [*keys, "rid"]])) < F.col("__share"))
@@ -92,28 +92,31 @@ def assign(rows: DataFrame, keys: list[str], pivots, p: float) -> DataFrame:
     return rows.mapInPandas(run, f"{kinds}, cell int, dist double")
 
 
-def _reachable(x: np.ndarray, own: np.ndarray, bound: np.ndarray, y: np.ndarray, stats: dict, need: int, p: float) -> np.ndarray:
-    """Which cells (columns) each query must visit besides its own."""
+def _reachable(x: np.ndarray, own: np.ndarray, bound: np.ndarray, y: np.ndarray, stats: dict, need: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell) pairs: the cells each query must visit besides its own."""
     d = distances(x, y, p)
     far, near, count = stats["far"], stats["near"], stats["count"]
-    # enough references lie within the need-th of these distances
-    reach = np.where(count[None, :] > 0, d + far[None, :], np.inf)
-    order = np.argsort(reach, axis=1)
-    enough = (np.cumsum(count[order], axis=1) >= need).argmax(axis=1)
-    promised = np.take_along_axis(reach, order, axis=1)[np.arange(len(x)), enough]
-    promised = np.where(count.sum() >= need, promised, np.inf)
-    limit = np.minimum(bound, promised)
+    limit = bound.copy()
+    open_ = np.flatnonzero(~np.isfinite(bound))
+    if len(open_) and count.sum() >= need:
+        # enough references lie within the need-th of these distances
+        reach = np.where(count[None, :] > 0, d[open_] + far[None, :], np.inf)
+        order = np.argsort(reach, axis=1)
+        enough = (np.cumsum(count[order], axis=1) >= need).argmax(axis=1)
+        limit[open_] = np.take_along_axis(reach, order, axis=1)[np.arange(len(open_)), enough]
     limit = limit + _SLACK * (limit + d.max(axis=1) + 1.0)
-    low = np.maximum(d - far[None, :], near[None, :] - d)
-    if p == 2:
+    visit = (d - far[None, :] <= limit[:, None]) & (near[None, :] - d <= limit[:, None]) & (count[None, :] > 0)
+    visit[np.arange(len(x)), own] = False
+    i, j = np.nonzero(visit)
+    if p == 2:                                                     # the plane halfway between the pivots
+        gap = y[own[i]] - y[j]
+        apart = np.sqrt(np.einsum("ij,ij->i", gap, gap))
         mine = d[np.arange(len(x)), own]
-        apart = distances(y, y, p)[own] if len(y) * len(x) <= _STEP else np.stack([distances(y[o:o + 1], y, p)[0] for o in own])
         with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (d * d - (mine * mine)[:, None]) / (2.0 * apart)
-        low = np.maximum(low, np.where(apart > 0, plane, -np.inf))
-    visit = (low <= limit[:, None]) & (count[None, :] > 0)
-    visit[np.arange(len(x)), own] = False
-    return visit
+            plane = (d[i, j] ** 2 - mine[i] ** 2) / (2.0 * apart)
+        keep = (apart == 0) | (plane <= limit[i])
+        i, j = i[keep], j[keep]
+    return i, j
 
 
 def farthest(rows: DataFrame, keys: list[str], m: int, block_rows: int) -> DataFrame:
@@ -215,7 +218,7 @@ def candidates(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: i
                 bound = np.where(np.isnan(bound), np.inf, bound)
                 step = max(1, _STEP // len(y))
                 for s in range(0, len(x), step):
-                    i, j = np.nonzero(_reachable(x[s:s + step], cell[s:s + step], bound[s:s + step], y, stats.value[_key(key)], need, p))
+                    i, j = _reachable(x[s:s + step], cell[s:s + step], bound[s:s + step], y, stats.value[_key(key)], need, p)
                     yield part.iloc[s + i].assign(cell=j.astype(np.int32)).drop(columns="__bound")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bounded.schema.fields if f.name != "__bound")
     guests = materialize(bounded.mapInPandas(visits, kinds), "knn-visits")
