@@ -119,7 +119,10 @@ def test_token_files_of_repeated_rows_and_single_reads(spark, edge, empty):
 
 def test_word_cache_equals_whole_texts(documents):
     texts = [r[0] for r in documents.select("text").limit(300).collect()]
-    texts += ["it's  we'll 'tis\n\n x\t\ty  ", "''s 'S ²³ ½x a1b2 __ --- ...\r\n  end ", "¿Qué? ñandú—", "don't stop"]
+    texts += ["it's  we'll 'tis\n\n x\t\ty  ", "''s 'S ²³ ½x a1b2 __ --- ...\r\n  end ", "¿Qué? ñandú—", "don't stop",
+              "a  b", "a   b", " a", "  a", "a ", "a  ", "\n x", "\n  x", "x \n y", "x \ny", "x\t y\t\n z", " ", "  ", "", "a. b, c'll 's\r\n d", " 's 'tis"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice(["a", "b.", "'s", " ", " ", "\n", "\t", "12", "é", "—", "!"]) for _ in range(rng.randrange(40))) for _ in range(400)]
     enc = tokens.Encoder(tokens.tokenizer_path())
     want = [enc.pack(e.ids) + enc.end for e in enc.tk.encode_batch(texts, add_special_tokens=False)]
     assert enc.encode(texts) == want

@@ -41,7 +41,7 @@ from vigil.llm.base import partitions, query, table, write_table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 DICT_BYTES = 64 << 10
-#: The dictionary is trained on about this many pieces of this many id bytes, drawn by hash from whole texts.
+#: The dictionary is trained on about this many pieces of this many characters, drawn by hash from whole texts.
 SAMPLE_PIECES = 4000
 PIECE_BYTES = 4 << 10
 BLOCK_BYTES = 1 << 20        # compressed bytes after which a block is closed
@@ -90,7 +90,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if max(self.tk.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = self.pack([end_id])
-        self.model, self.words = self.tk.model, Words(self._word)
+        self.model, self.words, self.spaced = self.tk.model, Words(self._chunk), Words(lambda chunk: self._chunk(" " + chunk))
         # only a byte-level splitter with this rule may be replaced by _SPLIT
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -98,19 +98,27 @@ class Encoder:
         self.split = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
                       and not spec.get("normalizer"))
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one split word, straight from the library's model (no second splitting)."""
-        return self.pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of some text: split by the rule, each word straight from the library's model (no second splitting)."""
+        return self.pack([t.id for word in _SPLIT.findall(chunk) for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
 
     def pack(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text and the end id."""
-        get, out = self.words.__getitem__, []
+        """Ids of every text and the end id.
+
+        A blank before something else begins a word whatever stands before it, so texts are cut there and what lies
+        between blanks is remembered; only several blanks in a row need the rule on the whole text.
+        """
+        get, spaced, out = self.words.__getitem__, self.spaced.__getitem__, []
         for t in texts:
             if self.split and not _PLAIN.search(t) and not any(s in t for s in self.special):
-                out.append(b"".join(map(get, _SPLIT.findall(t))) + self.end)
+                if "  " in t:
+                    out.append(b"".join(map(get, _SPLIT.findall(t))) + self.end)
+                else:
+                    first, *rest = t.split(" ")
+                    out.append(b"".join((get(first), *map(spaced, rest), self.end)))
             else:
                 out.append(self.pack(self.tk.encode(t, add_special_tokens=False).ids) + self.end)
         return out
@@ -140,7 +148,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, size: int
 
     Every document's text counts as ceil(characters / PIECE_BYTES) pieces, and each piece is drawn by a hash of
     (doc_id, text, piece) at one rate, so any part of a text may be chosen and the result does not depend on
-    partitions.  Only documents with a drawn piece are encoded.  The rate bounds the expected number of pieces;
+    partitions.  Only drawn pieces are encoded.  The rate bounds the expected number of pieces;
     equal rows hash alike, so a drawn (doc_id, text) counts once however often its row repeats.
     """
     scale = 1 << 30
@@ -149,23 +157,21 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, size: int
     limit = min(scale, max(1, scale * SAMPLE_PIECES // total))
     drawn = F.filter(F.sequence(F.lit(0).cast("long"), n_pieces - 1),
                      lambda k: F.pmod(F.xxhash64("doc_id", "text", k), F.lit(scale)) < limit)
-    sample = (docs.filter(F.col("text").isNotNull()).select("doc_id", "text", drawn.alias("pieces"), n_pieces.alias("n_pieces"))
-              .filter(F.size("pieces") > 0))
+    start = (F.lit(PIECE_BYTES) * F.col("piece") + 1).cast("int")
+    pieces = (docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.explode(drawn).alias("piece"))
+              .select("doc_id", "piece", F.substring("text", start, F.lit(PIECE_BYTES)).alias("text")).distinct())
 
     def run(batches):
         enc = _encoder(path, end_id)
         for batch in batches:
-            names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for d, t, ks, n in zip(names.to_pylist(), texts, batch.column("pieces").to_pylist(), batch.column("n_pieces").to_pylist()):
-                b = enc.encode([t])[0]
-                step = enc.kind.itemsize
-                cuts = [len(b) // step * k // n * step for k in range(n + 1)]
-                out = [b[cuts[k]:cuts[k + 1]][:PIECE_BYTES] for k in ks]
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-    pieces = sample.mapInArrow(run, "doc_id long, ids binary").distinct()
-    data = sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["ids"])) for r in pieces.collect())
+            for i, j, texts in _texts(batch):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "piece")), pa.array(enc.encode(texts), pa.binary())],
+                                                 names=["doc_id", "piece", "ids"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    drawn_ids = pieces.mapInArrow(run, f"doc_id {kind}, piece long, ids binary")
+    data = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], bytes(r["ids"])) for r in drawn_ids.collect())
     try:
-        return zstandard.train_dictionary(size, [x[2] for x in data]).as_bytes()
+        return zstandard.train_dictionary(size, [x[3] for x in data]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
