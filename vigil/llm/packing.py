@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.base import query, table, write_table
-from vigil.llm.tokens import _BYTE_CHARS, Words, tokenizer_path
+from vigil.llm.tokens import Words, shown, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -63,11 +64,14 @@ class Encoder:
         steps = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
         rules = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.split = steps == ["NFC", "Replace", "Lowercase"] and rules[0].get("pattern", {}).get("Regex") == _RULE
-        self.model, self.chunks = self.tk.model, Words(self._chunk)
+        self.model, self.words, self.chunks = self.tk.model, Words(self._word), Words(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(shown(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = [t.id for word in _SPLIT.findall(chunk) for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(chunk)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text and the end id."""

@@ -46,7 +46,7 @@ SAMPLE_PIECES = 4000
 PIECE_BYTES = 4 << 10
 BLOCK_BYTES = 1 << 20        # compressed bytes after which a block is closed
 LEVEL = 3
-WORD_CACHE = 200_000         # distinct words in each of the two generations a worker remembers
+WORD_CACHE = 400_000         # distinct words in each of the two generations a worker remembers
 
 # The splitting rule of the byte-level tokenizer, with its letter and number classes
 # spelled out for the characters of _PLAIN (printable ASCII, tab, line ends, Latin-1 and Latin Extended letters).
@@ -57,6 +57,7 @@ _SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\
 # Byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for characters from 256 on.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_BLANK = chr(_BYTE_CHARS[0x20])
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -64,6 +65,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def shown(word: str) -> str:
+    """A word in the byte-level alphabet."""
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", _BLANK)
+    return word.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
 class Words(dict):
     """Word -> packed ids; a missing word is encoded once.  When full, the older half is forgotten."""
 
@@ -90,7 +98,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if max(self.tk.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = self.pack([end_id])
-        self.model, self.words, self.spaced = self.tk.model, Words(self._chunk), Words(lambda chunk: self._chunk(" " + chunk))
+        self.model, self.words = self.tk.model, Words(self._word)
         # only a byte-level splitter with this rule may be replaced by _SPLIT
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -98,27 +106,19 @@ class Encoder:
         self.split = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
                       and not spec.get("normalizer"))
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of some text: split by the rule, each word straight from the library's model (no second splitting)."""
-        return self.pack([t.id for word in _SPLIT.findall(chunk) for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
+    def _word(self, word: str) -> bytes:
+        """Ids of one split word, straight from the library's model (no second splitting)."""
+        return self.pack([t.id for t in self.model.tokenize(shown(word))])
 
     def pack(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text and the end id.
-
-        A blank before something else begins a word whatever stands before it, so texts are cut there and what lies
-        between blanks is remembered; only several blanks in a row need the rule on the whole text.
-        """
-        get, spaced, out = self.words.__getitem__, self.spaced.__getitem__, []
+        """Ids of every text and the end id."""
+        get, out = self.words.__getitem__, []
         for t in texts:
             if self.split and not _PLAIN.search(t) and not any(s in t for s in self.special):
-                if "  " in t:
-                    out.append(b"".join(map(get, _SPLIT.findall(t))) + self.end)
-                else:
-                    first, *rest = t.split(" ")
-                    out.append(b"".join((get(first), *map(spaced, rest), self.end)))
+                out.append(b"".join(map(get, _SPLIT.findall(t))) + self.end)
             else:
                 out.append(self.pack(self.tk.encode(t, add_special_tokens=False).ids) + self.end)
         return out
