@@ -40,10 +40,11 @@ ITEMS = [(1, "quick brown fox"), (2, None), (3, "!!"), (10, "the lazy dog and ru
          (11, "tail"), (5, "QUICK brown FOX")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination_matches_windows(spark, edge, block):
+# a filter of 64 bits lets nearly every suffix pass; a lead of one word sends the long text to few shards
+@pytest.mark.parametrize("how", [{}, {"most_bits": 64}, {"lead": 1, "spread": 3}, {"lead": 10, "spread": 1}])
+def test_decontamination_matches_windows(spark, edge, how):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    out = decontam.scan(edge, bench, ["doc_id"], block_bytes=block)
+    out = decontam.scan(edge, bench, ["doc_id"], **how)
     got = rows(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == ordered(brute.decontam(pairs(edge), ITEMS))
 
@@ -54,6 +55,35 @@ def test_longest_match_has_its_place(spark, edge):
     assert (4, 5, 0, 25) in [(int(x["item_id"]), x["doc_word"], x["item_word"], x["n_words"]) for x in m]
 
 
+def test_longest_matches_equal_a_plain_search(spark):
+    """Matches of a small alphabet, where diagonals overlap and items repeat windows, against all (item, document) shifts."""
+    rng = random.Random(5)
+    draw = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(str(i), draw(rng.choice([1, 2, 4, 6, 9, 14, 30]))) for i in range(12)]
+    docs = [(d, draw(rng.randrange(0, 120))) for d in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    out = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench, ["doc_id"], window=5, lead=3)
+    got = {(r["doc_id"], *m) for r in out.collect() for m in r["matches"]}
+    want = set()
+    for d, t in docs:
+        for i, s in items:
+            a, b = t.split(), s.split()
+            n = min(5, len(b))
+            for shift in range(-len(b), len(a)):
+                k = max(0, -shift)
+                while k < len(b) and shift + k < len(a):
+                    if a[shift + k] != b[k]:
+                        k += 1
+                        continue
+                    e = k
+                    while e < len(b) and shift + e < len(a) and a[shift + e] == b[e]:
+                        e += 1
+                    if e - k >= n:
+                        want.add((d, i, shift + k, k, e - k))
+                    k = e
+    assert got == want and len(want) > 100
+
+
 def test_decontaminate_keeps_columns_and_clean_rows(spark, edge, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     clean = decontam.decontaminate(edge, bench)
