@@ -38,6 +38,7 @@ from vigil.llm.text import ALNUM, LOWER, run_hash, slices, span_hash, word_spans
 
 WINDOW = 10
 LEAD = 5                       # first words of a suffix that name its shard
+FILTER_RATE = 128              # filter bits for each benchmark suffix: under 1 % of other suffixes pass
 SPREAD = 8                     # shards of one lead; a document's suffixes go to one of them
 MAX_FILTER_BITS = 1 << 28      # bound of what every task receives (32 MB); a fuller filter only lets more suffixes pass
 _CHUNK = 1 << 15               # suffixes per Arrow batch
@@ -92,7 +93,7 @@ def benchmark_suffixes(benchmark: DataFrame, window: int = WINDOW, lead: int = L
 def lead_filter(suffixes: DataFrame, most_bits: int = MAX_FILTER_BITS) -> tuple[list[int], np.ndarray]:
     """(numbers of words the leads have, filter of the leads); the filter's words are combined in Spark, at most ``most_bits`` bits in all."""
     n, sizes = suffixes.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("lead_words"))).first()
-    words = max(1, min(most_bits, 1 << (16 * n + 1024).bit_length()) // 64)
+    words = max(1, min(most_bits, 1 << (FILTER_RATE * n + 1024).bit_length()) // 64)
     cells = (suffixes.select(F.shiftrightunsigned("lead", 6).bitwiseAND(F.lit(words - 1)).alias("cell"),
                              F.expr("shiftleft(1L, int(lead & 63))").alias("bit"))
              .groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow())
