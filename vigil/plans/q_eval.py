@@ -343,8 +343,9 @@ def h2_param_sample(spark, sf_dir):
     """6 (k, percentile) pairs drawn by a seeded hash from a 10 x 10 grid, evaluated on the data."""
     grid = H.param_grid(spark, {"k": list(range(1, 11)), "q": [float(q) for q in range(90, 100)]})
     picked = H.param_sample(grid, 6, seed=42).withColumn("k", F.col("k").cast("bigint"))
-    ks = sorted({int(r["k"]) for r in picked.collect()})
-    return finish(picked.join(knn_grid(spark, sf_dir, ks, [float(q) for q in range(90, 100)]), ["k", "q"]))
+    drawn = [(int(r["k"]), r["q"]) for r in picked.collect()]
+    ks, qs = (sorted(set(x)) for x in zip(*drawn))          # one pass over the scores for all drawn levels
+    return finish(picked.join(knn_grid(spark, sf_dir, ks, qs), ["k", "q"]))
 
 
 _CV_KS = [1, 3, 5, 7]
