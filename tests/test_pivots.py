@@ -123,3 +123,41 @@ def test_far_loop_equals_loop_with_as_many_neighbours(spark):
         mine = df.filter(f"s = {s} AND rid < 990")
         near = {r["rid"]: r["score"] for r in NB.loop_vec(mine, ["s"], "rid", "vec", k=mine.count() - 10).collect()}
         assert all(abs(far[i] - near[i]) < 1e-6 for i in near)
+
+
+def test_dense_vectors_meet_by_blocks(spark, monkeypatch):
+    """Where nearly every cell is reachable no query is copied once per cell: nearest, Manhattan and farthest rows."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 24))
+    rows = [(0, i, [float(v) for v in y]) for i, y in enumerate(np.concatenate([x, np.tile(x[:1], (30, 1))]))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    written = []
+    keep = PV.materialize
+    monkeypatch.setattr(PV, "materialize", lambda d, name: written.append(name) or keep(d, name))
+    for p in (1.0, 2.0):
+        got = {}
+        for e in NB.knn_edges(df, df, [], "rid", "vec", 4, p, block_rows=40).collect():
+            got.setdefault((0, e["rid"]), []).append((round(e["d"], 9), e["nid"]))
+        want = brute(rows, rows, 4, p, True)
+        assert {i: sorted(v) for i, v in got.items()} == {i: [(round(d, 9), j) for d, j in v] for i, v in want.items()}
+    got = {}
+    for e in PV.farthest(df, ["s"], 5, 40).collect():
+        got.setdefault(e["rid"], []).append((round(e["d"], 9), e["nid"]))
+    for _, i, y in rows:
+        d = sorted(((round(float(np.linalg.norm(np.array(y) - np.array(z))), 9), j) for _, j, z in rows), reverse=True)[:5]
+        assert sorted(got[i], reverse=True) == d
+    assert not {"knn-visits", "far-visits"} & set(written)
+
+
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0])
+def test_block_search_holds_few_distances(p):
+    """Chunks change nothing; many equal references cost no more than k of them."""
+    rng = np.random.default_rng(5)
+    r = np.concatenate([rng.normal(size=(5000, 3)), np.zeros((4000, 3))])
+    q = np.concatenate([rng.normal(size=(150, 3)), np.zeros((3, 3))])
+    rid = rng.permutation(len(r))
+    i, j, d = NB.best_pairs(q, r, np.arange(len(q)), rid, 6, p, exclude_self=True)
+    for n, y in enumerate(q):
+        all_ = (np.abs(r - y) ** p).sum(axis=1) ** (1 / p)
+        order = [o for o in np.lexsort((rid, all_)) if rid[o] != n][:6]
+        assert np.allclose(np.sort(d[i == n]), all_[order]) and list(rid[j[i == n]]) == list(rid[order])

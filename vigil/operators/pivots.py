@@ -10,8 +10,9 @@
    |q p| - greatest, least - |q p| or (p = 2) its distance to the bisecting plane is beyond it.
 
 Work grows like n * sqrt(n) * (cells visited) instead of n^2.  The bounds are metric, so results
-are exact for any p >= 1; in many dimensions without structure most cells stay within the bound
-and the work goes back to n^2.  Pivots travel to the tasks: their number is limited to ``MAX_VALUES``
+are exact for any p >= 1; in many dimensions without structure most cells stay within the bound.
+A drawn sample of queries shows that, and then all blocks of rows meet (``direct``): n^2 distances,
+but no query travels once per cell.  Pivots travel to the tasks: their number is limited to ``MAX_VALUES``
 numbers altogether (fewer pivots make larger cells, never other results).
 """
 
@@ -119,11 +120,37 @@ def _reachable(x: np.ndarray, own: np.ndarray, bound: np.ndarray, y: np.ndarray,
     return i, j
 
 
+#: Rows farthest from the mean whose distances give every row a first bound of its farthest ones.
+HUBS = 2048
+
+
+def _far_direct(rows: DataFrame, keys: list[str], m: int, block_rows: int) -> DataFrame:
+    """Candidates of the m farthest rows by all blocks; the m-th greatest distance to the rows farthest from the mean bounds them."""
+    from vigil.operators.neighbors import block_edges
+    width = rows.agg(F.max(F.size("vec"))).first()[0] or 0
+    stats = (rows.groupBy(*keys) if keys else rows).agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.avg(F.element_at("vec", i + 1)) for i in range(width)]).alias("__mean"))
+    stats = materialize(stats, "far-means")
+    longest = stats.agg(F.max("__n")).first()[0] or 1
+    out = attach_scalars(rows, stats, keys).withColumn("__out", F.aggregate(F.zip_with("vec", "__mean", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda t, x: t + x))
+    out = materialize(out.select(*keys, "rid", "vec", "__out"), "far-from-mean")
+    share = max(0.0, 1.0 - max(HUBS, 4 * m) / longest)
+    level = (out.groupBy(*keys) if keys else out).agg(F.percentile_approx("__out", share, 10_000).alias("__level"))
+    hubs = materialize(attach_scalars(out, level, keys).filter(F.col("__out") >= F.col("__level")).select(*keys, "rid", "vec"), "far-hubs")
+    first = block_edges(rows, hubs, keys, m, 2.0, max(block_rows, HUBS), farthest=True)
+    first = first.groupBy(*keys, "rid").agg(F.sort_array(F.collect_list("d"), asc=False).alias("__d"))
+    first = first.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("rid").alias("__rid"), F.try_element_at("__d", F.lit(m)).alias("__bound"))
+    here = F.col("rid").eqNullSafe(F.col("__rid"))
+    for c in keys:
+        here = here & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    bounded = materialize(rows.join(first, here, "left").select(*keys, "rid", "vec", "__bound"), "far-bounded")
+    return direct(bounded, rows, keys, m, 2.0, block_rows, False, farthest=True)
+
+
 def farthest(rows: DataFrame, keys: list[str], m: int, block_rows: int) -> DataFrame:
     """(keys, rid, nid, d): the m farthest rows of every row (rid, vec), Euclidean, ties to the greater id.
 
     The same cells, bounds turned round: m rows lie at least |q p| - greatest away, and a cell is visited only if
-    |q p| + greatest reaches that far.
+    |q p| + greatest reaches that far.  If that leaves more than ``DIRECT_SHARE`` of the rows, all blocks meet.
     """
     from pyspark.sql import Window
 
@@ -137,31 +164,55 @@ def farthest(rows: DataFrame, keys: list[str], m: int, block_rows: int) -> DataF
         r = materialize(assign(rows, keys, pivots, 2.0), "far-rows")
         stats = spark.sparkContext.broadcast(_cell_stats(r, keys, chosen))
 
+        def reached(pdf):
+            """(rows, their series, row places, cells) of a batch, some rows at a time; no cells: a short series is one."""
+            for key, at in _series(pdf, keys):
+                part = pdf.iloc[at]
+                y = pivots.value.get(_key(key))
+                if y is None:
+                    yield part, key, None, None
+                    continue
+                x, s = np.stack(part["vec"].to_numpy()).astype(float), stats.value[_key(key)]
+                step = max(1, _STEP // len(y))
+                for b in range(0, len(x), step):
+                    d = distances(x[b:b + step], y, 2.0)
+                    low = np.where(s["count"][None, :] > 0, d - s["far"][None, :], -np.inf)
+                    order = np.argsort(-low, axis=1)
+                    enough = np.cumsum(s["count"][order], axis=1) >= m
+                    at_m = np.where(enough.any(axis=1), enough.argmax(axis=1), len(y) - 1)
+                    promised = np.take_along_axis(low, order, axis=1)[np.arange(len(d)), at_m]
+                    slack = _SLACK * (np.abs(promised) + d.max(axis=1) + 1.0)
+                    reach = (d + s["far"][None, :] >= (promised - slack)[:, None]) & (s["count"][None, :] > 0)
+                    i, j = np.nonzero(reach)
+                    yield part, key, b + i, j
+
         def visits(batches):
             for pdf in batches:
+                for part, _, i, j in reached(pdf):
+                    if i is None:
+                        yield part
+                    else:
+                        yield from _in_slices(part, i, j)
+
+        def shares(batches):
+            for pdf in batches:
+                met = all_ = 0.0
+                for part, key, i, j in reached(pdf):
+                    if i is not None:
+                        met += float(stats.value[_key(key)]["count"][j].sum())
                 for key, at in _series(pdf, keys):
-                    part = pdf.iloc[at]
-                    y = pivots.value.get(_key(key))
-                    if y is None:
-                        yield part                                  # a short series is one cell
-                        continue
-                    x, s = np.stack(part["vec"].to_numpy()).astype(float), stats.value[_key(key)]
-                    step = max(1, _STEP // len(y))
-                    for b in range(0, len(x), step):
-                        d = distances(x[b:b + step], y, 2.0)
-                        low = np.where(s["count"][None, :] > 0, d - s["far"][None, :], -np.inf)
-                        order = np.argsort(-low, axis=1)
-                        enough = np.cumsum(s["count"][order], axis=1) >= m
-                        at_m = np.where(enough.any(axis=1), enough.argmax(axis=1), len(y) - 1)
-                        promised = np.take_along_axis(low, order, axis=1)[np.arange(len(d)), at_m]
-                        slack = _SLACK * (np.abs(promised) + d.max(axis=1) + 1.0)
-                        reach = (d + s["far"][None, :] >= (promised - slack)[:, None]) & (s["count"][None, :] > 0)
-                        i, j = np.nonzero(reach)
-                        yield part.iloc[b + i].assign(cell=j.astype(np.int32))
+                    if _key(key) in stats.value:
+                        all_ += float(stats.value[_key(key)]["count"].sum()) * len(at)
+                yield pd.DataFrame({"met": [met], "all_": [all_]})
         src = r.drop("dist")
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-        guests = materialize(src.mapInPandas(visits, kinds), "far-visits")
-        cand = block_edges(guests, r, [*keys, "cell"], m, 2.0, block_rows, farthest=True).drop("cell")
+        probe = src.filter(hash_unit("probe", F.concat_ws("|", *[F.col(c).cast("string") for c in [*keys, "rid"]])) < F.lit(min(1.0, PROBES / max(r.count(), 1))))
+        share = probe.mapInPandas(shares, "met double, all_ double").agg(F.sum("met") / F.sum("all_")).first()[0]
+        if (share or 0.0) > DIRECT_SHARE:
+            cand = _far_direct(rows, keys, m, block_rows)
+        else:
+            kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+            guests = materialize(src.mapInPandas(visits, kinds), "far-visits")
+            cand = block_edges(guests, r, [*keys, "cell"], m, 2.0, block_rows, farthest=True).drop("cell")
     else:
         cand = block_edges(rows, rows, keys, m, 2.0, block_rows, farthest=True)
     w = Window.partitionBy(*keys, "rid").orderBy(F.col("d").desc(), F.col("nid").desc())
@@ -180,11 +231,45 @@ def _cell_stats(r: DataFrame, keys: list[str], chosen: dict) -> dict:
     return cells
 
 
+#: Share of the references that a query may have to visit; above it all blocks meet all blocks.
+DIRECT_SHARE = 0.2
+#: Queries that are drawn to measure that share.
+PROBES = 1000
+#: Numbers of a block when all blocks meet (32 MB), and groups that the pairs of blocks make at least if rows suffice.
+BLOCK_VALUES, GROUPS = 4_000_000, 64
+
+
+def direct(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p: float, block_rows: int, exclude_self: bool,
+           farthest: bool = False) -> DataFrame:
+    """All blocks of queries meet all blocks of references: work n^2, each task bounded by two blocks.
+
+    Blocks are as large as leaves ``GROUPS`` groups, so that rows travel few times.
+    """
+    from vigil.operators.neighbors import block_edges
+    count = lambda df, name: (df.groupBy(*keys) if keys else df).agg(F.count(F.lit(1)).alias(name))
+    nq, nr = count(queries, "__nq"), count(refs, "__nr")
+    both = nq.join(nr, keys) if keys else nq.withColumn("__nr", nr.select("__nr").scalar())
+    both = materialize(both, "knn-sizes")
+    pairs = both.agg(F.sum(F.col("__nq").cast("double") * F.col("__nr"))).first()[0] or 0.0
+    width = refs.agg(F.max(F.size("vec"))).first()[0] or 1
+    rows = int(max(block_rows, min((pairs / GROUPS) ** 0.5, BLOCK_VALUES / width)))
+    groups = both.agg(F.sum(F.ceil(F.col("__nq") / F.lit(float(rows))) * F.ceil(F.col("__nr") / F.lit(float(rows))))).first()[0]
+    return block_edges(queries, refs, keys, k, p, rows, exclude_self, farthest, partitions=max(1, min(int(groups or 1), 20_000)))
+
+
+def _in_slices(part: pd.DataFrame, i: np.ndarray, j: np.ndarray):
+    """Row i of ``part`` as a guest of cell j, a bounded number of rows at a time."""
+    step = max(1, _STEP // 8 // len(part["vec"].iloc[0]))
+    for s in range(0, len(i), step):
+        yield part.iloc[i[s:s + step]].assign(cell=j[s:s + step].astype(np.int32))
+
+
 def candidates(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: int, p: float, block_rows: int,
                exclude_self: bool) -> DataFrame:
     """(keys, rid, nid, d): the k nearest references of every query row (rid, vec), and some that are farther.
 
-    ``refs`` None: the queries are the references.
+    ``refs`` None: the queries are the references.  A few queries are searched first: if they must visit more than
+    ``DIRECT_SHARE`` of the references, cells save nothing and all blocks meet (``direct``).
     """
     from vigil.operators.neighbors import block_edges
     spark, keys = queries.sparkSession, list(keys)
@@ -194,33 +279,54 @@ def candidates(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: i
         return block_edges(queries, given, keys, k, p, block_rows, exclude_self)
     pivots = spark.sparkContext.broadcast(chosen)
     r = materialize(assign(given, keys, pivots, p), "knn-refs")
-    q = r if refs is None else materialize(assign(queries, keys, pivots, p), "knn-queries")
     by_cell = [*keys, "cell"]
     stats = spark.sparkContext.broadcast(_cell_stats(r, keys, chosen))
-    own = materialize(block_edges(q, r, by_cell, k, p, block_rows, exclude_self), "knn-own-cell")
-    kth = own.groupBy(*by_cell, "rid").agg(F.sort_array(F.collect_list("d")).alias("__d"))    # k per reference block of the cell
-    kth = kth.select(*[F.col(c).alias(f"__{c}") for c in by_cell], F.col("rid").alias("__rid"), F.try_element_at("__d", F.lit(k)).alias("__bound"))
-    here = F.col("rid").eqNullSafe(F.col("__rid"))
-    for c in by_cell:
-        here = here & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    bounded = q.join(kth, here, "left").select(*by_cell, "rid", "vec", "__bound")
     need = k + int(exclude_self)
 
+    def within_own(q):
+        """Edges inside the queries' own cells, and the queries with the k-th distance there."""
+        own = materialize(block_edges(q, r, by_cell, k, p, block_rows, exclude_self), "knn-own-cell")
+        kth = own.groupBy(*by_cell, "rid").agg(F.sort_array(F.collect_list("d")).alias("__d"))    # k per reference block of the cell
+        kth = kth.select(*[F.col(c).alias(f"__{c}") for c in by_cell], F.col("rid").alias("__rid"), F.try_element_at("__d", F.lit(k)).alias("__bound"))
+        here = F.col("rid").eqNullSafe(F.col("__rid"))
+        for c in by_cell:
+            here = here & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        return own, q.join(kth, here, "left").select(*by_cell, "rid", "vec", "__bound")
+
+    def reached(pdf):
+        """(rows, their series, query places, cells) of a batch, some queries at a time."""
+        for key, at in _series(pdf, keys):
+            y = pivots.value.get(_key(key))
+            if y is None:
+                continue
+            part = pdf.iloc[at]
+            x = np.stack(part["vec"].to_numpy()).astype(float)
+            cell, bound = part["cell"].to_numpy(), part["__bound"].to_numpy(dtype=float)
+            bound = np.where(np.isnan(bound), np.inf, bound)
+            step = max(1, _STEP // len(y))
+            for s in range(0, len(x), step):
+                i, j = _reachable(x[s:s + step], cell[s:s + step], bound[s:s + step], y, stats.value[_key(key)], need, p)
+                yield part, key, s + i, j
+
     def visits(batches):
         for pdf in batches:
-            for key, at in _series(pdf, keys):
-                y = pivots.value.get(_key(key))
-                if y is None:
-                    continue
-                part = pdf.iloc[at]
-                x = np.stack(part["vec"].to_numpy()).astype(float)
-                cell, bound = part["cell"].to_numpy(), part["__bound"].to_numpy(dtype=float)
-                bound = np.where(np.isnan(bound), np.inf, bound)
-                step = max(1, _STEP // len(y))
-                for s in range(0, len(x), step):
-                    i, j = _reachable(x[s:s + step], cell[s:s + step], bound[s:s + step], y, stats.value[_key(key)], need, p)
-                    yield part.iloc[s + i].assign(cell=j.astype(np.int32)).drop(columns="__bound")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bounded.schema.fields if f.name != "__bound")
+            for part, _, i, j in reached(pdf):
+                yield from _in_slices(part, i, j)
+
+    def shares(batches):
+        for pdf in batches:
+            met = sum(float(stats.value[_key(key)]["count"][j].sum()) for _, key, _, j in reached(pdf))
+            all_ = sum(float(stats.value[_key(key)]["count"].sum()) * len(at) for key, at in _series(pdf, keys) if _key(key) in stats.value)
+            yield pd.DataFrame({"met": [met], "all_": [all_]})
+    rate = PROBES / max(queries.count(), 1)
+    probe = queries.filter(hash_unit("probe", F.concat_ws("|", *[F.col(c).cast("string") for c in [*keys, "rid"]])) < F.lit(min(1.0, rate)))
+    probe = materialize(assign(probe, keys, pivots, p), "knn-probes")
+    share = within_own(probe)[1].mapInPandas(shares, "met double, all_ double").agg(F.sum("met") / F.sum("all_")).first()[0]
+    if (share or 0.0) > DIRECT_SHARE:
+        return direct(queries, given, keys, k, p, block_rows, exclude_self)
+    q = r if refs is None else materialize(assign(queries, keys, pivots, p), "knn-queries")
+    own, bounded = within_own(q)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bounded.schema.fields)
     guests = materialize(bounded.mapInPandas(visits, kinds), "knn-visits")
     other = block_edges(guests, r, by_cell, k, p, block_rows, exclude_self)
     return own.unionByName(other).drop("cell")
