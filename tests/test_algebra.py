@@ -197,3 +197,13 @@ def test_window_moments_equal_those_of_built_windows(spark, window, block):
         w = spark.createDataFrame([(list(map(float, v)),) for v in built], "flat array<double>")
         a, b = RC.reconstruct_fit(w, 3), RC.reconstruct_fit_moments((n, mean, cov), 3)
         assert np.allclose(a["pc"] @ a["pc"].T, b["pc"] @ b["pc"].T, atol=1e-8) and np.allclose(a["mean"], b["mean"])
+
+
+def test_refined_sweep_of_equal_percentiles(spark, tmp_path):
+    """Every value twice: all scores are 0, the first sweep has no level and the refined one no rows."""
+    from vigil.plans.registry import QUERIES
+    from testdata_paths import SF_SMALL
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    e.unionByName(e.withColumn("event_id", e.event_id + 1_000_000)).write.parquet(str(tmp_path / "events.parquet"))
+    out = QUERIES["g10_threshold_refine"](spark, str(tmp_path))
+    assert out.columns == ["j", "t", "tp", "fp", "fn", "f1"] and out.count() == 0

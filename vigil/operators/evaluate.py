@@ -143,7 +143,7 @@ def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is
     Default grid = numpy ``arange(min, max, step)`` of the series' scores.
     ``bounds`` gives other ranges (percentiles for G9, best +- 0.05 for G10):
     a (start, stop) pair of numbers for an unkeyed sweep, or a DataFrame
-    (keys, start, stop); ``count``/``last`` give ``linspace`` grids (G8).
+    (keys, start, stop), None for no level at all; ``count``/``last`` give ``linspace`` grids (G8).
     Flags are ``score >= t`` (``inclusive``, G7) or ``score > t``.
     Every score is mapped to the last level it passes.  Counts change only at
     levels some score ends at, so a distributed reverse running sum over those
@@ -156,7 +156,7 @@ def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is
     stats = (df.groupBy(*keys) if keys else df).agg(F.min(score).alias("start"), F.max(score).alias("stop"),
                                                      F.sum(y).alias("__P"))
     if isinstance(bounds, (tuple, list)):
-        stats = stats.withColumns({"start": F.lit(float(bounds[0])), "stop": F.lit(float(bounds[1]))})
+        stats = stats.withColumns({"start": F.lit(bounds[0]).cast("double"), "stop": F.lit(bounds[1]).cast("double")})
     elif bounds is not None:
         stats = stats.drop("start", "stop")
         stats = stats.join(bounds.select(*keys, "start", "stop"), keys) if keys else \

@@ -159,7 +159,9 @@ def g9_sweep_percentile(spark, sf_dir):
 def g10_threshold_refine(spark, sf_dir):
     sc, sw = _g9(spark, sf_dir, expand=False)
     best = G.best_threshold(sw, []).head()["best_t"]
-    return finish(G.threshold_sweep(sc, [], "score", step=0.001, inclusive=False, bounds=(best - 0.05, best + 0.05)))
+    # the first sweep has no level if its percentiles are equal: nothing to refine
+    around = (None, None) if best is None else (best - 0.05, best + 0.05)
+    return finish(G.threshold_sweep(sc, [], "score", step=0.001, inclusive=False, bounds=around))
 
 
 @query("g11_best_threshold", f"SELECT {r6('t', 'best_t')}, {r6('f1', 'best_f1')} FROM {G7_SQL} "
