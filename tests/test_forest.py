@@ -101,3 +101,19 @@ def test_forecasters_predict_every_row_with_history(spark):
         m = FC.forecast_fit(train, [], ["value"], 5, model=model, max_iter=10)
         pred = FC.forecast_error(FC.forecast_predict(p, m, [], ["value"], 5), ["value"])
         assert pred.filter(F.col("error").isNotNull()).count() == p.count() - 5
+
+
+def test_grid_of_a_small_forest_moves_no_rows(spark, monkeypatch):
+    """A forest that fits the tasks is sent to them; rows are not dealt to blocks, and both ways give the same grid."""
+    from vigil.operators import search as H
+    df, spec = C.dataset(spark, SF_SMALL, "lineitem")
+    nodes, psi = FR.iforest_fit(df, list(C.LINE_KEY), list(spec.values), n_trees=6, max_samples=64, seed=3)
+    ask = lambda: sorted(map(tuple, H.forest_grid_f1(df, nodes, psi, list(spec.values), [2, 6], [0.02, 0.05]).collect()))
+    monkeypatch.setattr(FR, "CHUNK_NODES", 100)
+    want = ask()
+    monkeypatch.undo()
+
+    def refuse(*a, **b):
+        raise AssertionError("rows were dealt to blocks")
+    monkeypatch.setattr(FR, "score_blocks", refuse)
+    assert ask() == want and len(want) == 4

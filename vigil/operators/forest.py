@@ -299,7 +299,7 @@ def with_replacement(rows: DataFrame, keys: list[str], psi: int, seed: int) -> D
 
 
 def _model_arrays(nodes_pdf: pd.DataFrame):
-    """Flat arrays of some trees: roots, and per node feature, threshold, child places and leaf path length."""
+    """Flat arrays of some trees: roots, and per node feature, threshold, both child places and leaf path length."""
     t = nodes_pdf.sort_values(["tree", "node"]).reset_index(drop=True)
     tree, node = t["tree"].to_numpy(), t["node"].to_numpy()
     place = pd.Series(np.arange(len(t)), index=pd.MultiIndex.from_arrays([tree, node]))
@@ -310,28 +310,32 @@ def _model_arrays(nodes_pdf: pd.DataFrame):
     pad = lambda x, fill: np.concatenate([x, fill])
     nothing = np.zeros(len(t), dtype=int)
     depth, size = t["depth"].to_numpy(), t["size"].to_numpy()
-    return (np.flatnonzero(node == 1), pad(t["feature"].to_numpy(), nothing - 1), pad(t["threshold"].to_numpy(), nothing.astype(float)),
-            pad(left, nothing), pad(right, nothing), pad(depth + c_factor(size), depth + 1.0))
+    feat, thr = pad(t["feature"].to_numpy(), nothing - 1), pad(t["threshold"].to_numpy(), nothing.astype(float))
+    inner, at = feat >= 0, np.arange(len(feat))
+    # a leaf leads to itself, so that no step tells leaves from nodes
+    child = np.stack([np.where(inner, pad(left, nothing), at), np.where(inner, pad(right, nothing), at)], axis=1).ravel().astype(np.int32)
+    return (np.flatnonzero(node == 1), np.where(inner, feat, 0).astype(np.int32), np.where(inner, thr, np.inf), child,
+            pad(depth + c_factor(size), depth + 1.0))
 
 
 def tree_paths(x: np.ndarray, arrays) -> np.ndarray:
     """Path length of each row of x (rows) in each tree of ``arrays`` (columns); one level of every tree per step."""
-    roots, feat, thr, left, right, leaf_len = arrays
-    node = np.repeat(roots[None, :], x.shape[0], axis=0)
+    roots, feature, level, child, leaf_len = arrays
+    flat, base = np.ascontiguousarray(x).ravel(), (np.arange(len(x)) * x.shape[1])[:, None]
+    node = np.repeat(roots[None, :].astype(np.int32), len(x), axis=0)
     while True:
-        f = feat[node]
-        inner = f >= 0
-        if not inner.any():
+        right_side = flat[base + feature[node]] >= level[node]
+        below = child[2 * node + right_side]
+        if (below == node).all():
             return leaf_len[node]
-        v = np.take_along_axis(x, np.where(inner, f, 0), axis=1)
-        node = np.where(inner, np.where(v < thr[node], left[node], right[node]), node)
+        node = below
 
 
 def path_sums(x: np.ndarray, arrays, trees: np.ndarray, prefixes: list[int]) -> np.ndarray:
     """Per row and prefix, the summed path lengths in those trees whose number is below the prefix."""
     out = np.full((len(x), len(prefixes)), np.nan)
     at = np.flatnonzero(~np.isnan(x).any(axis=1))
-    step = max(1, 4_000_000 // max(1, len(trees)))                              # rows x trees held at once
+    step = max(1, 100_000 // max(1, len(trees)))                                # rows x trees held at once: in the cache
     for s in range(0, len(at), step):
         paths = tree_paths(x[at[s:s + step]], arrays)
         for j, k in enumerate(prefixes):
@@ -371,6 +375,18 @@ def score_blocks(rows: DataFrame, nodes: DataFrame, features: list[str], prefixe
     return parts.groupBy("forest", "row").agg(*total).select("forest", "row", F.array(*[f"s{j}" for j in range(len(prefixes))]).alias("sums"))
 
 
+def shared_paths(df: DataFrame, nodes: DataFrame, features: list[str], prefixes: list[int], out: str = "__paths") -> DataFrame:
+    """``df`` plus the summed path lengths below each of ``prefixes``; the forest is sent to the tasks, rows stay where they are."""
+    model = nodes.toPandas()                                                    # CHUNK_NODES rows at most
+    shared = df.sparkSession.sparkContext.broadcast((_model_arrays(model), np.sort(model["tree"].unique())))
+
+    def add(batches):
+        arrays, trees = shared.value
+        for pdf in batches:
+            yield pdf.assign(**{out: list(path_sums(pdf[features].to_numpy(dtype=float), arrays, trees, prefixes))})
+    return df.mapInPandas(add, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
 def _norm(psi: int) -> float:
     return float(c_factor(np.array([psi]))[0]) or 1.0
 
@@ -394,16 +410,8 @@ def iforest_score(df: DataFrame, nodes: DataFrame, psi: int, features: list[str]
     if not df.isStreaming:
         df = spread(df, partitions)
     if size["nodes"] <= chunk or df.isStreaming:
-        model = nodes.toPandas()                                                # chunk_nodes rows at most
-        shared = spark.sparkContext.broadcast((_model_arrays(model), np.sort(model["tree"].unique())))
-        state = T.StructType([*df.schema.fields, T.StructField("__path", T.DoubleType())])
-
-        def add(batches):
-            arrays, trees = shared.value
-            for pdf in batches:
-                yield pdf.assign(__path=path_sums(pdf[features].to_numpy(dtype=float), arrays, trees, [1 << 62])[:, 0])
-        scored = df.mapInPandas(add, state)
-        return scored.withColumn(out, path_score(F.col("__path"), size["trees"], psi)).drop("__path")
+        scored = shared_paths(df, nodes, features, [1 << 62])
+        return scored.withColumn(out, path_score(F.col("__paths")[0], size["trees"], psi)).drop("__paths")
     rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "forest-scored-rows")
     asked = rows.select(F.lit(0).alias("forest"), F.col("__row").alias("row"), *[F.col(c).cast("double").alias(c) for c in features])
     sums = score_blocks(asked, nodes.select(F.lit(0).alias("forest"), *NODE_COLUMNS), features, [1 << 62], chunk)

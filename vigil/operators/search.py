@@ -69,11 +69,16 @@ def forest_grid_f1(df: DataFrame, nodes: DataFrame, psi: int, features: list[str
     """
     from vigil.operators import forest as FR
     from vigil.session import materialize
-    rows = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in features], label).withColumn("row", F.monotonically_increasing_id()), "forest-grid-rows")
-    sums = FR.score_blocks(rows.select(F.lit(0).alias("forest"), "row", *features), nodes.select(F.lit(0).alias("forest"), *FR.NODE_COLUMNS),
-                           features, list(tree_counts))
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], label)
+    if nodes.count() <= FR.CHUNK_NODES:
+        sums = FR.shared_paths(rows, nodes, features, list(tree_counts), "sums").select(label, "sums")
+    else:
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "forest-grid-rows")
+        sums = FR.score_blocks(rows.select(F.lit(0).alias("forest"), "row", *features), nodes.select(F.lit(0).alias("forest"), *FR.NODE_COLUMNS),
+                               features, list(tree_counts))
+        sums = rows.select("row", label).join(sums, "row")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("n_trees"), FR.path_score(F.col("sums")[i], k, psi).alias("score")) for i, k in enumerate(tree_counts)]))
-    out = rows.select("row", label).join(sums, "row").select(label, each.alias("g"))
+    out = sums.select(label, each.alias("g"))
     # equal paths must tie at the threshold whatever the order their lengths were added in
     out = out.select("g.n_trees", label, F.round("g.score", 9).alias("score"))
     qs = [100.0 * (1.0 - c) for c in contaminations]
