@@ -121,18 +121,20 @@ def _grid_t(j, start, step, count, last):
     return t if last is None else F.when(j == count - 1, F.lit(float(last))).otherwise(t)
 
 
-def _grid_index(s, start, step, count, inclusive, last=None):
-    """Last grid index j passed by score s (-1 if none); t_j = start + j*step.
+def _grid_index(d: DataFrame, score: str, start, step, count, inclusive, last=None, out: str = "__j") -> DataFrame:
+    """``d`` plus the last grid index j passed by each score (-1 if none); t_j = start + j*step.
 
     A floor estimate is corrected one step either way by comparing against
-    the exact grid value, so floating rounding never misplaces a score.
+    the exact grid value, so floating rounding never misplaces a score.  Each step is a
+    column of its own: nested in one expression the estimate would be computed a dozen times a row.
     """
-    j0 = F.floor((s - start) / step).cast("bigint")
-    j0 = F.least(F.greatest(j0, F.lit(0)), count - 1)
+    s = F.col(score)
     t = lambda j: _grid_t(j, start, step, count, last)
     passes = (lambda j: s >= t(j)) if inclusive else (lambda j: s > t(j))
-    up = F.when((j0 + 1 <= count - 1) & passes(j0 + 1), j0 + 1).otherwise(j0)
-    return F.when(passes(up), up).otherwise(up - 1)
+    j0, up = F.col("__j0"), F.col("__up")
+    d = d.withColumn("__j0", F.least(F.greatest(F.floor((s - start) / step).cast("bigint"), F.lit(0)), count - 1))
+    d = d.withColumn("__up", F.when((j0 + 1 <= count - 1) & passes(j0 + 1), j0 + 1).otherwise(j0))
+    return d.withColumn(out, F.when(passes(up), up).otherwise(up - 1)).drop("__j0", "__up")
 
 
 def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is_anomaly",
@@ -166,10 +168,10 @@ def threshold_sweep(df: DataFrame, keys: list[str], score: str, label: str = "is
     rng = stats.select(*keys, F.col("start").cast("double").alias("__start"), cnt.alias("__T"), "__P")
     d = attach_scalars(df.select(*keys, score, y.alias("__y")), rng.select(*keys, "__start", "__T"), keys)
     d = d.filter(F.col("__T") > 0)
-    d = d.withColumn("__j", _grid_index(F.col(score), F.col("__start"), F.lit(float(step)), F.col("__T"),
-                                        inclusive, last))
-    per = d.filter(F.col("__j") >= 0).groupBy(*keys, "__j").agg(F.sum("__y").alias("__tp"),
-                                                                 F.count(F.lit(1)).alias("__pp"))
+    d = _grid_index(d, score, F.col("__start"), F.lit(float(step)), F.col("__T"), inclusive, last)
+    # rows below every level go after the aggregation: a filter on the key would put the whole index expression into the scan again
+    per = d.groupBy(*keys, "__j").agg(F.sum("__y").alias("__tp"), F.count(F.lit(1)).alias("__pp"), F.max("__j").alias("__passed"))
+    per = per.filter(F.col("__passed") >= 0).drop("__passed")
     ranked = row_index(per, keys, ["__j"], "__i")
     cum = running_sum(ranked, keys, "__i", ["__tp", "__pp"], reverse=True)
     before = ranked.select(*keys, (F.col("__i") + 1).alias("__i"), (F.col("__j") + 1).alias("__lo"))
