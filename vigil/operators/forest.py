@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.columns import hash_below, hash_hex, hash_unit, hex_unit
-from vigil.session import materialize, spread
+from vigil.session import materialize, shuffle_partitions, spread
 
 #: Nodes that are sent to the executors at most (about 100 MB), and of one block of trees beyond (at least one tree).
 CHUNK_NODES = 500_000
@@ -51,6 +51,8 @@ ROW_BLOCK = 200_000
 SUBTREE_ROWS = 20_000
 #: Rows grown together in one step of a task.
 BATCH_ROWS = 200_000
+#: Candidates of one tree that a task holds at most when trees are grown and asked in one place (``fold_paths``).
+TREE_ROWS = 500_000
 #: Levels after which the moved rows are written; in between they are derived from the written node tables.
 ROWS_EVERY = 3
 #: Slices of the hash range in each of the two counting passes of the selection.
@@ -343,6 +345,163 @@ def path_sums(x: np.ndarray, arrays, trees: np.ndarray, prefixes: list[int]) ->
     return out
 
 
+class _Units:
+    """``hash_unit`` of one tree's nodes, each computed once for all forests that have the tree."""
+
+    def __init__(self, seed: int, tree: int, limit: int):
+        self.text = {kind: f"{seed}:{kind}:{tree}:" for kind in ("feature", "threshold")}
+        self.known = {kind: np.full(1 << (limit + 1), np.nan) for kind in self.text}
+
+    def of(self, kind: str, nodes: np.ndarray) -> np.ndarray:
+        known, text = self.known[kind], self.text[kind]
+        new = nodes[np.isnan(known[nodes])]
+        known[new] = [int(hashlib.md5(f"{text}{i}".encode()).hexdigest()[:13], 16) for i in new.tolist()]
+        known[new] /= 1 << 52
+        return known[nodes]
+
+
+def grow_tree(x: np.ndarray, own: np.ndarray, limit: int, units: _Units):
+    """One tree over the columns of x (a feature per row), as the flat arrays that ``tree_paths`` walks (root 0).
+
+    The same nodes as ``grow_subtrees`` makes; ``own`` marks the features it may split.
+    """
+    parts, starts, node, base = [], np.zeros(1, np.int64), np.ones(1, np.int64), 0
+    for depth in range(limit + 1):
+        size = np.diff(np.r_[starts, x.shape[1]])
+        lo, hi = np.minimum.reduceat(x, starts, axis=1), np.maximum.reduceat(x, starts, axis=1)
+        open_ = (hi > lo) & own[:, None]
+        able = open_.sum(axis=0)
+        inner = (size > 1) & (able > 0) & (depth < limit)
+        at = np.flatnonzero(inner)
+        feature, level = np.zeros(len(node), np.int32), np.full(len(node), np.inf)
+        nth = (units.of("feature", node[at]) * able[at]).astype(np.int64)
+        f = (np.cumsum(open_[:, at], axis=0) == nth + 1).argmax(axis=0)
+        feature[at] = f
+        level[at] = lo[f, at] + units.of("threshold", node[at]) * (hi[f, at] - lo[f, at])
+        child = np.repeat(base + np.arange(len(node)), 2)               # a leaf leads to itself
+        child[2 * at], child[2 * at + 1] = -1, -1
+        parts.append((feature, level, child, size, np.full(len(node), depth)))
+        if not len(at):
+            break
+        mine = np.repeat(np.arange(len(node), dtype=np.int32), size)
+        stay = np.flatnonzero(inner[mine])
+        mine = mine[stay]
+        side = 2 * mine + (x[feature[mine], stay] >= level[mine])
+        order = np.argsort(side.astype(np.uint16) if 2 * len(node) <= 1 << 16 else side, kind="stable")
+        side, x = side[order], np.take(x, stay[order], axis=1)
+        starts = np.flatnonzero(np.r_[True, side[1:] != side[:-1]])
+        first, base = side[starts], base + len(node)
+        child[first] = base + np.arange(len(first))
+        node = 2 * node[first // 2] + first % 2
+    feature, level, child, size, depth = (np.concatenate(c) for c in zip(*parts))
+    empty = np.flatnonzero(child < 0)                                   # a side that no sampled row took: a leaf, one level down
+    spare = len(feature) + np.arange(len(empty))
+    child[empty] = spare
+    pad = lambda a, fill: np.concatenate([a, np.full(len(empty), fill, a.dtype)])
+    lengths = np.concatenate([depth + c_factor(size), depth[empty // 2] + 1.0])
+    return np.zeros(1, np.int64), pad(feature, 0), pad(level, np.inf), np.concatenate([child, np.repeat(spare, 2)]).astype(np.int32), lengths
+
+
+def _beside(trees: list):
+    """Flat arrays of several trees as one."""
+    shift = np.cumsum([0] + [len(t[1]) for t in trees[:-1]])
+    return (np.concatenate([t[0] + s for t, s in zip(trees, shift)]), *[np.concatenate([t[i] for t in trees]) for i in (1, 2)],
+            np.concatenate([t[3] + s for t, s in zip(trees, shift)]).astype(np.int32), np.concatenate([t[4] for t in trees]))
+
+
+def fold_paths(rows: DataFrame, forests: list[tuple], n_trees: int, limit: float, width: int, counts: list[int], seed: int) -> DataFrame:
+    """(forest, row, sums) as ``score_blocks`` gives them, for forests fitted on all folds but one and asked for that one.
+
+    ``rows`` has fold, row, __key and x (``width`` numbers); ``forests`` are (forest, fold, psi, features per tree, trees).  Every (tree,
+    row) pair moves once: a task reads the candidates of a tree (rows whose hash is below ``limit``: a tree's share of the rows, at
+    most about ``TREE_ROWS``), grows that tree of every forest from them, and then lets all rows stream through it.  Nodes stay in the task.
+    """
+    spark = rows.sparkSession
+    by_fold: dict = {}
+    for i, f, psi, subset, trees in forests:
+        by_fold.setdefault(f, []).append((i, psi, subset, trees))
+    most = max(len(v) for v in by_fold.values())
+    pairs = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("__hex", hash_hex(seed, F.col("tree"), F.col("__key")))
+    near = hash_below(F.col("__hex"), limit)
+    pairs = pairs.select("tree", "fold", "row", "x", F.when(near, hex_unit(F.col("__hex"))).alias("h"), F.when(near, F.col("__key")).alias("key"))
+    pairs = pairs.withColumn("turn", F.col("tree") * 2 + F.col("h").isNull().cast("int"))     # candidates come first
+    tasks = max(1, min(n_trees, max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)))
+    pairs = pairs.withColumn("task", F.col("tree") % tasks).repartitionById(tasks, "task").drop("task").sortWithinPartitions("turn")
+
+    def grown(tree, held):
+        h, fold, key, x = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(h, kind="stable")
+        if (np.diff(h[order]) == 0).any():                              # equal keys
+            order = np.array(sorted(range(len(h)), key=lambda i: (h[i], key[i], tuple(x[i]))))
+        x, fold = x[order], fold[order]
+        units = _Units(seed, tree, max(depth_limit(psi) for _, _, psi, _, _ in forests))
+        out = {}
+        for f, mine in by_fold.items():
+            mine = [(n, psi, subset) for n, (_, psi, subset, trees) in enumerate(mine) if tree < trees]
+            if not mine:
+                continue
+            others = np.flatnonzero(fold != f)
+            if len(others) < max(psi for _, psi, _ in mine):            # odds below 1e-14 a tree
+                raise RuntimeError("a tree drew too few candidates; choose another seed")
+            made = [grow_tree(np.ascontiguousarray(x[others[:psi]].T), _own_features(seed, tree, width, subset) if subset < width else np.ones(width, bool),
+                              depth_limit(psi), units) for _, psi, subset in mine]
+            out[f] = [n for n, _, _ in mine], _beside(made)
+        return out
+
+    def paths(tree, model, fold, row, x):
+        got, known = np.zeros((len(row), most)), np.zeros(len(row), bool)
+        for f, (places, arrays) in model.items():
+            at = np.flatnonzero(fold == f)
+            step = max(1, 100_000 // len(places))
+            for s in range(0, len(at), step):
+                part = at[s:s + step]
+                got[part[:, None], places] = tree_paths(x[part], arrays)
+            known[at] = True
+        got, row = got[known], row[known]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, most, dtype=np.int32)), pa.array(got.ravel()))
+        band = np.full(len(row), np.searchsorted(counts, tree, side="right"), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(band), lists], names=["row", "band", "paths"])
+
+    def run(batches):
+        tree, model, held = None, None, []
+
+        def close():
+            nonlocal model
+            if held:
+                model = grown(tree, [c[:4] for c in held])
+                for _, fold, _, x, row in held:
+                    for s in range(0, len(row), 50_000):
+                        yield paths(tree, model, fold[s:s + 50_000], row[s:s + 50_000], x[s:s + 50_000])
+                held.clear()
+        for batch in batches:
+            turn, fold, row = (batch.column(c).to_numpy() for c in ("turn", "fold", "row"))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(row), width)
+            h, key = batch.column("h").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
+            cuts = np.r_[np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]]), len(turn)] if len(turn) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if turn[a] // 2 != tree:
+                    yield from close()
+                    tree, model = int(turn[a] // 2), None
+                if turn[a] % 2 == 0:
+                    held.append((h[a:b], fold[a:b], key[a:b], x[a:b], row[a:b]))
+                else:
+                    yield from close()
+                    if model is None:
+                        raise RuntimeError("a tree drew too few candidates; choose another seed")
+                    yield paths(tree, model, fold[a:b], row[a:b], x[a:b])
+        yield from close()
+    parts = pairs.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, band int, paths array<double>")
+    summed = parts.groupBy("row", "band").agg(*[F.sum(F.col("paths")[i]).alias(f"p{i}") for i in range(most)])
+    # a forest of fewer trees is the first trees of a larger one
+    upto = [F.sum(F.when(F.col("band") <= j, F.col(f"p{i}"))) for i in range(most) for j in range(len(counts))]
+    total = summed.groupBy("row").agg(*[F.coalesce(c, F.lit(0.0)).alias(f"t{n}") for n, c in enumerate(upto)])
+    sums = F.array(*[F.array(*[f"t{i * len(counts) + j}" for j in range(len(counts))]) for i in range(most)])
+    named = spark.createDataFrame([(f, [i for i, *_ in v]) for f, v in by_fold.items()], "fold int, forests array<int>")
+    total = total.select("row", sums.alias("sums")).join(rows.select("row", "fold"), "row").join(F.broadcast(named), "fold")
+    return total.select("row", F.explode(F.arrays_zip("forests", F.slice("sums", F.lit(1), F.size("forests")).alias("sums"))).alias("z")).select(
+        "z.forests", "row", "z.sums").toDF("forest", "row", "sums")
+
+
 def score_blocks(rows: DataFrame, nodes: DataFrame, features: list[str], prefixes: list[int], chunk_nodes: int | None = None,
                  row_block: int | None = None) -> DataFrame:
     """(forest, row, sums): path lengths of every row in its forest, summed over the trees below each of ``prefixes``.

@@ -93,10 +93,11 @@ def forest_cv(rows: DataFrame, rid: list[str], features: list[str], combos: list
     ``combos`` are dicts of n_trees, max_samples, max_features and contamination; ``rows`` have a fold.  A fold's
     forests are fitted on the other folds' rows and score its own.  All forests (fold x sample size x features
     per tree) are drawn, grown and scored together; a forest of fewer trees is the first trees of a larger one.
+    A tree's sample is held by one task, which grows the tree for all forests and scores the rows that stream by
+    (``forest.fold_paths``); samples above ``forest.TREE_ROWS`` grow level by level.
     AUROC ranks scores, so combinations that differ in their contamination only share it.  A fold of one
     class has no AUROC and is left out of the mean.
     """
-    from vigil.functions.columns import hash_below, hash_hex, hex_unit
     from vigil.operators import forest as FR
     from vigil.operators.evaluate import auroc
     from vigil.session import materialize
@@ -119,23 +120,13 @@ def forest_cv(rows: DataFrame, rid: list[str], features: list[str], combos: list
     if not draws:
         return spark.createDataFrame([], "n_trees int, max_samples double, max_features double, contamination double, mean_auroc double")
     limit = min(1.0, max((psi + 8.0 * psi ** 0.5 + 32.0) / (total - sizes[f]) for f, psi in draws))
-    asked = F.array(*[F.struct(F.lit(i).alias("draw"), F.lit(f).alias("out"), F.lit(psi).alias("psi"), F.lit(t).alias("trees"))
-                      for (f, psi), (i, t) in draws.items()])
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(counts[-1] - 1))))
-    drawn = drawn.withColumn("__hex", hash_hex(seed, F.col("tree"), F.col("__key"))).filter(hash_below(F.col("__hex"), limit))
-    drawn = drawn.withColumn("d", F.explode(F.filter(asked, lambda d: (d["out"] != F.col("fold")) & (F.col("tree") < d["trees"]))))
-    drawn = materialize(drawn.select("d.draw", "d.psi", "tree", hex_unit(F.col("__hex")).alias("__h"), "__key", "x"), "cv-drawn")
-    least = drawn.groupBy("draw", "psi", "tree").count().agg(F.min(F.col("count") - F.col("psi"))).first()[0]
-    if least < 0:                # odds below 1e-14 a tree
-        raise RuntimeError("a tree drew too few candidates; choose another seed")
     table = spark.createDataFrame([(draws[f, psi][0], f, psi, i, FR.depth_limit(psi), subset, t, FR._norm(psi))
                                    for (f, psi, subset), (i, t) in forests.items()],
                                   "draw int, fold int, psi int, forest int, limit int, subset int, trees int, norm double")
-    sample = FR.smallest(drawn, ["draw", "tree"], "psi", limit)
-    sample = sample.join(table.select("draw", "forest", "limit", "subset", "trees"), "draw").filter("tree < trees")
-    nodes = materialize(FR.grow(sample, width, max(psi for _, psi in draws), seed), "cv-nodes")
-    flat = rows.select("fold", "row", *[F.col("x")[i].alias(f"f{i}") for i in range(width)])
-    sums = FR.score_blocks(flat.join(table.select("fold", "forest"), "fold").drop("fold"), nodes, [f"f{i}" for i in range(width)], counts)
+    if limit * total <= FR.TREE_ROWS:
+        sums = FR.fold_paths(rows, [(i, f, psi, subset, t) for (f, psi, subset), (i, t) in forests.items()], counts[-1], limit, width, counts, seed)
+    else:
+        sums = _cv_paths_by_level(rows, table, draws, counts, limit, width, seed)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("n_trees"), F.lit(j).alias("at")) for j, k in enumerate(counts)])).alias("k")
     scored = sums.join(table.select("forest", "norm", "trees"), "forest").join(rows.select("row", "label"), "row").select("*", each)
     path = F.element_at("sums", F.col("k.at") + 1)
@@ -149,6 +140,27 @@ def forest_cv(rows: DataFrame, rid: list[str], features: list[str], combos: list
             .agg(F.avg("auroc").alias("mean_auroc")))
 
 
+def _cv_paths_by_level(rows: DataFrame, table: DataFrame, draws: dict, counts: list[int], limit: float, width: int, seed: int) -> DataFrame:
+    """Path sums of the folds' rows where one tree's sample is too large for a task: trees grow level by level, nodes meet rows in blocks."""
+    from vigil.functions.columns import hash_below, hash_hex, hex_unit
+    from vigil.operators import forest as FR
+    from vigil.session import materialize
+    asked = F.array(*[F.struct(F.lit(i).alias("draw"), F.lit(f).alias("out"), F.lit(psi).alias("psi"), F.lit(t).alias("trees"))
+                      for (f, psi), (i, t) in draws.items()])
+    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(counts[-1] - 1))))
+    drawn = drawn.withColumn("__hex", hash_hex(seed, F.col("tree"), F.col("__key"))).filter(hash_below(F.col("__hex"), limit))
+    drawn = drawn.withColumn("d", F.explode(F.filter(asked, lambda d: (d["out"] != F.col("fold")) & (F.col("tree") < d["trees"]))))
+    drawn = materialize(drawn.select("d.draw", "d.psi", "tree", hex_unit(F.col("__hex")).alias("__h"), "__key", "x"), "cv-drawn")
+    least = drawn.groupBy("draw", "psi", "tree").count().agg(F.min(F.col("count") - F.col("psi"))).first()[0]
+    if least < 0:                # odds below 1e-14 a tree
+        raise RuntimeError("a tree drew too few candidates; choose another seed")
+    sample = FR.smallest(drawn, ["draw", "tree"], "psi", limit)
+    sample = sample.join(table.select("draw", "forest", "limit", "subset", "trees"), "draw").filter("tree < trees")
+    nodes = materialize(FR.grow(sample, width, max(psi for _, psi in draws), seed), "cv-nodes")
+    flat = rows.select("fold", "row", *[F.col("x")[i].alias(f"f{i}") for i in range(width)])
+    return FR.score_blocks(flat.join(table.select("fold", "forest"), "fold").drop("fold"), nodes, [f"f{i}" for i in range(width)], counts)
+
+
 def best_params(scored: DataFrame, params: list[str], metric: str) -> DataFrame:
     """H3/H4: the parameter row with the highest metric (ties: smallest parameters)."""
     order = F.struct(F.col(metric), *[-F.col(p) for p in params])
