@@ -471,10 +471,7 @@ def f14_window_mae_channel(spark, sf_dir):
     df, spec = C.dataset(spark, sf_dir, "lineitem")
     p = P.row_index(df, GK, list(spec.order))
     w = W.sequences(p, GK, list(spec.values), 10)
-    n = F.size("window")
-    means = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.aggregate(
-        "window", F.lit(0.0), lambda a, x: a + x[c]) / n)
-    rec = w.withColumn("__m", means).withColumn("recon_window", F.transform("window", lambda step: F.col("__m")))
+    rec = RC.window_mean(w, "window", "recon_window")
     r = RC.window_mae_channel(rec, "window", "recon_window")
     return finish(r.select("win_start", *[F.col("mae_channel")[i].alias(f"mae_c{i}") for i in range(4)]))
 
