@@ -1,7 +1,7 @@
 """Exact nearest neighbours in few dimensions: cells of a k-d tree and the boxes around their rows.
 
-1. A drawn sample of the references of every long series (about ``PER_CELL`` rows a cell, ``pivots.MAX_VALUES`` numbers at most) is
-   split at medians; its tree sends every row to a cell of about ``block_rows`` rows in log n steps.
+1. A drawn sample of the references of every long series (about ``PER_CELL`` rows a cell, ``MAX_VALUES`` numbers at most) is
+   split at medians; its tree sends every row to a cell of about a quarter of ``block_rows`` rows in log n steps.
 2. Every query meets its own cell.  If its k-th distance there ends inside the cell's region, it is done and never moves again.
 3. The others descend the tree into the boxes (least and greatest values of each cell's references) within their k-th distance,
    visit those cells, and their lists are merged.
@@ -23,8 +23,8 @@ from vigil.session import attach_scalars, materialize
 
 #: Dimensions up to which cells are boxes.
 MAX_DIM = 6
-#: Sampled rows of a cell.
-PER_CELL = 8
+#: Sampled rows of a cell, and numbers of a sample at most.
+PER_CELL, MAX_VALUES = 8, 2_000_000
 
 
 class Tree:
@@ -137,11 +137,11 @@ def choose(refs: DataFrame, keys: list[str], block_rows: int) -> dict:
     total = long.agg(F.sum(F.col("__n") * F.col("__dim"))).first()[0]
     if not total:
         return {}
-    share = min(1.0, PER_CELL / block_rows, PV.MAX_VALUES / total)
+    share = min(1.0, PER_CELL / max(1, block_rows // 4), MAX_VALUES / total)
     rated = attach_scalars(refs, long.select(*keys, F.col("__n")), keys) if keys else refs
     drawn = rated.filter(hash_unit("box", F.concat_ws("|", *[F.col(c).cast("string") for c in [*keys, "rid"]])) < F.lit(share))
     out: dict = {}
-    for r in drawn.select(*keys, "vec").collect():                        # PV.MAX_VALUES numbers expected at most
+    for r in drawn.select(*keys, "vec").collect():                        # MAX_VALUES numbers expected at most
         out.setdefault(tuple(r[c] for c in keys), []).append(r["vec"])
     return {key: Tree(np.array(sorted(v), dtype=float)) for key, v in out.items()}
 

@@ -440,6 +440,7 @@ def _nearest_lists(queries, refs, keys, rid, vec, k, p, block_rows, exclude_self
     first = given.select(F.size("vec").alias("n")).head()
     if first is None or not 0 < first["n"] <= boxes.MAX_DIM:
         return None
+    given = materialize(given, "knn-named")                             # read for the sizes, the sample and the cells
     chosen = boxes.choose(given, keys, block_rows)
     if not chosen:
         return None
