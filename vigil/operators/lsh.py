@@ -6,7 +6,7 @@ slab up or down along one direction (2 * hashes more), so few tables are needed.
 as wide as leaves about ``per_bucket`` rows in a bucket if rows were spread evenly, whatever n is.
 
 Rows travel by cell: ``SPAN`` slabs along every direction of a table, so most probes of a query end in one cell.
-A cell is one Arrow group, or dealt to (query block, reference block) groups if it is long: a bucket holding a third of
+References of a batch that share a cell travel as one row.  A cell is one Arrow group, or dealt to (query block, reference block) groups if it is long: a bucket holding a third of
 all rows is many groups.  Inside, a query meets its own bucket first; a bucket beyond a border that is farther than the
 k-th neighbour so far holds nothing nearer and is passed over.  A query leaves a group as one list of neighbours.
 Only recall is approximate: every distance returned is exact.
@@ -32,6 +32,8 @@ from vigil.session import attach_scalars, materialize
 _BITS = 2
 SPAN = 1 << _BITS
 BLOCK_VALUES = 400_000
+#: References that travel as one row at most.
+PACK = 2048
 #: Queries of a group that are searched at once.
 _CHUNK = 8192
 
@@ -109,20 +111,34 @@ def _placed(batches, t: Tables, probes: bool):
 
 
 def bucketed(rows: DataFrame, t: Tables, probes: bool = False) -> DataFrame:
-    """``rows`` (rid, vec) once per table with table, cell0, cell1, ... and ``sub``, the bucket's place in the cell.
+    """``rows`` (rid, vec) by table and cell0, cell1, ...: rows of one Arrow batch and cell travel together, ``PACK`` at most, as the
+    arrays rid, vec (one vector after the other) and ``sub``, the bucket's place in the cell.
 
-    ``probes``: once per cell that holds the row's own bucket or one of its probes, with the own slabs instead of ``sub``.
+    ``probes``: every row alone, once per cell that holds its own bucket or one of its probes, with its slabs instead of ``sub``.
     """
-    keys, h = _keys(t), len(t.shifts[0])
-    more = T.StructField("slab", T.ArrayType(T.LongType())) if probes else T.StructField("sub", T.LongType())
-    schema = T.StructType([*rows.schema.fields, T.StructField("table", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in keys[1:]], more])
+    keys, h, rid = _keys(t), len(t.shifts[0]), rows.schema["rid"].dataType
+    places = [T.StructField("table", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in keys[1:]]]
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("rid", rid if probes else T.ArrayType(rid)), T.StructField("vec", T.ArrayType(T.DoubleType())),
+                           *places, T.StructField("slab" if probes else "sub", longs)])
     arrow = to_arrow_schema(schema)
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
     def run(batches):
         for batch, table, slab, cells in _placed(batches, t, probes):
             n = len(slab)
-            last = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * h), pa.array(slab.ravel())) if probes else pa.array(_sub(slab))
-            cols = [*batch.columns, pa.array(np.full(n, table, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in cells.T], last]
+            if probes:
+                cols = [batch.column("rid"), batch.column("vec"), lists(np.arange(n + 1) * h, pa.array(slab.ravel()))]
+            else:
+                order = np.lexsort(cells.T)
+                cells = cells[order]
+                new = np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)]
+                place = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+                start = np.flatnonzero(place % PACK == 0)
+                ends, cells = np.r_[start, n], cells[start]
+                x = _vectors(pa.Table.from_batches([batch]))[order]
+                cols = [lists(ends, batch.column("rid").take(pa.array(order))), lists(ends * x.shape[1], pa.array(x.ravel())), lists(ends, pa.array(_sub(slab[order])))]
+            cols[2:2] = [pa.array(np.full(len(cells), table, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in cells.T]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
     return rows.filter(F.col("vec").isNotNull()).mapInArrow(run, schema)
 
@@ -157,15 +173,16 @@ def _cell_lists(queries: DataFrame, refs: DataFrame, k: int, t: Tables, exclude_
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     qx = attach_scalars(queries, blocks, keys).withColumn("__qb", blk("__nqb")).withColumn("__rb", every("__nrb")).drop("__nqb", "__nrb")
     rx = attach_scalars(refs, blocks, keys).withColumn("__rb", blk("__nrb")).withColumn("__qb", every("__nqb")).drop("__nqb", "__nrb")
-    near = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("nid", refs.schema["rid"].dataType)]))
+    near = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("nid", refs.schema["rid"].dataType.elementType)]))
     out_schema = T.StructType([T.StructField("rid", queries.schema["rid"].dataType), T.StructField("near", near)])
     arrow, h = to_arrow_schema(out_schema), len(t.shifts[0])
 
     def meet(qt: pa.Table, rt: pa.Table) -> pa.Table:
         if not qt.num_rows or not rt.num_rows:
             return arrow.empty_table()
-        x, y = _vectors(qt), _vectors(rt)
-        qid, rid, sub = qt.column("rid").to_numpy(), rt.column("rid").to_numpy(), rt.column("sub").to_numpy()
+        x, rids = _vectors(qt), _flat(rt.column("rid")).flatten()
+        y = _flat(rt.column("vec")).flatten().to_numpy().reshape(len(rids), -1)
+        qid, rid, sub = qt.column("rid").to_numpy(), rids.to_numpy(zero_copy_only=False), _flat(rt.column("sub")).flatten().to_numpy()
         place = pd.factorize(rid, sort=True)[0]
         table, *cell = [rt.column(c)[0].as_py() for c in keys]
         slab = _flat(qt.column("slab")).flatten().to_numpy(zero_copy_only=False).reshape(-1, h)
@@ -217,7 +234,7 @@ def _cell_lists(queries: DataFrame, refs: DataFrame, k: int, t: Tables, exclude_
             pairs.append((j[ranked], d[ranked]))
         j, d = [np.concatenate(c) for c in zip(*pairs)]
         ends = np.r_[0, np.cumsum(np.concatenate(sizes))]
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(d), _flat(rt.column("rid").take(j))], names=["d", "nid"]))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(d), rids.take(pa.array(j))], names=["d", "nid"]))
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip([qt.column("rid"), lists], arrow)], schema=arrow)
     grp = [*keys, "__qb", "__rb"]
     return qx.groupBy(*grp).cogroup(rx.groupBy(*grp)).applyInArrow(meet, out_schema)
