@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,6 +149,8 @@ def choose(refs: DataFrame, keys: list[str], block_rows: int) -> dict:
 
 def assign(rows: DataFrame, keys: list[str], trees) -> DataFrame:
     """``rows`` (keys, rid, vec) plus cell (0 where a series has no tree)."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", cell int"
+
     def run(batches):
         for pdf in batches:
             cell = np.zeros(len(pdf), np.int32)
@@ -156,8 +159,15 @@ def assign(rows: DataFrame, keys: list[str], trees) -> DataFrame:
                 if tree is not None:
                     cell[at] = tree.cells(np.stack(pdf["vec"].iloc[at].to_numpy()).astype(float))
             yield pdf.assign(cell=cell)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{kinds}, cell int")
+
+    def run_one(batches):
+        """One series: no object per row."""
+        from vigil.operators.neighbors import _vectors
+        for batch in batches:
+            if batch.num_rows:
+                cell = trees.value[()].cells(_vectors(pa.Table.from_batches([batch])))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+    return rows.mapInPandas(run, kinds) if keys else rows.mapInArrow(run_one, kinds)
 
 
 def nearest(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: int, p: float, block_rows: int, exclude_self: bool,
