@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigil.functions.columns import erf
+from vigil.operators import manhattan
 from vigil.operators.positions import DEFAULT_BLOCK_ROWS, row_index, with_halo
 from vigil.session import attach_scalars, materialize
 
@@ -258,7 +259,7 @@ def best_pairs(q: np.ndarray, r: np.ndarray, qid: np.ndarray, rid: np.ndarray, k
 
     ``bound`` gives distances beyond which (``far``: below which) a query needs nothing.  Distances of a chunk of
     queries and a chunk of references are held at once, never more.  They are estimated first (p = 2: one matrix product;
-    p = 1: single precision); pairs that may be among the k best within the estimate's error are measured exactly,
+    p = 1: small integers for many rows (``operators.manhattan``), else single precision); pairs that may be among the k best within the estimate's error are measured exactly,
     so results do not depend on it.
     """
     both = pd.factorize(rid, sort=True)[0]
@@ -266,6 +267,11 @@ def best_pairs(q: np.ndarray, r: np.ndarray, qid: np.ndarray, rid: np.ndarray, k
     need = k + int(exclude_self)
     kept = _few_copies(r, place, need)
     r, rid, place = r[kept], rid[kept], place[kept]
+    if p == 1 and not far:
+        bounds = None if bound is None else (np.where(np.isnan(bound), np.inf, bound) * (1 + 1e-9), np.full(len(r), np.inf))
+        met = manhattan.nearest(q, r, qid, rid, np.arange(len(q)), place, k, exclude_self, False, bounds)
+        if met is not None:
+            return met[0][0], kept[met[0][1]], met[0][2]
     dim, sign = r.shape[1], -1.0 if far else 1.0
     if p == 2:
         qsq, rsq = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", r, r)
@@ -408,6 +414,53 @@ def block_edges(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p:
     return qx.groupBy(*grp).cogroup(rx.groupBy(*grp)).applyInArrow(best, out_schema)
 
 
+def both_pairs(x: np.ndarray, y: np.ndarray, xid: np.ndarray, yid: np.ndarray, k: int, exclude_self: bool, bounds: tuple):
+    """[(x row, y row, d), (y row, x row, d)]: ``best_pairs`` of two blocks both ways for p = 1, every pair met once."""
+    ids = pd.factorize(np.concatenate([xid, yid]), sort=True)[0]
+    xplace, yplace, need = ids[:len(x)], ids[len(x):], k + int(exclude_self)
+    if len(_few_copies(x, xplace, need)) == len(x) and len(_few_copies(y, yplace, need)) == len(y):
+        met = manhattan.nearest(x, y, xid, yid, xplace, yplace, k, exclude_self, True, bounds)
+        if met is not None:
+            return met
+    return [best_pairs(x, y, xid, yid, k, 1.0, exclude_self, bound=bounds[0]), best_pairs(y, x, yid, xid, k, 1.0, exclude_self, bound=bounds[1])]
+
+
+def block_edges_once(rows: DataFrame, keys: list[str], k: int, block_rows: int, exclude_self: bool, partitions: int) -> DataFrame:
+    """``block_edges`` of ``rows`` (rid, vec, __bound) with themselves for p = 1: two blocks meet in one group, which serves the rows of both."""
+    keys = list(keys)
+    n = (rows.groupBy(*keys) if keys else rows).agg(F.count(F.lit(1)).alias("__n"))
+    nb = n.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(float(block_rows)))).cast("int").alias("__nb"))
+
+    def side():
+        """Rows with their block; fresh aliases, as both sides are the same rows."""
+        out = attach_scalars(rows.select(*[F.col(c).alias(c) for c in [*keys, "rid", "vec", "__bound"]]), nb, keys)
+        return out.withColumn("__b", F.pmod(F.xxhash64(F.col("rid"), F.lit(11)), F.col("__nb")).cast("int"))
+    names = [f.name for f in rows.schema.fields if f.name in keys]
+    out_schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("rid", rows.schema["rid"].dataType),
+                               T.StructField("nid", rows.schema["rid"].dataType), T.StructField("d", T.DoubleType())])
+    arrow, grp = to_arrow_schema(out_schema), [*keys, "__qb", "__rb"]
+    qx = side().withColumn("__qb", F.col("__b")).withColumn("__rb", F.explode(F.sequence(F.col("__b"), F.col("__nb") - 1)))
+    rx = side().filter(F.col("__b") > 0).withColumn("__rb", F.col("__b")).withColumn("__qb", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    qx, rx = [t.select(*grp, "rid", "vec", "__bound").repartition(partitions, *grp) for t in (qx, rx)]
+
+    def best(qt: pa.Table, rt: pa.Table) -> pa.Table:
+        if not qt.num_rows or not rt.num_rows and qt.column("__qb")[0] != qt.column("__rb")[0]:
+            return arrow.empty_table()
+        numbers = lambda t: (_vectors(t), t.column("rid").to_numpy(), t.column("__bound").to_numpy().astype(float))
+        x, qid, qb = numbers(qt)
+        if rt.num_rows:
+            y, rid, rb = numbers(rt)
+            met = [(qt, rt), (rt, qt)], both_pairs(x, y, qid, rid, k, exclude_self, (qb, rb))
+        else:                                                          # a block with itself
+            met = [(qt, qt)], [best_pairs(x, x, qid, qid, k, 1.0, exclude_self, bound=qb)]
+        parts = []
+        for (a, b), (i, j, d) in zip(*met):
+            out = [*[pa.repeat(qt.column(c)[0], len(i)) for c in names], a.column("rid").take(i), b.column("rid").take(j), pa.array(d)]
+            parts.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow))
+        return pa.concat_tables(parts)
+    return qx.groupBy(*grp).cogroup(rx.groupBy(*grp)).applyInArrow(best, out_schema)
+
+
 def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, vec: str, k: int,
               p: float = 2.0, block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True) -> DataFrame:
     """Exact k nearest references of every query row: (keys, rid, nid, d, rank), ties by neighbour id.

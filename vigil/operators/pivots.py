@@ -11,8 +11,8 @@
 
 Work grows like n * sqrt(n) * (cells visited) instead of n^2.  The bounds are metric, so results
 are exact for any p >= 1; in many dimensions without structure most cells stay within the bound.
-A drawn sample of queries shows that, and then all blocks of rows meet (``direct``): n^2 distances,
-but no query travels once per cell.  Pivots travel to the tasks: their number is limited to ``MAX_VALUES``
+A drawn sample of queries shows that, and then all blocks of rows meet (``direct``): n^2 distances (half of them for
+p = 1 among one set of rows, ``direct_once``), but no query travels once per cell.  Pivots travel to the tasks: their number is limited to ``MAX_VALUES``
 numbers altogether (fewer pivots make larger cells, never other results).
 """
 
@@ -37,10 +37,11 @@ def distances(x: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
     if p == 2:
         sq = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :] - 2.0 * (x @ y.T)
         return np.sqrt(np.maximum(sq, 0.0))
-    out = np.zeros((len(x), len(y)))
-    for c in range(x.shape[1]):
-        d = np.abs(x[:, c, None] - y[None, :, c])
-        out += d if p == 1 else d ** p
+    out, step = np.zeros((len(x), len(y))), max(1, 32_768 // max(len(y), 1))
+    for s in range(0, len(x), step):                                   # a piece that stays in the cache
+        for c in range(x.shape[1]):
+            d = np.abs(x[s:s + step, c, None] - y[None, :, c])
+            out[s:s + step] += d if p == 1 else d ** p
     return out if p == 1 else out ** (1.0 / p)
 
 
@@ -257,6 +258,52 @@ def direct(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p: floa
     return block_edges(queries, refs, keys, k, p, rows, exclude_self, farthest, partitions=max(1, min(int(groups or 1), 20_000)))
 
 
+#: Blocks that a long series is dealt to when its rows meet themselves, in blocks of at most so many rows and in larger ones.
+FEW_BLOCKS, FULL_ROWS, MANY_BLOCKS = 11, 16_384, 16
+
+
+def direct_once(rows: DataFrame, keys: list[str], k: int, block_rows: int, exclude_self: bool) -> DataFrame:
+    """``direct`` of rows with themselves for p = 1: a distance serves both of its rows, so half the pairs of blocks meet.
+
+    The k-th distance of every row among a drawn sample (about ``sqrt(90 k n)`` rows) bounds it in every block.
+    """
+    from vigil.operators.neighbors import best_pairs, block_edges_once
+    spark = rows.sparkSession
+    sizes = materialize((rows.groupBy(*keys) if keys else rows).agg(F.count(F.lit(1)).alias("__n"), F.max(F.size("vec")).alias("__dim")), "knn-sizes")
+    longest, width = sizes.agg(F.max("__n"), F.max("__dim")).first()
+    long = sizes.filter(F.col("__n") > block_rows)
+    drawn = F.sqrt(F.col("__n") * F.lit(90.0 * k))
+    total = long.agg(F.sum(drawn * F.col("__dim"))).first()[0] or 1.0
+    share = F.least(F.lit(1.0), drawn * F.lit(min(1.0, MAX_VALUES / total)) / F.col("__n"))
+    rated = attach_scalars(rows, long.select(*keys, share.alias("__share")), keys) if keys else rows.withColumn("__share", long.select(share.alias("__share")).scalar())
+    sample: dict = {}
+    named = F.concat_ws("|", *[F.col(c).cast("string") for c in [*keys, "rid"]])
+    for r in rated.filter(hash_unit("bound", named) < F.col("__share")).select(*keys, "rid", "vec").collect():   # MAX_VALUES numbers expected at most
+        sample.setdefault(tuple(r[c] for c in keys), []).append((r["rid"], r["vec"]))
+    sample = spark.sparkContext.broadcast({key: (np.array([i for i, _ in v]), np.array([x for _, x in v], dtype=float)) for key, v in sample.items()})
+
+    def bounds(batches):
+        for pdf in batches:
+            bound = np.full(len(pdf), np.inf)
+            for key, at in _series(pdf, keys):
+                ids, y = sample.value.get(_key(key), (None, None))
+                if ids is None or not len(at):
+                    continue
+                part = pdf.iloc[at]
+                i, _, d = best_pairs(np.stack(part["vec"].to_numpy()).astype(float), y, part["rid"].to_numpy(), ids, k, 1.0, exclude_self)
+                full = np.flatnonzero(np.bincount(i, minlength=len(at)) == k)
+                bound[at[full]] = d[np.cumsum(np.bincount(i, minlength=len(at)))[full] - 1]
+            yield pdf.assign(__bound=bound)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    bounded = materialize(rows.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(bounds, f"{kinds}, __bound double"), "knn-bounded")
+    size = max(-(-longest // MANY_BLOCKS), min(-(-longest // FEW_BLOCKS), FULL_ROWS))
+    size = int(max(block_rows, min(size, BLOCK_VALUES / width)))
+    blocks = F.ceil(F.col("__n") / F.lit(float(size)))
+    groups = sizes.agg(F.sum(blocks * (blocks + 1) / 2)).first()[0] or 1
+    # few large groups: more tasks than groups, so that few tasks get two by their hash
+    return block_edges_once(bounded, keys, k, size, exclude_self, partitions=max(1, min(3 * int(groups), 20_000)))
+
+
 def _in_slices(part: pd.DataFrame, i: np.ndarray, j: np.ndarray):
     """Row i of ``part`` as a guest of cell j, a bounded number of rows at a time."""
     step = max(1, _STEP // 8 // len(part["vec"].iloc[0]))
@@ -278,7 +325,8 @@ def candidates(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: i
     if not chosen:
         return block_edges(queries, given, keys, k, p, block_rows, exclude_self)
     pivots = spark.sparkContext.broadcast(chosen)
-    r = materialize(assign(given, keys, pivots, p), "knn-refs")
+    # p = 1: many operations a row, whatever the files' splits
+    r = materialize(assign(given.repartition(4 * spark.sparkContext.defaultParallelism) if p == 1 else given, keys, pivots, p), "knn-refs")
     by_cell = [*keys, "cell"]
     stats = spark.sparkContext.broadcast(_cell_stats(r, keys, chosen))
     need = k + int(exclude_self)
@@ -323,6 +371,8 @@ def candidates(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: i
     probe = materialize(assign(probe, keys, pivots, p), "knn-probes")
     share = within_own(probe)[1].mapInPandas(shares, "met double, all_ double").agg(F.sum("met") / F.sum("all_")).first()[0]
     if (share or 0.0) > DIRECT_SHARE:
+        if refs is None and p == 1:
+            return direct_once(queries, keys, k, block_rows, exclude_self)
         return direct(queries, given, keys, k, p, block_rows, exclude_self)
     q = r if refs is None else materialize(assign(queries, keys, pivots, p), "knn-queries")
     own, bounded = within_own(q)
