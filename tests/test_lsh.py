@@ -57,3 +57,39 @@ def test_queries_travel_by_cell(spark):
     assert refs.select(F.explode("rid")).count() == 4 * len(x) > 2 * refs.count()   # rows of a batch and cell travel together
     lists = LSH._cell_lists(named, named, 5, t, True, 100_000)
     assert lists.count() <= sent.count()                                        # one list per query and cell, not one row per neighbour
+
+
+def test_references_stay_together_with_many_cells(spark, monkeypatch):
+    """Rows of a task are packed over its Arrow batches, so that references of a cell are few rows however small the batches."""
+    x, df = _rows(spark)
+    named = df.filter("id < 1500").select(F.col("id").alias("rid"), F.col("v").alias("vec")).coalesce(1)
+    t = LSH.fit(named, "vec", 3, per_bucket=5.0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        cells = LSH.bucketed(named, t, only=2)
+        assert cells.select("table").distinct().collect()[0][0] == 2
+        assert cells.count() == cells.select("cell0", "cell1", "cell2").distinct().count()   # one row a cell, not one a batch and cell
+        monkeypatch.setattr(LSH, "TASK_VALUES", 600)
+        assert cells.count() <= LSH.bucketed(named, t, only=2).count()
+        assert LSH.bucketed(named, t, only=2).select(F.explode("rid")).count() == 1500
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = np.arange(21.0).reshape(7, 3)
+    packs = LSH.pa.array([LSH._packed(rows[:5]), LSH._packed(rows[5:])], LSH.pa.binary())
+    assert (LSH._unpacked(packs, np.array([5, 2]), 3) == rows).all()
+
+
+def test_shuffle_files_and_tables_go(spark):
+    """A written table replaces the shuffle that made it; discarded tables go, those still read stay."""
+    import os
+    from vigil.session import discard, materialize, written_tables
+    a = materialize(spark.range(1000).repartition(5), "test-a")
+    b = materialize(a.filter("id < 10"), "test-b")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") in (None, "false")
+    folder = lambda df: [f.split(":")[-1].replace("///", "/") for f in written_tables(df)]
+    here = folder(a)
+    assert here and all(map(os.path.isdir, here))
+    discard(written_tables(a), a.unionAll(b))
+    assert all(map(os.path.isdir, here))
+    discard(written_tables(a), b)
+    assert not any(map(os.path.isdir, here)) and b.count() == 10

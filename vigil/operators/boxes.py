@@ -198,7 +198,7 @@ def nearest(queries: DataFrame, refs: DataFrame | None, keys: list[str], k: int,
         tree = boxes.value.get(_plain(key[:-1]))
         return np.ones(len(x), bool) if tree is None else tree.inside(x, int(key[-1]), kth)
     # a cell is one block unless it is far larger than planned
-    met = lambda g, e: block_edges(g, r, by_cell, k, p, 4 * block_rows, exclude_self, ended=e)
+    met = lambda g, e: block_edges(g, r, by_cell, k, p, 4 * block_rows, exclude_self, ended=e, sized=True)
     own = materialize(met(q, ended), "knn-own-cell")
     best = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")
     left = own.filter(~F.col("done")).groupBy(*by_cell, "rid").agg(F.first("vec").alias("vec"), best)

@@ -6,7 +6,9 @@ slab up or down along one direction (2 * hashes more), so few tables are needed.
 as wide as leaves about ``per_bucket`` rows in a bucket if rows were spread evenly, whatever n is.
 
 Rows travel by cell: ``SPAN`` slabs along every direction of a table, so most probes of a query end in one cell.
-References of a batch that share a cell travel as one row.  A cell is one Arrow group, or dealt to (query block, reference block) groups if it is long: a bucket holding a third of
+References of a task that share a cell travel as one row (up to ``TASK_VALUES`` numbers of a task are sorted by cell together, so that
+rows stay long when there are many cells), their vectors compressed dimension by dimension.  Tables are searched one after the other:
+what a table shuffles is gone before the next.  A cell is one Arrow group, or dealt to (query block, reference block) groups if it is long: a bucket holding a third of
 all rows is many groups.  Inside, a query meets its own bucket first; a bucket beyond a border that is farther than the
 k-th neighbour so far holds nothing nearer and is passed over.  A query leaves a group as one list of neighbours.
 Only recall is approximate: every distance returned is exact.
@@ -32,8 +34,8 @@ from vigil.session import attach_scalars, materialize
 _BITS = 2
 SPAN = 1 << _BITS
 BLOCK_VALUES = 400_000
-#: References that travel as one row at most.
-PACK = 2048
+#: References that travel as one row at most, and numbers of a task's references that are sorted by cell together.
+PACK, TASK_VALUES = 2048, 4_000_000
 #: Queries of a group that are searched at once.
 _CHUNK = 8192
 
@@ -96,53 +98,79 @@ def _keys(t: Tables) -> list[str]:
     return ["table", *[f"cell{j}" for j in range(len(t.shifts[0]))]]
 
 
-def _placed(batches, t: Tables, probes: bool):
-    """(batch, table, slabs, cells) of every Arrow batch and table; rows with missing numbers are left out."""
+def _gathered(batches, dim: int):
+    """Arrow batches put together up to ``TASK_VALUES`` numbers."""
+    held: list = []
     for batch in batches:
-        if not batch.num_rows:
+        if held and (sum(b.num_rows for b in held) + batch.num_rows) * dim > TASK_VALUES:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _placed(batches, t: Tables, probes: bool, only: int | None = None):
+    """(rows, their vectors, table, slabs, cells) of the batches for every table (or one); rows with missing numbers are left out."""
+    for rows_ in (pa.Table.from_batches([b]) for b in batches) if probes else _gathered(batches, len(t.directions[0][0])):
+        if not rows_.num_rows:
             continue
-        x = _vectors(pa.Table.from_batches([batch]))
+        x = _vectors(rows_)
         whole = ~np.isnan(x).any(axis=1)
-        batch, x = (batch, x) if whole.all() else (batch.filter(pa.array(whole)), x[whole])
-        for i in range(len(t.shifts) if len(x) else 0):
+        rows_, x = (rows_, x) if whole.all() else (rows_.filter(pa.array(whole)), x[whole])
+        for i in (range(len(t.shifts)) if only is None else [only]) if len(x) else []:
             slab = _slabs(x, t, i)
             rows, cells = _cells(slab, probes)
-            yield batch.take(pa.array(rows)) if probes else batch, i, slab[rows], cells
+            yield rows_.take(pa.array(rows)) if probes else rows_, x, i, slab[rows], cells
 
 
-def bucketed(rows: DataFrame, t: Tables, probes: bool = False) -> DataFrame:
-    """``rows`` (rid, vec) by table and cell0, cell1, ...: rows of one Arrow batch and cell travel together, ``PACK`` at most, as the
-    arrays rid, vec (one vector after the other) and ``sub``, the bucket's place in the cell.
+def bucketed(rows: DataFrame, t: Tables, probes: bool = False, only: int | None = None) -> DataFrame:
+    """``rows`` (rid, vec) by table (or for ``only`` one) and cell0, cell1, ...: rows of one task and cell travel together, ``PACK`` at
+    most, as the array rid and ``vecs``, their vectors (``_packed``).
 
-    ``probes``: every row alone, once per cell that holds its own bucket or one of its probes, with its slabs instead of ``sub``.
+    ``probes``: every row alone, with vec, once per cell that holds its own bucket or one of its probes, with its slabs.
     """
     keys, h, rid = _keys(t), len(t.shifts[0]), rows.schema["rid"].dataType
     places = [T.StructField("table", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in keys[1:]]]
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("rid", rid if probes else T.ArrayType(rid)), T.StructField("vec", T.ArrayType(T.DoubleType())),
-                           *places, T.StructField("slab" if probes else "sub", longs)])
+    schema = T.StructType([T.StructField("rid", rid), T.StructField("vec", T.ArrayType(T.DoubleType())), *places, T.StructField("slab", T.ArrayType(T.LongType()))]
+                          if probes else [T.StructField("rid", T.ArrayType(rid)), T.StructField("vecs", T.BinaryType()), *places])
     arrow = to_arrow_schema(schema)
     lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
     def run(batches):
-        for batch, table, slab, cells in _placed(batches, t, probes):
+        for some, x, table, slab, cells in _placed(batches, t, probes, only):
             n = len(slab)
             if probes:
-                cols = [batch.column("rid"), batch.column("vec"), lists(np.arange(n + 1) * h, pa.array(slab.ravel()))]
+                cols, tail = [_flat(some.column("rid")), _flat(some.column("vec"))], [lists(np.arange(n + 1) * h, pa.array(slab.ravel()))]
+                slices = [slice(0, n)]
             else:
                 order = np.lexsort(cells.T)
                 cells = cells[order]
                 new = np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)]
                 place = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
                 start = np.flatnonzero(place % PACK == 0)
-                ends, cells = np.r_[start, n], cells[start]
-                x = _vectors(pa.Table.from_batches([batch]))[order]
-                cols = [lists(ends, batch.column("rid").take(pa.array(order))), lists(ends * x.shape[1], pa.array(x.ravel())), lists(ends, pa.array(_sub(slab[order])))]
-            cols[2:2] = [pa.array(np.full(len(cells), table, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in cells.T]]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+                ends, cells, x = np.r_[start, n], cells[start], x[order]
+                vecs = pa.array([_packed(x[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+                cols, tail = [lists(ends, _flat(some.column("rid")).take(pa.array(order))), vecs], []
+                slices = [slice(a, a + 1000) for a in range(0, len(start), 1000)]
+            cols = [*cols, pa.array(np.full(len(cells), table, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in cells.T], *tail]
+            out = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            for a in slices:
+                yield out.slice(a.start, a.stop - a.start)
     return rows.filter(F.col("vec").isNotNull()).mapInArrow(run, schema)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Vectors as one compressed string, dimension by dimension."""
+    return pa.compress(np.ascontiguousarray(x.T), codec="zstd", asbytes=True)
+
+
+def _unpacked(vecs, sizes: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors of ``_packed`` strings of so many rows each."""
+    parts = [np.frombuffer(pa.decompress(v.as_buffer(), 8 * int(n) * dim, codec="zstd"), float).reshape(dim, -1).T for v, n in zip(vecs, sizes)]
+    return np.concatenate(parts)
+
+
 def _sub(slab: np.ndarray) -> np.ndarray:
     """Place of a bucket in its cell as one number."""
     return ((slab & (SPAN - 1)) << (_BITS * np.arange(slab.shape[1]))).sum(axis=1)
@@ -155,7 +183,7 @@ def _cell_blocks(rows: DataFrame, t: Tables, probes: bool, block_rows: int, name
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for _, table, _, cells in _placed(batches, t, probes):
+        for _, _, table, _, cells in _placed(batches, t, probes):
             c = pa.table({k: np.ascontiguousarray(v) for k, v in zip(keys[1:], cells.T)}).group_by(keys[1:], use_threads=False).aggregate([([], "count_all")])
             cols = [pa.array(np.full(len(c), table, np.int32)), *[_flat(c.column(k)) for k in [*keys[1:], "count_all"]]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
@@ -164,11 +192,18 @@ def _cell_blocks(rows: DataFrame, t: Tables, probes: bool, block_rows: int, name
 
 
 def _cell_lists(queries: DataFrame, refs: DataFrame, k: int, t: Tables, exclude_self: bool, block_rows: int) -> DataFrame:
-    """(rid, near): per query and group the nearest references of its probes, a sorted array of struct(d, nid)."""
-    keys = _keys(t)
+    """(rid, near): per query and table the nearest references of its probes, a sorted array of struct(d, nid)."""
     # written first: the size of the table of cells is known, the rows themselves move once
-    blocks = materialize(_cell_blocks(queries, t, True, block_rows, "__nqb").join(_cell_blocks(refs, t, False, block_rows, "__nrb"), keys), "lsh-cells")
-    queries, refs = bucketed(queries, t, probes=True), bucketed(refs, t)
+    blocks = materialize(_cell_blocks(queries, t, True, block_rows, "__nqb").join(_cell_blocks(refs, t, False, block_rows, "__nrb"), _keys(t)), "lsh-cells")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")
+    found = [_table_lists(queries, refs, blocks.filter(F.col("table") == i), k, t, i, exclude_self).groupBy("rid").agg(best) for i in range(len(t.shifts))]
+    return reduce(DataFrame.unionByName, [materialize(f, "lsh-lists") for f in found])
+
+
+def _table_lists(queries: DataFrame, refs: DataFrame, blocks: DataFrame, k: int, t: Tables, only: int, exclude_self: bool) -> DataFrame:
+    """(rid, near): per query and group of one table the nearest references of its probes."""
+    keys = _keys(t)
+    queries, refs = bucketed(queries, t, True, only), bucketed(refs, t, False, only)
     blk = lambda n: F.pmod(F.xxhash64(F.col("rid"), F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     qx = attach_scalars(queries, blocks, keys).withColumn("__qb", blk("__nqb")).withColumn("__rb", every("__nrb")).drop("__nqb", "__nrb")
@@ -180,11 +215,11 @@ def _cell_lists(queries: DataFrame, refs: DataFrame, k: int, t: Tables, exclude_
     def meet(qt: pa.Table, rt: pa.Table) -> pa.Table:
         if not qt.num_rows or not rt.num_rows:
             return arrow.empty_table()
-        x, rids = _vectors(qt), _flat(rt.column("rid")).flatten()
-        y = _flat(rt.column("vec")).flatten().to_numpy().reshape(len(rids), -1)
-        qid, rid, sub = qt.column("rid").to_numpy(), rids.to_numpy(zero_copy_only=False), _flat(rt.column("sub")).flatten().to_numpy()
+        x, packs = _vectors(qt), _flat(rt.column("rid"))
+        rids, table, *cell = packs.flatten(), *[rt.column(c)[0].as_py() for c in keys]
+        y = _unpacked(_flat(rt.column("vecs")), np.diff(packs.offsets.to_numpy()), x.shape[1])
+        qid, rid, sub = qt.column("rid").to_numpy(), rids.to_numpy(zero_copy_only=False), _sub(_slabs(y, t, table))
         place = pd.factorize(rid, sort=True)[0]
-        table, *cell = [rt.column(c)[0].as_py() for c in keys]
         slab = _flat(qt.column("slab")).flatten().to_numpy(zero_copy_only=False).reshape(-1, h)
         order = np.argsort(sub, kind="stable")
         found, first = np.unique(sub[order], return_index=True)

@@ -350,7 +350,7 @@ def best_pairs(q: np.ndarray, r: np.ndarray, qid: np.ndarray, rid: np.ndarray, k
 
 def block_edges(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p: float = 2.0,
                 block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True, farthest: bool = False,
-                partitions: int | None = None, ended=None) -> DataFrame:
+                partitions: int | None = None, ended=None, sized: bool = False) -> DataFrame:
     """(keys, rid, nid, d): at least the k nearest (or farthest) references of every query row (rid, vec) of the same keys.
 
     Per key, queries and references are dealt to hashed blocks of about ``block_rows`` rows each; every
@@ -359,6 +359,7 @@ def block_edges(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p:
     ``partitions`` fixes the number of tasks: few large groups, whose work is not in their bytes.
     ``ended(key values, vectors, k-th distances)`` asks for one row per query and group instead: (keys, rid, vec, near, done), near a sorted
     array of struct(d, nid); done where the group holds all references of its key and ``ended`` agrees.
+    ``sized`` writes the table of blocks first: its size is known, so that the rows move once.
     """
     keys = list(keys)
     names = [f.name for f in queries.schema.fields if f.name in keys]
@@ -373,6 +374,7 @@ def block_edges(queries: DataFrame, refs: DataFrame, keys: list[str], k: int, p:
         return n.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(float(block_rows)))).cast("int").alias(name))
     nq, nr = blocks(q, "__nqb"), blocks(r, "__nrb")
     nb = nq.join(nr, keys) if keys else nq.withColumn("__nrb", nr.select("__nrb").scalar())   # keys without references drop out
+    nb = materialize(nb, "knn-blocks") if sized else nb
     q, r = attach_scalars(q, nb, keys), attach_scalars(r, nb, keys)
     blk = lambda n: F.pmod(F.xxhash64(F.col("rid"), F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -462,9 +464,11 @@ def block_edges_once(rows: DataFrame, keys: list[str], k: int, block_rows: int,
 
 
 def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, vec: str, k: int,
-              p: float = 2.0, block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True) -> DataFrame:
+              p: float = 2.0, block_rows: int = DEFAULT_VECTOR_BLOCK, exclude_self: bool = True, written: bool = False) -> DataFrame:
     """Exact k nearest references of every query row: (keys, rid, nid, d, rank), ties by neighbour id.
 
+    ``written``: the references are a written table, which may be read more than once as it is.
+
     A series of at most ``block_rows`` references is one cell.  A longer one is cut into the Voronoi cells of
     about sqrt(n) / 2 of its rows (``operators.pivots``), or in few dimensions into boxes (``operators.boxes``): a query first meets
     its own cell, which bounds its k-th distance, then only cells that can hold something nearer.
@@ -473,7 +477,7 @@ def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, ve
     keys = list(keys)
     whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))           # rows with missing numbers have no neighbours
     named = lambda df: df.select(*keys, F.col(rid).alias("rid"), F.col(vec).alias("vec")).filter(whole)
-    near = _nearest_lists(queries, refs, keys, rid, vec, k, p, block_rows, exclude_self)
+    near = _nearest_lists(queries, refs, keys, rid, vec, k, p, block_rows, exclude_self, written)
     if near is not None:
         ranked = near.select(*keys, "rid", F.posexplode("near").alias("rank", "n")).select(
             *keys, "rid", F.col("n.nid").alias("nid"), F.col("n.d").alias("d"), (F.col("rank") + 1).alias("rank"))
@@ -484,7 +488,7 @@ def knn_edges(queries: DataFrame, refs: DataFrame, keys: list[str], rid: str, ve
     return ranked.withColumnRenamed("rid", rid) if rid != "rid" else ranked
 
 
-def _nearest_lists(queries, refs, keys, rid, vec, k, p, block_rows, exclude_self) -> DataFrame | None:
+def _nearest_lists(queries, refs, keys, rid, vec, k, p, block_rows, exclude_self, written=False) -> DataFrame | None:
     """(keys, rid, near) by boxes, if vectors have few dimensions and a series is longer than a block; else None."""
     from vigil.operators import boxes
     whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))
@@ -493,7 +497,7 @@ def _nearest_lists(queries, refs, keys, rid, vec, k, p, block_rows, exclude_self
     first = given.select(F.size("vec").alias("n")).head()
     if first is None or not 0 < first["n"] <= boxes.MAX_DIM:
         return None
-    given = materialize(given, "knn-named")                             # read for the sizes, the sample and the cells
+    given = given if written else materialize(given, "knn-named")       # read for the sizes, the sample and the cells
     chosen = boxes.choose(given, keys, block_rows)
     if not chosen:
         return None

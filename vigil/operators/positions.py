@@ -58,7 +58,8 @@ def row_index(df: DataFrame, keys: list[str], order: list, out: str = "row_idx",
     before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(*keys, "__pid",
                          (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__adj"))
-    out_df = join_measured(ranged, spans, keys + ["__pid"])
+    # written: its size is known, so that the rows need not be shuffled for the join
+    out_df = join_measured(ranged, materialize(spans, "row-spans"), keys + ["__pid"])
     return (out_df.withColumn(out, (F.col("__loc") + F.col("__adj")).cast("bigint"))
                   .drop("__pid", "__loc", "__adj"))
 

@@ -17,7 +17,7 @@ from vigil.operators import windows as W
 from vigil.plans import jobs as J
 from vigil.plans import oracle_sql as O
 from vigil.plans.base import finish, query, r6
-from vigil.session import materialize, output_dir, shuffle_partitions
+from vigil.session import discard, materialize, output_dir, shuffle_partitions, written_tables
 from vigil.sources import catalog as C
 from vigil.sources import files as FS
 
@@ -202,10 +202,13 @@ def _lsh_sql(k, tables=4, hashes=3, per_bucket=400.0):
 @query("f3_knn_lsh", _lsh_sql(11))
 def f3_knn_lsh(spark, sf_dir):
     """Approximate search for every 50th row among all rows, and its recall against the exact search."""
-    v = materialize(_wide(spark, sf_dir), "wide-vectors")
+    wide = _wide(spark, sf_dir)
+    v = materialize(wide, "wide-vectors")
+    discard(written_tables(wide), v)
     q = v.filter(F.col("row_idx") % _EVERY == 0)
     found = LSH.knn_lsh(q, v, "row_idx", "vec", 11, LSH.fit(v, "vec", len(C.LINE_CHANNELS)))
-    r = LSH.recall(found, NB.knn_edges(q, v, GK, "row_idx", "vec", 11), "row_idx")
+    r = LSH.recall(found, NB.knn_edges(q, v, GK, "row_idx", "vec", 11, written=True), "row_idx")
+    discard(written_tables(v), r)                                       # the search has its own copy by cells
     return finish(r.withColumn("enough", F.col("found") >= 0.9 * F.col("neighbours")))
 
 

@@ -107,11 +107,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Used where one result feeds two branches that must agree exactly (a
     range partitioning sampled twice could differ); the files also survive
-    the loss of the executors that computed them.
+    the loss of the executors that computed them.  The shuffle files of the
+    write go when it ends (Spark 4.1): the table replaces them.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vigil-tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vigil-tables/{name}-{uuid.uuid4().hex}"
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+    return spark.read.parquet(path)
+
+
+def written_tables(df: DataFrame) -> set[str]:
+    """Folders of ``materialize`` that ``df`` reads."""
+    root = checkpoint_dir(df.sparkSession).split(":")[-1].strip("/") + "/vigil-tables/"
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles() if root in f.rsplit("/", 1)[0]}
+
+
+def discard(tables: set[str], kept: DataFrame) -> None:
+    """Delete written tables (``written_tables``) that nothing but the caller read, except those that ``kept`` reads."""
+    spark = kept.sparkSession
+    for folder in sorted(tables - written_tables(kept)):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
